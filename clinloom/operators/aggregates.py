@@ -19,19 +19,27 @@ def _ordered_join(items: Column, field: str, sep: str) -> Column:
 
 
 def concat_by_admission(notes: DataFrame, key: str = "hadm_id", order: str = "row_id",
-                        text: str = "text", category: str = "category", sep: str = " ") -> DataFrame:
+                        text: str = "text", category: str = "category", sep: str = " ",
+                        category_value: str | None = None) -> DataFrame:
     """A1: per admission, texts (and categories) joined with ``sep`` in ``order``.
 
     The category column ends up as the category name repeated once per note, as in
-    the reference.  Output: key, text, category, n_notes.
+    the reference.  When every note has the same category (``category_value``), the
+    column is not carried through the shuffle.  Output: key, text, category, n_notes.
     """
-    parts = F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t"),
-                                    F.col(category).alias("c")))
+    fields = [F.col(order).alias("o"), F.col(text).alias("t")]
+    if category_value is None:
+        fields.append(F.col(category).alias("c"))
+    parts = F.collect_list(F.struct(*fields))
+    if category_value is None:
+        cat = _ordered_join(F.col("_parts"), "c", sep)
+    else:
+        cat = F.array_join(F.array_repeat(F.lit(category_value), F.size("_parts")), sep)
     return (notes.groupBy(key)
                  .agg(parts.alias("_parts"))
                  .select(key,
                          _ordered_join(F.col("_parts"), "t", sep).alias(text),
-                         _ordered_join(F.col("_parts"), "c", sep).alias(category),
+                         cat.alias(category),
                          F.size("_parts").cast("bigint").alias("n_notes")))
 
 

@@ -47,21 +47,31 @@ def clean_notes(notes: DataFrame, profile: str = "icd", text: str = "text") -> D
     return notes.withColumn(text, clean_text(F.col(text), profile))
 
 
-def notes_per_admission(notes: DataFrame, category: str) -> DataFrame:
-    """P3 -> P4 -> W1 -> A1 on cleaned notes (row_id, hadm_id, category, text)."""
+def notes_per_admission(notes: DataFrame, category: str, cleaned: bool = True) -> DataFrame:
+    """P3 -> P4 -> (T8) -> W1 -> A1 over notes (row_id, hadm_id, category, text).
+
+    The not-null and category predicates run on the raw columns, before cleaning:
+    cleaning keeps null-ness, and a predicate on the cleaned text would be pushed
+    below the projection and evaluate the whole regex chain twice.
+    """
     n = notes.select("row_id", "hadm_id", "category", "text")
     n = drop_missing(n, ["hadm_id", "text"])
-    n = filter_category(n, category).withColumn("category", F.trim("category"))
-    n = dedupe_text(n, "text", "row_id")
-    return concat_by_admission(n, "hadm_id", "row_id", "text", "category").drop("n_notes")
+    n = filter_category(n, category)
+    if not cleaned:
+        n = clean_notes(n, "icd")
+    if category == "all":
+        n = dedupe_text(n.withColumn("category", F.trim("category")), "text", "row_id")
+        return concat_by_admission(n, "hadm_id", "row_id", "text", "category").drop("n_notes")
+    # one category: keep it out of the shuffles (fixed-width aggregation buffers)
+    n = dedupe_text(n.drop("category"), "text", "row_id")
+    return concat_by_admission(n, "hadm_id", "row_id", "text", "category",
+                               category_value=category).drop("n_notes")
 
 
 def icd_labelled(notes: DataFrame, diag: DataFrame, proc: DataFrame, params: IcdParams = IcdParams(),
                  cleaned: bool = False) -> DataFrame:
     """Labelled admissions before splitting: hadm_id, text, category, icd9_code."""
-    if not cleaned:
-        notes = clean_notes(notes, "icd")
-    per_adm = notes_per_admission(notes, params.note_category)
+    per_adm = notes_per_admission(notes, params.note_category, cleaned=cleaned)
     d = codes_by_admission(filter_seq(diag, params.one_or_all_icds))
     p = codes_by_admission(filter_seq(proc, params.one_or_all_icds))
     return labelled_admissions(per_adm, d, p, params.diag_or_proc, require_both=params.require_both)
@@ -70,7 +80,9 @@ def icd_labelled(notes: DataFrame, diag: DataFrame, proc: DataFrame, params: Icd
 def icd_dataset(notes: DataFrame, diag: DataFrame, proc: DataFrame, params: IcdParams = IcdParams(),
                 cleaned: bool = False) -> DataFrame:
     """G1 (flagship): labelled admissions with an exact 60/20/20 ``split`` column."""
-    labelled = icd_labelled(notes, diag, proc, params, cleaned)
+    # Written once to the checkpoint folder: the split needs the row count before it
+    # can cut, and the cleaning upstream must not run twice.
+    labelled = icd_labelled(notes, diag, proc, params, cleaned).checkpoint(eager=True)
     out = split_exact(labelled, "hadm_id", seed=params.seed)
     if params.subsampling:
         out = subsample_splits(out, {"train": 80, "validate": 20, "test": 20}, "hadm_id", params.seed)

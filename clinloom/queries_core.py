@@ -191,15 +191,15 @@ def _with(*ctes: str) -> str:
 
 @register("w1_dedupe_text", _with(_CLEANED_SQL, _FILTERED_SQL, _DEDUP_SQL) + "SELECT row_id, hadm_id, text FROM dedup")
 def w1(spark, sf):
-    n = clean_notes(V(spark, sf, "v_notes"))
-    n = P.filter_category(P.drop_missing(n, ["hadm_id", "text"]), "Discharge summary")
-    return W.dedupe_text(n.select("row_id", "hadm_id", "text")).select("row_id", "hadm_id", "text")
+    n = P.filter_category(P.drop_missing(V(spark, sf, "v_notes"), ["hadm_id", "text"]), "Discharge summary")
+    n = clean_notes(n.select("row_id", "hadm_id", "text"))
+    return W.dedupe_text(n).select("row_id", "hadm_id", "text")
 
 
 @register("a1_concat_by_admission", _with(_CLEANED_SQL, _FILTERED_SQL, _DEDUP_SQL, _PER_ADM_SQL)
           + "SELECT hadm_id, text, category FROM per_adm")
 def a1(spark, sf):
-    return notes_per_admission(clean_notes(V(spark, sf, "v_notes")), "Discharge summary")
+    return notes_per_admission(V(spark, sf, "v_notes"), "Discharge summary", cleaned=False)
 
 
 @register("a2_codes_by_admission", """
