@@ -40,18 +40,23 @@ def hash_unit(h: Column) -> Column:
 
 
 def hash_rank(df: DataFrame, hash_col: str, tiebreak: Sequence[str] = (), rank_col: str = "rank",
-              total_col: str | None = "n_total", bucket_chars: int = 4) -> DataFrame:
-    """0-based rank of each row ordered by (hash_col, *tiebreak); adds the row total."""
+              total_col: str | None = "n_total", bucket_chars: int = 4, by: Sequence[str] = ()) -> DataFrame:
+    """0-based rank of each row ordered by (hash_col, *tiebreak), within groups ``by``.
+
+    Adds the group's row total as ``total_col``.  ``by`` must have few distinct values
+    (splits): the offset table has (#groups x 16**bucket_chars) rows at most.
+    """
     b = "_hb"
+    by = list(by)
     with_b = df.withColumn(b, F.substring(F.col(hash_col), 1, bucket_chars))
-    counts = with_b.groupBy(b).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(b, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
-                         F.sum("_n").over(Window.partitionBy()).alias("_tot"))
-    inner = Window.partitionBy(b).orderBy(F.col(hash_col), *[F.col(c) for c in tiebreak])
+    counts = with_b.groupBy(*by, b).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select(*by, b, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
+                         F.sum("_n").over(Window.partitionBy(*by)).alias("_tot"))
+    inner = Window.partitionBy(*by, b).orderBy(F.col(hash_col), *[F.col(c) for c in tiebreak])
     ranked = with_b.withColumn("_lr", F.row_number().over(inner) - 1)
-    # offs has at most 16**bucket_chars rows: bounded by construction.
-    out = ranked.join(F.broadcast(offs), b).withColumn(rank_col, (F.col("_off") + F.col("_lr")).cast("bigint"))
+    # offs is bounded by construction (bucket count x group count).
+    out = ranked.join(F.broadcast(offs), [*by, b]).withColumn(rank_col, (F.col("_off") + F.col("_lr")).cast("bigint"))
     if total_col:
         out = out.withColumn(total_col, F.col("_tot").cast("bigint"))
     return out.drop(b, "_off", "_lr", "_tot")

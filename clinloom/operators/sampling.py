@@ -103,16 +103,17 @@ def shuffle_key(key: str | Sequence[str], seed: int = 42, epoch: int = 0) -> Col
 
 def assign_batches(df: DataFrame, size: int, key: str | Sequence[str], seed: int | None = 42, epoch: int = 0,
                    order: Sequence[str] | None = None, batch_col: str = "batch_id",
-                   rank_col: str = "position") -> DataFrame:
+                   rank_col: str = "position", by: Sequence[str] = ()) -> DataFrame:
     """U6 + U7: sequential batches of ``size`` rows.
 
-    With ``order=None`` the rows are shuffled by the seeded hash (``hash_rank``);
-    otherwise they follow ``order`` (+ key as tie-break) through ``global_rank``.
+    With ``order=None`` the rows are shuffled by the seeded hash (``hash_rank``, per
+    group ``by``); otherwise they follow ``order`` (+ key as tie-break) through
+    ``global_rank``.
     """
     ks = _keys(key)
     if order is None:
         ranked = hash_rank(df.withColumn("_h", shuffle_key(ks, seed, epoch)), "_h", ks,
-                           rank_col=rank_col, total_col=None).drop("_h")
+                           rank_col=rank_col, total_col=None, by=by).drop("_h")
     else:
         cols = list(order) + [k for k in ks if k not in order]
         ranked = global_rank(df, cols, rank_col=rank_col)

@@ -102,8 +102,12 @@ def _dependencies(sql: str) -> list[str]:
     return [v for v in VIEWS if v in found]
 
 
+_SLICE = re.compile(r"(?<![\w])slice\(")
+
+
 def to_duckdb(sql: str) -> str:
-    return sql.replace("slice(", "list_slice(")
+    """Spark ``slice(`` -> DuckDB ``list_slice(`` (same result, since the start is 1)."""
+    return _SLICE.sub("list_slice(", sql)
 
 
 def oracle(sql: str) -> str:
