@@ -43,4 +43,4 @@ CLEAN_ICD_SQL = T.duckdb_clean_sql("text", "icd")
 CLEAN_MLM_SQL = T.duckdb_clean_sql("text", "mlm")
 
 # import the query modules so their @register decorators run
-from clinloom import queries_core, queries_linkage, queries_ml  # noqa: E402,F401
+from clinloom import queries_core, queries_linkage, queries_ml, queries_io  # noqa: E402,F401
