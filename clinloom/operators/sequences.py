@@ -168,9 +168,10 @@ def pack_blocks(df: DataFrame, order: str, ids: str, block: int, add_special: bo
     Output: block_id, input_ids.
     """
     size = block - 2 if add_special else block
-    narrow = df.select(order, F.size(ids).alias("_n")).where(F.col("_n") > 0)
-    offsets = global_rank(narrow, [order], weight="_n", rank_col="_doc", offset_col="_off").select(order, "_off", "_n")
-    docs = df.select(order, ids).join(offsets, order, "inner")
+    # The ids travel with the rank pass (materialised once by its checkpoint), so the
+    # encoded corpus is neither recomputed nor joined back.
+    docs = df.select(order, ids, F.size(ids).alias("_n")).where(F.col("_n") > 0)
+    docs = global_rank(docs, [order], weight="_n", rank_col="_doc", offset_col="_off")
     first_b = F.floor(F.col("_off") / size)
     last_b = F.floor((F.col("_off") + F.col("_n") - 1) / size)
     pieces = docs.select(order, ids, "_off", "_n", F.explode(F.sequence(first_b, last_b)).alias("block_id"))

@@ -10,7 +10,7 @@ from clinloom.operators import dedupe as W
 from clinloom.operators import filters as P
 from clinloom.operators import joins as J
 from clinloom.plans.icd_dataset import IcdParams, clean_notes, icd_dataset, icd_labelled, notes_per_admission
-from clinloom.registry import CLEAN_ICD_SQL, CLEAN_MLM_SQL, V, register
+from clinloom.catalog import CLEAN_ICD_SQL, CLEAN_MLM_SQL, V, register
 
 # --------------------------------------------------------------------------- text (T)
 
@@ -162,7 +162,7 @@ def p10(spark, sf):
 SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)
 WHERE length(line) > 10 AND trim(regexp_replace(line, '\s+', ' ', 'g')) <> ''""")
 def p11(spark, sf):
-    from clinloom.registry import tbl
+    from clinloom.catalog import tbl
     docs = tbl(spark, sf, "documents")
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     return P.corpus_lines(lines, "line")

@@ -14,7 +14,7 @@ from clinloom.operators import metrics as M
 from clinloom.plans import classification as C
 from clinloom.queries_core import G1_SQL, g1_query
 from clinloom.queries_ml import G2_CTES, g2_corpus
-from clinloom.registry import CLEAN_ICD_SQL, V, register, tbl
+from clinloom.catalog import CLEAN_ICD_SQL, V, register, tbl
 from clinloom.session import ensure_checkpoint_dir
 from clinloom.sources import readers as S
 from clinloom.sources import sinks as K

@@ -8,7 +8,7 @@ from clinloom.functions.dates import iso, study_timestamp, to_day
 from clinloom.operators import aggregates as A
 from clinloom.operators import joins as J
 from clinloom.plans import radiology as R
-from clinloom.registry import V, register
+from clinloom.catalog import V, register
 
 _TS_SQL = """make_timestamp(CAST(substr(study_date, 1, 4) AS BIGINT), CAST(substr(study_date, 5, 2) AS BIGINT),
     CAST(substr(study_date, 7, 2) AS BIGINT), CAST(substr(study_time, 1, 2) AS BIGINT),

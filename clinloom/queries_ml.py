@@ -16,7 +16,7 @@ from clinloom.operators.hooks import apply_tokenizer, whitespace_tokenizer
 from clinloom.operators.joins import attach_annotations, exclude_annotated, only_annotated
 from clinloom.plans import classification as C
 from clinloom.plans import corpora as G
-from clinloom.registry import CLEAN_MLM_SQL, V, register, tbl
+from clinloom.catalog import CLEAN_MLM_SQL, V, register, tbl
 
 TOK = r"regexp_extract_all(lower(coalesce(@, '')), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')"
 

@@ -40,18 +40,26 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     return spark
 
 
+def _active_dir(spark: SparkSession) -> str | None:
+    return spark.sparkContext.getCheckpointDir()
+
+
 def checkpoint_dir(spark: SparkSession) -> str | None:
-    """The shared checkpoint folder configured for this session, if any."""
-    jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jdir.isDefined():
-        return jdir.get()
-    return spark.conf.get("spark.checkpoint.dir", None) or None
+    """The checkpoint folder in use, else the one the session's configuration names."""
+    return _active_dir(spark) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) \
+        or spark.conf.get("spark.checkpoint.dir", None) or None
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use ``spark.checkpoint.dir`` when set; otherwise (tests only) a fresh scratch dir."""
-    current = checkpoint_dir(spark)
-    if current is None:
-        current = tempfile.mkdtemp(prefix="clinloom-ckpt-")
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    """The folder ``checkpoint()`` writes to.
+
+    Keeps a folder already in use; otherwise uses ``spark.checkpoint.dir`` from the
+    session (the cluster's shared folder); only when neither exists (local tests) a
+    fresh scratch folder is created.
+    """
+    active = _active_dir(spark)
+    if active is not None:
+        return active
+    configured = checkpoint_dir(spark) or tempfile.mkdtemp(prefix="clinloom-ckpt-")
+    spark.sparkContext.setCheckpointDir(configured)
+    return _active_dir(spark) or configured

@@ -128,22 +128,67 @@ def oracle(sql: str) -> str:
     return to_duckdb(text)
 
 
+# Tables whose rows carry long text: per-row work on them is CPU-heavy, so a scan that
+# arrives as a single split is spread over the cores first (no-op for split input).
+TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+
+_TABLE_REF = re.compile(r"\b(" + "|".join(TABLES) + r")\b")
+# per session: the folder currently registered and the names registered from it
+_STATE: dict[int, dict] = {}
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    from clinloom.sources.readers import spread
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
+
+
+def _state(spark: SparkSession, sf_dir: str) -> dict:
+    st = _STATE.get(id(spark))
+    if st is None or st["sf"] != sf_dir:
+        st = _STATE[id(spark)] = {"sf": sf_dir, "names": set(), "frames": {}}
+    return st
+
+
+def _ensure(spark: SparkSession, sf_dir: str, name: str, st: dict) -> None:
+    """Register ``name`` (a table or a fixture view) and what it depends on, once."""
+    if name in st["names"] and spark.catalog.tableExists(name):
+        return
+    if name in VIEWS:
+        sql = VIEWS[name]
+        for dep in sorted(set(_TABLE_REF.findall(sql))):
+            _ensure(spark, sf_dir, dep, st)
+        for dep in _dependencies(sql):
+            if dep != name:
+                _ensure(spark, sf_dir, dep, st)
+        spark.sql(sql).createOrReplaceTempView(name)
+    else:
+        table(spark, sf_dir, name).createOrReplaceTempView(name)
+    st["names"].add(name)
+
+
 def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
+    st = _state(spark, sf_dir)
     for t in names:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        _ensure(spark, sf_dir, t, st)
 
 
 def register_views(spark: SparkSession, sf_dir: str) -> None:
     """Register the raw tables and every fixture view as Spark temp views."""
-    register_tables(spark, sf_dir)
-    for name, sql in VIEWS.items():
-        spark.sql(sql).createOrReplaceTempView(name)
+    st = _state(spark, sf_dir)
+    for name in list(TABLES) + list(VIEWS):
+        _ensure(spark, sf_dir, name, st)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    register_views(spark, sf_dir)
+    """A fixture view (or raw table) as a DataFrame; registration happens once per folder."""
+    _ensure(spark, sf_dir, name, _state(spark, sf_dir))
     return spark.table(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    st = _state(spark, sf_dir)
+    df = st["frames"].get(name)
+    if df is None:
+        df = st["frames"][name] = _read(spark, sf_dir, name)
+    return df

@@ -49,6 +49,17 @@ PAIR_SCHEMA = T.StructType([
 PAIR_FILES = {"train": "mli_train_v1.jsonl", "dev": "mli_dev_v1.jsonl", "test": "mli_test_v1.jsonl"}
 
 
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin a freshly read scan that has fewer partitions than the cluster has
+    cores (a single Parquet row group, one gzip CSV); a no-op for normally split input.
+
+    Call it on a plain scan only: the partition count of a scan is known from planning,
+    without running anything.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
+
+
 def _csv(spark: SparkSession, schema: T.StructType):
     return (spark.read.schema(schema).option("header", True).option("multiLine", True)
             .option("escape", '"').option("mode", "FAILFAST"))
@@ -62,10 +73,9 @@ def read_notes(spark: SparkSession, path: str, columns: Sequence[str] | None = N
                num_partitions: int | None = None) -> DataFrame:
     """NOTEEVENTS-style CSV (header, quoted multi-line TEXT); optional column subset."""
     df = _lower(_csv(spark, NOTE_SCHEMA).csv(path))
+    df = df.repartition(num_partitions) if num_partitions else spread(df)
     df = df.withColumn("hadm_id", F.col("hadm_id").cast("double").cast("bigint"))
-    if columns:
-        df = df.select(*columns)
-    return df.repartition(num_partitions) if num_partitions else df
+    return df.select(*columns) if columns else df
 
 
 def read_codes(spark: SparkSession, path: str, code_col: str = "icd9_code") -> DataFrame:
