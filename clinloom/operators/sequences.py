@@ -69,20 +69,23 @@ def _lookup(exploded: DataFrame, vocab: DataFrame, head_size: int) -> DataFrame:
 
 
 def encode(df: DataFrame, key: Sequence[str] | str, token_cols: Sequence[str], vocab: DataFrame,
-           head_size: int = 100_000, suffix: str = "_ids") -> DataFrame:
+           head_size: int = 100_000, suffix: str = "_ids", carry: Sequence[str] = ()) -> DataFrame:
     """Q2: token arrays -> id arrays for one or more token columns in one pass.
 
-    ``key`` must be unique per row.  Output: key columns + ``<col><suffix>`` per token column
-    (other columns are joined back on the key).
+    ``key`` must be unique per row.  ``carry`` names small columns (labels, split)
+    that travel with the key through the regrouping, so nothing is joined back.
+    Output: key columns + carry columns + ``<col><suffix>`` per token column.
     """
     keys = [key] if isinstance(key, str) else list(key)
+    extra = [c for c in carry if c not in keys]
     parts = None
     for side, c in enumerate(token_cols):
-        p = df.select(*keys, F.lit(side).alias("_side"), F.posexplode_outer(c).alias("_pos", "token"))
+        p = df.select(*keys, *extra, F.lit(side).alias("_side"), F.posexplode_outer(c).alias("_pos", "token"))
         parts = p if parts is None else parts.unionByName(p)
     looked = _lookup(parts, vocab, head_size)
     item = F.struct(F.col("_side").alias("s"), F.col("_pos").alias("p"), F.col("id").alias("i"))
-    grouped = looked.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    grouped = looked.groupBy(*keys, *extra).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+
     def on_side(side: int):
         return lambda x: (x["s"] == side) & x["p"].isNotNull()
 
@@ -90,9 +93,7 @@ def encode(df: DataFrame, key: Sequence[str] | str, token_cols: Sequence[str], v
     for side, c in enumerate(token_cols):
         sel = F.filter("_items", on_side(side))
         outs.append(F.transform(sel, lambda x: x["i"]).alias(c + suffix))
-    encoded = grouped.select(*keys, *outs)
-    rest = [c for c in df.columns if c not in keys]
-    return df.select(*keys, *rest).join(encoded, keys, "inner") if rest else encoded
+    return grouped.select(*keys, *extra, *outs)
 
 
 def truncate(c: Column, max_len: int, reserve: int = 2) -> Column:

@@ -29,7 +29,7 @@ def pair_dataset(pairs: DataFrame, max_len: int = 128, on_unknown: str = "keep",
         train = tok.where(F.col("split") == "train")
         both = train.select(F.concat("a", "b").alias("tokens"))
         vocab = build_vocab(both, "tokens").checkpoint(eager=True)
-    ids = encode(tok, "pair_id", ["a", "b"], vocab)
+    ids = encode(tok, "pair_id", ["a", "b"], vocab, carry=["split", "gold_label"])
     feats = pair_features(ids, "a_ids", "b_ids", max_len)
     labels = fixed_labels(pairs.sparkSession, NLI_LABELS, "gold_label", "label_id")
     labelled = encode_labels(feats, labels, "gold_label", "label_id", on_unknown=on_unknown)

@@ -67,7 +67,7 @@ def pretraining_blocks(corpus: DataFrame, block: int = 128, min_count: int = 1,
                          F.md5(F.col("text")).alias("doc_key"))
     if vocab is None:
         vocab = build_vocab(docs, "tokens", min_count=min_count).checkpoint(eager=True)
-    ids = encode(docs.select("doc_key", "tokens"), "doc_key", ["tokens"], vocab)
+    ids = encode(docs, "doc_key", ["tokens"], vocab)
     blocks = pack_blocks(ids, "doc_key", "tokens_ids", block)
     if mask:
         vocab_size = int(vocab.agg(F.max("id")).first()[0] or 0) + 1

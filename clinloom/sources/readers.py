@@ -131,7 +131,7 @@ def flatten_json(df: DataFrame, column: str, schema: T.StructType | str, sep: st
 
 def read_reports(spark: SparkSession, root: str) -> DataFrame:
     """Every file under ``root`` as one row (path relative to root, whole text)."""
-    df = (spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+    df = (spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
           .select(F.col("_metadata.file_path").alias("_fp"), F.col("value").alias("text")))
     root_path = urlparse(root).path.rstrip("/") if "://" in root else root.rstrip("/")
     pattern = "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/]*)?/*" + re.escape(root_path.lstrip("/")) + "/(.*)$"
