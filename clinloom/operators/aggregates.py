@@ -55,6 +55,21 @@ def codes_by_admission(codes: DataFrame, key: str = "hadm_id", seq: str = "seq_n
                          F.array_join(F.transform("_l", lambda x: x["c"]), ",").alias("codes")))
 
 
+def code_positions(codes: DataFrame, key: str = "hadm_id", seq: str = "seq_num", code: str = "icd9_code",
+                   position: str = "position") -> DataFrame:
+    """1-based position of each code within its admission (insertion order = seq, code).
+
+    The window is partitioned by admission: a group is one admission's codes.
+    """
+    w = Window.partitionBy(key).orderBy(F.col(seq), F.col(code))
+    return codes.where(F.col(code).isNotNull()).withColumn(position, F.row_number().over(w))
+
+
+def join_non_null(columns: Sequence[str], sep: str = ",") -> Column:
+    """``sep.join(x.dropna())`` across columns of one row."""
+    return F.array_join(F.array_compact(F.array(*[F.col(c).cast("string") for c in columns])), sep)
+
+
 def pivot_codes(code_lists: DataFrame, prefix: str, n: int | None = None, key: str = "hadm_id",
                 list_col: str = "code_list") -> DataFrame:
     """A3: wide ``{prefix}1..n`` columns from the ordered list; short rows padded with null.

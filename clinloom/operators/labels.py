@@ -30,14 +30,19 @@ def filter_top_labels(df: DataFrame, top: DataFrame, label: str = "label") -> Da
     return df.join(F.broadcast(top.select(label)), on=label, how="left_semi")
 
 
-def fit_labels(labels: DataFrame, label: str = "label", id_col: str = "label_id") -> DataFrame:
+def fit_labels(labels: DataFrame, label: str = "label", id_col: str = "label_id",
+               max_window_rows: int = 1_000_000) -> DataFrame:
     """id = position in the sorted list of distinct labels.
 
-    The input is a label table (k rows, or the distinct labels of a column), so one
-    ordered window over it is bounded by the label count.
+    A label set (k labels, a code system) is small: one ordered window numbers it.
+    Beyond ``max_window_rows`` distinct labels the exact distributed rank is used.
     """
+    from clinloom.operators.joins import is_small
+    from clinloom.operators.ranking import global_rank
     distinct = labels.select(label).where(F.col(label).isNotNull()).distinct()
-    return distinct.withColumn(id_col, (F.row_number().over(Window.orderBy(label)) - 1).cast("int"))
+    if is_small(distinct, max_window_rows):
+        return distinct.withColumn(id_col, (F.row_number().over(Window.orderBy(label)) - 1).cast("int"))
+    return global_rank(distinct, [label], rank_col=id_col).withColumn(id_col, F.col(id_col).cast("int"))
 
 
 def fixed_labels(spark, names: Sequence[str] = NLI_LABELS, label: str = "label", id_col: str = "label_id") -> DataFrame:

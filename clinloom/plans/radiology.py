@@ -47,11 +47,22 @@ def linked_orders(poe: DataFrame, records: DataFrame, metadata: DataFrame, studi
 
 def link_radiology(dx: DataFrame, dictionary: DataFrame, records: DataFrame, metadata: DataFrame,
                    studies: DataFrame, poe: DataFrame, reports: DataFrame, safe: bool = False) -> DataFrame:
-    """subject_id, hadm_id, study_id, text_path, seq_num, icd_code, icd_version, long_title, study_text."""
-    linked = linked_orders(poe, records, metadata, studies).select("subject_id", "hadm_id", "study_id", "text_path")
+    """subject_id, hadm_id, study_id, text_path, seq_num, icd_code, icd_version, long_title, study_text.
+
+    Same result as joining every order row to every study row of the patient-day and
+    then keeping one row per report path, but each side is first reduced (partial
+    aggregation) to the distinct values the result depends on -- (subject, day,
+    admission) and (subject, day, study, path) -- so repeated orders and the several
+    images of a study never multiply in the join.  The long report text is joined
+    after the per-path dedupe, onto one row per path.
+    """
+    orders = xray_orders(poe).select("subject_id", "day", "hadm_id").distinct()
+    studs = studies_with_day(records, metadata, studies).select("subject_id", "day", "study_id", "text_path").distinct()
+    linked = link_same_day(orders, studs).select("subject_id", "hadm_id", "study_id", "text_path")
     x = attach_primary_dx(linked, primary_dx(dx, dictionary, safe))
-    x = attach_report_text(x, reports)
-    return dedupe_studies(x, "text_path", order=("hadm_id", "study_id", "icd_code", "long_title"))
+    x = x.join(reports.select(F.col("path").alias("text_path")).distinct(), "text_path", "left_semi")
+    first = dedupe_studies(x, "text_path", order=("hadm_id", "study_id", "icd_code", "long_title"))
+    return attach_report_text(first, reports)
 
 
 def code_density(linked: DataFrame) -> DataFrame:

@@ -269,3 +269,32 @@ def g1_query(spark, sf):
 
 
 register("g1_icd_dataset", G1_SQL)(g1_query)
+
+
+@register("j2_attach_codes", _with(_CLEANED_SQL, _FILTERED_SQL, _DEDUP_SQL, _PER_ADM_SQL, _CODES_SQL)
+          + "SELECT n.hadm_id, n.text, dc.codes AS icd9_code FROM per_adm n JOIN dc ON n.hadm_id = dc.hadm_id")
+def j2(spark, sf):
+    per_adm = notes_per_admission(V(spark, sf, "v_notes"), "Discharge summary", cleaned=False)
+    codes = A.codes_by_admission(P.filter_seq(V(spark, sf, "v_diag"), 1)).select("hadm_id", F.col("codes").alias("icd9_code"))
+    return J.attach_codes(per_adm.select("hadm_id", "text"), codes)
+
+
+@register("w4_code_positions", """
+SELECT hadm_id, icd9_code, row_number() OVER (PARTITION BY hadm_id ORDER BY seq_num, icd9_code) AS position FROM v_proc""")
+def w4(spark, sf):
+    out = A.code_positions(V(spark, sf, "v_proc"))
+    return out.select("hadm_id", "icd9_code", F.col("position").cast("bigint").alias("position"))
+
+
+@register("f4_join_non_null", """
+WITH c AS (SELECT hadm_id, list(icd9_code ORDER BY seq_num, icd9_code) AS l FROM v_proc GROUP BY hadm_id)
+SELECT hadm_id, array_to_string(list_filter(list_slice(l, 1, 4), lambda x: x IS NOT NULL), ',') AS codes FROM c""")
+def f4(spark, sf):
+    wide = A.pivot_codes(A.codes_by_admission(V(spark, sf, "v_proc")), "PRCD_CODE", 4)
+    return wide.select("hadm_id", A.join_non_null([f"PRCD_CODE{i}" for i in range(1, 5)]).alias("codes"))
+
+
+@register("l1_order_by", "SELECT hadm_id, seq_num, icd9_code FROM v_diag WHERE seq_num <= 2 ORDER BY hadm_id, seq_num")
+def l1(spark, sf):
+    d = V(spark, sf, "v_diag").where(F.col("seq_num") <= 2)
+    return d.select("hadm_id", "seq_num", "icd9_code").orderBy("hadm_id", "seq_num")
