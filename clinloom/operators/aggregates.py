@@ -1,6 +1,6 @@
 """Aggregations.
 
-Per-key lists are built with ``collect_list(struct(order, value))`` + ``array_sort``:
+Per-key lists are built with ``collect_list(struct(order, value))`` + ``sort_array``:
 Spark has no input order, so the order key is explicit (``row_id`` for notes,
 ``(seq_num, code)`` for codes).  Count/sum style aggregates are partial (map-side
 combine), so a hot key collapses before the shuffle.
@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 
 def _ordered_join(items: Column, field: str, sep: str) -> Column:
-    return F.array_join(F.transform(F.array_sort(items), lambda x: x[field]), sep)
+    # sort_array + field extraction are code-generated (array_sort / transform are interpreted)
+    return F.array_join(F.sort_array(items).getField(field), sep)
 
 
 def concat_by_admission(notes: DataFrame, key: str = "hadm_id", order: str = "row_id",
@@ -46,13 +47,11 @@ def concat_by_admission(notes: DataFrame, key: str = "hadm_id", order: str = "ro
 def codes_by_admission(codes: DataFrame, key: str = "hadm_id", seq: str = "seq_num",
                        code: str = "icd9_code") -> DataFrame:
     """A2 + W4: ordered code list per admission: key, code_list (array), codes (comma string)."""
-    lst = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(code).alias("c"))))
+    lst = F.sort_array(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(code).alias("c"))))
     return (codes.where(F.col(code).isNotNull())
                  .groupBy(key)
-                 .agg(lst.alias("_l"))
-                 .select(key,
-                         F.transform("_l", lambda x: x["c"]).alias("code_list"),
-                         F.array_join(F.transform("_l", lambda x: x["c"]), ",").alias("codes")))
+                 .agg(lst.getField("c").alias("code_list"))
+                 .select(key, "code_list", F.array_join("code_list", ",").alias("codes")))
 
 
 def code_positions(codes: DataFrame, key: str = "hadm_id", seq: str = "seq_num", code: str = "icd9_code",

@@ -33,8 +33,8 @@ def mean_pool(df: DataFrame, by: str = "doc", vec: str = "embedding", is_pad: st
     den = F.col("_nt") if denominator == "tokens" else F.col("_na")
     per_dim = per_dim.select(by, "_dim", F.when(den > 0, F.col("_s") / den).alias("_m"), "_nt")
     return (per_dim.groupBy(by)
-                   .agg(F.array_sort(F.collect_list(F.struct("_dim", "_m"))).alias("_l"), F.max("_nt").alias("n_tokens"))
-                   .select(by, F.transform("_l", lambda x: x["_m"]).alias(out_col), "n_tokens"))
+                   .agg(F.sort_array(F.collect_list(F.struct("_dim", "_m"))).getField("_m").alias(out_col),
+                        F.max("_nt").alias("n_tokens")))
 
 
 def to_features(df: DataFrame, vec: str, out_col: str = "features") -> DataFrame:

@@ -83,17 +83,11 @@ def encode(df: DataFrame, key: Sequence[str] | str, token_cols: Sequence[str], v
         p = df.select(*keys, *extra, F.lit(side).alias("_side"), F.posexplode_outer(c).alias("_pos", "token"))
         parts = p if parts is None else parts.unionByName(p)
     looked = _lookup(parts, vocab, head_size)
-    item = F.struct(F.col("_side").alias("s"), F.col("_pos").alias("p"), F.col("id").alias("i"))
-    grouped = looked.groupBy(*keys, *extra).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-
-    def on_side(side: int):
-        return lambda x: (x["s"] == side) & x["p"].isNotNull()
-
-    outs = []
-    for side, c in enumerate(token_cols):
-        sel = F.filter("_items", on_side(side))
-        outs.append(F.transform(sel, lambda x: x["i"]).alias(c + suffix))
-    return grouped.select(*keys, *extra, *outs)
+    item = F.struct(F.col("_pos").alias("p"), F.col("id").alias("i"))
+    # one ordered list per token column; collect_list skips the nulls of empty arrays
+    lists = [F.sort_array(F.collect_list(F.when((F.col("_side") == side) & F.col("_pos").isNotNull(), item)))
+             .getField("i").alias(c + suffix) for side, c in enumerate(token_cols)]
+    return looked.groupBy(*keys, *extra).agg(*lists)
 
 
 def truncate(c: Column, max_len: int, reserve: int = 2) -> Column:
@@ -129,7 +123,8 @@ def pad(c: Column, length: int | Column, value: int = PAD_ID) -> Column:
 
 def length_mask(n: Column, length: int) -> Column:
     """Q8: 1 for positions below ``n``, 0 after, ``length`` positions."""
-    return F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda i: (i < n).cast("int"))
+    ones = F.least(F.greatest(n, F.lit(0)), F.lit(length))
+    return F.concat(F.array_repeat(F.lit(1), ones), F.array_repeat(F.lit(0), F.lit(length) - ones))
 
 
 def pair_features(df: DataFrame, a: str, b: str, max_len: int) -> DataFrame:
@@ -181,9 +176,9 @@ def pack_blocks(df: DataFrame, order: str, ids: str, block: int, add_special: bo
     pieces = pieces.select("block_id", F.col(order).alias("_o"),
                            F.slice(F.col(ids), (start + 1).cast("int"), (end - start).cast("int")).alias("_piece"))
     blocks = (pieces.groupBy("block_id")
-                    .agg(F.array_sort(F.collect_list(F.struct("_o", "_piece"))).alias("_p"))
+                    .agg(F.sort_array(F.collect_list(F.struct("_o", "_piece"))).getField("_piece").alias("_p"))
                     .select(F.col("block_id").cast("bigint").alias("block_id"),
-                            F.flatten(F.transform("_p", lambda x: x["_piece"])).alias("input_ids"))
+                            F.flatten("_p").alias("input_ids"))
                     .where(F.size("input_ids") == size))
     if add_special:
         blocks = blocks.withColumn("input_ids", F.concat(F.array(F.lit(CLS_ID)), "input_ids", F.array(F.lit(SEP_ID))))
@@ -203,20 +198,18 @@ def mask_tokens(df: DataFrame, ids: str, block_key: str, vocab_size: int, seed:
     original id at chosen positions and -100 elsewhere.  One md5 per position drives
     the three draws (hex digits 1-8, 9-16, 17-24).
     """
-    def draw(x, i):
-        h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(block_key).cast("string"), i.cast("string")))
-        return F.struct(x.alias("x"), _unit(h, 1).alias("u"), _unit(h, 9).alias("v"),
-                        F.conv(F.substring(h, 17, 8), 16, 10).cast("bigint").alias("r"))
-
     span = vocab_size - N_SPECIAL
-    drawn = F.transform(F.col(ids), draw)
-
-    def chosen(d):
-        return (d["u"] < p) & (d["x"] >= N_SPECIAL)
 
-    masked = F.transform(drawn, lambda d: F.when(~chosen(d), d["x"])
-                         .when(d["v"] < 0.8, F.lit(MASK_ID))
-                         .when(d["v"] < 0.9, (F.lit(N_SPECIAL) + F.pmod(d["r"], F.lit(span))).cast("int"))
-                         .otherwise(d["x"]))
-    labels = F.transform(drawn, lambda d: F.when(chosen(d), d["x"]).otherwise(F.lit(IGNORE_LABEL)))
-    return df.withColumn("masked_ids", masked).withColumn("labels", labels)
+    def draw(x, i):
+        h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(block_key).cast("string"), i.cast("string")))
+        u, v = _unit(h, 1), _unit(h, 9)
+        r = F.conv(F.substring(h, 17, 8), 16, 10).cast("bigint")
+        chosen = (u < p) & (x >= N_SPECIAL)
+        masked = (F.when(~chosen, x).when(v < 0.8, F.lit(MASK_ID))
+                   .when(v < 0.9, (F.lit(N_SPECIAL) + F.pmod(r, F.lit(span))).cast("int")).otherwise(x))
+        return F.struct(masked.alias("m"), F.when(chosen, x).otherwise(F.lit(IGNORE_LABEL)).alias("l"))
+
+    # one pass over the array (higher-order functions are interpreted, not code-generated);
+    # the two output arrays are field extractions of the struct array.
+    drawn = df.withColumn("_mask", F.transform(F.col(ids), draw))
+    return drawn.withColumn("masked_ids", F.col("_mask.m")).withColumn("labels", F.col("_mask.l")).drop("_mask")
