@@ -40,26 +40,37 @@ def hash_unit(h: Column) -> Column:
 
 
 def hash_rank(df: DataFrame, hash_col: str, tiebreak: Sequence[str] = (), rank_col: str = "rank",
-              total_col: str | None = "n_total", bucket_chars: int = 4, by: Sequence[str] = ()) -> DataFrame:
+              total_col: str | None = "n_total", bucket_chars: int = 4, by: Sequence[str] = (),
+              weight: str | None = None, offset_col: str = "offset") -> DataFrame:
     """0-based rank of each row ordered by (hash_col, *tiebreak), within groups ``by``.
 
-    Adds the group's row total as ``total_col``.  ``by`` must have few distinct values
-    (splits): the offset table has (#groups x 16**bucket_chars) rows at most.
+    Adds the group's row total as ``total_col`` and, with ``weight``, the exclusive
+    running sum of the weight in that order as ``offset_col``.  ``by`` must have few
+    distinct values (splits): the offset table has (#groups x 16**bucket_chars) rows.
+    The input is read twice (bucket totals, then ranks): pass a materialised table when
+    it is expensive to recompute.
     """
-    b = "_hb"
+    b = "__hb"
     by = list(by)
     with_b = df.withColumn(b, F.substring(F.col(hash_col), 1, bucket_chars))
-    counts = with_b.groupBy(*by, b).agg(F.count(F.lit(1)).alias("_n"))
+    w = F.col(weight) if weight else F.lit(0)
+    counts = with_b.groupBy(*by, b).agg(F.count(F.lit(1)).alias("__n"), F.sum(w).alias("__w"))
     before = Window.partitionBy(*by).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    offs = counts.select(*by, b, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
-                         F.sum("_n").over(Window.partitionBy(*by)).alias("_tot"))
+    offs = counts.select(*by, b, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"),
+                         F.coalesce(F.sum("__w").over(before), F.lit(0)).alias("__woff"),
+                         F.sum("__n").over(Window.partitionBy(*by)).alias("__tot"))
     inner = Window.partitionBy(*by, b).orderBy(F.col(hash_col), *[F.col(c) for c in tiebreak])
-    ranked = with_b.withColumn("_lr", F.row_number().over(inner) - 1)
+    ranked = with_b.withColumn("__lr", F.row_number().over(inner) - 1)
+    if weight:
+        ranked = ranked.withColumn("__lw", F.coalesce(
+            F.sum(w).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     # offs is bounded by construction (bucket count x group count).
-    out = ranked.join(F.broadcast(offs), [*by, b]).withColumn(rank_col, (F.col("_off") + F.col("_lr")).cast("bigint"))
+    out = ranked.join(F.broadcast(offs), [*by, b]).withColumn(rank_col, (F.col("__off") + F.col("__lr")).cast("bigint"))
+    if weight:
+        out = out.withColumn(offset_col, (F.col("__woff") + F.col("__lw")).cast("bigint"))
     if total_col:
-        out = out.withColumn(total_col, F.col("_tot").cast("bigint"))
-    return out.drop(b, "_off", "_lr", "_tot")
+        out = out.withColumn(total_col, F.col("__tot").cast("bigint"))
+    return out.drop(b, "__off", "__woff", "__lr", "__lw", "__tot")
 
 
 def global_rank(df: DataFrame, order_cols: Sequence[str], weight: str | None = None,
@@ -74,6 +85,15 @@ def global_rank(df: DataFrame, order_cols: Sequence[str], weight: str | None = N
     ensure_checkpoint_dir(spark)
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     parted = df.repartitionByRange(n_parts, *[F.col(c) for c in order_cols]).sortWithinPartitions(*order_cols)
+    if weight is None:
+        # Row numbers inside each sorted range partition, on the JVM: the id generator
+        # counts rows per partition in iteration order (upper bits = partition index).
+        pid = F.spark_partition_id()
+        numbered = (parted.withColumn("_pid", pid)
+                          .withColumn("_lr", F.monotonically_increasing_id() - F.shiftleft(pid.cast("bigint"), 33))
+                          .withColumn("_lw", F.lit(0).cast("bigint"))
+                          .checkpoint(eager=True))
+        return _apply_offsets(numbered, None, rank_col, offset_col)
     schema = T.StructType(df.schema.fields + [T.StructField("_pid", T.IntegerType(), False),
                                               T.StructField("_lr", T.LongType(), False),
                                               T.StructField("_lw", T.LongType(), False)])
@@ -100,6 +120,10 @@ def global_rank(df: DataFrame, order_cols: Sequence[str], weight: str | None = N
             yield pdf
 
     numbered = parted.mapInPandas(number, schema).checkpoint(eager=True)
+    return _apply_offsets(numbered, wname, rank_col, offset_col)
+
+
+def _apply_offsets(numbered: DataFrame, wname: str | None, rank_col: str, offset_col: str | None) -> DataFrame:
     totals = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"),
                                           F.sum(F.col(wname) if wname else F.lit(0)).alias("_w"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,6 +131,6 @@ def global_rank(df: DataFrame, order_cols: Sequence[str], weight: str | None = N
                          F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_wb"))
     # one row per range partition: bounded by n_parts.
     out = numbered.join(F.broadcast(offs), "_pid").withColumn(rank_col, (F.col("_rb") + F.col("_lr")).cast("bigint"))
-    if weight is not None:
+    if wname is not None:
         out = out.withColumn(offset_col or "offset", (F.col("_wb") + F.col("_lw")).cast("bigint"))
     return out.drop("_pid", "_lr", "_lw", "_rb", "_wb")

@@ -20,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinloom.operators.ranking import global_rank
+from clinloom.operators.ranking import global_rank, hash_rank
 
 # Fixed ids of the special tokens of the corpus vocabulary (this library's choice).
 PAD_ID, UNK_ID, CLS_ID, SEP_ID, MASK_ID = 0, 1, 2, 3, 4
@@ -156,18 +156,25 @@ def line_blocks(df: DataFrame, ids: str, block: int) -> DataFrame:
         "attention_mask", length_mask(F.size(wrapped), block))
 
 
-def pack_blocks(df: DataFrame, order: str, ids: str, block: int, add_special: bool = True) -> DataFrame:
+def pack_blocks(df: DataFrame, order: str, ids: str, block: int, add_special: bool = True,
+                order_is_hash: bool = False) -> DataFrame:
     """Q9: concatenate every document's ids in ``order``, cut blocks, drop the short tail.
 
     With ``add_special`` each block holds ``block - 2`` content ids wrapped in
     [CLS] ... [SEP] (the text-dataset rule).  ``order`` must be unique.
+    ``order_is_hash``: the order column is a uniform hex hash (e.g. md5 of the text);
+    offsets then come from hash buckets (no sampling, no Python) over the encoded
+    corpus written once to the checkpoint folder.
     Output: block_id, input_ids.
     """
     size = block - 2 if add_special else block
-    # The ids travel with the rank pass (materialised once by its checkpoint), so the
-    # encoded corpus is neither recomputed nor joined back.
     docs = df.select(order, ids, F.size(ids).alias("_n")).where(F.col("_n") > 0)
-    docs = global_rank(docs, [order], weight="_n", rank_col="_doc", offset_col="_off")
+    if order_is_hash:
+        docs = hash_rank(docs.checkpoint(eager=True), order, rank_col="_doc", total_col=None,
+                         weight="_n", offset_col="_off")
+    else:
+        # the ids travel with the rank pass (materialised once by its checkpoint)
+        docs = global_rank(docs, [order], weight="_n", rank_col="_doc", offset_col="_off")
     first_b = F.floor(F.col("_off") / size)
     last_b = F.floor((F.col("_off") + F.col("_n") - 1) / size)
     pieces = docs.select(order, ids, "_off", "_n", F.explode(F.sequence(first_b, last_b)).alias("block_id"))

@@ -28,7 +28,7 @@ def pair_dataset(pairs: DataFrame, max_len: int = 128, on_unknown: str = "keep",
     if vocab is None:
         train = tok.where(F.col("split") == "train")
         both = train.select(F.concat("a", "b").alias("tokens"))
-        vocab = build_vocab(both, "tokens").checkpoint(eager=True)
+        vocab = build_vocab(both, "tokens")   # materialised by its rank pass
     ids = encode(tok, "pair_id", ["a", "b"], vocab, carry=["split", "gold_label"])
     feats = pair_features(ids, "a_ids", "b_ids", max_len)
     labels = fixed_labels(pairs.sparkSession, NLI_LABELS, "gold_label", "label_id")

@@ -66,9 +66,9 @@ def pretraining_blocks(corpus: DataFrame, block: int = 128, min_count: int = 1,
     docs = corpus.select("text", tokenize(F.col("text")).alias("tokens"),
                          F.md5(F.col("text")).alias("doc_key"))
     if vocab is None:
-        vocab = build_vocab(docs, "tokens", min_count=min_count).checkpoint(eager=True)
+        vocab = build_vocab(docs, "tokens", min_count=min_count)   # materialised by its rank pass
     ids = encode(docs, "doc_key", ["tokens"], vocab)
-    blocks = pack_blocks(ids, "doc_key", "tokens_ids", block)
+    blocks = pack_blocks(ids, "doc_key", "tokens_ids", block, order_is_hash=True)
     if mask:
         vocab_size = int(vocab.agg(F.max("id")).first()[0] or 0) + 1
         blocks = mask_tokens(blocks, "input_ids", "block_id", vocab_size, seed)
