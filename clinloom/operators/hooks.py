@@ -36,3 +36,28 @@ def apply_tokenizer(df: DataFrame, text: str, factory: Callable[[], Callable[[st
 def whitespace_tokenizer() -> Callable[[str], list]:
     """A trivial factory (``str.split``) used by tests and as an example."""
     return str.split
+
+
+def apply_batches(df: DataFrame, factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
+                  schema: T.StructType | str) -> DataFrame:
+    """a batched map -- ``fn(batch) -> batch`` on Arrow batches (``dataset.map(fn, batched=True)``).
+
+    ``factory`` builds ``fn`` once per Python worker (load a model or tokenizer there).
+    """
+    key = ("batch", id(factory))
+
+    def run(batches):
+        fn = _CACHE.get(key)
+        if fn is None:
+            fn = _CACHE[key] = factory()
+        for pdf in batches:
+            yield fn(pdf)
+
+    return df.mapInPandas(run, schema)
+
+
+def char_count_batch() -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Example batched function: characters per text, vectorised over the batch."""
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"doc_id": pdf["doc_id"], "n_chars": pdf["text"].str.len().astype("int64")})
+    return fn

@@ -159,3 +159,17 @@ def k7(spark, sf):
     path = scratch(spark, "confusion")
     K.write_confusion(M.confusion(V(spark, sf, "v_scored"), by=["batch_id"]), path)
     return K.read_back(spark, path)
+
+
+@register("s6_read_reports", "SELECT path, text FROM v_reports")
+def s6(spark, sf):
+    """Each report is written as its own file (one partition folder per path, Spark's
+    text writer), then read back whole; the folder name gives the original path."""
+    root = scratch(spark, "reports")
+    V(spark, sf, "v_reports").write.mode("overwrite").partitionBy("path").text(root)
+    files = S.read_reports(spark, root)
+    folder = F.regexp_extract("path", "^path=([^/]*)/", 1)
+    # the file path is a URI (% -> %25) of a partition folder name (/ -> %2F)
+    original = F.regexp_replace(F.regexp_replace(folder, "%25", "%"), "%2F", "/")
+    # the text writer ends every file with one line separator
+    return files.select(original.alias("path"), F.expr("substring(text, 1, length(text) - 1)").alias("text"))

@@ -148,3 +148,13 @@ def j12(spark, sf):
 @register("a8_row_counts", "SELECT category, count(*) AS n FROM v_notes GROUP BY category")
 def a8(spark, sf):
     return A.row_counts(V(spark, sf, "v_notes"), ["category"])
+
+
+@register("f1_row_expressions", f"""
+SELECT dicom, strftime({_TS_SQL}, {_ISO}) AS study_date_time, strftime(CAST({_TS_SQL} AS DATE), '%Y-%m-%d') AS date_object
+FROM v_metadata""")
+def f1(spark, sf):
+    """the per-row ``apply`` helpers (timestamp from DICOM strings, its day) as expressions."""
+    m = V(spark, sf, "v_metadata")
+    ts = study_timestamp(F.col("study_date"), F.col("study_time"))
+    return m.select("dicom", iso(ts).alias("study_date_time"), F.date_format(to_day(ts), "yyyy-MM-dd").alias("date_object"))

@@ -648,3 +648,26 @@ def f3(spark, sf):
     d = tbl(spark, sf, "documents").select("doc_id", "text")
     out = apply_tokenizer(d, "text", whitespace_tokenizer)
     return out.select("doc_id", F.size("tokens").alias("n_words"))
+
+
+@register("u6_shuffle", f"""
+SELECT pair_id, row_number() OVER (ORDER BY {_u_sql('pair_id', '42|1')}, pair_id) - 1 AS position FROM v_pairs""")
+def u6(spark, sf):
+    """The order of epoch 1 (a different permutation from epoch 0)."""
+    out = U.assign_batches(V(spark, sf, "v_pairs").select("pair_id"), 16, "pair_id", seed=42, epoch=1)
+    return out.select("pair_id", "position")
+
+
+@register("f2_concat_aggregate", """
+SELECT hadm_id, string_agg(text, ' ' ORDER BY row_id) AS text FROM v_notes WHERE hadm_id IS NOT NULL GROUP BY hadm_id""")
+def f2(spark, sf):
+    """the custom ' '.join aggregate, as an ordered collect + array_join expression."""
+    n = V(spark, sf, "v_notes").where(F.col("hadm_id").isNotNull())
+    return A.concat_by_admission(n.withColumn("category", F.lit("")), "hadm_id", "row_id", "text").select("hadm_id", "text")
+
+
+@register("f5_batched_map", "SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars FROM documents")
+def f5(spark, sf):
+    from clinloom.operators.hooks import apply_batches, char_count_batch
+    d = tbl(spark, sf, "documents").select("doc_id", "text")
+    return apply_batches(d, char_count_batch, "doc_id long, n_chars long")
