@@ -87,6 +87,25 @@ SELECT label AS doc, CAST(row_number() OVER (PARTITION BY label ORDER BY vec_id)
 FROM embeddings""",
 }
 
+# Spark-side formulations of the views that pair each row with a constant list: the
+# same rows, produced by ``explode`` instead of a join with a constant table.  The
+# oracle keeps the published text above.
+SPARK_VIEWS: dict[str, str] = {
+    "v_records": """
+SELECT user_id AS subject_id, event_id AS study_id, concat('d', CAST(event_id AS STRING), '-', k) AS dicom_id,
+       concat('img/', CAST(event_id AS STRING), '-', k, '.dcm') AS path
+FROM events LATERAL VIEW explode(array('a', 'b')) x AS k WHERE event_type = 'view'""",
+    "v_metadata": """
+SELECT concat('d', CAST(event_id AS STRING), '-', k) AS dicom,
+       replace(substr(CAST(ts AS STRING), 1, 10), '-', '') AS study_date,
+       concat(replace(substr(CAST(ts AS STRING), 12, 8), ':', ''), CASE WHEN k = 'b' THEN '.25' ELSE '' END) AS study_time
+FROM events LATERAL VIEW explode(array('a', 'b')) x AS k WHERE event_type = 'view'""",
+    "v_d_icd": """
+SELECT concat('C', CAST(p_partkey % 30 AS STRING)) AS icd_code, v AS icd_version,
+       concat(p_name, ' v', CAST(v AS STRING)) AS long_title
+FROM part LATERAL VIEW explode(array(9, 10)) x AS v WHERE p_partkey < 30 AND (v = 10 OR p_partkey % 2 = 0)""",
+}
+
 _VIEW_REF = re.compile(r"\bv_[a-z_]+\b")
 
 
@@ -155,7 +174,7 @@ def _ensure(spark: SparkSession, sf_dir: str, name: str, st: dict) -> None:
     if name in st["names"] and spark.catalog.tableExists(name):
         return
     if name in VIEWS:
-        sql = VIEWS[name]
+        sql = SPARK_VIEWS.get(name, VIEWS[name])
         for dep in sorted(set(_TABLE_REF.findall(sql))):
             _ensure(spark, sf_dir, dep, st)
         for dep in _dependencies(sql):
