@@ -16,13 +16,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from clinloom.functions.text import NOTE_CATEGORIES, clean_text
-from clinloom.operators.aggregates import codes_by_admission, concat_by_admission
+from clinloom.operators.aggregates import codes_by_admission, concat_by_admission, hot_keys
 from clinloom.operators.dedupe import dedupe_text
 from clinloom.operators.filters import drop_missing, filter_category, filter_seq
 from clinloom.operators.joins import labelled_admissions
 from clinloom.operators.sampling import split_exact, subsample_splits
 
 
+# An admission with more rows than this is treated as a hot key (assembled in two
+# levels).  Real admissions hold at most a few hundred notes.
+HOT_ADMISSION_ROWS = 100_000
+
+
 @dataclass(frozen=True)
 class IcdParams:
     """Run parameters, validated up front (reference: a YAML dict + asserts)."""
@@ -47,33 +52,47 @@ def clean_notes(notes: DataFrame, profile: str = "icd", text: str = "text") -> D
     return notes.withColumn(text, clean_text(F.col(text), profile))
 
 
-def notes_per_admission(notes: DataFrame, category: str, cleaned: bool = True) -> DataFrame:
+def notes_per_admission(notes: DataFrame, category: str, cleaned: bool = True,
+                        hot_threshold: int | None = HOT_ADMISSION_ROWS) -> DataFrame:
     """P3 -> P4 -> (T8) -> W1 -> A1 over notes (row_id, hadm_id, category, text).
 
     The not-null and category predicates run on the raw columns, before cleaning:
     cleaning keeps null-ness, and a predicate on the cleaned text would be pushed
     below the projection and evaluate the whole regex chain twice.
+    Admissions with more than ``hot_threshold`` notes (counted on the admission and
+    category columns only -- an upper bound of the deduplicated count) are assembled in
+    two levels; ``None`` turns the check off.
     """
     n = notes.select("row_id", "hadm_id", "category", "text")
+    hot = None
+    if hot_threshold is not None:
+        keys = filter_category(notes.select("hadm_id", "category").where(F.col("hadm_id").isNotNull()), category)
+        hot = hot_keys(keys, "hadm_id", hot_threshold)
     n = drop_missing(n, ["hadm_id", "text"])
     n = filter_category(n, category)
     if not cleaned:
         n = clean_notes(n, "icd")
     if category == "all":
         n = dedupe_text(n.withColumn("category", F.trim("category")), "text", "row_id")
-        return concat_by_admission(n, "hadm_id", "row_id", "text", "category").drop("n_notes")
+        return concat_by_admission(n, "hadm_id", "row_id", "text", "category", hot=hot).drop("n_notes")
     # one category: keep it out of the shuffles (fixed-width aggregation buffers)
     n = dedupe_text(n.drop("category"), "text", "row_id")
     return concat_by_admission(n, "hadm_id", "row_id", "text", "category",
-                               category_value=category).drop("n_notes")
+                               category_value=category, hot=hot).drop("n_notes")
 
 
 def icd_labelled(notes: DataFrame, diag: DataFrame, proc: DataFrame, params: IcdParams = IcdParams(),
                  cleaned: bool = False) -> DataFrame:
     """Labelled admissions before splitting: hadm_id, text, category, icd9_code."""
     per_adm = notes_per_admission(notes, params.note_category, cleaned=cleaned)
-    d = codes_by_admission(filter_seq(diag, params.one_or_all_icds))
-    p = codes_by_admission(filter_seq(proc, params.one_or_all_icds))
+    d = filter_seq(diag, params.one_or_all_icds)
+    p = filter_seq(proc, params.one_or_all_icds)
+    if params.one_or_all_icds == "all":
+        # every code of an admission: very large code lists are assembled in two levels
+        d = codes_by_admission(d, hot=hot_keys(d.select("hadm_id"), "hadm_id", HOT_ADMISSION_ROWS))
+        p = codes_by_admission(p, hot=hot_keys(p.select("hadm_id"), "hadm_id", HOT_ADMISSION_ROWS))
+    else:
+        d, p = codes_by_admission(d), codes_by_admission(p)
     return labelled_admissions(per_adm, d, p, params.diag_or_proc, require_both=params.require_both)
 
 

@@ -65,3 +65,24 @@ def test_icd_dataset_split_sizes_on_fixture(spark):
     pool = round(n * 0.8)
     assert counts["test"] == n - pool and counts["validate"] == round(pool * 0.25)
     assert out.select("hadm_id").distinct().count() == n
+
+
+def test_hot_admission_two_level_concat_equals_single_level(spark):
+    rows = [(i, 1 if i % 3 else 2, f"t{i}") for i in range(1, 3001)]
+    df = spark.createDataFrame(rows, "row_id long, hadm_id long, text string")
+    hot = A.hot_keys(df, "hadm_id", 1500)
+    assert [r["hadm_id"] for r in hot.collect()] == [1]
+    one = {r["hadm_id"]: tuple(r) for r in A.concat_by_admission(df, category_value="c").collect()}
+    two = {r["hadm_id"]: tuple(r) for r in A.concat_by_admission(df, category_value="c", hot=hot).collect()}
+    assert one == two and one[1][3] == 2000
+    pieces = A.ordered_concat(df, "hadm_id", "row_id", {"text": F.col("text")}, " ", hot, piece_width=100)
+    assert {r["hadm_id"]: r["text"] for r in pieces.collect()} == {k: v[1] for k, v in one.items()}
+
+
+def test_hot_codes_two_level(spark):
+    rows = [(1, i, f"{i:05d}") for i in range(1, 301)] + [(2, 1, "00009")]
+    codes = spark.createDataFrame(rows, "hadm_id long, seq_num int, icd9_code string")
+    hot = A.hot_keys(codes, "hadm_id", 100)
+    a = {r["hadm_id"]: (r["codes"], list(r["code_list"])) for r in A.codes_by_admission(codes).collect()}
+    b = {r["hadm_id"]: (r["codes"], list(r["code_list"])) for r in A.codes_by_admission(codes, hot=hot).collect()}
+    assert a == b
