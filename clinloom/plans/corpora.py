@@ -63,8 +63,9 @@ def annotation_dataset(notes: DataFrame, annotations: DataFrame, label_cols: Seq
 def pretraining_blocks(corpus: DataFrame, block: int = 128, min_count: int = 1, seed: int = 42,
                        vocab: DataFrame | None = None, mask: bool = True):
     """(blocks, vocab).  ``corpus``: (text) with unique texts; order = md5 of the text."""
-    docs = corpus.select("text", tokenize(F.col("text")).alias("tokens"),
-                         F.md5(F.col("text")).alias("doc_key"))
+    # tokenised once (regex work is the CPU-heavy part) and reused by vocabulary and encoding
+    docs = corpus.select(F.md5(F.col("text")).alias("doc_key"),
+                         tokenize(F.col("text")).alias("tokens")).checkpoint(eager=True)
     if vocab is None:
         vocab = build_vocab(docs, "tokens", min_count=min_count)   # materialised by its rank pass
     ids = encode(docs, "doc_key", ["tokens"], vocab)
