@@ -15,6 +15,7 @@ Regex dialect notes (Java vs Python ``re``):
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -123,13 +124,23 @@ def strip_deid(c: Column) -> Column:
     return F.regexp_replace(c, _lit(DEID_PATTERN), _lit(""))
 
 
+def word_pattern(phrase: str) -> str:
+    """The phrase (trimmed) as a whole-word Java regex: not glued to a letter or digit."""
+    core = phrase.strip()
+    body = re.escape(core) if is_literal(phrase) else core
+    return r"(?d)(?<!\w)" + body + r"(?!\w)"
+
+
 def strip_phrases(c: Column, phrases: Sequence[str] = ADMIN_PHRASES_ICD,
                   word_boundary: bool = False) -> Column:
-    """Delete each phrase in list order (case-sensitive substring by default)."""
+    """Delete each phrase in list order (case-sensitive substring by default).
+
+    ``word_boundary=True`` (extension, off by default) deletes a phrase only as a whole
+    word, so ``" X"`` no longer turns ``XRAY`` into ``RAY``.
+    """
     for p in phrases:
-        if word_boundary:
-            pat = p if not is_literal(p) else "".join("\\" + ch if ch in _REGEX_META else ch for ch in p)
-            c = F.regexp_replace(c, _lit(r"(?d)(?<!\w)" + pat.strip() + r"(?!\w)" if pat.strip() else pat), _lit(""))
+        if word_boundary and p.strip():
+            c = F.regexp_replace(c, _lit(word_pattern(p)), _lit(""))
         else:
             c = replace_pattern(c, p, "")
     return c

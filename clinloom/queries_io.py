@@ -35,7 +35,6 @@ def s1(spark, sf):
                       F.lit(None).cast("string").alias("CGID"), F.lit(None).cast("string").alias("ISERROR"),
                       F.col("text").alias("TEXT"))
     path = scratch(spark, "notes")
-    K.write_splits  # noqa: B018  (same writer options as K1's CSV mode)
     (layout.write.mode("overwrite").option("header", True).option("escape", '"')
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return S.read_notes(spark, path, ["row_id", "subject_id", "hadm_id", "category", "text"])

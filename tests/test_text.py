@@ -81,3 +81,9 @@ def test_pair_text_and_prefix(spark):
 def test_corpus_line(spark, line, keep):
     df = spark.createDataFrame([(line,)], "t string")
     assert df.where(T.is_corpus_line(F.col("t"))).count() == int(keep)
+
+
+def test_word_boundary_extension(spark):
+    got = clean(spark, ["XRAY X ray amount am"], lambda c: T.strip_phrases(c, [" X", " am"], word_boundary=True))
+    assert got == ["XRAY  ray amount "]
+    assert clean(spark, ["XRAY X ray"], lambda c: T.strip_phrases(c, [" X"])) == ["XRAY ray"]
