@@ -149,7 +149,7 @@ def oracle(sql: str) -> str:
 
 # Tables whose rows carry long text: per-row work on them is CPU-heavy, so a scan that
 # arrives as a single split is spread over the cores first (no-op for split input).
-TEXT_TABLES = {"documents", "pages", "conversations", "benchmark"}
+TEXT_TABLES = {"documents", "pages"}
 
 _TABLE_REF = re.compile(r"\b(" + "|".join(TABLES) + r")\b")
 # per session: the folder currently registered and the names registered from it
