@@ -4,8 +4,9 @@ No pretrained vocabulary ships with the data, so the vocabulary is built from th
 corpus (A15); an external tokenizer can be plugged in through ``hooks.apply_tokenizer``.
 
 Scale notes
-  * encoding joins exploded tokens to the vocabulary: the most frequent ``head_size``
-    entries (bounded) are broadcast, the long tail is shuffle-joined.  Frequent tokens
+  * encoding joins exploded tokens to the vocabulary: a vocabulary within
+    ``head_size`` entries is broadcast whole; a larger one has its ``head_size`` most
+    frequent entries broadcast and only the rare tail shuffle-joined.  Frequent tokens
     are the hot keys, so skew never reaches the shuffle.
   * block packing never explodes per token: each document explodes once per block it
     overlaps, and a block gathers at most ``block`` document pieces.
@@ -57,8 +58,19 @@ def build_vocab(df: DataFrame, tokens: str = "tokens", min_count: int = 1, max_s
 
 
 def _lookup(exploded: DataFrame, vocab: DataFrame, head_size: int) -> DataFrame:
-    """token -> id for exploded rows: broadcast head, shuffle-joined tail, unknown -> UNK."""
+    """token -> id for exploded rows, unknown -> UNK.
+
+    A vocabulary within ``head_size`` entries (size probe) is broadcast whole: one
+    pass, no shuffle of token rows.  A larger one is split: the ``head_size`` most
+    frequent entries are broadcast (the hot tokens never reach a shuffle) and only the
+    rows that miss them are shuffle-joined with the rare tail.
+    """
+    from clinloom.operators.joins import is_small
     v = vocab.select("token", "id")
+    if is_small(v, head_size):
+        hit = exploded.join(F.broadcast(v), "token", "left")
+        return hit.withColumn("id", F.when(F.col("token").isNull(), F.lit(None))
+                              .otherwise(F.coalesce("id", F.lit(UNK_ID))))
     head = v.where(F.col("id") < N_SPECIAL + head_size)
     tail = v.where(F.col("id") >= N_SPECIAL + head_size)
     first = exploded.join(F.broadcast(head), "token", "left")
@@ -69,7 +81,7 @@ def _lookup(exploded: DataFrame, vocab: DataFrame, head_size: int) -> DataFrame:
 
 
 def encode(df: DataFrame, key: Sequence[str] | str, token_cols: Sequence[str], vocab: DataFrame,
-           head_size: int = 100_000, suffix: str = "_ids", carry: Sequence[str] = ()) -> DataFrame:
+           head_size: int = 1_000_000, suffix: str = "_ids", carry: Sequence[str] = ()) -> DataFrame:
     """Q2: token arrays -> id arrays for one or more token columns in one pass.
 
     ``key`` must be unique per row.  ``carry`` names small columns (labels, split)
