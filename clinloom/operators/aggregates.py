@@ -160,15 +160,20 @@ def word_count(c: Column) -> Column:
     return F.when(t == "", F.lit(0)).otherwise(F.size(F.split(t, " ")))
 
 
-def length_profile(df: DataFrame, text: str = "text", token_count: Column | None = None) -> DataFrame:
-    """Mean / sample std / max of words, characters (and tokens) per document."""
-    w = word_count(F.col(text))
-    ch = F.length(text)
-    aggs = [F.avg(w).alias("words_mean"), F.stddev_samp(w).alias("words_std"), F.max(w).alias("words_max"),
-            F.avg(ch).alias("chars_mean"), F.stddev_samp(ch).alias("chars_std"), F.max(ch).alias("chars_max")]
+def length_profile(df: DataFrame, text: str = "text", token_count: Column | None = None,
+                   quantiles: Sequence[float] = ()) -> DataFrame:
+    """Mean / sample std / max of words, characters (and tokens) per document.
+
+    ``quantiles`` adds approximate percentiles (``percentile_approx``, a mergeable
+    sketch) as ``<measure>_p<q*100>`` columns.
+    """
+    measures = {"words": word_count(F.col(text)), "chars": F.length(text)}
     if token_count is not None:
-        aggs += [F.avg(token_count).alias("tokens_mean"), F.stddev_samp(token_count).alias("tokens_std"),
-                 F.max(token_count).alias("tokens_max")]
+        measures["tokens"] = token_count
+    aggs = []
+    for name, m in measures.items():
+        aggs += [F.avg(m).alias(f"{name}_mean"), F.stddev_samp(m).alias(f"{name}_std"), F.max(m).alias(f"{name}_max")]
+        aggs += [F.percentile_approx(m, q).alias(f"{name}_p{round(q * 100)}") for q in quantiles]
     return df.agg(*aggs)
 
 

@@ -104,3 +104,22 @@ def test_train_head_and_predict(spark):
     model = EM.train_head(df, "v", "label", grid={"regParam": [0.0, 0.1]})
     pred = EM.predict(df, model, "v")
     assert pred.where("predicted = label").count() == 40
+
+
+def test_weighted_metrics_match_mllib(spark):
+    from pyspark.mllib.evaluation import MulticlassMetrics
+    rows = [(0, a, p) for a, p in [(0, 0), (0, 1), (1, 1), (2, 2), (1, 2), (2, 0), (2, 2), (3, 1)]]
+    df = spark.createDataFrame(rows, "batch_id int, actual int, predicted int")
+    ours = M.weighted_metrics(df).first()
+    ref = MulticlassMetrics(df.rdd.map(lambda r: (float(r["predicted"]), float(r["actual"]))))
+    assert ours["precision"] == pytest.approx(ref.weightedPrecision)
+    assert ours["recall"] == pytest.approx(ref.weightedRecall)
+    assert ours["f1"] == pytest.approx(ref.weightedFMeasure())
+    assert ours["accuracy"] == pytest.approx(ref.accuracy)
+
+
+def test_length_profile_quantiles(spark):
+    from clinloom.operators.aggregates import length_profile
+    df = spark.createDataFrame([("a b c",), ("a",), ("a b",)], "text string")
+    r = length_profile(df, quantiles=[0.5]).first()
+    assert r["words_max"] == 3 and r["words_p50"] == 2 and r["chars_mean"] == pytest.approx(3.0)
