@@ -65,3 +65,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     configured = checkpoint_dir(spark) or tempfile.mkdtemp(prefix="clinloom-ckpt-")
     spark.sparkContext.setCheckpointDir(configured)
     return _active_dir(spark) or configured
+
+
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings sized for a job reading ``input_bytes`` on ``total_cores`` cores.
+
+    * scan splits of ``target_partition_bytes`` (``spark.sql.files.maxPartitionBytes``);
+    * the initial shuffle partition count sized so that each reducer receives about one
+      target partition of the input, never fewer than 3 tasks per core; adaptive
+      execution then coalesces small partitions and splits skewed ones;
+    * advisory and skew thresholds at the same size, so a reducer's input fits
+      comfortably in an executor's execution memory and spills stay rare.
+    """
+    parts = max(3 * total_cores, -(-input_bytes // target_partition_bytes))
+    size = f"{target_partition_bytes // (1 << 20)}m"
+    return {
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": size,
+        "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": size,
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "64m",
+    }

@@ -71,3 +71,10 @@ def test_batches_and_shards(spark):
     assert [r["n"] for r in b] == sorted(r["n"] for r in b)
     s = U.shard(U.bucket_by_length(lengths, 8, "n", "k"), 4)
     assert sorted(r["count"] for r in s.groupBy("worker").count().collect()) == [10, 10, 10, 10]
+
+
+def test_scale_conf_sizes():
+    from clinloom.session import scale_conf
+    conf = scale_conf(100 * (1 << 40), 8000)
+    assert int(conf["spark.sql.shuffle.partitions"]) == 409600
+    assert scale_conf(1 << 20, 8)["spark.sql.shuffle.partitions"] == "24"
