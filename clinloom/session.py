@@ -62,7 +62,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     active = _active_dir(spark)
     if active is not None:
         return active
-    configured = checkpoint_dir(spark) or tempfile.mkdtemp(prefix="clinloom-ckpt-")
+    configured = checkpoint_dir(spark)
+    if configured is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster "
+                               "(checkpoints and round-trip writes go there)")
+        configured = tempfile.mkdtemp(prefix="clinloom-ckpt-")   # local runs and tests only
     spark.sparkContext.setCheckpointDir(configured)
     return _active_dir(spark) or configured
 
