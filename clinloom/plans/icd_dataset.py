@@ -1,11 +1,13 @@
 """G1: notes + diagnosis/procedure codes -> labelled train/validate/test admissions.
 
-Plan shape (one job, no driver round trips):
-  notes --clean(T8)--> not-null(P3) --> category(P4) --> keep-first text(W1, partial agg)
-        --> per-admission concat(A1, exchange on hadm_id)
+Plan shape:
+  notes --not-null(P3), category(P4) on the raw columns--> clean(T8, one Project)
+        --> keep-first text(W1, partial aggregate, exchange on text)
+        --> per-admission concat(A1, exchange on hadm_id; hot admissions in two levels)
   diag/proc --seq filter(P5)--> per-admission code list(A2, exchange on hadm_id)
   --> 3-way inner join on hadm_id (J3: reuses the three hash partitionings)
-  --> exact 60/20/20 split by seeded hash rank (U1)
+  --> written once to the checkpoint folder
+  --> exact 60/20/20 split by seeded hash rank (U1: bucket counts + per-bucket ranks)
 """
 
 from __future__ import annotations
