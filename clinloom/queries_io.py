@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from clinloom.operators import metrics as M
 from clinloom.plans import classification as C
 from clinloom.queries_core import G1_SQL, g1_query
-from clinloom.queries_ml import G2_CTES, g2_corpus
+from clinloom.queries_ml import G2_CTES, G7_SQL, g2_corpus
 from clinloom.catalog import CLEAN_ICD_SQL, V, register, tbl
 from clinloom.session import ensure_checkpoint_dir
 from clinloom.sources import readers as S
@@ -144,7 +144,9 @@ def k5w(spark, sf):
     return spark.read.schema("text string").option("escape", '"').csv(path)
 
 
-@register("k6_write_metrics")
+# K6 reads back exactly what G7 computes (doubles are written in their shortest
+# round-trip form), so G7's oracle applies.
+@register("k6_write_metrics", G7_SQL)
 def k6(spark, sf):
     path = scratch(spark, "metrics")
     K.write_metrics(C.evaluate(V(spark, sf, "v_scored")), path)
@@ -172,3 +174,4 @@ def s6(spark, sf):
     original = F.regexp_replace(F.regexp_replace(folder, "%25", "%"), "%2F", "/")
     # the text writer ends every file with one line separator
     return files.select(original.alias("path"), F.expr("substring(text, 1, length(text) - 1)").alias("text"))
+

@@ -389,7 +389,7 @@ def a14(spark, sf):
     return M.mean_loss(s).select(r6(F.col("mean_loss")).alias("mean_loss"), r6(F.col("bpc")).alias("bpc"))
 
 
-@register("g7_evaluate", f"""WITH {_LOGIT_SQL}, {_cls_sql(False)},
+G7_SQL = f"""WITH {_LOGIT_SQL}, {_cls_sql(False)},
 bm AS (SELECT * FROM (WITH {_cls_sql(True)} SELECT avg(precision) AS p, avg(recall) AS r, avg(f1) AS f, avg(accuracy) AS a FROM m))
 SELECT metric, round(value, 6) AS value FROM (
   SELECT 'test_precision' AS metric, precision AS value FROM m UNION ALL
@@ -397,7 +397,10 @@ SELECT metric, round(value, 6) AS value FROM (
   SELECT 'test_accuracy', accuracy FROM m UNION ALL
   SELECT 'test_batch_precision', p FROM bm UNION ALL SELECT 'test_batch_recall', r FROM bm UNION ALL
   SELECT 'test_batch_f1', f FROM bm UNION ALL SELECT 'test_batch_accuracy', a FROM bm UNION ALL
-  SELECT 'test_mean_loss', avg(loss) FROM lo UNION ALL SELECT 'test_bpc', avg(loss) / ln(2) FROM lo)""")
+  SELECT 'test_mean_loss', avg(loss) FROM lo UNION ALL SELECT 'test_bpc', avg(loss) / ln(2) FROM lo)"""
+
+
+@register("g7_evaluate", G7_SQL)
 def g7(spark, sf):
     out = C.evaluate(V(spark, sf, "v_scored"))
     return out.select("metric", r6(F.col("value")).alias("value"))
