@@ -540,7 +540,7 @@ def q10(spark, sf):
     from clinloom.operators.filters import corpus_lines
     d = tbl(spark, sf, "documents")
     lines = d.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn(
-        "line_no", F.col("line_no") + 1)
+        "line_no", (F.col("line_no") + 1).cast("bigint"))
     lines = corpus_lines(lines, "line").select("doc_id", "line_no", Q.tokenize(F.col("line")).alias("t"))
     vocab = Q.build_vocab(lines, "t")
     ids = Q.encode(lines, ["doc_id", "line_no"], ["t"], vocab)
@@ -650,7 +650,7 @@ SELECT doc_id, CASE WHEN trim(regexp_replace(text, '\s+', ' ', 'g')) = '' THEN 0
 def f3(spark, sf):
     d = tbl(spark, sf, "documents").select("doc_id", "text")
     out = apply_tokenizer(d, "text", whitespace_tokenizer)
-    return out.select("doc_id", F.size("tokens").alias("n_words"))
+    return out.select("doc_id", F.size("tokens").cast("bigint").alias("n_words"))
 
 
 @register("u6_shuffle", f"""
