@@ -39,18 +39,28 @@ def tokenize(c: Column, lower: bool = True) -> Column:
     return F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(TOKEN_PATTERN), 0)
 
 
-def build_vocab(df: DataFrame, tokens: str = "tokens", min_count: int = 1, max_size: int | None = None) -> DataFrame:
+def build_vocab(df: DataFrame, tokens: str = "tokens", min_count: int = 1, max_size: int | None = None,
+                max_window_rows: int = 1_000_000) -> DataFrame:
     """Token -> id by descending frequency, ties by token; ids start after the specials.
 
-    Counting is a partial aggregate; ids come from an exact distributed rank.
-    ``max_size`` caps the vocabulary size (total ids including specials), a parameter
-    of the vocabulary itself.  Output: token, n, id.
+    Counting is a partial aggregate, written once to the checkpoint folder.  A
+    vocabulary proven to hold at most ``max_window_rows`` entries is numbered by one
+    ordered window; a larger one by the exact distributed rank.  ``max_size`` caps the
+    vocabulary size (total ids including specials), a parameter of the vocabulary
+    itself.  Output: token, n, id.
     """
+    from pyspark.sql import Window
+
+    from clinloom.operators.joins import is_small
     counts = (df.select(F.explode(tokens).alias("token"))
                 .groupBy("token").agg(F.count(F.lit(1)).alias("n"))
                 .where(F.col("n") >= min_count)
-                .withColumn("_neg", -F.col("n")))
-    ranked = global_rank(counts, ["_neg", "token"], rank_col="_r")
+                .withColumn("_neg", -F.col("n"))
+                .checkpoint(eager=True))
+    if is_small(counts, max_window_rows):
+        ranked = counts.withColumn("_r", F.row_number().over(Window.orderBy("_neg", "token")) - 1)
+    else:
+        ranked = global_rank(counts, ["_neg", "token"], rank_col="_r")
     out = ranked.select("token", "n", (F.col("_r") + N_SPECIAL).cast("int").alias("id"))
     if max_size is not None:
         out = out.where(F.col("id") < max_size)

@@ -93,3 +93,11 @@ def test_line_blocks_and_mask(spark):
     df = spark.createDataFrame([(list(range(5, 15)),)], "ids array<int>")
     r = Q.line_blocks(df, "ids", 6).first()
     assert r["input_ids"] == [2, 5, 6, 7, 8, 3] and r["attention_mask"] == [1] * 6
+
+
+def test_vocab_window_and_distributed_paths_agree(spark):
+    rows = [(i, [f"t{(i * j) % 37}" for j in range(1, 9)]) for i in range(60)]
+    tok = spark.createDataFrame(rows, "k long, tokens array<string>").repartition(4)
+    small = {r["token"]: (r["n"], r["id"]) for r in Q.build_vocab(tok, "tokens").collect()}
+    large = {r["token"]: (r["n"], r["id"]) for r in Q.build_vocab(tok, "tokens", max_window_rows=1).collect()}
+    assert small == large and sorted(v[1] for v in small.values()) == list(range(Q.N_SPECIAL, Q.N_SPECIAL + len(small)))
