@@ -10,10 +10,11 @@ Two helpers, chosen by the shape of the order key:
     must be unique (rank distinct keys first otherwise).
 
 ``global_rank`` -- any total order.  ``repartitionByRange`` cuts the data into sorted,
-    balanced partitions; a vectorised per-partition pass numbers rows and sums a weight;
-    the result is checkpointed (so sampled range bounds are fixed once and lineage is
-    cut) and the per-partition totals (one row per partition) become offsets that are
-    broadcast back.  Ties must be broken by a unique column.
+    balanced partitions; rows are numbered inside each partition (on the JVM from the
+    partition-local id generator, or -- with a weight to sum -- by a vectorised
+    ``mapInPandas`` pass); the result is checkpointed (so sampled range bounds are fixed
+    once and lineage is cut) and the per-partition totals (one row per partition)
+    become offsets that are broadcast back.  Ties must be broken by a unique column.
 """
 
 from __future__ import annotations
