@@ -86,3 +86,19 @@ def test_hot_codes_two_level(spark):
     a = {r["hadm_id"]: (r["codes"], list(r["code_list"])) for r in A.codes_by_admission(codes).collect()}
     b = {r["hadm_id"]: (r["codes"], list(r["code_list"])) for r in A.codes_by_admission(codes, hot=hot).collect()}
     assert a == b
+
+
+def test_all_categories_mode(spark):
+    n, d, p = frames(spark)
+    rows = {r["hadm_id"]: r for r in icd_labelled(n, d, p, IcdParams(note_category="all"), cleaned=True).collect()}
+    assert rows[12]["text"] == "other category"              # radiology note counts in 'all' mode
+    assert rows[12]["category"] == "Radiology"
+    assert rows[10]["category"] == "Discharge summary Discharge summary"
+
+
+def test_params_validation():
+    import pytest
+    with pytest.raises(ValueError):
+        IcdParams(note_category="Nonsense")
+    with pytest.raises(ValueError):
+        IcdParams(diag_or_proc="both")
