@@ -135,3 +135,42 @@ def _apply_offsets(numbered: DataFrame, wname: str | None, rank_col: str, offset
     if wname is not None:
         out = out.withColumn(offset_col or "offset", (F.col("_wb") + F.col("_lw")).cast("bigint"))
     return out.drop("_pid", "_lr", "_lw", "_rb", "_wb")
+
+
+def bucket_counts(df: DataFrame, hash_col: str, bucket_chars: int = 4) -> list[tuple[str, int]]:
+    """Rows per hash-prefix bucket, sorted by bucket (at most ``16**bucket_chars`` rows)."""
+    b = F.substring(F.col(hash_col), 1, bucket_chars)
+    return sorted((r[0], r[1]) for r in df.groupBy(b.alias("_b")).agg(F.count(F.lit(1))).collect())
+
+
+def row_at_rank(df: DataFrame, hash_col: str, tiebreak: Sequence[str], counts: list[tuple[str, int]],
+                k: int) -> tuple | None:
+    """Values of (hash_col, *tiebreak) of the row at 0-based rank ``k`` in that order.
+
+    For a uniform hash order: the bucket holding rank ``k`` is found from ``counts``
+    (see :func:`bucket_counts`), then a sorted ``offset/limit`` runs inside that single
+    bucket (about n / 16**bucket_chars rows).  ``None`` when ``k`` is outside the rows.
+    """
+    if k < 0:
+        return None
+    bucket_chars = len(counts[0][0]) if counts else 4
+    before = 0
+    for bucket, c in counts:
+        if k < before + c:
+            b = F.substring(F.col(hash_col), 1, bucket_chars)
+            row = (df.where(b == F.lit(bucket)).select(hash_col, *tiebreak)
+                     .orderBy(hash_col, *tiebreak).offset(k - before).limit(1).collect())
+            return tuple(row[0])
+        before += c
+    return None
+
+
+def lex_less(cols: Sequence[str], values: tuple | None) -> Column:
+    """Row order (cols...) strictly below ``values``; ``None`` means +infinity."""
+    if values is None:
+        return F.lit(True)
+    cond = None
+    for i in range(len(cols) - 1, -1, -1):
+        here = F.col(cols[i]) < F.lit(values[i])
+        cond = here if cond is None else here | ((F.col(cols[i]) == F.lit(values[i])) & cond)
+    return cond

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from clinloom.operators.ranking import global_rank, hash_rank, hash_unit, seeded_hash
+from clinloom.operators.ranking import global_rank, hash_rank, hash_unit, bucket_counts, lex_less, row_at_rank, seeded_hash
 
 
 def _keys(key: str | Sequence[str]) -> list[str]:
@@ -35,18 +35,25 @@ def split_exact(df: DataFrame, key: str | Sequence[str], seed: int = 42, test_fr
     """Exact-size train / validate / test split (60/20/20 by default), key must be unique.
 
     Rows are ordered by md5(seed|key); the first ``val`` ranks are validation, the rest
-    of the pool is training, the remainder test.  Ranks come from :func:`hash_rank`
-    (no single-partition window).
+    of the pool is training, the remainder test.  Only the two rows at the cut ranks
+    are located (:func:`row_at_rank`: bucket counts, then one bucket each); every row
+    then compares itself with them -- a map-only pass, the rows are never shuffled.
+    Read twice, so pass a materialised table.
     """
     ks = _keys(key)
     h = "_h"
-    ranked = hash_rank(df.withColumn(h, seeded_hash(seed, *ks)), h, ks, rank_col="_rank", total_col="_n")
-    pool, val = split_sizes(F.col("_n"), test_frac, val_frac_of_pool)
+    hashed = df.withColumn(h, seeded_hash(seed, *ks))
+    counts = bucket_counts(hashed, h)
+    n = sum(c for _, c in counts)
+    pool = round(n * (1.0 - test_frac))          # Python round: half to even, like pandas
+    val = round(pool * val_frac_of_pool)
+    cut_val, cut_pool = (row_at_rank(hashed, h, ks, counts, k) for k in (val, pool))
     train_name, val_name, test_name = names
-    part = (F.when(F.col("_rank") < val, F.lit(val_name))
-             .when(F.col("_rank") < pool, F.lit(train_name))
+    order = [h, *ks]
+    part = (F.when(lex_less(order, cut_val), F.lit(val_name))
+             .when(lex_less(order, cut_pool), F.lit(train_name))
              .otherwise(F.lit(test_name)))
-    return ranked.withColumn(split_col, part).drop(h, "_rank", "_n")
+    return hashed.withColumn(split_col, part).drop(h)
 
 
 def split_hash(df: DataFrame, key: str | Sequence[str], seed: int = 42,
@@ -67,12 +74,16 @@ def split_hash(df: DataFrame, key: str | Sequence[str], seed: int = 42,
 
 def holdout(df: DataFrame, key: str | Sequence[str], test_size: float = 0.10, seed: int = 42,
             split_col: str = "split", names: tuple[str, str] = ("train", "validate")) -> DataFrame:
-    """Two-way exact split; the held-out part has ceil(n * test_size) rows (sklearn rule)."""
+    """Two-way exact split; the held-out part has ceil(n * test_size) rows (sklearn rule).
+
+    Same cut-row method as :func:`split_exact` (no shuffle of the rows)."""
+    import math
     ks = _keys(key)
-    ranked = hash_rank(df.withColumn("_h", seeded_hash(seed, *ks)), "_h", ks, rank_col="_rank", total_col="_n")
-    n_test = F.ceil(F.col("_n").cast("double") * F.lit(test_size)).cast("bigint")
-    return (ranked.withColumn(split_col, F.when(F.col("_rank") < n_test, F.lit(names[1])).otherwise(F.lit(names[0])))
-                  .drop("_h", "_rank", "_n"))
+    hashed = df.withColumn("_h", seeded_hash(seed, *ks))
+    counts = bucket_counts(hashed, "_h")
+    cut = row_at_rank(hashed, "_h", ks, counts, math.ceil(sum(c for _, c in counts) * test_size))
+    part = F.when(lex_less(["_h", *ks], cut), F.lit(names[1])).otherwise(F.lit(names[0]))
+    return hashed.withColumn(split_col, part).drop("_h")
 
 
 def sample_n(df: DataFrame, n: int, key: str | Sequence[str], seed: int = 42) -> DataFrame:
