@@ -138,6 +138,8 @@ def a6(spark, sf):
 WITH m AS (SELECT DISTINCT icd9_code AS icd9, 'X' || substr(icd9_code, 2) AS icd10 FROM v_diag WHERE icd9_code < '00060')
 SELECT d.hadm_id, CAST(d.seq_num AS BIGINT) AS seq_num, d.icd9_code, m.icd10 FROM v_diag d LEFT JOIN m ON d.icd9_code = m.icd9""")
 def j12(spark, sf):
+    # The crosswalk fixture covers only part of the code range so that the left join
+    # also shows codes without a mapping; every diagnosis row is joined.
     diag = V(spark, sf, "v_diag")
     mapping = (diag.where(F.col("icd9_code") < "00060").select(F.col("icd9_code").alias("icd9")).distinct()
                    .withColumn("icd10", F.concat(F.lit("X"), F.substring("icd9", 2, 100))))
