@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinloom.functions.text import append_newline  # noqa: F401  (T9 lives with the text functions)
 from clinloom.operators.sampling import sample_n
 
 
