@@ -179,7 +179,7 @@ def line_blocks(df: DataFrame, ids: str, block: int) -> DataFrame:
 
 
 def pack_blocks(df: DataFrame, order: str, ids: str, block: int, add_special: bool = True,
-                order_is_hash: bool = False) -> DataFrame:
+                order_is_hash: bool = False, max_broadcast_docs: int = 2_000_000) -> DataFrame:
     """Q9: concatenate every document's ids in ``order``, cut blocks, drop the short tail.
 
     With ``add_special`` each block holds ``block - 2`` content ids wrapped in
@@ -192,8 +192,16 @@ def pack_blocks(df: DataFrame, order: str, ids: str, block: int, add_special: bo
     size = block - 2 if add_special else block
     docs = df.select(order, ids, F.size(ids).alias("_n")).where(F.col("_n") > 0)
     if order_is_hash:
-        docs = hash_rank(docs.checkpoint(eager=True), order, rank_col="_doc", total_col=None,
-                         weight="_n", offset_col="_off")
+        from clinloom.operators.joins import is_small
+        docs = docs.checkpoint(eager=True)
+        narrow = docs.select(order, "_n")
+        if is_small(narrow, max_broadcast_docs):
+            # offsets computed on (key, length) only, then broadcast to the id arrays:
+            # the arrays are not shuffled for the ranking window
+            offs = hash_rank(narrow, order, rank_col="_doc", total_col=None, weight="_n", offset_col="_off")
+            docs = docs.join(F.broadcast(offs.select(order, "_off")), order)
+        else:
+            docs = hash_rank(docs, order, rank_col="_doc", total_col=None, weight="_n", offset_col="_off")
     else:
         # the ids travel with the rank pass (materialised once by its checkpoint)
         docs = global_rank(docs, [order], weight="_n", rank_col="_doc", offset_col="_off")

@@ -101,3 +101,14 @@ def test_vocab_window_and_distributed_paths_agree(spark):
     small = {r["token"]: (r["n"], r["id"]) for r in Q.build_vocab(tok, "tokens").collect()}
     large = {r["token"]: (r["n"], r["id"]) for r in Q.build_vocab(tok, "tokens", max_window_rows=1).collect()}
     assert small == large and sorted(v[1] for v in small.values()) == list(range(Q.N_SPECIAL, Q.N_SPECIAL + len(small)))
+
+
+def test_pack_blocks_hash_order_both_branches(spark):
+    import hashlib
+    docs = [(hashlib.md5(str(i).encode()).hexdigest(), list(range(i % 9 + 1))) for i in range(80)]
+    df = spark.createDataFrame(docs, "k string, ids array<int>").repartition(3)
+    flat = [t for _, x in sorted(docs) for t in x]
+    for bound in (1_000_000, 0):
+        out = Q.pack_blocks(df, "k", "ids", 12, order_is_hash=True, max_broadcast_docs=bound).orderBy("block_id").collect()
+        got = [t for r in out for t in r["input_ids"][1:-1]]
+        assert got == flat[: len(out) * 10] and len(out) == len(flat) // 10
