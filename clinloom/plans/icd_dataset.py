@@ -21,7 +21,7 @@ from clinloom.functions.text import NOTE_CATEGORIES, clean_text
 from clinloom.operators.aggregates import codes_by_admission, concat_by_admission, hot_keys
 from clinloom.operators.dedupe import dedupe_text
 from clinloom.operators.filters import drop_missing, filter_category, filter_seq
-from clinloom.operators.joins import labelled_admissions
+from clinloom.operators.joins import is_small, labelled_admissions
 from clinloom.operators.sampling import split_exact, subsample_splits
 
 
@@ -69,7 +69,10 @@ def notes_per_admission(notes: DataFrame, category: str, cleaned: bool = True,
     hot = None
     if hot_threshold is not None:
         keys = filter_category(notes.select("hadm_id", "category").where(F.col("hadm_id").isNotNull()), category)
-        hot = hot_keys(keys, "hadm_id", hot_threshold)
+        # with at most hot_threshold rows no admission can be hot (the bound check
+        # stops reading after hot_threshold + 1 rows)
+        if not is_small(keys, hot_threshold):
+            hot = hot_keys(keys, "hadm_id", hot_threshold)
     n = drop_missing(n, ["hadm_id", "text"])
     n = filter_category(n, category)
     if not cleaned:
@@ -91,8 +94,11 @@ def icd_labelled(notes: DataFrame, diag: DataFrame, proc: DataFrame, params: Icd
     p = filter_seq(proc, params.one_or_all_icds)
     if params.one_or_all_icds == "all":
         # every code of an admission: very large code lists are assembled in two levels
-        d = codes_by_admission(d, hot=hot_keys(d.select("hadm_id"), "hadm_id", HOT_ADMISSION_ROWS))
-        p = codes_by_admission(p, hot=hot_keys(p.select("hadm_id"), "hadm_id", HOT_ADMISSION_ROWS))
+        def hot_codes(c: DataFrame):
+            k = c.select("hadm_id")
+            return None if is_small(k, HOT_ADMISSION_ROWS) else hot_keys(k, "hadm_id", HOT_ADMISSION_ROWS)
+        d = codes_by_admission(d, hot=hot_codes(d))
+        p = codes_by_admission(p, hot=hot_codes(p))
     else:
         d, p = codes_by_admission(d), codes_by_admission(p)
     return labelled_admissions(per_adm, d, p, params.diag_or_proc, require_both=params.require_both)

@@ -102,3 +102,12 @@ def test_params_validation():
         IcdParams(note_category="Nonsense")
     with pytest.raises(ValueError):
         IcdParams(diag_or_proc="both")
+
+
+def test_notes_per_admission_hot_path_equals_plain(spark):
+    from clinloom.plans.icd_dataset import notes_per_admission
+    rows = [(i, i % 4, "Discharge summary", f"note {i}") for i in range(1, 41)]
+    n = spark.createDataFrame(rows, "row_id long, hadm_id long, category string, text string")
+    plain = {tuple(r) for r in notes_per_admission(n, "Discharge summary", hot_threshold=None).collect()}
+    hot = {tuple(r) for r in notes_per_admission(n, "Discharge summary", hot_threshold=5).collect()}
+    assert plain == hot and len(plain) == 4
