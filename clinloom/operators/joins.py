@@ -18,10 +18,25 @@ DEFAULT_BROADCAST_ROWS = 2_000_000
 
 
 def is_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most max_rows + 1 rows)."""
+    """True when ``df`` has at most ``max_rows`` rows.
+
+    The limit applies inside every partition (at most ``max_rows + 1`` rows of each are
+    read, nothing is collected): meant for tables expected to be small -- dictionaries,
+    label sets, derived narrow tables.  For a bound check on a large table use
+    :func:`has_more_rows`."""
     return df.limit(max_rows + 1).count() <= max_rows
 
 
+def has_more_rows(df: DataFrame, n: int) -> bool:
+    """True when ``df`` has more than ``n`` rows, reading about ``n + 1`` rows in total.
+
+    A collected limit scans partitions incrementally and stops once it has enough
+    rows (a ``limit().count()`` would apply the limit inside every partition); only a
+    constant column of at most ``n + 1`` rows reaches the driver.
+    """
+    return len(df.select(F.lit(1).alias("_one")).limit(n + 1).collect()) > n
+
+
 def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """``broadcast(df)`` if the row bound holds, else ``df`` unchanged (planner decides)."""
     return F.broadcast(df) if is_small(df, max_rows) else df

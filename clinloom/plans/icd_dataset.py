@@ -21,7 +21,7 @@ from clinloom.functions.text import NOTE_CATEGORIES, clean_text
 from clinloom.operators.aggregates import codes_by_admission, concat_by_admission, hot_keys
 from clinloom.operators.dedupe import dedupe_text
 from clinloom.operators.filters import drop_missing, filter_category, filter_seq
-from clinloom.operators.joins import is_small, labelled_admissions
+from clinloom.operators.joins import has_more_rows, labelled_admissions
 from clinloom.operators.sampling import split_exact, subsample_splits
 
 
@@ -71,7 +71,7 @@ def notes_per_admission(notes: DataFrame, category: str, cleaned: bool = True,
         keys = filter_category(notes.select("hadm_id", "category").where(F.col("hadm_id").isNotNull()), category)
         # with at most hot_threshold rows no admission can be hot (the bound check
         # stops reading after hot_threshold + 1 rows)
-        if not is_small(keys, hot_threshold):
+        if has_more_rows(keys, hot_threshold):
             hot = hot_keys(keys, "hadm_id", hot_threshold)
     n = drop_missing(n, ["hadm_id", "text"])
     n = filter_category(n, category)
@@ -96,7 +96,7 @@ def icd_labelled(notes: DataFrame, diag: DataFrame, proc: DataFrame, params: Icd
         # every code of an admission: very large code lists are assembled in two levels
         def hot_codes(c: DataFrame):
             k = c.select("hadm_id")
-            return None if is_small(k, HOT_ADMISSION_ROWS) else hot_keys(k, "hadm_id", HOT_ADMISSION_ROWS)
+            return hot_keys(k, "hadm_id", HOT_ADMISSION_ROWS) if has_more_rows(k, HOT_ADMISSION_ROWS) else None
         d = codes_by_admission(d, hot=hot_codes(d))
         p = codes_by_admission(p, hot=hot_codes(p))
     else:
