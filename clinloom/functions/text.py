@@ -109,14 +109,51 @@ def _lit(s: str) -> Column:
     return F.lit(s)
 
 
+def _group_only_literal(pattern: str) -> str | None:
+    """The text matched by a pattern whose only metacharacters are plain groups.
+
+    ``a(b)c`` matches exactly ``abc``; returns None when any other metacharacter (or a
+    quantifier after a group) is present.
+    """
+    depth = 0
+    out = []
+    for i, ch in enumerate(pattern):
+        if ch == "(":
+            if pattern[i + 1:i + 2] == "?":
+                return None
+            depth += 1
+        elif ch == ")":
+            depth -= 1
+            if depth < 0 or pattern[i + 1:i + 2] in ("*", "+", "?", "{"):
+                return None
+        elif ch in _REGEX_META:
+            return None
+        else:
+            out.append(ch)
+    return "".join(out) if depth == 0 else None
+
+
+def _required_literal(pattern: str) -> str:
+    """Longest run of plain characters in a pattern using only ``.`` as metacharacter:
+    every match contains it, so its absence rules a match out."""
+    return max(pattern.split("."), key=len) if set(pattern) & _REGEX_META == {"."} else ""
+
+
 def replace_pattern(c: Column, pattern: str, replacement: str = "") -> Column:
     """One ``str.replace(pattern, replacement)`` step with 2020 pandas semantics."""
     if is_literal(pattern):
         return F.replace(c, _lit(pattern), _lit(replacement))
+    plain = _group_only_literal(pattern)
+    if plain is not None and "$" not in replacement and "\\" not in replacement:
+        return F.replace(c, _lit(plain), _lit(replacement))
     # Java and Python agree on the metacharacters used by the fixed phrase lists;
     # (?d) keeps "." from matching "\r" like Python.
     java_repl = replacement.replace("\\", "\\\\").replace("$", "\\$")
-    return F.regexp_replace(c, _lit("(?d)" + pattern), _lit(java_repl))
+    rx = F.regexp_replace(c, _lit("(?d)" + pattern), _lit(java_repl))
+    needle = _required_literal(pattern)
+    # exact shortcut: the regex pass (and its UTF-16 round trip) runs only on rows that
+    # contain the pattern's required literal text
+    return F.when(F.instr(c, needle) > 0, rx).otherwise(c) if len(needle) >= 3 else rx
 
 
 def strip_deid(c: Column) -> Column:

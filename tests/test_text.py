@@ -87,3 +87,10 @@ def test_word_boundary_extension(spark):
     got = clean(spark, ["XRAY X ray amount am"], lambda c: T.strip_phrases(c, [" X", " am"], word_boundary=True))
     assert got == ["XRAY  ray amount "]
     assert clean(spark, ["XRAY X ray"], lambda c: T.strip_phrases(c, [" X"])) == ["XRAY ray"]
+
+
+def test_pattern_shortcut_helpers():
+    assert T._group_only_literal("a(b)c") == "abc"
+    assert T._group_only_literal("a(b)*c") is None and T._group_only_literal("(?:b)") is None
+    assert T._group_only_literal("a.b") is None and T._group_only_literal("a(b") is None
+    assert T._required_literal(" M.D. Phone") == " Phone" and T._required_literal("a+b") == ""
