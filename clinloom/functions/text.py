@@ -157,8 +157,10 @@ def replace_pattern(c: Column, pattern: str, replacement: str = "") -> Column:
 
 
 def strip_deid(c: Column) -> Column:
-    """Delete de-identification marks ``[** ... **]`` (non-greedy, not across lines)."""
-    return F.regexp_replace(c, _lit(DEID_PATTERN), _lit(""))
+    """Delete de-identification marks ``[** ... **]`` (non-greedy, not across lines).
+
+    Rows without a ``[`` cannot match and skip the regex pass."""
+    return F.when(F.instr(c, "[") > 0, F.regexp_replace(c, _lit(DEID_PATTERN), _lit(""))).otherwise(c)
 
 
 def word_pattern(phrase: str) -> str:
