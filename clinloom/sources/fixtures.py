@@ -164,8 +164,8 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _state(spark: SparkSession, sf_dir: str) -> dict:
     st = _STATE.get(id(spark))
-    if st is None or st["sf"] != sf_dir:
-        st = _STATE[id(spark)] = {"sf": sf_dir, "names": set(), "frames": {}}
+    if st is None or st["sf"] != sf_dir or st["session"] is not spark:
+        st = _STATE[id(spark)] = {"sf": sf_dir, "names": set(), "frames": {}, "session": spark}
     return st
 
 
