@@ -236,17 +236,22 @@ def mask_tokens(df: DataFrame, ids: str, block_key: str, vocab_size: int, seed:
     the three draws (hex digits 1-8, 9-16, 17-24).
     """
     span = vocab_size - N_SPECIAL
-
-    def draw(x, i):
-        h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(block_key).cast("string"), i.cast("string")))
-        u, v = _unit(h, 1), _unit(h, 9)
+    # Higher-order functions are interpreted (no common-subexpression elimination inside
+    # a lambda), so the md5 of each position is computed once in its own pass and the
+    # draws read it from the struct; the two outputs are field extractions.
+    hashed = F.transform(F.col(ids), lambda x, i: F.struct(
+        x.alias("x"),
+        F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(block_key).cast("string"), i.cast("string"))).alias("h")))
+
+    def draw(d):
+        x, h = d["x"], d["h"]
+        chosen = (_unit(h, 1) < p) & (x >= N_SPECIAL)
+        v = _unit(h, 9)
         r = F.conv(F.substring(h, 17, 8), 16, 10).cast("bigint")
-        chosen = (u < p) & (x >= N_SPECIAL)
         masked = (F.when(~chosen, x).when(v < 0.8, F.lit(MASK_ID))
                    .when(v < 0.9, (F.lit(N_SPECIAL) + F.pmod(r, F.lit(span))).cast("int")).otherwise(x))
         return F.struct(masked.alias("m"), F.when(chosen, x).otherwise(F.lit(IGNORE_LABEL)).alias("l"))
 
-    # one pass over the array (higher-order functions are interpreted, not code-generated);
-    # the two output arrays are field extractions of the struct array.
-    drawn = df.withColumn("_mask", F.transform(F.col(ids), draw))
-    return drawn.withColumn("masked_ids", F.col("_mask.m")).withColumn("labels", F.col("_mask.l")).drop("_mask")
+    drawn = df.withColumn("_hashed", hashed).withColumn("_mask", F.transform("_hashed", draw))
+    return (drawn.withColumn("masked_ids", F.col("_mask.m")).withColumn("labels", F.col("_mask.l"))
+                 .drop("_mask", "_hashed"))
