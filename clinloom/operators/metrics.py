@@ -72,7 +72,12 @@ def normalise_confusion(cm: DataFrame, actual: str = "actual", by: Sequence[str]
 def class_stats(df: DataFrame, actual: str = "actual", predicted: str = "predicted",
                 by: Sequence[str] = ()) -> DataFrame:
     """Per (by..., class): tp, predicted count, support -- from the confusion counts."""
-    cm = confusion(df, actual, predicted, by)
+    return class_stats_from_confusion(confusion(df, actual, predicted, by), actual, predicted, by)
+
+
+def class_stats_from_confusion(cm: DataFrame, actual: str = "actual", predicted: str = "predicted",
+                               by: Sequence[str] = ()) -> DataFrame:
+    """Per (by..., class) tp / predicted count / support from a confusion table (by, actual, predicted, n)."""
     as_actual = cm.groupBy(*by, F.col(actual).alias("cls")).agg(
         F.sum("n").alias("support"), F.sum(F.when(F.col(actual) == F.col(predicted), F.col("n")).otherwise(0)).alias("tp"))
     as_pred = cm.groupBy(*by, F.col(predicted).alias("cls")).agg(F.sum("n").alias("n_pred"))
@@ -85,7 +90,11 @@ def weighted_metrics(df: DataFrame, actual: str = "actual", predicted: str = "pr
 
     Weighted recall equals accuracy (sum of tp over all rows) by construction.
     """
-    s = class_stats(df, actual, predicted, by)
+    return weighted_from_stats(class_stats(df, actual, predicted, by), by)
+
+
+def weighted_from_stats(s: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """A11 from per-class stats (tp, n_pred, support): support-weighted averages."""
     prec = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(F.lit(0.0))
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(F.lit(0.0))
     s = s.withColumn("p", prec).withColumn("r", rec)
@@ -102,7 +111,10 @@ def weighted_metrics(df: DataFrame, actual: str = "actual", predicted: str = "pr
 def batch_mean_metrics(df: DataFrame, batch: str = "batch_id", actual: str = "actual",
                        predicted: str = "predicted") -> DataFrame:
     """Metrics per batch, then the mean over batches (the published test numbers)."""
-    per_batch = weighted_metrics(df, actual, predicted, by=[batch])
+    return mean_over_batches(weighted_metrics(df, actual, predicted, by=[batch]))
+
+
+def mean_over_batches(per_batch: DataFrame) -> DataFrame:
     return per_batch.agg(F.avg("precision").alias("precision"), F.avg("recall").alias("recall"),
                          F.avg("f1").alias("f1"), F.avg("accuracy").alias("accuracy"),
                          F.count(F.lit(1)).alias("n_batches"))

@@ -11,6 +11,8 @@ G7: scored rows -> prediction / loss (M3, M4) -> confusion (A9, A10) -> corpus a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,12 +56,24 @@ def scored_rows(scored: DataFrame) -> DataFrame:
 
 
 def evaluate(scored: DataFrame, predicted: str = "predicted", prefix: str = "test_") -> DataFrame:
-    """Long metrics table (metric, value) from scored rows with a batch_id."""
+    """Long metrics table (metric, value) from scored rows with a batch_id.
+
+    One pass over the scored rows: counts and loss sums per (batch, actual, predicted)
+    (a partial aggregate); corpus metrics, batch means and the mean loss all derive from
+    that small table.
+    """
     s = scored_rows(scored)
-    corpus = M.weighted_metrics(s, "actual", predicted).drop("n")
-    batch = M.batch_mean_metrics(s, "batch_id", "actual", predicted).drop("n_batches")
+    # written once (batches x classes^2 rows): every metric below reads this table
+    cells = s.groupBy("batch_id", "actual", predicted).agg(F.count(F.lit(1)).alias("n"),
+                                                           F.sum("loss").alias("loss_sum")).checkpoint(eager=True)
+    corpus_cm = cells.groupBy("actual", predicted).agg(F.sum("n").alias("n"))
+    corpus = M.weighted_from_stats(M.class_stats_from_confusion(corpus_cm, "actual", predicted)).drop("n")
+    per_batch = M.weighted_from_stats(M.class_stats_from_confusion(cells, "actual", predicted, ["batch_id"]),
+                                      ["batch_id"])
+    batch = M.mean_over_batches(per_batch).drop("n_batches")
     batch = batch.select(*[F.col(c).alias("batch_" + c) for c in batch.columns])
-    loss = M.mean_loss(s, "loss")
+    mean = F.sum("loss_sum") / F.sum("n")
+    loss = cells.agg(mean.alias("mean_loss"), (mean / F.lit(math.log(2))).alias("bpc"))
     rows = (M.metrics_long(corpus, prefix)
             .unionByName(M.metrics_long(batch, prefix))
             .unionByName(M.metrics_long(loss, prefix)))
