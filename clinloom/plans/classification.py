@@ -25,8 +25,10 @@ from clinloom.operators.sequences import build_vocab, encode, pair_features, tok
 
 def pair_dataset(pairs: DataFrame, max_len: int = 128, on_unknown: str = "keep", vocab: DataFrame | None = None):
     """(features, vocab).  ``pairs``: pair_id, sentence1, sentence2, gold_label, split."""
+    # tokenised once, reused by the vocabulary and the encoding
     tok = pairs.select("pair_id", "split", "gold_label",
-                       tokenize(F.col("sentence1")).alias("a"), tokenize(F.col("sentence2")).alias("b"))
+                       tokenize(F.col("sentence1")).alias("a"),
+                       tokenize(F.col("sentence2")).alias("b")).checkpoint(eager=True)
     if vocab is None:
         train = tok.where(F.col("split") == "train")
         both = train.select(F.concat("a", "b").alias("tokens"))
@@ -45,7 +47,8 @@ def top_label_dataset(rows: DataFrame, k: int = 50, batch_size: int = 12, seed:
     ``label_id`` and per-split shuffled ``batch_id``."""
     top = top_labels(rows.where(F.col("split") == "train"), k, label)
     kept = filter_top_labels(rows, top, label)
-    enc = encode_labels(kept, fit_labels(top, label), label, "label_id", on_unknown="error")
+    # written once: the batch ranking reads it twice (bucket counts, then ranks)
+    enc = encode_labels(kept, fit_labels(top, label), label, "label_id", on_unknown="error").checkpoint(eager=True)
     return assign_batches(enc, batch_size, key, seed=seed, epoch=0, by=["split"])
 
 
