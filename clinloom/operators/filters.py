@@ -44,7 +44,9 @@ def filter_category(df: DataFrame, name: str, column: str = "category") -> DataF
         return df
     if name not in NOTE_CATEGORIES:
         raise ValueError(f"category must be one of {NOTE_CATEGORIES} or 'all', got {name!r}")
-    return df.where(trim_category(F.col(column)) == F.lit(name))
+    # ``contains`` is implied by the trimmed equality and, unlike ``trim``, can be pushed
+    # into a Parquet scan (StringContains), so non-matching data is skipped early.
+    return df.where(F.col(column).contains(name) & (trim_category(F.col(column)) == F.lit(name)))
 
 
 def filter_seq(df: DataFrame, seq: int | str, column: str = "seq_num") -> DataFrame:

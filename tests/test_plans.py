@@ -33,3 +33,13 @@ def test_cleaning_chain_evaluated_once(spark):
 def test_encoding_broadcasts_small_vocabulary(spark):
     p = plan(spark, "q2_encode")
     assert "BroadcastHashJoin" in p
+
+
+def test_category_filter_reaches_the_parquet_scan(spark, tmp_path):
+    from clinloom.operators.filters import filter_category
+    rows = [(1, "Discharge summary "), (2, "Radiology"), (3, " Discharge summary")]
+    spark.createDataFrame(rows, "row_id long, category string").write.parquet(str(tmp_path / "n"))
+    df = filter_category(spark.read.parquet(str(tmp_path / "n")), "Discharge summary")
+    p = df._jdf.queryExecution().executedPlan().toString()
+    assert "StringContains(category,Discharge summary)" in p
+    assert sorted(r["row_id"] for r in df.collect()) == [1, 3]
