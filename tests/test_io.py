@@ -93,3 +93,11 @@ def test_spread_only_under_split(spark, tmp_path):
     assert S.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     many = spark.read.parquet(str(tmp_path / "one"))
     assert S.spread(many, 1).rdd.getNumPartitions() == 1
+
+
+def test_write_splits_csv_keeps_text_exact(spark, tmp_path):
+    df = spark.createDataFrame([(1, ' lead "q"\nnext ', "train"), (2, "x", "test")], "k int, text string, split string")
+    K.write_splits(df, str(tmp_path / "csv"), fmt="csv")
+    back = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+            .schema("k int, text string").csv(str(tmp_path / "csv" / "split=train")))
+    assert [tuple(r) for r in back.collect()] == [(1, ' lead "q"\nnext ')]
