@@ -20,3 +20,15 @@ def test_partition_count_does_not_change_results(spark, name):
         results.append(digest(df.columns, [tuple(r) for r in df.collect()]))
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert results[0] == results[1]
+
+
+@pytest.mark.parametrize("name", ["d1_study_timestamp", "j9_link_same_day", "g4_link_radiology"])
+def test_session_time_zone_does_not_change_results(spark, name):
+    q = entry.queries()[name]
+    results = []
+    for tz in ("UTC", "America/New_York", "Asia/Kolkata"):
+        spark.conf.set("spark.sql.session.timeZone", tz)
+        df = q(spark, SF)
+        results.append(digest(df.columns, [tuple(r) for r in df.collect()]))
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert len(set(results)) == 1
