@@ -1,6 +1,11 @@
-"""Exact global ranks without a single-partition window.
+"""Exact global ranks and order statistics without a single-partition window.
 
-Two helpers, chosen by the shape of the order key:
+Helpers, chosen by the shape of the order key and by what is needed:
+
+``bucket_counts`` + ``row_at_rank`` -- only a few cut positions are needed (exact-size
+    splits): rows per hash-prefix bucket (a bounded table), then one sorted
+    ``offset/limit`` inside the bucket holding each cut; rows then compare themselves
+    with the cut rows (``lex_less``) without any shuffle.
 
 ``hash_rank``  -- the order key is a uniform hash (seeded md5).  Rows are grouped into
     ``16**bucket_chars`` buckets by the hash prefix; a bucket's offset is the number of
