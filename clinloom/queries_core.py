@@ -299,3 +299,30 @@ def l1(spark, sf):
     """L1: ORDER BY at the sink (a range-partitioned sort, no single-task ordering)."""
     d = V(spark, sf, "v_diag")
     return d.select("hadm_id", "seq_num", "icd9_code").orderBy("hadm_id", "seq_num")
+
+
+_CODES_ALL_SQL = """dc AS (SELECT hadm_id, string_agg(icd9_code, ',' ORDER BY seq_num, icd9_code) AS codes
+                 FROM v_diag WHERE icd9_code IS NOT NULL GROUP BY hadm_id),
+pc AS (SELECT hadm_id, string_agg(icd9_code, ',' ORDER BY seq_num, icd9_code) AS codes
+                 FROM v_proc WHERE icd9_code IS NOT NULL GROUP BY hadm_id)"""
+
+
+@register("j3_labelled_admissions_all_codes", _with(_CLEANED_SQL, _FILTERED_SQL, _DEDUP_SQL, _PER_ADM_SQL,
+                                                    _CODES_ALL_SQL, _LABELLED_SQL)
+          + "SELECT hadm_id, text, category, icd9_code FROM lab")
+def j3_all(spark, sf):
+    """J3 with every code of an admission (one_or_all_icds='all')."""
+    return icd_labelled(V(spark, sf, "v_notes"), V(spark, sf, "v_diag"), V(spark, sf, "v_proc"),
+                        IcdParams(one_or_all_icds="all"))
+
+
+@register("a1_concat_all_categories", f"""
+WITH cleaned AS (SELECT row_id, hadm_id, trim(category) AS category, {CLEAN_ICD_SQL} AS text FROM v_notes
+                 WHERE hadm_id IS NOT NULL AND text IS NOT NULL),
+dedup AS (SELECT text, min(row_id) AS row_id, arg_min(hadm_id, row_id) AS hadm_id,
+                 arg_min(category, row_id) AS category FROM cleaned GROUP BY text)
+SELECT hadm_id, string_agg(text, ' ' ORDER BY row_id) AS text, string_agg(category, ' ' ORDER BY row_id) AS category
+FROM dedup GROUP BY hadm_id""")
+def a1_all(spark, sf):
+    """A1 over every note category (category 'all'): categories joined in note order."""
+    return notes_per_admission(V(spark, sf, "v_notes"), "all", cleaned=False)

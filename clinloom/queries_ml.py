@@ -674,3 +674,21 @@ def f5(spark, sf):
     from clinloom.operators.hooks import apply_batches, char_count_batch
     d = tbl(spark, sf, "documents").select("doc_id", "text")
     return apply_batches(d, char_count_batch, "doc_id long, n_chars long")
+
+
+@register("q9_pack_blocks_doc_order", f"""
+WITH t AS (SELECT doc_id, {tok_sql('text')} AS tk FROM documents),
+e AS (SELECT doc_id, generate_subscripts(tk, 1) AS pos, unnest(tk) AS token FROM t),
+v AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) - 1 + 5 AS INTEGER) AS id
+      FROM (SELECT token, count(*) AS n FROM e GROUP BY token)),
+g AS (SELECT v.id, row_number() OVER (ORDER BY e.doc_id, e.pos) - 1 AS g FROM e JOIN v ON e.token = v.token),
+b AS (SELECT g // 62 AS block_id, [2] || list(id ORDER BY g) || [3] AS ids FROM g GROUP BY g // 62 HAVING count(*) = 62)
+SELECT block_id, array_to_string(ids, ',') AS input_ids FROM b""")
+def q9_doc(spark, sf):
+    """Q9 in document-id order (not a hash): offsets from the range-partitioned rank with
+    its per-partition prefix sums."""
+    d = tbl(spark, sf, "documents").select("doc_id", Q.tokenize(F.col("text")).alias("tokens"))
+    vocab = Q.build_vocab(d, "tokens")
+    ids = Q.encode(d, "doc_id", ["tokens"], vocab)
+    blocks = Q.pack_blocks(ids, "doc_id", "tokens_ids", 64)
+    return blocks.select("block_id", ints(F.col("input_ids")).alias("input_ids"))
