@@ -10,8 +10,9 @@ Scale notes
     are the hot keys, so skew never reaches the shuffle.
   * block packing never explodes per token: each document explodes once per block it
     overlaps, and a block gathers at most ``block`` document pieces.
-  * global order (vocabulary ids, document offsets) comes from ``global_rank``, not a
-    single-partition window.
+  * global order never comes from a window over the data: vocabulary ids use one
+    ordered window only when the vocabulary is proven bounded, else ``global_rank``;
+    document offsets come from hash buckets (hash order) or ``global_rank``.
 """
 
 from __future__ import annotations
