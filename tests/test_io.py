@@ -101,3 +101,10 @@ def test_write_splits_csv_keeps_text_exact(spark, tmp_path):
     back = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
             .schema("k int, text string").csv(str(tmp_path / "csv" / "split=train")))
     assert [tuple(r) for r in back.collect()] == [(1, ' lead "q"\nnext ')]
+
+
+def test_row_bound_helpers(spark):
+    from clinloom.operators.joins import has_more_rows, is_small
+    df = spark.range(10).repartition(4)
+    assert has_more_rows(df, 5) and not has_more_rows(df, 10)
+    assert is_small(df, 10) and not is_small(df, 9)
