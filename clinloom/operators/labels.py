@@ -67,7 +67,8 @@ def encode_labels(df: DataFrame, labels: DataFrame, label: str = "label", id_col
     """
     if on_unknown not in ("error", "drop", "keep"):
         raise ValueError("on_unknown must be 'error', 'drop' or 'keep'")
-    lab = F.broadcast(labels.select(label, id_col))
+    from clinloom.operators.joins import sized_broadcast
+    lab = sized_broadcast(labels.select(label, id_col))   # label tables are small; checked
     if on_unknown == "drop":
         return df.join(lab, on=label, how="inner")
     out = df.join(lab, on=label, how="left")
@@ -82,8 +83,9 @@ def encode_labels(df: DataFrame, labels: DataFrame, label: str = "label", id_col
 def decode_labels(df: DataFrame, labels: DataFrame, id_col: str = "predicted", label: str = "label",
                   out_col: str = "predicted_label") -> DataFrame:
     """Id -> label name (broadcast of the label table)."""
+    from clinloom.operators.joins import sized_broadcast
     lab = labels.select(F.col("label_id").alias(id_col), F.col(label).alias(out_col))
-    return df.join(F.broadcast(lab), on=id_col, how="left")
+    return df.join(sized_broadcast(lab), on=id_col, how="left")
 
 
 def one_hot_columns(df: DataFrame, columns: Sequence[str], out_col: str = "labels") -> DataFrame:
