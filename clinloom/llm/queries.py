@@ -1,6 +1,10 @@
 """All queries of the training-data operators (``QUERIES``) and their DuckDB SQL (``ORACLES``)."""
 
-from clinloom.llm import op7_substring_dedup  # noqa: F401
+from clinloom.llm import (  # noqa: F401
+    op2_best_fit_packing,
+    op4_wavelet_tokens,
+    op7_substring_dedup,
+)
 from clinloom.llm.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -62,6 +62,22 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return a[:n], b[:n]
 
 
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of data[start:end] for ascending spans (polynomial, mixed with the length)."""
+    out, i, n = np.empty(len(starts), np.uint64), 0, len(starts)
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + (1 << 18))))
+        lo, hi = starts[i], ends[j - 1]
+        p, q = powers(_BASE, int(hi - lo))
+        s = np.zeros(int(hi - lo) + 1, np.uint64)
+        np.cumsum(_BYTE[data[lo:hi]] * p, out=s[1:])
+        a, b = starts[i:j] - lo, ends[i:j] - lo
+        size = (b - a).astype(np.uint64)
+        out[i:j] = mix((s[b] - s[a]) * q[np.minimum(a, len(q) - 1)] + _U(0x2545F4914F6CDD1D) * size)
+        i = j
+    return out
+
+
 class Words:
     """Words of one slab: ``starts``/``ends`` byte offsets, ``first[d]:first[d+1]`` the words of row d."""
 
@@ -91,18 +107,7 @@ class Words:
     def hashes(self) -> np.ndarray:
         """A 64-bit hash per word (polynomial over its bytes, then mixed with its length)."""
         if self._hash is None:
-            out = np.empty(len(self), np.uint64)
-            i, n = 0, len(self)
-            while i < n:
-                j = max(i + 1, int(np.searchsorted(self.ends, self.starts[i] + (1 << 18))))
-                lo, hi = self.starts[i], self.ends[j - 1]
-                p, q = powers(_BASE, int(hi - lo))
-                s = np.zeros(int(hi - lo) + 1, np.uint64)
-                np.cumsum(_BYTE[self.data[lo:hi]] * p, out=s[1:])
-                a, b = self.starts[i:j] - lo, self.ends[i:j] - lo
-                out[i:j] = mix((s[b] - s[a]) * q[a] + _U(0x2545F4914F6CDD1D) * (b - a).astype(np.uint64))
-                i = j
-            self._hash = out
+            self._hash = byte_hashes(self.data, self.starts, self.ends)
         return self._hash
 
     def row_of_word(self) -> np.ndarray:
