@@ -42,3 +42,33 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.coalesce(d, F.lit(0)).cast("long").alias("k1"),
                        F.xxhash64(d.isNull(), F.coalesce(t, F.lit(""))).alias("k2"),
                        d.cast("long").alias("doc_id"), F.coalesce(t, F.lit("")).alias("text"))
+
+
+def components(edges: DataFrame, name: str, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root): the smallest node of each connected component, for every node of ``edges``.
+
+    Alternates large-star and small-star steps (each a grouped minimum and a join on the
+    node) until the edges stop changing; the number of rounds grows with the logarithm of
+    the longest path.  The minima are written before the join, so that both sides of it
+    are shuffled from files and adaptive execution can split a node with many neighbours.
+    """
+    e = (edges.select(F.least(a, b).alias("lo"), F.greatest(a, b).alias("hi"))
+         .filter("lo < hi").distinct())
+    e = materialise(e, f"{name}-edges")
+    before = None
+    while True:
+        state = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
+        if state == before or state[0] == 0:
+            break
+        before = state
+        both = e.union(e.select(F.col("hi").alias("lo"), F.col("lo").alias("hi"))).toDF("u", "v")
+        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")), f"{name}-large")
+        large = (both.filter("v > u").join(low, "u")
+                 .select(F.least("m", "u").alias("lo"), F.col("v").alias("hi")).distinct())
+        large = materialise(large, f"{name}-e1")
+        low = materialise(large.groupBy("hi").agg(F.min("lo").alias("m")), f"{name}-small")
+        small = (large.join(low, "hi").select("m", F.explode(F.array("lo", "hi")).alias("v"))
+                 .filter("m < v").select(F.col("m").alias("lo"), F.col("v").alias("hi")).distinct())
+        e = materialise(small, f"{name}-e2")
+    roots = e.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct()
+    return e.select(F.col("hi").alias("node"), F.col("lo").alias("root")).union(roots)
