@@ -4,6 +4,7 @@ from clinloom.llm import (  # noqa: F401
     op2_best_fit_packing,
     op4_wavelet_tokens,
     op7_substring_dedup,
+    op8_spaced_seeds,
     op10_jaccard_join,
 )
 from clinloom.llm.catalog import ORACLES, QUERIES
