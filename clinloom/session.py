@@ -7,6 +7,8 @@ is absent -- local tests, the bench -- is a fresh scratch folder created.
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -39,6 +41,7 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -72,6 +75,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return _active_dir(spark) or configured
 
 
+_shipped: dict[str, bool] = {}
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application.
+
+    Tasks import their functions from it, wherever the driver was started.
+    """
+    app = spark.sparkContext.applicationId
+    if not _shipped.get(app):
+        root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        folder = tempfile.mkdtemp(prefix="clinloom-src-")        # read by the driver only, which serves the file
+        shutil.copytree(os.path.join(root, "clinloom"), os.path.join(folder, "src", "clinloom"),
+                        ignore=shutil.ignore_patterns("__pycache__"))
+        spark.sparkContext.addPyFile(shutil.make_archive(os.path.join(folder, "clinloom"), "zip",
+                                                         os.path.join(folder, "src")))
+        _shipped[app] = True
+
+
 def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict[str, str]:
     """Settings sized for a job reading ``input_bytes`` on ``total_cores`` cores.
 
