@@ -3,6 +3,8 @@
 from clinloom.llm import (  # noqa: F401
     op2_best_fit_packing,
     op4_wavelet_tokens,
+    op5_word_first_langid,
+    op6_toxicity_mil,
     op7_substring_dedup,
     op8_spaced_seeds,
     op10_jaccard_join,

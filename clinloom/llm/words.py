@@ -166,3 +166,46 @@ def whole(first: np.ndarray, n: int, k: int) -> np.ndarray:
     for b in np.unique(first[1:-1]):
         ok[max(0, b - k + 1):b] = False
     return ok
+
+
+class WordTable:
+    """Remembers one vector per word: a direct-mapped table of bounded size over word hashes.
+
+    ``score(list of words)`` gives the vectors of words met for the first time (or met again
+    after another word took their slot).
+    """
+
+    def __init__(self, width: int, score, bits: int = 20):
+        self.score, self.bits = score, bits
+        self.key = np.zeros(1 << bits, np.uint64)
+        self.val = np.zeros((1 << bits, width), np.float32)
+
+    def __call__(self, words: Words) -> np.ndarray:
+        h = words.hashes
+        slot = (h >> _U(64 - self.bits)).astype(np.int64)
+        out = self.val[slot]
+        miss = np.flatnonzero(self.key[slot] != h)
+        if len(miss):
+            _, one, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            first, raw = miss[one], words.data.tobytes()
+            new = np.asarray(self.score([raw[a:b].decode() for a, b in zip(
+                words.starts[first].tolist(), words.ends[first].tolist(), strict=True)]), np.float32)
+            self.key[slot[first]], self.val[slot[first]] = h[first], new
+            out[miss] = new[back]
+        return out
+
+
+def string_hashes(strings: list[str]) -> np.ndarray:
+    """:func:`byte_hashes` of each string's UTF-8 form."""
+    raw = [s.encode() for s in strings]
+    end = np.cumsum([len(r) for r in raw], dtype=np.int64)
+    if not len(end):
+        return np.zeros(0, np.uint64)
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    return byte_hashes(data, np.concatenate([[0], end[:-1]]), end) if len(data) else \
+        np.zeros(len(raw), np.uint64)
+
+
+def unique_counts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(values, first places, counts)."""
+    return np.unique(h, return_index=True, return_counts=True)
