@@ -7,6 +7,7 @@ from clinloom.llm import (  # noqa: F401
     op6_toxicity_mil,
     op7_substring_dedup,
     op8_spaced_seeds,
+    op9_brown_lm,
     op10_jaccard_join,
 )
 from clinloom.llm.catalog import ORACLES, QUERIES

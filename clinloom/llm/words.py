@@ -209,3 +209,20 @@ def string_hashes(strings: list[str]) -> np.ndarray:
 def unique_counts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(values, first places, counts)."""
     return np.unique(h, return_index=True, return_counts=True)
+
+
+def key_runs(batches, key: str) -> Iterator[pa.Table]:
+    """The rows of each run of equal ``key`` in a stream sorted by it, across batches."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = batch.column(key).to_numpy()
+        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and held[0].column(key)[0].as_py() != k[a]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
