@@ -2,6 +2,7 @@
 
 from clinloom.llm import (  # noqa: F401
     op2_best_fit_packing,
+    op3_url_filters,
     op4_wavelet_tokens,
     op5_word_first_langid,
     op6_toxicity_mil,
