@@ -2,6 +2,7 @@
 
 from clinloom.llm import (  # noqa: F401
     op2_best_fit_packing,
+    op1_pruned_graph_ann,
     op3_url_filters,
     op4_wavelet_tokens,
     op5_word_first_langid,
