@@ -9,13 +9,15 @@ least ``threshold`` (0.8).
     the embedded set on which the paths are chosen.
 2.  *Chosen paths.*  Each of ``RUNS`` independent runs splits all sets on a sampled token;
     buckets of one set end there.  A bucket above ``LIMIT`` is split again on ``BRANCH``
-    tokens sampled by its path, up to ``DEPTH`` times.  A pair at similarity s stays together in a
+    tokens sampled by its path, up to ``DEPTH`` times -- unless it kept more than half of its
+    parent's sets: those are near copies, which more splits would only multiply, and go to
+    the brute force at once.  A pair at similarity s stays together in a
     run with probability s (1-(1-s)**BRANCH)**(depth-1): for s = 0.8, ten runs and four
     levels a pair is lost with probability below 2e-5.
 3.  *Brute force in buckets.*  Within a bucket, sets whose sizes allow the threshold and
     whose signatures agree well (four standard deviations below it) are candidates; a bucket
     yields its candidate groups as stars, never as pairs.  A bucket still above ``LIMIT``
-    after the last split is dealt into blocks and every two blocks meet in a task.
+    then is dealt into blocks of ``BUCKET`` sets and every two blocks meet in a task.
 4.  *Exact check.*  Candidate groups, joined to components, get their whole shingle sets
     back; every pair inside is counted exactly (again in blocks), giving each set its exact
     links, and the exact links form the classes.  Pairs are counted where they are found
@@ -41,10 +43,10 @@ from pyspark.sql import functions as F
 
 from clinloom.llm.catalog import query, table
 from clinloom.llm.shared import components, keyed, materialise
-from clinloom.llm.words import Words, hash_ints, mix, slabs, spans, windows
+from clinloom.llm.words import Words, hash_ints, key_runs, mix, slabs, spans, windows
 
 N, THRESHOLD = 5, 0.8
-T, RUNS, BRANCH, DEPTH, LIMIT, BLOCK, MASS = 128, 10, 2, 4, 512, 2048, 1 << 20
+T, RUNS, BRANCH, DEPTH, LIMIT, BUCKET, BLOCK, MASS = 128, 10, 2, 4, 512, 16384, 2048, 1 << 20
 _U = np.uint64
 _MULT = hash_ints(np.arange(T), 11) | _U(1)
 
@@ -115,24 +117,8 @@ def _next_tokens(batches, branch: int):
             coord = (mix(path + _U(b + 1)) % _U(sig.shape[1])).astype(np.int64)
             token = sig[np.arange(len(sid)), coord].astype(np.uint64)
             key = mix(mix(path ^ _U(0x51ED270B + b)) ^ (token * _U(0x9E3779B97F4A7C15)))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sid)], names=["path", "sid"])
-
-
-def _runs(batches, key: str):
-    """(key columns' table) of each run of equal ``key`` in a sorted stream, across batches."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        k = batch.column(key).to_numpy()
-        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and held[0].column(key)[0].as_py() != k[a]:
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(sid), batch.column("parent")],
+                                             names=["path", "sid", "parent"])
 
 
 def _groups(sig: np.ndarray, size: np.ndarray, side: np.ndarray | None, least: float, ratio: float) -> np.ndarray:
@@ -164,7 +150,7 @@ def _groups(sig: np.ndarray, size: np.ndarray, side: np.ndarray | None, least: f
 
 def _brute(batches, threshold: float):
     slack = 4 * np.sqrt(threshold * (1 - threshold) / T)
-    for t in _runs(batches, "path"):
+    for t in key_runs(batches, "path"):
         if t.num_rows < 2:
             continue
         t = t.combine_chunks()
@@ -229,7 +215,7 @@ def counts_of_pairs(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _exact(batches, threshold: float):
-    for t in _runs(batches, "path"):
+    for t in key_runs(batches, "path"):
         t = t.combine_chunks()
         sid, copies = t.column("sid").to_numpy(), t.column("copies").to_numpy()
         side = t.column("side").to_numpy()
@@ -270,26 +256,31 @@ def _emit_shingles(batches, n: int):
                 names=["sid", "comp", "copies", "shingles"])
 
 
-def _candidates(sets: DataFrame, threshold: float, runs: int, branch: int, depth: int, limit: int) -> DataFrame:
+def _candidates(sets: DataFrame, threshold: float, runs: int, branch: int, depth: int, limit: int,
+                bucket: int) -> DataFrame:
     """Star edges (a, b) of candidate groups over ``sid``."""
-    tokens = sets.select("sid", "sig").mapInArrow(partial(_root_tokens, runs=runs), "path long, sid long")
+    tokens = sets.select("sid", "sig").mapInArrow(partial(_root_tokens, runs=runs), "path long, sid long") \
+        .withColumn("parent", F.lit(None).cast("long"))
     sig = sets.select("sid", "size", "sig")
     ready = []
     for level in range(1, depth + 1):
         tokens = materialise(tokens, f"op10-tokens{level}")
-        count = materialise(tokens.groupBy("path").count().filter("count > 1"), f"op10-paths{level}")
-        held = tokens.join(count, "path")
-        small = held.filter(F.col("count") <= limit).select("path", "sid").withColumn("side", F.lit(0))
-        ready.append(small)
-        big = held.filter(F.col("count") > limit)
-        if count.filter(F.col("count") > limit).isEmpty():
-            break
-        if level == depth:
-            big = big.withColumn("width", F.ceil(F.col("count") / BLOCK).cast("int"))
+        count = tokens.groupBy("path").agg(F.count(F.lit(1)).alias("count"), F.max("parent").alias("parent"))
+        last = (F.col("count") * 2 > F.coalesce("parent", F.lit(2**62))) | F.lit(level == depth)
+        fate = F.when(F.col("count") <= limit, "small").when(last, "brute").otherwise("split")
+        count = materialise(count.filter("count > 1").select("path", "count", fate.alias("fate")),
+                            f"op10-paths{level}")
+        held = tokens.drop("parent").join(count, "path")
+        ready.append(held.filter("fate = 'small'").select("path", "sid").withColumn("side", F.lit(0)))
+        fates = {r["fate"] for r in count.select("fate").distinct().collect()}
+        if "brute" in fates:
+            big = held.filter("fate = 'brute'").withColumn("width", F.ceil(F.col("count") / bucket).cast("int"))
             ready.append(_blocks(big, "path", level, "width").select("path", "sid", "side"))
-        else:
-            tokens = big.select("path", "sid").join(sig.select("sid", "sig"), "sid").mapInArrow(
-                partial(_next_tokens, branch=branch), "path long, sid long").distinct()
+        if "split" not in fates:
+            break
+        tokens = (held.filter("fate = 'split'").select("path", "sid", F.col("count").alias("parent"))
+                  .join(sig.select("sid", "sig"), "sid")
+                  .mapInArrow(partial(_next_tokens, branch=branch), "path long, sid long, parent long"))
     rows = ready[0]
     for r in ready[1:]:
         rows = rows.union(r)
@@ -300,7 +291,7 @@ def _candidates(sets: DataFrame, threshold: float, runs: int, branch: int, depth
 
 
 def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, runs: int = RUNS,
-                    branch: int = BRANCH, depth: int = DEPTH, limit: int = LIMIT, block: int = BLOCK,
+                    branch: int = BRANCH, depth: int = DEPTH, limit: int = LIMIT, bucket: int = BUCKET, block: int = BLOCK,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k1, k2, doc_id, class_id, n_copies, n_links, n_texts) per input row; ``class_row`` marks
     the key (k1, k2) of the class's first document."""
@@ -311,7 +302,7 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     sets = made.groupBy(*node).agg(F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies"),
                                    F.min(F.struct("k1", "k2")).alias("rep"))
     sets = materialise(sets.withColumn("sid", F.monotonically_increasing_id()), "op10-sets")
-    comp = components(_candidates(sets, threshold, runs, branch, depth, limit), "op10-cand")
+    comp = components(_candidates(sets, threshold, runs, branch, depth, limit, bucket), "op10-cand")
     comp = materialise(comp.toDF("sid", "comp"), "op10-comp")
     member = (sets.join(comp, "sid").select("sid", "comp", "copies", "size", F.col("rep.k1").alias("k1"),
                                             F.col("rep.k2").alias("k2")))

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from clinloom.llm.catalog import query, table
 from clinloom.llm.shared import fold, materialise
-from clinloom.llm.words import Words, WordTable, slabs, string_hashes
+from clinloom.llm.words import Words, WordTable, slabs
 
 SAMPLE, FEATURES, EVIDENCE, CUT = 6000, 4096, 24.0, 0.3
 ORDERS, STEPS, RATE, RIDGE = (3, 4, 5), 40, 0.4, 1e-5

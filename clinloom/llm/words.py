@@ -195,22 +195,6 @@ class WordTable:
         return out
 
 
-def string_hashes(strings: list[str]) -> np.ndarray:
-    """:func:`byte_hashes` of each string's UTF-8 form."""
-    raw = [s.encode() for s in strings]
-    end = np.cumsum([len(r) for r in raw], dtype=np.int64)
-    if not len(end):
-        return np.zeros(0, np.uint64)
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    return byte_hashes(data, np.concatenate([[0], end[:-1]]), end) if len(data) else \
-        np.zeros(len(raw), np.uint64)
-
-
-def unique_counts(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(values, first places, counts)."""
-    return np.unique(h, return_index=True, return_counts=True)
-
-
 def key_runs(batches, key: str) -> Iterator[pa.Table]:
     """The rows of each run of equal ``key`` in a stream sorted by it, across batches."""
     held: list[pa.RecordBatch] = []
