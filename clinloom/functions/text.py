@@ -230,8 +230,9 @@ def pair_text(a: Column, b: Column, sep: str = "") -> Column:
 
 
 def trim_category(c: Column) -> Column:
-    """Category compared after stripping both ends."""
-    return F.trim(c)
+    """Category compared after stripping white space (the T5 class) from both ends."""
+    ws = f"(?:{WHITESPACE_PATTERN})"
+    return F.regexp_replace(c, _lit(f"^{ws}|{ws}$"), _lit(""))
 
 
 def prefix_path(root: str, c: Column) -> Column:

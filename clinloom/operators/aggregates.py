@@ -14,97 +14,44 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _ordered_join(items: Column, field: str, sep: str) -> Column:
-    # sort_array + field extraction are code-generated (array_sort / transform are interpreted)
-    return F.array_join(F.sort_array(items).getField(field), sep)
+def ordered_concat(df: DataFrame, key: str, order: str, fields: dict[str, Column], sep: str = " ") -> DataFrame:
+    """Per ``key``: each field's non-null values joined with ``sep`` in ``order`` (+ ``n`` rows).
 
-
-MAX_BROADCAST_HOT_KEYS = 100_000
-
-
-def hot_keys(df: DataFrame, key: str, max_rows: int) -> DataFrame:
-    """Keys holding more than ``max_rows`` rows (at most rows / max_rows of them).
-
-    A partial count per key; pass the cheapest table that bounds the group sizes
-    (e.g. the raw notes before cleaning)."""
-    return df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > max_rows).select(key)
-
-
-def ordered_concat(df: DataFrame, key: str, order: str, fields: dict[str, Column], sep: str = " ",
-                   hot: DataFrame | None = None, piece_width: int = 100_000) -> DataFrame:
-    """Per ``key``: each field's values joined with ``sep`` in ``order`` (+ ``n`` rows).
-
-    Normal keys: one shuffle, ``collect_list`` + ``sort_array`` (code-generated).
-    Keys listed in ``hot``: assembled in two levels so no task gathers a hot group's
-    rows -- first per (key, floor(order / piece_width)) piece (an order-preserving
-    window holding at most ``piece_width`` rows, as ``order`` is a unique integer), then
-    the piece strings per key.  The hot-key set is probed once (bounded read): when it
-    is empty -- the usual case -- the plan is the plain single-shuffle one; a small set
-    is broadcast, a large one joined by shuffle.
+    One shuffle on the key.  The result holds one value per key, so a key's rows meet in
+    one row whatever the plan; the list is built there and nowhere else.
     """
-    names = list(fields)
-
-    def assemble(rows: DataFrame, group: list[str], ord_col: Column) -> DataFrame:
-        item = F.struct(ord_col.alias("_o"), *[fields[n].alias(n) for n in names])
-        lst = F.sort_array(F.collect_list(item))
-        return rows.groupBy(*group).agg(*[F.array_join(lst.getField(n), sep).alias(n) for n in names],
-                                        F.count(F.lit(1)).alias("n"), F.min(ord_col).alias("_first"))
-
-    if hot is None:
-        return assemble(df, [key], F.col(order)).drop("_first")
-    probe = hot.select(key).distinct().limit(MAX_BROADCAST_HOT_KEYS + 1).collect()
-    if not probe:
-        return assemble(df, [key], F.col(order)).drop("_first")
-    if len(probe) <= MAX_BROADCAST_HOT_KEYS:
-        hot_b = F.broadcast(df.sparkSession.createDataFrame(probe, hot.select(key).schema))
-    else:
-        hot_b = hot.select(key).distinct()
-    normal = assemble(df.join(hot_b, key, "left_anti"), [key], F.col(order)).drop("_first")
-    pieces = assemble(df.join(hot_b, key, "left_semi").withColumn("_piece", F.floor(F.col(order) / piece_width)),
-                      [key, "_piece"], F.col(order))
-    item = F.struct(F.col("_first").alias("_o"), *[F.col(n) for n in names])
+    item = F.struct(F.col(order).alias("_o"), *[c.alias(n) for n, c in fields.items()])
     lst = F.sort_array(F.collect_list(item))
-    merged = pieces.groupBy(key).agg(*[F.array_join(lst.getField(n), sep).alias(n) for n in names],
-                                     F.sum("n").alias("n"))
-    return normal.unionByName(merged)
+    return df.groupBy(key).agg(*[F.array_join(lst.getField(n), sep).alias(n) for n in fields],
+                               F.count(F.lit(1)).alias("n"))
 
 
 def concat_by_admission(notes: DataFrame, key: str = "hadm_id", order: str = "row_id",
                         text: str = "text", category: str = "category", sep: str = " ",
-                        category_value: str | None = None, hot: DataFrame | None = None) -> DataFrame:
+                        category_value: str | None = None) -> DataFrame:
     """A1: per admission, texts (and categories) joined with ``sep`` in ``order``.
 
     The category column ends up as the category name repeated once per note, as in
     the reference.  When every note has the same category (``category_value``), the
-    column is not carried through the shuffle.  ``hot``: admissions to assemble in two
-    levels (see :func:`ordered_concat`).  Output: key, text, category, n_notes.
+    column is not carried through the shuffle.  Output: key, text, category, n_notes.
     """
     fields = {text: F.col(text)}
     if category_value is None:
         fields[category] = F.col(category)
-    out = ordered_concat(notes, key, order, fields, sep, hot)
+    out = ordered_concat(notes, key, order, fields, sep)
     cat = (F.col(category) if category_value is None
            else F.array_join(F.array_repeat(F.lit(category_value), F.col("n").cast("int")), sep))
     return out.select(key, F.col(text), cat.alias(category), F.col("n").cast("bigint").alias("n_notes"))
 
 
 def codes_by_admission(codes: DataFrame, key: str = "hadm_id", seq: str = "seq_num",
-                       code: str = "icd9_code", hot: DataFrame | None = None) -> DataFrame:
-    """A2 + W4: ordered code list per admission: key, code_list (array), codes (comma string).
-
-    ``hot``: admissions with very many code rows, assembled in two levels by
-    :func:`ordered_concat` (their list is rebuilt from the joined string).
-    """
+                       code: str = "icd9_code") -> DataFrame:
+    """A2 + W4: ordered code list per admission: key, code_list (array), codes (comma string)."""
     c = codes.where(F.col(code).isNotNull())
-    if hot is None:
-        lst = F.sort_array(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(code).alias("c"))))
-        return (c.groupBy(key)
-                 .agg(lst.getField("c").alias("code_list"))
-                 .select(key, "code_list", F.array_join("code_list", ",").alias("codes")))
-    # order = (seq, code) packed into one sortable key is not integral; pieces use seq_num
-    joined = ordered_concat(c.withColumn("_ord", F.col(seq).cast("bigint")), key, "_ord",
-                            {"codes": F.col(code)}, ",", hot)
-    return joined.select(key, F.split("codes", ",").alias("code_list"), "codes")
+    lst = F.sort_array(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(code).alias("c"))))
+    return (c.groupBy(key)
+             .agg(lst.getField("c").alias("code_list"))
+             .select(key, "code_list", F.array_join("code_list", ",").alias("codes")))
 
 
 def code_positions(codes: DataFrame, key: str = "hadm_id", seq: str = "seq_num", code: str = "icd9_code",

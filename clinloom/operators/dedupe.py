@@ -23,8 +23,23 @@ def keep_first(df: DataFrame, by: Sequence[str], order: str) -> DataFrame:
 
 
 def dedupe_text(df: DataFrame, text: str = "text", order: str = "row_id") -> DataFrame:
-    """Global keep-first on the text (the first note by ``order`` survives)."""
-    return keep_first(df, [text], order)
+    """Global keep-first on the text (the first note by ``order`` survives).
+
+    Keyed by a 256-bit hash of the text: rows are compared and sorted by the hash, never
+    by whole texts.
+    """
+    hashed = df.withColumn("_text_hash", F.sha2(F.col(text).cast("binary"), 256))
+    return keep_first(hashed, ["_text_hash"], order).drop("_text_hash")
+
+
+def first_rows(df: DataFrame, text: str = "text", order: str = "row_id", carry: str = "hadm_id") -> DataFrame:
+    """W1 without the text: (order, carry) of each different text's first row.
+
+    Fixed-width aggregation buffers (hash aggregates); nothing but the hash, the order
+    and the carried key is shuffled.
+    """
+    return (df.groupBy(F.sha2(F.col(text).cast("binary"), 256).alias("_text_hash"))
+              .agg(F.min(order).alias(order), F.min_by(carry, order).alias(carry)).drop("_text_hash"))
 
 
 def dedupe_studies(df: DataFrame, path: str = "text_path",

@@ -1,8 +1,7 @@
 """Document vectors and the classification head (M1, M5, M6).
 
-Pooling explodes each token vector by dimension and sums per (document, dimension):
-a partial aggregate, so a very long document is combined map-side and spread over
-dimensions rather than gathered into one task.  The head is Spark ML (distributed
+Pooling sums whole token vectors per document with a mergeable aggregate, so a very long
+document is combined map-side and shuffled once.  The head is Spark ML (distributed
 L-BFGS / gradient aggregation), trained on frozen document vectors.
 """
 
@@ -20,21 +19,22 @@ def mean_pool(df: DataFrame, by: str = "doc", vec: str = "embedding", is_pad: st
 
     ``denominator='tokens'`` divides by the number of real tokens (padding zeroed and
     excluded); ``'padded'`` divides by all positions (the padded-length reading, D14).
-    A document made only of padding gets a null vector.
+    A document made only of padding gets a null vector.  The vector sum is a mergeable
+    aggregate: partial sums of whole vectors are shuffled once, by document.
     """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
     if denominator not in ("tokens", "padded"):
         raise ValueError("denominator must be 'tokens' or 'padded'")
     real = ~F.coalesce(F.col(is_pad), F.lit(False))
-    e = df.select(by, real.alias("_real"), F.posexplode(vec).alias("_dim", "_v"))
-    per_dim = e.groupBy(by, "_dim").agg(
-        F.sum(F.when(F.col("_real"), F.col("_v").cast("double")).otherwise(0.0)).alias("_s"),
-        F.count_if(F.col("_real")).alias("_nt"),
-        F.count(F.lit(1)).alias("_na"))
-    den = F.col("_nt") if denominator == "tokens" else F.col("_na")
-    per_dim = per_dim.select(by, "_dim", F.when(den > 0, F.col("_s") / den).alias("_m"), "_nt")
-    return (per_dim.groupBy(by)
-                   .agg(F.sort_array(F.collect_list(F.struct("_dim", "_m"))).getField("_m").alias(out_col),
-                        F.max("_nt").alias("n_tokens")))
+    v = F.col(vec).cast("array<double>")
+    kept = F.when(real, v).otherwise(F.transform(v, lambda _: F.lit(0.0)))
+    rows = df.select(by, real.alias("_real"), array_to_vector(kept).alias("_v"))
+    out = rows.groupBy(by).agg(Summarizer.sum(F.col("_v")).alias("_s"), F.count_if(F.col("_real")).alias("n_tokens"),
+                               F.count(F.lit(1)).alias("_na"))
+    den = F.col("n_tokens") if denominator == "tokens" else F.col("_na")
+    mean = F.transform(vector_to_array("_s"), lambda x: F.when(den > 0, x / den))
+    return out.select(by, mean.alias(out_col), "n_tokens")
 
 
 def to_features(df: DataFrame, vec: str, out_col: str = "features") -> DataFrame:

@@ -1,9 +1,9 @@
 """Joins (J1-J12).
 
 Every join is an equi-join.  Broadcast is used in two ways only:
-  * ``sized_broadcast``: a bounded probe (``limit(max_rows + 1).count()``) proves the
-    side is small before the hint is added; otherwise the join is left to the planner
-    (sort-merge, or AQE's runtime broadcast when the shuffle output turns out small).
+  * ``sized_broadcast``: one aggregate adds up the side's bytes before the hint is added;
+    beyond the bound the join is left to the planner (sort-merge, or AQE's runtime
+    broadcast when the shuffle output turns out small).
   * sides whose size is bounded by construction (a label list of k entries).
 """
 
@@ -14,32 +14,31 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-DEFAULT_BROADCAST_ROWS = 2_000_000
+BROADCAST_BYTES = 64 << 20
 
 
-def is_small(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows.
+def stored_bytes(df: DataFrame) -> int:
+    """Bytes of the rows' values: one aggregate over all rows (partial sums, one row per task)."""
+    size = F.lit(0).cast("long")
+    for f in df.schema.fields:
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if kind in ("string", "binary"):
+            size = size + F.coalesce(F.octet_length(c), F.lit(0)) + F.lit(16)
+        elif kind in ("array", "map", "struct"):
+            size = size + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) + F.lit(16)
+        else:
+            size = size + F.lit(16)
+    return df.agg(F.sum(size)).first()[0] or 0
 
-    The limit applies inside every partition (at most ``max_rows + 1`` rows of each are
-    read, nothing is collected): meant for tables expected to be small -- dictionaries,
-    label sets, derived narrow tables.  For a bound check on a large table use
-    :func:`has_more_rows`."""
-    return df.limit(max_rows + 1).count() <= max_rows
 
+def is_small(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """True when the rows of ``df`` hold at most ``max_bytes`` bytes."""
+    return stored_bytes(df) <= max_bytes
 
-def has_more_rows(df: DataFrame, n: int) -> bool:
-    """True when ``df`` has more than ``n`` rows, reading about ``n + 1`` rows in total.
 
-    A collected limit scans partitions incrementally and stops once it has enough
-    rows (a ``limit().count()`` would apply the limit inside every partition); only a
-    constant column of at most ``n + 1`` rows reaches the driver.
-    """
-    return len(df.select(F.lit(1).alias("_one")).limit(n + 1).collect()) > n
-
-
-def sized_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(df)`` if the row bound holds, else ``df`` unchanged (planner decides)."""
-    return F.broadcast(df) if is_small(df, max_rows) else df
+def sized_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``broadcast(df)`` if the byte bound holds, else ``df`` unchanged (the planner decides)."""
+    return F.broadcast(df) if is_small(df, max_bytes) else df
 
 
 def combine_codes(diag: DataFrame, proc: DataFrame, key: str = "hadm_id", strict: bool = True) -> DataFrame:
@@ -99,7 +98,7 @@ def describe_codes(dx: DataFrame, dictionary: DataFrame, safe: bool = False,
 
     Reference mode joins on the code alone (a code present under two versions fans
     out); ``safe=True`` joins on (code, version).  The dictionary is a code system
-    (bounded); it is broadcast only after the size probe.
+    (bounded); it is broadcast only after the size check.
     """
     keys = [code, version] if safe else [code]
     d = dictionary.select(*keys, title)

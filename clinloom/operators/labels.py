@@ -1,14 +1,14 @@
 """Label encoding and top-k label selection.
 
-Label tables are small by construction (k labels, or a fixed class list), so joins
-against them are broadcast; label frequencies are computed with partial aggregation.
+Label tables are usually small (k labels, a class list); joins broadcast them after a
+check of their bytes; label frequencies are computed with partial aggregation.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The NLI class list and its ids (sorted order of the three names).
@@ -26,22 +26,15 @@ def top_labels(train: DataFrame, k: int = 50, label: str = "label") -> DataFrame
 
 
 def filter_top_labels(df: DataFrame, top: DataFrame, label: str = "label") -> DataFrame:
-    """L3 (+P6): keep rows whose label is one of the top labels (k rows -> broadcast semi-join)."""
-    return df.join(F.broadcast(top.select(label)), on=label, how="left_semi")
-
+    """L3 (+P6): keep rows whose label is one of the given labels (semi-join; broadcast after a size check)."""
+    from clinloom.operators.joins import sized_broadcast
+    return df.join(sized_broadcast(top.select(label)), on=label, how="left_semi")
 
-def fit_labels(labels: DataFrame, label: str = "label", id_col: str = "label_id",
-               max_window_rows: int = 1_000_000) -> DataFrame:
-    """id = position in the sorted list of distinct labels.
 
-    A label set (k labels, a code system) is small: one ordered window numbers it.
-    Beyond ``max_window_rows`` distinct labels the exact distributed rank is used.
-    """
-    from clinloom.operators.joins import is_small
+def fit_labels(labels: DataFrame, label: str = "label", id_col: str = "label_id") -> DataFrame:
+    """id = position in the sorted list of distinct labels (the distributed rank)."""
     from clinloom.operators.ranking import global_rank
     distinct = labels.select(label).where(F.col(label).isNotNull()).distinct()
-    if is_small(distinct, max_window_rows):
-        return distinct.withColumn(id_col, (F.row_number().over(Window.orderBy(label)) - 1).cast("int"))
     return global_rank(distinct, [label], rank_col=id_col).withColumn(id_col, F.col(id_col).cast("int"))
 
 
@@ -93,16 +86,20 @@ def one_hot_columns(df: DataFrame, columns: Sequence[str], out_col: str = "label
     return df.withColumn(out_col, F.array(*[F.col(c).cast("int") for c in columns]))
 
 
-def multi_hot(df: DataFrame, codes_col: str, label_list: Sequence[str], out_col: str = "labels") -> DataFrame:
-    """Comma list of codes -> 0/1 vector over ``label_list`` (k entries, a literal array)."""
-    codes = F.split(F.col(codes_col), ",")
-    labels = F.array(*[F.lit(x) for x in label_list])
-    return df.withColumn(out_col, F.transform(labels, lambda l: F.array_contains(codes, l).cast("int")))
+def multi_hot(df: DataFrame, codes_col: str, labels: DataFrame, key: str = "hadm_id", label: str = "label",
+              id_col: str = "label_id", out_col: str = "labels") -> DataFrame:
+    """Comma list of codes -> 0/1 vector over the label table (``label``, ids 0..k-1).
 
-
-def collect_label_list(top: DataFrame, label: str = "label", max_labels: int = 100_000) -> list[str]:
-    """Bring a label table (bounded by k) to the driver, sorted; refuses oversized tables."""
-    rows = top.select(label).orderBy(label).limit(max_labels + 1).collect()
-    if len(rows) > max_labels:
-        raise ValueError(f"label table exceeds {max_labels} entries")
-    return [r[0] for r in rows]
+    The label table is joined as data: the codes of each row (unique ``key``) meet their
+    ids, and the vector is filled from the ids found.  k may be any number; the vectors
+    hold k entries by definition.
+    """
+    from clinloom.operators.joins import sized_broadcast
+    k = labels.count()
+    table = labels.select(F.col(label).alias("_code"), F.col(id_col).alias("_id"))
+    ids = (df.select(key, F.explode(F.split(F.col(codes_col), ",")).alias("_code"))
+             .join(sized_broadcast(table), "_code").groupBy(key).agg(F.collect_set("_id").alias("_ids")))
+    place = F.sequence(F.lit(0), F.lit(k - 1)) if k else F.array().cast("array<int>")
+    found = F.coalesce(F.col("_ids"), F.array().cast("array<int>"))
+    return (df.join(ids, key, "left")
+              .withColumn(out_col, F.transform(place, lambda i: F.array_contains(found, i).cast("int"))).drop("_ids"))

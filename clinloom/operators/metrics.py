@@ -51,16 +51,20 @@ def confusion(df: DataFrame, actual: str = "actual", predicted: str = "predicted
 
 
 def dense_confusion(cm: DataFrame, labels: DataFrame, actual: str = "actual", predicted: str = "predicted",
-                    label_id: str = "label_id") -> DataFrame:
-    """A9 dense form: every (actual, predicted) pair of the label ids 0..k-1, zero-filled.
+                    label_id: str = "label_id", max_labels: int = 4096) -> DataFrame:
+    """A9 dense form: every (actual, predicted) pair of the label ids, zero-filled.
 
-    ``labels`` is the label table (k rows, ids 0..k-1); the grid is k rows each
-    exploded over ``sequence(0, k-1)`` -- no join between label copies.
+    The ids may be any values.  The grid has k x k cells by definition, so more than
+    ``max_labels`` ids are refused.  Observed pairs with an id outside the list are kept
+    as rows of their own.
     """
-    k = labels.count()
-    grid = labels.select(F.col(label_id).alias(actual),
-                         F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(predicted))
-    return grid.join(cm, [actual, predicted], "left").fillna(0, subset=["n"])
+    ids = [r[0] for r in labels.select(label_id).distinct().orderBy(label_id).limit(max_labels + 1).collect()]
+    if len(ids) > max_labels:
+        raise ValueError(f"a dense confusion table of more than {max_labels} labels")
+    kind = labels.schema[label_id].dataType
+    one = labels.select(F.col(label_id).alias(actual)).where(F.col(actual).isNotNull()).distinct()
+    grid = one.withColumn(predicted, F.explode(F.array(*[F.lit(i).cast(kind) for i in ids if i is not None])))
+    return grid.join(cm, [actual, predicted], "full").fillna(0, subset=["n"])
 
 
 def normalise_confusion(cm: DataFrame, actual: str = "actual", by: Sequence[str] = (), digits: int = 2) -> DataFrame:
@@ -121,8 +125,8 @@ def mean_over_batches(per_batch: DataFrame) -> DataFrame:
 
 
 def accuracy(df: DataFrame, actual: str = "actual", predicted: str = "predicted") -> DataFrame:
-    """Share of rows whose prediction equals the label."""
-    return df.agg(F.avg((F.col(actual) == F.col(predicted)).cast("double")).alias("accuracy"),
+    """Share of rows whose prediction equals the label (a null prediction is a wrong one)."""
+    return df.agg(F.avg(F.coalesce(F.col(actual) == F.col(predicted), F.lit(False)).cast("double")).alias("accuracy"),
                   F.count(F.lit(1)).alias("n"))
 
 
@@ -131,6 +135,11 @@ def mean_loss(df: DataFrame, loss: str = "loss") -> DataFrame:
     return df.agg(F.avg(loss).alias("mean_loss"), (F.avg(loss) / F.lit(math.log(2))).alias("bpc"))
 
 
+def mean_of_batch_losses(per_batch: DataFrame, loss: str = "loss") -> DataFrame:
+    """A14, evaluation-loss form: the mean over batches of each batch's mean loss."""
+    return per_batch.agg(F.avg(loss).alias("batch_mean_loss"))
+
+
 def metrics_long(wide: DataFrame, prefix: str = "test_") -> DataFrame:
     """K6 helper: one (metric, value) row per metric, sorted by name at the sink."""
     cols = [c for c in wide.columns]

@@ -15,23 +15,21 @@ Helpers, chosen by the shape of the order key and by what is needed:
     must be unique (rank distinct keys first otherwise).
 
 ``global_rank`` -- any total order.  ``repartitionByRange`` cuts the data into sorted,
-    balanced partitions; rows are numbered inside each partition (on the JVM from the
-    partition-local id generator, or -- with a weight to sum -- by a vectorised
-    ``mapInPandas`` pass); the result is checkpointed (so sampled range bounds are fixed
-    once and lineage is cut) and the per-partition totals (one row per partition)
-    become offsets that are broadcast back.  Ties must be broken by a unique column.
+    balanced partitions; rows are numbered inside each partition from the partition-local
+    id generator and written once (so sampled range bounds are fixed and lineage is cut);
+    a weight is summed by a window per range partition, and the per-partition totals (one
+    row per partition) become offsets that are broadcast back.  Pass narrow rows (key and
+    weight) and join the rest.  Ties must be broken by a unique column.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from clinloom.session import ensure_checkpoint_dir
+from clinloom.session import materialise
 
 
 def seeded_hash(seed: int | str, *cols: str | Column) -> Column:
@@ -70,8 +68,10 @@ def hash_rank(df: DataFrame, hash_col: str, tiebreak: Sequence[str] = (), rank_c
     if weight:
         ranked = ranked.withColumn("__lw", F.coalesce(
             F.sum(w).over(inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    # offs is bounded by construction (bucket count x group count).
-    out = ranked.join(F.broadcast(offs), [*by, b]).withColumn(rank_col, (F.col("__off") + F.col("__lr")).cast("bigint"))
+    # bucket count x group count rows: bounded without ``by``, checked with it
+    from clinloom.operators.joins import sized_broadcast
+    offs = sized_broadcast(offs) if by else F.broadcast(offs)
+    out = ranked.join(offs, [*by, b]).withColumn(rank_col, (F.col("__off") + F.col("__lr")).cast("bigint"))
     if weight:
         out = out.withColumn(offset_col, (F.col("__woff") + F.col("__lw")).cast("bigint"))
     if total_col:
@@ -88,49 +88,24 @@ def global_rank(df: DataFrame, order_cols: Sequence[str], weight: str | None = N
     exclusive running sum ``offset_col`` (sum of weights of all earlier rows).
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
     n_parts = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     parted = df.repartitionByRange(n_parts, *[F.col(c) for c in order_cols]).sortWithinPartitions(*order_cols)
-    if weight is None:
-        # Row numbers inside each sorted range partition, on the JVM: the id generator
-        # counts rows per partition in iteration order (upper bits = partition index).
-        pid = F.spark_partition_id()
-        numbered = (parted.withColumn("_pid", pid)
-                          .withColumn("_lr", F.monotonically_increasing_id() - F.shiftleft(pid.cast("bigint"), 33))
-                          .withColumn("_lw", F.lit(0).cast("bigint"))
-                          .checkpoint(eager=True))
-        return _apply_offsets(numbered, None, rank_col, offset_col)
-    schema = T.StructType(df.schema.fields + [T.StructField("_pid", T.IntegerType(), False),
-                                              T.StructField("_lr", T.LongType(), False),
-                                              T.StructField("_lw", T.LongType(), False)])
-    wname = weight
-
-    def number(batches):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        r = 0
-        w = 0
-        for pdf in batches:
-            k = len(pdf)
-            pdf["_pid"] = np.int32(pid)
-            pdf["_lr"] = np.arange(r, r + k, dtype=np.int64)
-            if wname is not None:
-                vals = pdf[wname].fillna(0).astype(np.int64).to_numpy()
-                cs = np.cumsum(vals)
-                pdf["_lw"] = w + cs - vals
-                if k:
-                    w += int(cs[-1])
-            else:
-                pdf["_lw"] = pdf["_lr"]
-            r += k
-            yield pdf
-
-    numbered = parted.mapInPandas(number, schema).checkpoint(eager=True)
-    return _apply_offsets(numbered, wname, rank_col, offset_col)
-
-
-def _apply_offsets(numbered: DataFrame, wname: str | None, rank_col: str, offset_col: str | None) -> DataFrame:
-    totals = numbered.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"),
+    # Row numbers inside each sorted range partition, on the JVM: the id generator counts
+    # rows per partition in iteration order (upper bits = partition index).
+    pid = F.spark_partition_id()
+    numbered = materialise(parted.withColumn("_pid", pid)
+                           .withColumn("_lr", F.monotonically_increasing_id() - F.shiftleft(pid.cast("bigint"), 33)),
+                           "ranked")
+    lw = F.lit(0).cast("bigint")
+    if weight is not None:
+        before = Window.partitionBy("_pid").orderBy("_lr").rowsBetween(Window.unboundedPreceding, -1)
+        lw = F.coalesce(F.sum(weight).over(before), F.lit(0)).cast("bigint")
+    return _apply_offsets(numbered.withColumn("_lw", lw), numbered, weight, rank_col, offset_col)
+
+
+def _apply_offsets(numbered: DataFrame, rows: DataFrame, wname: str | None, rank_col: str,
+                   offset_col: str | None) -> DataFrame:
+    totals = rows.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"),
                                           F.sum(F.col(wname) if wname else F.lit(0)).alias("_w"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = totals.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_rb"),

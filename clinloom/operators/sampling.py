@@ -19,16 +19,6 @@ def _keys(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def split_sizes(n: Column, test_frac: float = 0.2, val_frac_of_pool: float = 0.25):
-    """Exact part sizes of the two-stage split: pool = round(n*(1-test)), val = round(pool*vf).
-
-    ``bround`` is Python's ``round`` (half to even), which pandas' ``sample(frac=)`` uses.
-    """
-    pool = F.bround(n.cast("double") * F.lit(1.0 - test_frac), 0).cast("bigint")
-    val = F.bround(pool.cast("double") * F.lit(val_frac_of_pool), 0).cast("bigint")
-    return pool, val
-
-
 def split_exact(df: DataFrame, key: str | Sequence[str], seed: int = 42, test_frac: float = 0.2,
                 val_frac_of_pool: float = 0.25, split_col: str = "split",
                 names: tuple[str, str, str] = ("train", "validate", "test")) -> DataFrame:
@@ -76,14 +66,16 @@ def holdout(df: DataFrame, key: str | Sequence[str], test_size: float = 0.10, se
             split_col: str = "split", names: tuple[str, str] = ("train", "validate")) -> DataFrame:
     """Two-way exact split; the held-out part has ceil(n * test_size) rows (sklearn rule).
 
-    Same cut-row method as :func:`split_exact` (no shuffle of the rows)."""
+    Same cut-row method as :func:`split_exact` (no shuffle of the rows); ties of the first
+    hash are broken by a second one, so only hashes reach the driver, never key values."""
     import math
     ks = _keys(key)
-    hashed = df.withColumn("_h", seeded_hash(seed, *ks))
+    second = F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in ks]).cast("binary"), 256)
+    hashed = df.withColumns({"_h": seeded_hash(seed, *ks), "_h2": second})
     counts = bucket_counts(hashed, "_h")
-    cut = row_at_rank(hashed, "_h", ks, counts, math.ceil(sum(c for _, c in counts) * test_size))
-    part = F.when(lex_less(["_h", *ks], cut), F.lit(names[1])).otherwise(F.lit(names[0]))
-    return hashed.withColumn(split_col, part).drop("_h")
+    cut = row_at_rank(hashed, "_h", ["_h2"], counts, math.ceil(sum(c for _, c in counts) * test_size))
+    part = F.when(lex_less(["_h", "_h2"], cut), F.lit(names[1])).otherwise(F.lit(names[0]))
+    return hashed.withColumn(split_col, part).drop("_h", "_h2")
 
 
 def sample_n(df: DataFrame, n: int, key: str | Sequence[str], seed: int = 42) -> DataFrame:
@@ -131,10 +123,23 @@ def assign_batches(df: DataFrame, size: int, key: str | Sequence[str], seed: int
     return ranked.withColumn(batch_col, F.floor(F.col(rank_col) / F.lit(size)).cast("bigint"))
 
 
-def bucket_by_length(df: DataFrame, size: int, length_col: str, key: str | Sequence[str],
-                     batch_col: str = "batch_id") -> DataFrame:
-    """U8: batches of similar length: rank by (length, key), then cut every ``size`` rows."""
-    return assign_batches(df, size, key, order=[length_col], batch_col=batch_col)
+def bucket_by_length(df: DataFrame, size: int | dict[str, int], length_col: str, key: str | Sequence[str],
+                     batch_col: str = "batch_id", split_col: str = "split") -> DataFrame:
+    """U8: batches of similar length: rank by (length, key), then cut every ``size`` rows.
+
+    With a dict, every split (``split_col``) is ranked on its own and cut by its own size,
+    e.g. ``{"train": 16, "dev": 256, "test": 256}``; rows of other splits are refused.
+    """
+    if isinstance(size, int):
+        return assign_batches(df, size, key, order=[length_col], batch_col=batch_col)
+    out = None
+    for name, n in size.items():
+        part = assign_batches(df.where(F.col(split_col) == F.lit(name)), n, key, order=[length_col],
+                              batch_col=batch_col)
+        out = part if out is None else out.unionByName(part)
+    if not df.where(~F.coalesce(F.col(split_col).isin(list(size)), F.lit(False))).isEmpty():
+        raise ValueError("a row's split has no batch size")
+    return out
 
 
 def shard(df: DataFrame, world_size: int, rank_col: str = "position", shard_col: str = "worker") -> DataFrame:

@@ -4,15 +4,14 @@ No pretrained vocabulary ships with the data, so the vocabulary is built from th
 corpus (A15); an external tokenizer can be plugged in through ``hooks.apply_tokenizer``.
 
 Scale notes
-  * encoding joins exploded tokens to the vocabulary: a vocabulary within
-    ``head_size`` entries is broadcast whole; a larger one has its ``head_size`` most
-    frequent entries broadcast and only the rare tail shuffle-joined.  Frequent tokens
-    are the hot keys, so skew never reaches the shuffle.
+  * tokens are never shuffled: encoding maps whole token arrays in place (Arrow batches)
+    against the vocabulary's most frequent entries, broadcast within a byte bound; only the
+    distinct tokens of a row that miss them are joined with the rare tail, one row each.
   * block packing never explodes per token: each document explodes once per block it
     overlaps, and a block gathers at most ``block`` document pieces.
-  * global order never comes from a window over the data: vocabulary ids use one
-    ordered window only when the vocabulary is proven bounded, else ``global_rank``;
-    document offsets come from hash buckets (hash order) or ``global_rank``.
+  * global order never comes from a window over the data: vocabulary ids come from
+    ``global_rank``; document offsets come from hash buckets (hash order) or
+    ``global_rank`` over (key, length) only and join the id arrays afterwards.
 """
 
 from __future__ import annotations
@@ -22,7 +21,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from clinloom.operators.joins import sized_broadcast
 from clinloom.operators.ranking import global_rank, hash_rank
+from clinloom.session import materialise
 
 # Fixed ids of the special tokens of the corpus vocabulary (this library's choice).
 PAD_ID, UNK_ID, CLS_ID, SEP_ID, MASK_ID = 0, 1, 2, 3, 4
@@ -40,77 +41,109 @@ def tokenize(c: Column, lower: bool = True) -> Column:
     return F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(TOKEN_PATTERN), 0)
 
 
-def build_vocab(df: DataFrame, tokens: str = "tokens", min_count: int = 1, max_size: int | None = None,
-                max_window_rows: int = 1_000_000) -> DataFrame:
+def build_vocab(df: DataFrame, tokens: str = "tokens", min_count: int = 1, max_size: int | None = None) -> DataFrame:
     """Token -> id by descending frequency, ties by token; ids start after the specials.
 
-    Counting is a partial aggregate, written once to the checkpoint folder.  A
-    vocabulary proven to hold at most ``max_window_rows`` entries is numbered by one
-    ordered window; a larger one by the exact distributed rank.  ``max_size`` caps the
+    Counting is a partial aggregate; ids are the distributed rank.  ``max_size`` caps the
     vocabulary size (total ids including specials), a parameter of the vocabulary
     itself.  Output: token, n, id.
     """
-    from pyspark.sql import Window
-
-    from clinloom.operators.joins import is_small
     counts = (df.select(F.explode(tokens).alias("token"))
                 .groupBy("token").agg(F.count(F.lit(1)).alias("n"))
                 .where(F.col("n") >= min_count)
-                .withColumn("_neg", -F.col("n"))
-                .checkpoint(eager=True))
-    if is_small(counts, max_window_rows):
-        ranked = counts.withColumn("_r", F.row_number().over(Window.orderBy("_neg", "token")) - 1)
-    else:
-        ranked = global_rank(counts, ["_neg", "token"], rank_col="_r")
+                .withColumn("_neg", -F.col("n")))
+    ranked = global_rank(counts, ["_neg", "token"], rank_col="_r")
     out = ranked.select("token", "n", (F.col("_r") + N_SPECIAL).cast("int").alias("id"))
     if max_size is not None:
         out = out.where(F.col("id") < max_size)
     return out
 
 
-def _lookup(exploded: DataFrame, vocab: DataFrame, head_size: int) -> DataFrame:
-    """token -> id for exploded rows, unknown -> UNK.
+HEAD_BYTES = 64 << 20
+
+
+def _head_limit(vocab: DataFrame, head_bytes: int) -> int | None:
+    """None when the whole vocabulary holds at most ``head_bytes``; else the id below which it does."""
+    size = vocab.agg(F.sum(F.octet_length("token") + F.lit(20)).alias("b"), F.max("id").alias("m"),
+                     F.max(F.octet_length("token") + F.lit(20)).alias("w")).first()
+    if (size["b"] or 0) <= head_bytes:
+        return None
+    # ids follow the frequency; an id range of bytes / longest entry is safe for any lengths
+    low, high = N_SPECIAL + max(1, head_bytes // size["w"]), size["m"] + 1
+    while high - low > max(1, low // 8):                     # a few aggregates: the largest range within the bound
+        mid = (low + high) // 2
+        b = vocab.where(F.col("id") < mid).agg(F.sum(F.octet_length("token") + F.lit(20))).first()[0] or 0
+        low, high = (mid, high) if b <= head_bytes else (low, mid)
+    return low
 
-    A vocabulary within ``head_size`` entries (size probe) is broadcast whole: one
-    pass, no shuffle of token rows.  A larger one is split: the ``head_size`` most
-    frequent entries are broadcast (the hot tokens never reach a shuffle) and only the
-    rows that miss them are shuffle-joined with the rare tail.
+
+def _map_arrays(df: DataFrame, head, token_cols: Sequence[str], suffix: str, found: str | None) -> DataFrame:
+    """Replace token arrays by id arrays in place.
+
+    A token outside ``head`` takes its id from the row's ``found`` map (token -> id), if that
+    is given and holds it, else UNK.
     """
-    from clinloom.operators.joins import is_small
-    v = vocab.select("token", "id")
-    if is_small(v, head_size):
-        hit = exploded.join(F.broadcast(v), "token", "left")
-        return hit.withColumn("id", F.when(F.col("token").isNull(), F.lit(None))
-                              .otherwise(F.coalesce("id", F.lit(UNK_ID))))
-    head = v.where(F.col("id") < N_SPECIAL + head_size)
-    tail = v.where(F.col("id") >= N_SPECIAL + head_size)
-    first = exploded.join(F.broadcast(head), "token", "left")
-    hit = first.where(F.col("id").isNotNull() | F.col("token").isNull())
-    miss = first.where(F.col("id").isNull() & F.col("token").isNotNull()).drop("id").join(tail, "token", "left")
-    return hit.unionByName(miss).withColumn(
-        "id", F.when(F.col("token").isNull(), F.lit(None)).otherwise(F.coalesce("id", F.lit(UNK_ID))))
+    from pyspark.sql import types as T
+    others = [f for f in df.schema.fields if f.name not in token_cols and f.name != found]
+    schema = T.StructType(others + [T.StructField(c + suffix, T.ArrayType(T.IntegerType())) for c in token_cols])
+
+    def convert(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        words, ids = head.value
+        for batch in batches:
+            out = [batch.column(f.name) for f in others]
+            for c in token_cols:
+                col = batch.column(c)
+                size = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+                off = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                flat = col.flatten()
+                at = pc.index_in(flat, value_set=words)
+                hit = at.is_valid().to_numpy(zero_copy_only=False)
+                got = np.full(len(flat), -1, np.int32)
+                got[hit] = ids[at.fill_null(0).to_numpy(zero_copy_only=False)[hit]]
+                if found is not None and not hit.all():
+                    maps = batch.column(found)
+                    held: dict = {}
+                    for i in np.flatnonzero(~hit).tolist():
+                        row = int(np.searchsorted(off, i, side="right")) - 1
+                        if row not in held:
+                            held[row] = dict(maps[row].as_py() or ())
+                        got[i] = held[row].get(flat[i].as_py(), UNK_ID)
+                got[got < 0] = UNK_ID
+                out.append(pa.ListArray.from_arrays(pa.array(off), pa.array(got)))
+            yield pa.RecordBatch.from_arrays(out, names=[f.name for f in others] + [c + suffix for c in token_cols])
+
+    return df.mapInArrow(convert, schema)
 
 
 def encode(df: DataFrame, key: Sequence[str] | str, token_cols: Sequence[str], vocab: DataFrame,
-           head_size: int = 1_000_000, suffix: str = "_ids", carry: Sequence[str] = ()) -> DataFrame:
-    """Q2: token arrays -> id arrays for one or more token columns in one pass.
+           head_bytes: int = HEAD_BYTES, suffix: str = "_ids", carry: Sequence[str] = ()) -> DataFrame:
+    """Q2: token arrays -> id arrays for one or more token columns in one pass; unknown -> UNK.
 
-    ``key`` must be unique per row.  ``carry`` names small columns (labels, split)
-    that travel with the key through the regrouping, so nothing is joined back.
+    ``key`` must be unique per row.  ``carry`` names columns that stay with the row.  The
+    vocabulary's most frequent entries within ``head_bytes`` are broadcast and arrays are
+    mapped in place; where the vocabulary is larger, the distinct tokens of a row that miss
+    them -- and no others -- are joined with the tail and come back as one map per row.
     Output: key columns + carry columns + ``<col><suffix>`` per token column.
     """
     keys = [key] if isinstance(key, str) else list(key)
     extra = [c for c in carry if c not in keys]
-    parts = None
-    for side, c in enumerate(token_cols):
-        p = df.select(*keys, *extra, F.lit(side).alias("_side"), F.posexplode_outer(c).alias("_pos", "token"))
-        parts = p if parts is None else parts.unionByName(p)
-    looked = _lookup(parts, vocab, head_size)
-    item = F.struct(F.col("_pos").alias("p"), F.col("id").alias("i"))
-    # one ordered list per token column; collect_list skips the nulls of empty arrays
-    lists = [F.sort_array(F.collect_list(F.when((F.col("_side") == side) & F.col("_pos").isNotNull(), item)))
-             .getField("i").alias(c + suffix) for side, c in enumerate(token_cols)]
-    return looked.groupBy(*keys, *extra).agg(*lists)
+    cols = list(token_cols)
+    rows = df.select(*keys, *extra, *cols)
+    v = vocab.select("token", "id")
+    limit = _head_limit(v, head_bytes)
+    table = (v if limit is None else v.where(F.col("id") < limit)).toArrow()
+    words = table.column("token").combine_chunks()
+    head = df.sparkSession.sparkContext.broadcast((words, table.column("id").to_numpy()))
+    if limit is None:
+        return _map_arrays(rows, head, cols, suffix, None)
+    used = F.array_distinct(F.flatten(F.array(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in cols])))
+    tail = v.where(F.col("id") >= limit)
+    found = (rows.select(*keys, F.explode(used).alias("token")).join(tail, "token")
+             .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("_found")))
+    return _map_arrays(rows.join(found, keys, "left"), head, cols, suffix, "_found")
 
 
 def truncate(c: Column, max_len: int, reserve: int = 2) -> Column:
@@ -144,6 +177,19 @@ def pad(c: Column, length: int | Column, value: int = PAD_ID) -> Column:
     return F.concat(c, F.array_repeat(F.lit(value), F.greatest(n - F.size(c), F.lit(0))))
 
 
+def pad_longest(df: DataFrame, ids: str, batch: str = "batch_id", value: int = PAD_ID,
+                max_len: int | None = None, out_col: str = "input_ids") -> DataFrame:
+    """Q6, ``longest`` mode: pad each row to the longest row of its batch (at most ``max_len``).
+
+    The batch maximum is a grouped aggregate (one row per batch) joined back.
+    """
+    size = F.size(ids) if max_len is None else F.least(F.size(ids), F.lit(max_len))
+    longest = df.groupBy(batch).agg(F.max(size).alias("_longest"))
+    return (df.join(longest, batch)
+              .withColumn(out_col, pad(F.slice(F.col(ids), 1, F.col("_longest")), F.col("_longest"), value))
+              .drop("_longest"))
+
+
 def length_mask(n: Column, length: int) -> Column:
     """Q8: 1 for positions below ``n``, 0 after, ``length`` positions."""
     ones = F.least(F.greatest(n, F.lit(0)), F.lit(length))
@@ -180,32 +226,22 @@ def line_blocks(df: DataFrame, ids: str, block: int) -> DataFrame:
 
 
 def pack_blocks(df: DataFrame, order: str, ids: str, block: int, add_special: bool = True,
-                order_is_hash: bool = False, max_broadcast_docs: int = 2_000_000) -> DataFrame:
+                order_is_hash: bool = False) -> DataFrame:
     """Q9: concatenate every document's ids in ``order``, cut blocks, drop the short tail.
 
     With ``add_special`` each block holds ``block - 2`` content ids wrapped in
     [CLS] ... [SEP] (the text-dataset rule).  ``order`` must be unique.
     ``order_is_hash``: the order column is a uniform hex hash (e.g. md5 of the text);
-    offsets then come from hash buckets (no sampling, no Python) over the encoded
-    corpus written once to the checkpoint folder.
-    Output: block_id, input_ids.
+    offsets then come from hash buckets instead of a range partitioning.  Either way they
+    are computed on (order, length) alone and joined to the id arrays, which are written
+    once.  Output: block_id, input_ids.
     """
     size = block - 2 if add_special else block
-    docs = df.select(order, ids, F.size(ids).alias("_n")).where(F.col("_n") > 0)
-    if order_is_hash:
-        from clinloom.operators.joins import is_small
-        docs = docs.checkpoint(eager=True)
-        narrow = docs.select(order, "_n")
-        if is_small(narrow, max_broadcast_docs):
-            # offsets computed on (key, length) only, then broadcast to the id arrays:
-            # the arrays are not shuffled for the ranking window
-            offs = hash_rank(narrow, order, rank_col="_doc", total_col=None, weight="_n", offset_col="_off")
-            docs = docs.join(F.broadcast(offs.select(order, "_off")), order)
-        else:
-            docs = hash_rank(docs, order, rank_col="_doc", total_col=None, weight="_n", offset_col="_off")
-    else:
-        # the ids travel with the rank pass (materialised once by its checkpoint)
-        docs = global_rank(docs, [order], weight="_n", rank_col="_doc", offset_col="_off")
+    docs = materialise(df.select(order, ids, F.size(ids).alias("_n")).where(F.col("_n") > 0), "encoded")
+    narrow = docs.select(order, "_n")
+    offs = (hash_rank(narrow, order, rank_col="_doc", total_col=None, weight="_n", offset_col="_off")
+            if order_is_hash else global_rank(narrow, [order], weight="_n", rank_col="_doc", offset_col="_off"))
+    docs = docs.join(sized_broadcast(materialise(offs.select(order, "_off"), "offsets")), order)
     first_b = F.floor(F.col("_off") / size)
     last_b = F.floor((F.col("_off") + F.col("_n") - 1) / size)
     pieces = docs.select(order, ids, "_off", "_n", F.explode(F.sequence(first_b, last_b)).alias("block_id"))
@@ -223,8 +259,8 @@ def pack_blocks(df: DataFrame, order: str, ids: str, block: int, add_special: bo
     return blocks
 
 
-def _unit(h: Column, start: int) -> Column:
-    return F.conv(F.substring(h, start, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
+# The draws' generator works modulo this prime: products stay below 2**62.
+_PRIME = 2147483647
 
 
 def mask_tokens(df: DataFrame, ids: str, block_key: str, vocab_size: int, seed: int = 42,
@@ -233,26 +269,30 @@ def mask_tokens(df: DataFrame, ids: str, block_key: str, vocab_size: int, seed:
 
     Non-special positions are chosen with probability ``p``; of those 80% become
     [MASK], 10% a random id in [N_SPECIAL, vocab_size), 10% stay.  Labels hold the
-    original id at chosen positions and -100 elsewhere.  One md5 per position drives
-    the three draws (hex digits 1-8, 9-16, 17-24).
+    original id at chosen positions and -100 elsewhere.  One md5 per block seeds it; a
+    position's three draws follow by squaring and multiplying modulo a prime (integer
+    arithmetic only, as higher-order functions are interpreted).
     """
     span = vocab_size - N_SPECIAL
-    # Higher-order functions are interpreted (no common-subexpression elimination inside
-    # a lambda), so the md5 of each position is computed once in its own pass and the
-    # draws read it from the struct; the two outputs are field extractions.
-    hashed = F.transform(F.col(ids), lambda x, i: F.struct(
-        x.alias("x"),
-        F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(block_key).cast("string"), i.cast("string"))).alias("h")))
+    prime = F.lit(_PRIME).cast("bigint")
+    start = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(block_key).cast("string"))), 1, 7),
+                   16, 10).cast("bigint")
+
+    def first(x, i):
+        a = (F.col("_start") + (i.cast("bigint") + 1) * 48271) % prime
+        b = (a * a + 12345) % prime
+        return F.struct(x.alias("x"), ((b * b + i) % prime).alias("s"))
 
     def draw(d):
-        x, h = d["x"], d["h"]
-        chosen = (_unit(h, 1) < p) & (x >= N_SPECIAL)
-        v = _unit(h, 9)
-        r = F.conv(F.substring(h, 17, 8), 16, 10).cast("bigint")
-        masked = (F.when(~chosen, x).when(v < 0.8, F.lit(MASK_ID))
-                   .when(v < 0.9, (F.lit(N_SPECIAL) + F.pmod(r, F.lit(span))).cast("int")).otherwise(x))
+        x, s = d["x"], d["s"]
+        chosen = (s < int(p * _PRIME)) & (x >= N_SPECIAL)
+        v = (s * 48271) % prime
+        masked = (F.when(~chosen, x).when(v < int(0.8 * _PRIME), F.lit(MASK_ID))
+                   .when(v < int(0.9 * _PRIME), (F.lit(N_SPECIAL) + ((v * 69621) % prime) % span).cast("int"))
+                   .otherwise(x))
         return F.struct(masked.alias("m"), F.when(chosen, x).otherwise(F.lit(IGNORE_LABEL)).alias("l"))
 
-    drawn = df.withColumn("_hashed", hashed).withColumn("_mask", F.transform("_hashed", draw))
+    drawn = (df.withColumn("_start", start).withColumn("_draws", F.transform(F.col(ids), first))
+               .withColumn("_mask", F.transform("_draws", draw)))
     return (drawn.withColumn("masked_ids", F.col("_mask.m")).withColumn("labels", F.col("_mask.l"))
-                 .drop("_mask", "_hashed"))
+                 .drop("_mask", "_draws", "_start"))

@@ -21,14 +21,15 @@ from clinloom.operators.labels import (NLI_LABELS, encode_labels, filter_top_lab
                                        top_labels)
 from clinloom.operators.sampling import assign_batches
 from clinloom.operators.sequences import build_vocab, encode, pair_features, tokenize
+from clinloom.session import materialise
 
 
 def pair_dataset(pairs: DataFrame, max_len: int = 128, on_unknown: str = "keep", vocab: DataFrame | None = None):
     """(features, vocab).  ``pairs``: pair_id, sentence1, sentence2, gold_label, split."""
     # tokenised once, reused by the vocabulary and the encoding
-    tok = pairs.select("pair_id", "split", "gold_label",
-                       tokenize(F.col("sentence1")).alias("a"),
-                       tokenize(F.col("sentence2")).alias("b")).checkpoint(eager=True)
+    tok = materialise(pairs.select("pair_id", "split", "gold_label",
+                                   tokenize(F.col("sentence1")).alias("a"),
+                                   tokenize(F.col("sentence2")).alias("b")), "pairs")
     if vocab is None:
         train = tok.where(F.col("split") == "train")
         both = train.select(F.concat("a", "b").alias("tokens"))
@@ -48,7 +49,7 @@ def top_label_dataset(rows: DataFrame, k: int = 50, batch_size: int = 12, seed:
     top = top_labels(rows.where(F.col("split") == "train"), k, label)
     kept = filter_top_labels(rows, top, label)
     # written once: the batch ranking reads it twice (bucket counts, then ranks)
-    enc = encode_labels(kept, fit_labels(top, label), label, "label_id", on_unknown="error").checkpoint(eager=True)
+    enc = materialise(encode_labels(kept, fit_labels(top, label), label, "label_id", on_unknown="error"), "labelled")
     return assign_batches(enc, batch_size, key, seed=seed, epoch=0, by=["split"])
 
 
@@ -67,8 +68,8 @@ def evaluate(scored: DataFrame, predicted: str = "predicted", prefix: str = "tes
     """
     s = scored_rows(scored)
     # written once (batches x classes^2 rows): every metric below reads this table
-    cells = s.groupBy("batch_id", "actual", predicted).agg(F.count(F.lit(1)).alias("n"),
-                                                           F.sum("loss").alias("loss_sum")).checkpoint(eager=True)
+    cells = materialise(s.groupBy("batch_id", "actual", predicted).agg(F.count(F.lit(1)).alias("n"),
+                                                                       F.sum("loss").alias("loss_sum")), "cells")
     corpus_cm = cells.groupBy("actual", predicted).agg(F.sum("n").alias("n"))
     corpus = M.weighted_from_stats(M.class_stats_from_confusion(corpus_cm, "actual", predicted)).drop("n")
     per_batch = M.weighted_from_stats(M.class_stats_from_confusion(cells, "actual", predicted, ["batch_id"]),
@@ -77,7 +78,9 @@ def evaluate(scored: DataFrame, predicted: str = "predicted", prefix: str = "tes
     batch = batch.select(*[F.col(c).alias("batch_" + c) for c in batch.columns])
     mean = F.sum("loss_sum") / F.sum("n")
     loss = cells.agg(mean.alias("mean_loss"), (mean / F.lit(math.log(2))).alias("bpc"))
+    batch_loss = M.mean_of_batch_losses(cells.groupBy("batch_id").agg(mean.alias("loss")), "loss")
     rows = (M.metrics_long(corpus, prefix)
             .unionByName(M.metrics_long(batch, prefix))
-            .unionByName(M.metrics_long(loss, prefix)))
+            .unionByName(M.metrics_long(loss, prefix))
+            .unionByName(M.metrics_long(batch_loss, prefix)))
     return rows

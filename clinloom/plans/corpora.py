@@ -22,6 +22,7 @@ from clinloom.operators.joins import attach_annotations, exclude_annotated, only
 from clinloom.operators.labels import one_hot_columns
 from clinloom.operators.sampling import holdout, sample_n, split_hash
 from clinloom.operators.sequences import build_vocab, encode, mask_tokens, pack_blocks, tokenize
+from clinloom.session import materialise
 
 
 def union_corpora(notes: DataFrame, reports: DataFrame) -> DataFrame:
@@ -34,13 +35,13 @@ def mlm_corpus(notes: DataFrame, reports: DataFrame, annotations: DataFrame, see
     """Distinct cleaned texts with a ``split`` column (train / validate).
 
     ``notes``: (row_id, text); ``reports``: (path, text); ``annotations``: (row_id, ...).
-    The distinct corpus is checkpointed before the exact split (the split needs its
+    The distinct corpus is written once before the exact split (the split needs its
     size, and the cleaning must not run twice).
     """
     kept = exclude_annotated(notes.select("row_id", "text"), annotations)
     allrows = union_corpora(kept, reports.select("text"))
     cleaned = allrows.where(F.col("text").isNotNull()).select(clean_text(F.col("text"), "mlm").alias("text"))
-    corpus = distinct_corpus(cleaned).checkpoint(eager=True)
+    corpus = materialise(distinct_corpus(cleaned), "corpus")
     return holdout(corpus, "text", test_size=val_size, seed=seed)
 
 
@@ -64,8 +65,8 @@ def pretraining_blocks(corpus: DataFrame, block: int = 128, min_count: int = 1,
                        vocab: DataFrame | None = None, mask: bool = True):
     """(blocks, vocab).  ``corpus``: (text) with unique texts; order = md5 of the text."""
     # tokenised once (regex work is the CPU-heavy part) and reused by vocabulary and encoding
-    docs = corpus.select(F.md5(F.col("text")).alias("doc_key"),
-                         tokenize(F.col("text")).alias("tokens")).checkpoint(eager=True)
+    docs = materialise(corpus.select(F.md5(F.col("text")).alias("doc_key"),
+                                     tokenize(F.col("text")).alias("tokens")), "tokens")
     if vocab is None:
         vocab = build_vocab(docs, "tokens", min_count=min_count)   # materialised by its rank pass
     ids = encode(docs, "doc_key", ["tokens"], vocab)

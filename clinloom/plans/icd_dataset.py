@@ -2,8 +2,8 @@
 
 Plan shape:
   notes --not-null(P3), category(P4) on the raw columns--> clean(T8, one Project)
-        --> keep-first text(W1, partial aggregate, exchange on text)
-        --> per-admission concat(A1, exchange on hadm_id; hot admissions in two levels)
+        --> written once; first row of each text(W1, on the text's hash: no text shuffled)
+        --> per-admission concat(A1, exchange on hadm_id) of the rows that survive
   diag/proc --seq filter(P5)--> per-admission code list(A2, exchange on hadm_id)
   --> 3-way inner join on hadm_id (J3: reuses the three hash partitionings)
   --> written once to the checkpoint folder
@@ -17,17 +17,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from clinloom.functions.text import NOTE_CATEGORIES, clean_text
-from clinloom.operators.aggregates import codes_by_admission, concat_by_admission, hot_keys
-from clinloom.operators.dedupe import dedupe_text
+from clinloom.functions.text import NOTE_CATEGORIES, clean_text, trim_category
+from clinloom.operators.aggregates import codes_by_admission
+from clinloom.operators.dedupe import first_rows
 from clinloom.operators.filters import drop_missing, filter_category, filter_seq
-from clinloom.operators.joins import has_more_rows, labelled_admissions
+from clinloom.operators.joins import labelled_admissions
 from clinloom.operators.sampling import split_exact, subsample_splits
-
-
-# An admission with more rows than this is treated as a hot key (assembled in two
-# levels).  Real admissions hold at most a few hundred notes.
-HOT_ADMISSION_ROWS = 100_000
+from clinloom.session import materialise
 
 
 @dataclass(frozen=True)
@@ -39,6 +35,7 @@ class IcdParams:
     subsampling: bool = False
     seed: int = 42
     require_both: bool = True
+    code_column: str = "icd9_code"          # or e.g. "icd10_code": the code column of both code tables
 
     def __post_init__(self):
         if self.diag_or_proc not in ("diag", "proc"):
@@ -54,54 +51,37 @@ def clean_notes(notes: DataFrame, profile: str = "icd", text: str = "text") -> D
     return notes.withColumn(text, clean_text(F.col(text), profile))
 
 
-def notes_per_admission(notes: DataFrame, category: str, cleaned: bool = True,
-                        hot_threshold: int | None = HOT_ADMISSION_ROWS) -> DataFrame:
+def notes_per_admission(notes: DataFrame, category: str, cleaned: bool = True) -> DataFrame:
     """P3 -> P4 -> (T8) -> W1 -> A1 over notes (row_id, hadm_id, category, text).
 
     The not-null and category predicates run on the raw columns, before cleaning:
     cleaning keeps null-ness, and a predicate on the cleaned text would be pushed
-    below the projection and evaluate the whole regex chain twice.
-    Admissions with more than ``hot_threshold`` notes (counted on the admission and
-    category columns only -- an upper bound of the deduplicated count) are assembled in
-    two levels; ``None`` turns the check off.
+    below the projection and evaluate the whole regex chain twice.  The cleaned notes are
+    written once; which rows survive the dedupe is decided on hashes, and the texts are
+    shuffled a single time, by admission.
     """
-    n = notes.select("row_id", "hadm_id", "category", "text")
-    hot = None
-    if hot_threshold is not None:
-        keys = filter_category(notes.select("hadm_id", "category").where(F.col("hadm_id").isNotNull()), category)
-        # with at most hot_threshold rows no admission can be hot (the bound check
-        # stops reading after hot_threshold + 1 rows)
-        if has_more_rows(keys, hot_threshold):
-            hot = hot_keys(keys, "hadm_id", hot_threshold)
-    n = drop_missing(n, ["hadm_id", "text"])
+    n = drop_missing(notes.select("row_id", "hadm_id", "category", "text"), ["hadm_id", "text"])
     n = filter_category(n, category)
     if not cleaned:
         n = clean_notes(n, "icd")
-    if category == "all":
-        n = dedupe_text(n.withColumn("category", F.trim("category")), "text", "row_id")
-        return concat_by_admission(n, "hadm_id", "row_id", "text", "category", hot=hot).drop("n_notes")
-    # one category: keep it out of the shuffles (fixed-width aggregation buffers)
-    n = dedupe_text(n.drop("category"), "text", "row_id")
-    return concat_by_admission(n, "hadm_id", "row_id", "text", "category",
-                               category_value=category, hot=hot).drop("n_notes")
+    n = materialise(n.withColumn("category", trim_category(F.col("category"))), "notes")
+    keep = first_rows(n).groupBy("hadm_id").agg(F.collect_list("row_id").alias("_keep"))
+    items = n.groupBy("hadm_id").agg(F.sort_array(F.collect_list(F.struct("row_id", "text", "category"))).alias("_items"))
+    kept = F.filter(F.col("_items"), lambda x: F.array_contains(F.col("_keep"), x["row_id"]))
+    rows = items.join(keep, "hadm_id").select("hadm_id", kept.alias("_items"))
+    return rows.select("hadm_id", F.array_join(F.col("_items")["text"], " ").alias("text"),
+                       F.array_join(F.col("_items")["category"], " ").alias("category"))
 
 
 def icd_labelled(notes: DataFrame, diag: DataFrame, proc: DataFrame, params: IcdParams = IcdParams(),
                  cleaned: bool = False) -> DataFrame:
-    """Labelled admissions before splitting: hadm_id, text, category, icd9_code."""
+    """Labelled admissions before splitting: hadm_id, text, category and the code column."""
     per_adm = notes_per_admission(notes, params.note_category, cleaned=cleaned)
     d = filter_seq(diag, params.one_or_all_icds)
     p = filter_seq(proc, params.one_or_all_icds)
-    if params.one_or_all_icds == "all":
-        # every code of an admission: very large code lists are assembled in two levels
-        def hot_codes(c: DataFrame):
-            k = c.select("hadm_id")
-            return hot_keys(k, "hadm_id", HOT_ADMISSION_ROWS) if has_more_rows(k, HOT_ADMISSION_ROWS) else None
-        d = codes_by_admission(d, hot=hot_codes(d))
-        p = codes_by_admission(p, hot=hot_codes(p))
-    else:
-        d, p = codes_by_admission(d), codes_by_admission(p)
-    return labelled_admissions(per_adm, d, p, params.diag_or_proc, require_both=params.require_both)
+    d, p = (codes_by_admission(c, code=params.code_column) for c in (d, p))
+    out = labelled_admissions(per_adm, d, p, params.diag_or_proc, require_both=params.require_both)
+    return out.withColumnRenamed("icd9_code", params.code_column)
 
 
 def icd_dataset(notes: DataFrame, diag: DataFrame, proc: DataFrame, params: IcdParams = IcdParams(),
@@ -109,7 +89,7 @@ def icd_dataset(notes: DataFrame, diag: DataFrame, proc: DataFrame, params: IcdP
     """G1 (flagship): labelled admissions with an exact 60/20/20 ``split`` column."""
     # Written once to the checkpoint folder: the split needs the row count before it
     # can cut, and the cleaning upstream must not run twice.
-    labelled = icd_labelled(notes, diag, proc, params, cleaned).checkpoint(eager=True)
+    labelled = materialise(icd_labelled(notes, diag, proc, params, cleaned), "labelled")
     out = split_exact(labelled, "hadm_id", seed=params.seed)
     if params.subsampling:
         out = subsample_splits(out, {"train": 80, "validate": 20, "test": 20}, "hadm_id", params.seed)

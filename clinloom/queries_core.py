@@ -9,6 +9,7 @@ from clinloom.operators import aggregates as A
 from clinloom.operators import dedupe as W
 from clinloom.operators import filters as P
 from clinloom.operators import joins as J
+from clinloom.operators.ranking import global_rank
 from clinloom.plans.icd_dataset import IcdParams, clean_notes, icd_dataset, icd_labelled, notes_per_admission
 from clinloom.catalog import CLEAN_ICD_SQL, CLEAN_MLM_SQL, V, register
 
@@ -287,18 +288,62 @@ def w4(spark, sf):
 
 
 @register("f4_join_non_null", """
-WITH c AS (SELECT hadm_id, list(icd9_code ORDER BY seq_num, icd9_code) AS l FROM v_proc GROUP BY hadm_id)
-SELECT hadm_id, array_to_string(list_filter(list_slice(l, 1, 4), lambda x: x IS NOT NULL), ',') AS codes FROM c""")
+SELECT hadm_id, string_agg(icd9_code, ',' ORDER BY seq_num, icd9_code) AS codes FROM v_proc
+WHERE icd9_code IS NOT NULL GROUP BY hadm_id""")
 def f4(spark, sf):
-    wide = A.pivot_codes(A.codes_by_admission(V(spark, sf, "v_proc")), "PRCD_CODE", 4)
-    return wide.select("hadm_id", A.join_non_null([f"PRCD_CODE{i}" for i in range(1, 5)]).alias("codes"))
+    """F4 over every code column of the wide table (as many as the longest list needs)."""
+    wide = A.pivot_codes(A.codes_by_admission(V(spark, sf, "v_proc")), "PRCD_CODE")
+    return wide.select("hadm_id", A.join_non_null([c for c in wide.columns if c != "hadm_id"]).alias("codes"))
 
 
-@register("l1_order_by", "SELECT hadm_id, seq_num, icd9_code FROM v_diag ORDER BY hadm_id, seq_num")
+@register("l1_order_by", """
+SELECT hadm_id, seq_num, icd9_code, row_number() OVER (ORDER BY hadm_id, seq_num, icd9_code) - 1 AS position FROM v_diag""")
 def l1(spark, sf):
-    """L1: ORDER BY at the sink (a range-partitioned sort, no single-task ordering)."""
-    d = V(spark, sf, "v_diag")
-    return d.select("hadm_id", "seq_num", "icd9_code").orderBy("hadm_id", "seq_num")
+    """L1: ORDER BY as a range-partitioned sort (no single-task ordering), with each row's place in it."""
+    d = V(spark, sf, "v_diag").select("hadm_id", "seq_num", "icd9_code")
+    return global_rank(d, ["hadm_id", "seq_num", "icd9_code"], rank_col="position")
+
+
+# One admission that holds a third of all rows, with null texts, commas in codes and equal
+# sequence numbers.
+_HOT_NOTES = """hn AS (SELECT row_id, CASE WHEN row_id % 3 = 0 THEN 1 ELSE hadm_id END AS hadm_id,
+    CASE WHEN row_id % 7 = 0 THEN NULL ELSE text END AS text FROM v_notes)"""
+_HOT_CODES = """hc AS (SELECT CASE WHEN hadm_id % 3 = 0 THEN 1 ELSE hadm_id END AS hadm_id, CAST(seq_num % 5 AS INTEGER) AS seq_num,
+    CASE WHEN hadm_id % 11 = 0 THEN NULL WHEN hadm_id % 7 = 0 THEN icd9_code || ',x' ELSE icd9_code END AS icd9_code FROM v_diag)"""
+
+
+def _hot_notes(spark, sf):
+    n = V(spark, sf, "v_notes")
+    return n.select("row_id", F.when(F.col("row_id") % 3 == 0, F.lit(1)).otherwise(F.col("hadm_id")).alias("hadm_id"),
+                    F.lit("c").alias("category"), F.when(F.col("row_id") % 7 != 0, F.col("text")).alias("text"))
+
+
+def _hot_codes(spark, sf):
+    d, h = V(spark, sf, "v_diag"), F.col("hadm_id")
+    code = F.when(h % 11 == 0, None).when(h % 7 == 0, F.concat("icd9_code", F.lit(",x"))).otherwise(F.col("icd9_code"))
+    return d.select(F.when(h % 3 == 0, F.lit(1)).otherwise(h).alias("hadm_id"),
+                    (F.col("seq_num") % 5).cast("int").alias("seq_num"), code.alias("icd9_code"))
+
+
+@register("a1_hot", f"""WITH {_HOT_NOTES}
+SELECT hadm_id, coalesce(string_agg(text, ' ' ORDER BY row_id), '') AS text, count(*) AS n_notes
+FROM hn WHERE hadm_id IS NOT NULL GROUP BY hadm_id""")
+def a1_hot(spark, sf):
+    """A1 with a hot admission and null texts (skipped, but counted)."""
+    n = _hot_notes(spark, sf).where(F.col("hadm_id").isNotNull())
+    return A.concat_by_admission(n).select("hadm_id", "text", "n_notes")
+
+
+_A2_HOT = f"""WITH {_HOT_CODES}
+SELECT hadm_id, string_agg(icd9_code, ',' ORDER BY seq_num, icd9_code) AS codes, count(*) AS n_codes
+FROM hc WHERE icd9_code IS NOT NULL GROUP BY hadm_id"""
+
+
+@register("a2_hot", _A2_HOT)
+def a2_hot(spark, sf):
+    """A2 with a hot admission, commas within codes, null codes and equal sequence numbers."""
+    out = A.codes_by_admission(_hot_codes(spark, sf))
+    return out.select("hadm_id", "codes", F.size("code_list").cast("bigint").alias("n_codes"))
 
 
 _CODES_ALL_SQL = """dc AS (SELECT hadm_id, string_agg(icd9_code, ',' ORDER BY seq_num, icd9_code) AS codes
@@ -326,3 +371,21 @@ FROM dedup GROUP BY hadm_id""")
 def a1_all(spark, sf):
     """A1 over every note category (category 'all'): categories joined in note order."""
     return notes_per_admission(V(spark, sf, "v_notes"), "all", cleaned=False)
+
+
+@register("j3_all_codes_hot", _with(_CLEANED_SQL, _FILTERED_SQL, _DEDUP_SQL, _PER_ADM_SQL, _HOT_CODES)
+          + """, dc AS (SELECT hadm_id, string_agg(icd9_code, ',' ORDER BY seq_num, icd9_code) AS codes
+                        FROM hc WHERE icd9_code IS NOT NULL GROUP BY hadm_id)
+SELECT n.hadm_id, n.text, n.category, dc.codes AS icd9_code FROM per_adm n JOIN dc ON n.hadm_id = dc.hadm_id""")
+def j3_all_hot(spark, sf):
+    """J3 with every code, diagnoses only, over the skewed code table."""
+    return icd_labelled(V(spark, sf, "v_notes"), _hot_codes(spark, sf), V(spark, sf, "v_proc"),
+                        IcdParams(one_or_all_icds="all", require_both=False))
+
+
+@register("g1_icd10",
+          "SELECT hadm_id, text, category, icd9_code AS icd10_code, split FROM (" + G1_SQL + ")")
+def g1_icd10(spark, sf):
+    """G1 over ICD-10 code tables (same rows, code column ``icd10_code``)."""
+    d, p = (V(spark, sf, v).withColumnRenamed("icd9_code", "icd10_code") for v in ("v_diag", "v_proc"))
+    return icd_dataset(V(spark, sf, "v_notes"), d, p, IcdParams(code_column="icd10_code"))

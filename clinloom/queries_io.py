@@ -91,50 +91,55 @@ def s7(spark, sf):
     return S.read_tsv(spark, path, schema)
 
 
-_CORPUS_LINES_SQL = f"""WITH {G2_CTES}
-SELECT text FROM g2 WHERE split = 'train' AND length(text) > 10 AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''"""
-
-
-def _corpus_roundtrip(spark, sf):
+def _written_corpus(spark, sf):
     path = scratch(spark, "corpus")
     K.write_corpus(g2_corpus(spark, sf), path)
-    return S.read_corpus_lines(spark, f"{path}/split=train")
+    return path
+
+
+@register("k2_write_corpus", f"WITH {G2_CTES} SELECT text, split FROM g2")
+def k2(spark, sf):
+    """Every line of every split, as written."""
+    return spark.read.text(_written_corpus(spark, sf)).select(F.col("value").alias("text"), "split")
 
 
-register("k2_write_corpus", _CORPUS_LINES_SQL)(_corpus_roundtrip)
-register("s8_read_corpus_lines", _CORPUS_LINES_SQL)(_corpus_roundtrip)
+@register("s8_read_corpus_lines", f"""WITH {G2_CTES}
+SELECT text, split FROM g2 WHERE length(text) > 10 AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''""")
+def s8(spark, sf):
+    return S.read_corpus_lines(spark, _written_corpus(spark, sf)).select("text", "split")
 
 
-_S9_SQL = """SELECT dx.*, di.long_title
-FROM v_dx dx
-INNER JOIN v_d_icd di
-  ON dx.icd_code = di.icd_code
-ORDER BY dx.seq_num"""
+# a warehouse question of our own: how often each described diagnosis occurs, and where it ranks
+_S9_SQL = """SELECT title, n, admissions, row_number() OVER (ORDER BY n DESC, title) AS position
+FROM (SELECT coalesce(long_title, 'undescribed') AS title, count(*) AS n, count(DISTINCT hadm_id) AS admissions
+      FROM v_dx LEFT JOIN v_d_icd USING (icd_code, icd_version) GROUP BY 1) AS titles"""
 
 
-@register("s9_warehouse_sql", _S9_SQL)
+@register("s9_warehouse_sql", "SELECT title, n, admissions, CAST(position AS INTEGER) AS position FROM (" + _S9_SQL + ")")
 def s9(spark, sf):
     views = {v: V(spark, sf, v) for v in ("v_dx", "v_d_icd")}
     return S.run_query(spark, _S9_SQL, views)
 
 
-@register("k1_write_splits", f"SELECT * FROM ({G1_SQL}) WHERE split = 'test'")
+@register("k1_write_splits", G1_SQL)
 def k1(spark, sf):
     path = scratch(spark, "splits")
     K.write_splits(g1_query(spark, sf), path)
-    back = K.read_back(spark, path).where(F.col("split") == "test")   # partition pruning
-    return back.select("hadm_id", "text", "category", "icd9_code", "split")
+    return K.read_back(spark, path).select("hadm_id", "text", "category", "icd9_code", "split")
 
 
-def _filtered_roundtrip(spark, sf):
+@register("k3_write_filtered", f"SELECT row_id, {CLEAN_ICD_SQL} AS text FROM v_notes")
+def k3(spark, sf):
     n = V(spark, sf, "v_notes").select("row_id", clean_text(F.col("text"), "icd").alias("text"))
     path = scratch(spark, "filtered")
     K.write_filtered(n, path)
-    return K.checkpoint_table(K.read_back(spark, path), scratch(spark, "ckpt"))
+    return K.read_back(spark, path)
 
 
-register("k3_write_filtered", f"SELECT row_id, {CLEAN_ICD_SQL} AS text FROM v_notes")(_filtered_roundtrip)
-register("k4_checkpoint_table", f"SELECT row_id, {CLEAN_ICD_SQL} AS text FROM v_notes")(_filtered_roundtrip)
+@register("k4_checkpoint_table", "SELECT hadm_id, CAST(seq_num AS INTEGER) AS seq_num, icd9_code FROM v_diag")
+def k4(spark, sf):
+    d = V(spark, sf, "v_diag").select("hadm_id", F.col("seq_num").cast("int").alias("seq_num"), "icd9_code")
+    return K.checkpoint_table(d, scratch(spark, "ckpt"))
 
 
 @register("k5_write_sample", f"WITH {G2_CTES} SELECT text FROM g2 ORDER BY md5('42|' || text), text LIMIT 100")
@@ -146,13 +151,14 @@ def k5w(spark, sf):
 
 # K6 reads back exactly what G7 computes (doubles are written in their shortest
 # round-trip form), so G7's oracle applies.
-@register("k6_write_metrics", G7_SQL)
+@register("k6_write_metrics", f"SELECT *, row_number() OVER (ORDER BY metric) - 1 AS line FROM ({G7_SQL})")
 def k6(spark, sf):
     path = scratch(spark, "metrics")
     K.write_metrics(C.evaluate(V(spark, sf, "v_scored")), path)
-    lines = spark.read.text(path)
+    lines = spark.read.text(path)                              # one file: row numbers are line numbers
     parts = F.split(F.col("value"), " = ")
-    return lines.select(parts[0].alias("metric"), F.round(parts[1].cast("double"), 6).alias("value"))
+    return lines.select(parts[0].alias("metric"), F.round(parts[1].cast("double"), 6).alias("value"),
+                        F.monotonically_increasing_id().alias("line"))
 
 
 @register("k7_write_confusion", "SELECT batch_id, actual, predicted, count(*) AS n FROM v_scored GROUP BY ALL")
@@ -162,16 +168,29 @@ def k7(spark, sf):
     return K.read_back(spark, path)
 
 
-@register("s6_read_reports", "SELECT path, text FROM v_reports")
+@register("s6_read_reports", "SELECT replace(path, '/', ' ') AS path, text FROM v_reports")
 def s6(spark, sf):
-    """Each report is written as its own file (one partition folder per path, Spark's
-    text writer), then read back whole; the folder name gives the original path."""
+    """Each report is written as its own file (one folder per report, its name with blanks,
+    by Spark's text writer), then read back whole; the folder name is the path."""
     root = scratch(spark, "reports")
-    V(spark, sf, "v_reports").write.mode("overwrite").partitionBy("path").text(root)
+    named = V(spark, sf, "v_reports").withColumn("path", F.translate("path", "/", " "))
+    named.write.mode("overwrite").partitionBy("path").text(root)
     files = S.read_reports(spark, root)
-    folder = F.regexp_extract("path", "^path=([^/]*)/", 1)
-    # the file path is a URI (% -> %25) of a partition folder name (/ -> %2F)
-    original = F.regexp_replace(F.regexp_replace(folder, "%25", "%"), "%2F", "/")
     # the text writer ends every file with one line separator
-    return files.select(original.alias("path"), F.expr("substring(text, 1, length(text) - 1)").alias("text"))
+    return files.select(F.regexp_extract("path", "^path=([^/]*)/", 1).alias("path"),
+                        F.expr("substring(text, 1, length(text) - 1)").alias("text"))
+
+
+@register("s1_read_cleaned_notes", f"SELECT row_id, hadm_id, category, {CLEAN_ICD_SQL} AS text FROM v_notes")
+def s1_cleaned(spark, sf):
+    """S1 over the cleaned-notes file: four columns, in another order than the raw file's."""
+    n = V(spark, sf, "v_notes").select(clean_text(F.col("text"), "icd").alias("TEXT"), F.col("category").alias("CATEGORY"),
+                                       F.col("hadm_id").cast("double").alias("HADM_ID"), F.col("row_id").alias("ROW_ID"))
+    return S.read_notes(spark, _csv_file(n, scratch(spark, "cleaned")), ["row_id", "hadm_id", "category", "text"])
+
 
+def _csv_file(df, path):
+    (df.write.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False)
+       .option("ignoreTrailingWhiteSpace", False).option("emptyValue", '""').option("quoteAll", True)
+       .option("nullValue", None).csv(path))
+    return path

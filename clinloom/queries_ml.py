@@ -79,7 +79,13 @@ def g2_corpus(spark, sf):
 
 
 register("g2_mlm_corpus", f"WITH {G2_CTES} SELECT text, split FROM g2")(g2_corpus)
-register("u3_holdout", f"WITH {G2_CTES} SELECT text, split FROM g2")(g2_corpus)
+
+
+@register("u3_holdout", """
+WITH r AS (SELECT pair_id, row_number() OVER (ORDER BY md5('7|' || pair_id), pair_id) - 1 AS rk, count(*) OVER () AS n FROM v_pairs)
+SELECT pair_id, CASE WHEN rk < ceil(CAST(n AS DOUBLE) * 0.25) THEN 'validate' ELSE 'train' END AS split FROM r""")
+def u3(spark, sf):
+    return U.holdout(V(spark, sf, "v_pairs").select("pair_id"), "pair_id", test_size=0.25, seed=7)
 
 
 @register("k5_corpus_sample", f"WITH {G2_CTES} SELECT text FROM g2 ORDER BY md5('42|' || text), text LIMIT 100")
@@ -166,6 +172,16 @@ def u8(spark, sf):
         "doc_id", "position", "batch_id")
 
 
+@register("u8_bucket_by_length_splits", """
+SELECT pair_id, split, position, position // CASE split WHEN 'train' THEN 16 ELSE 256 END AS batch_id FROM (
+  SELECT pair_id, split, row_number() OVER (PARTITION BY split ORDER BY length(sentence1), pair_id) - 1 AS position FROM v_pairs)""")
+def u8_splits(spark, sf):
+    """U8 with a batch size per split."""
+    p = V(spark, sf, "v_pairs").select("pair_id", "split", F.length("sentence1").alias("n"))
+    out = U.bucket_by_length(p, {"train": 16, "dev": 256, "test": 256}, "n", "pair_id")
+    return out.select("pair_id", "split", "position", "batch_id")
+
+
 @register("u9_shard", f"SELECT doc_id, position, batch_id, CAST(position % 4 AS INTEGER) AS worker FROM ({_U8_SQL})")
 def u9(spark, sf):
     return U.shard(u8(spark, sf), 4)
@@ -252,7 +268,7 @@ def e6(spark, sf):
     proc = V(spark, sf, "v_proc")
     codes = A.codes_by_admission(proc)
     top = L.top_labels(proc.select(F.col("icd9_code").alias("label")), 10)
-    out = L.multi_hot(codes, "codes", L.collect_label_list(top))
+    out = L.multi_hot(codes, "codes", L.fit_labels(top))
     return out.select("hadm_id", ints(F.col("labels")).alias("labels"))
 
 
@@ -389,6 +405,14 @@ def a14(spark, sf):
     return M.mean_loss(s).select(r6(F.col("mean_loss")).alias("mean_loss"), r6(F.col("bpc")).alias("bpc"))
 
 
+@register("a14_batch_mean_loss", f"""WITH {_LOGIT_SQL}
+SELECT round(avg(l), 6) AS batch_mean_loss FROM (SELECT avg(loss) AS l FROM lo GROUP BY batch_id)""")
+def a14_batches(spark, sf):
+    """A14 as the evaluation loss: the mean of the batches' mean losses."""
+    s = C.scored_rows(V(spark, sf, "v_scored")).groupBy("batch_id").agg(F.avg("loss").alias("loss"))
+    return M.mean_of_batch_losses(s).select(r6(F.col("batch_mean_loss")).alias("batch_mean_loss"))
+
+
 G7_SQL = f"""WITH {_LOGIT_SQL}, {_cls_sql(False)},
 bm AS (SELECT * FROM (WITH {_cls_sql(True)} SELECT avg(precision) AS p, avg(recall) AS r, avg(f1) AS f, avg(accuracy) AS a FROM m))
 SELECT metric, round(value, 6) AS value FROM (
@@ -397,7 +421,8 @@ SELECT metric, round(value, 6) AS value FROM (
   SELECT 'test_accuracy', accuracy FROM m UNION ALL
   SELECT 'test_batch_precision', p FROM bm UNION ALL SELECT 'test_batch_recall', r FROM bm UNION ALL
   SELECT 'test_batch_f1', f FROM bm UNION ALL SELECT 'test_batch_accuracy', a FROM bm UNION ALL
-  SELECT 'test_mean_loss', avg(loss) FROM lo UNION ALL SELECT 'test_bpc', avg(loss) / ln(2) FROM lo)"""
+  SELECT 'test_mean_loss', avg(loss) FROM lo UNION ALL SELECT 'test_bpc', avg(loss) / ln(2) FROM lo UNION ALL
+  SELECT 'test_batch_mean_loss', avg(l) FROM (SELECT avg(loss) AS l FROM lo GROUP BY batch_id))"""
 
 
 @register("g7_evaluate", G7_SQL)
@@ -436,12 +461,12 @@ pf AS (SELECT pt.pair_id, pt.split, pt.gold_label, coalesce(pa.ids, []::INTEGER[
        FROM pt LEFT JOIN pa ON pt.pair_id = pa.pair_id LEFT JOIN pb ON pt.pair_id = pb.pair_id)"""
 
 
-def _pair_ids(spark, sf):
+def _pair_ids(spark, sf, **bound):
     pairs = V(spark, sf, "v_pairs")
     tok = pairs.select("pair_id", "split", "gold_label", Q.tokenize(F.col("sentence1")).alias("a"),
                        Q.tokenize(F.col("sentence2")).alias("b"))
     vocab = Q.build_vocab(tok.where(F.col("split") == "train").select(F.concat("a", "b").alias("tokens")), "tokens")
-    return Q.encode(tok, "pair_id", ["a", "b"], vocab)
+    return Q.encode(tok, "pair_id", ["a", "b"], vocab, **bound)
 
 
 def _arr_sql(x: str) -> str:
@@ -460,16 +485,23 @@ def q3(spark, sf):
     return e.select("pair_id", ints(Q.truncate(F.col("a_ids"), 32, 2)).alias("ids"))
 
 
+@register("q2_encode_large", f"WITH {PAIR_CTES} SELECT pair_id, {_arr_sql('a_ids')} AS a_ids, {_arr_sql('b_ids')} AS b_ids FROM pf")
+def q2_large(spark, sf):
+    """Q2 where the vocabulary exceeds the broadcast bound: head in place, distinct misses through the tail join."""
+    e = _pair_ids(spark, sf, head_bytes=2000)
+    return e.select("pair_id", ints(F.col("a_ids")).alias("a_ids"), ints(F.col("b_ids")).alias("b_ids"))
+
+
 _Q4 = 61
 
 
 @register("q4_truncate_pair", f"""WITH {PAIR_CTES}
-SELECT pair_id, CAST(CASE WHEN la + lb > {_Q4} THEN least(la, greatest({_Q4} - lb, {(_Q4 + 1) // 2})) ELSE la END AS INTEGER) AS la,
-       CAST(CASE WHEN la + lb > {_Q4} THEN least(lb, greatest({_Q4} - la, {_Q4 // 2})) ELSE lb END AS INTEGER) AS lb FROM pf""")
+SELECT pair_id, {_arr_sql(f'list_slice(a_ids, 1, CASE WHEN la + lb > {_Q4} THEN least(la, greatest({_Q4} - lb, {(_Q4 + 1) // 2})) ELSE la END)')} AS a,
+       {_arr_sql(f'list_slice(b_ids, 1, CASE WHEN la + lb > {_Q4} THEN least(lb, greatest({_Q4} - la, {_Q4 // 2})) ELSE lb END)')} AS b FROM pf""")
 def q4(spark, sf):
     e = _pair_ids(spark, sf)
     a, b = Q.truncate_pair(F.col("a_ids"), F.col("b_ids"), _Q4)
-    return e.select("pair_id", F.size(a).alias("la"), F.size(b).alias("lb"))
+    return e.select("pair_id", ints(a).alias("a"), ints(b).alias("b"))
 
 
 @register("q6_pad", f"WITH {PAIR_CTES} SELECT pair_id, {_arr_sql('list_resize(list_slice(a_ids, 1, 30), 32, 0)')} AS ids FROM pf")
@@ -478,10 +510,19 @@ def q6(spark, sf):
     return e.select("pair_id", ints(Q.pad(Q.truncate(F.col("a_ids"), 32, 2), 32)).alias("ids"))
 
 
-@register("q7_only_first", f"WITH {PAIR_CTES} SELECT pair_id, CAST(len(list_slice(a_ids, 1, greatest({_Q4} - lb, 0))) AS INTEGER) AS la FROM pf")
+@register("q6_pad_longest", f"""WITH {PAIR_CTES},
+b AS (SELECT pair_id, list_slice(a_ids, 1, 40) AS ids, ascii(right(md5(pair_id), 1)) AS batch_id FROM pf)
+SELECT pair_id, {_arr_sql('list_resize(ids, max(len(ids)) OVER (PARTITION BY batch_id), 0)')} AS ids FROM b""")
+def q6_longest(spark, sf):
+    """Q6, longest mode: each batch padded to its longest row (at most 40)."""
+    e = _pair_ids(spark, sf).withColumn("batch_id", F.ascii(F.substring(F.md5("pair_id"), 32, 1)))
+    return Q.pad_longest(e, "a_ids", max_len=40).select("pair_id", ints(F.col("input_ids")).alias("ids"))
+
+
+@register("q7_only_first", f"WITH {PAIR_CTES} SELECT pair_id, {_arr_sql(f'list_slice(a_ids, 1, greatest({_Q4} - lb, 0))')} AS a FROM pf")
 def q7(spark, sf):
     e = _pair_ids(spark, sf)
-    return e.select("pair_id", F.size(Q.truncate_only_first(F.col("a_ids"), F.col("b_ids"), _Q4)).alias("la"))
+    return e.select("pair_id", ints(Q.truncate_only_first(F.col("a_ids"), F.col("b_ids"), _Q4)).alias("a"))
 
 
 @register("q8_length_mask", f"""WITH {PAIR_CTES}
@@ -494,7 +535,7 @@ def q8(spark, sf):
 _Q5_L = 128
 
 
-def _q5_sql() -> str:
+def _q5_sql(_Q5_L: int = _Q5_L) -> str:
     m = _Q5_L - 3
     return f"""WITH {PAIR_CTES},
 tr AS (SELECT *, CASE WHEN lb = 0 THEN least(la, {_Q5_L - 2})
@@ -518,7 +559,14 @@ def g5_query(spark, sf):
                         "seq_len")
 
 
-register("q5_pair_features", _q5_sql())(g5_query)
+@register("q5_pair_features", f"SELECT pair_id, input_ids, segment_ids, input_mask, seq_len FROM ({_q5_sql(48)})")
+def q5(spark, sf):
+    """Q5 by itself, with sequences short enough that both sides are cut."""
+    f = Q.pair_features(_pair_ids(spark, sf), "a_ids", "b_ids", 48)
+    return f.select("pair_id", ints(F.col("input_ids")).alias("input_ids"), ints(F.col("segment_ids")).alias("segment_ids"),
+                    ints(F.col("input_mask")).alias("input_mask"), "seq_len")
+
+
 register("g5_pair_dataset", _q5_sql())(g5_query)
 
 
@@ -562,13 +610,14 @@ g8g AS (SELECT v.id, row_number() OVER (ORDER BY g8t.k, g8t.pos) - 1 AS g FROM g
 g8b AS (SELECT g // {size} AS block_id, [2] || list(id ORDER BY g) || [3] AS ids FROM g8g GROUP BY g // {size}
         HAVING count(*) = {size}),
 g8e AS (SELECT block_id, generate_subscripts(ids, 1) - 1 AS i, unnest(ids) AS x FROM g8b),
-g8h AS (SELECT block_id, i, x, md5('42|' || CAST(block_id AS VARCHAR) || '|' || CAST(i AS VARCHAR)) AS h FROM g8e),
-g8u AS (SELECT block_id, i, x, ('0x' || substr(h, 1, 8))::BIGINT / 4294967296.0 AS u,
-               ('0x' || substr(h, 9, 8))::BIGINT / 4294967296.0 AS v, ('0x' || substr(h, 17, 8))::BIGINT AS r FROM g8h),
+g8h AS (SELECT block_id, i, x, (('0x' || substr(md5('42|' || CAST(block_id AS VARCHAR)), 1, 7))::BIGINT + (i + 1) * 48271) % 2147483647 AS a FROM g8e),
+g8k AS (SELECT block_id, i, x, (a * a + 12345) % 2147483647 AS b FROM g8h),
+g8s AS (SELECT block_id, i, x, (b * b + i) % 2147483647 AS u FROM g8k),
+g8u AS (SELECT block_id, i, x, u, (u * 48271) % 2147483647 AS v, ((u * 48271) % 2147483647 * 69621) % 2147483647 AS r FROM g8s),
 g8m AS (SELECT block_id,
-          string_agg(CAST(CASE WHEN NOT (u < 0.15 AND x >= 5) THEN x WHEN v < 0.8 THEN 4
-                               WHEN v < 0.9 THEN 5 + r % ((SELECT max(id) + 1 FROM g8v) - 5) ELSE x END AS VARCHAR), ',' ORDER BY i) AS masked_ids,
-          string_agg(CAST(CASE WHEN u < 0.15 AND x >= 5 THEN x ELSE -100 END AS VARCHAR), ',' ORDER BY i) AS labels
+          string_agg(CAST(CASE WHEN NOT (u < {int(0.15 * 2147483647)} AND x >= 5) THEN x WHEN v < {int(0.8 * 2147483647)} THEN 4
+                               WHEN v < {int(0.9 * 2147483647)} THEN 5 + r % ((SELECT max(id) + 1 FROM g8v) - 5) ELSE x END AS VARCHAR), ',' ORDER BY i) AS masked_ids,
+          string_agg(CAST(CASE WHEN u < {int(0.15 * 2147483647)} AND x >= 5 THEN x ELSE -100 END AS VARCHAR), ',' ORDER BY i) AS labels
         FROM g8u GROUP BY block_id)
 {final}"""
 
@@ -592,7 +641,6 @@ def g8_query(spark, sf):
 
 _G8_FINAL = f"""SELECT g8b.block_id, {_arr_sql('g8b.ids')} AS input_ids, g8m.masked_ids, g8m.labels
 FROM g8b JOIN g8m ON g8b.block_id = g8m.block_id"""
-register("q11_mask_tokens", _g8_sql(_G8_FINAL))(g8_query)
 register("g8_pretraining_blocks", _g8_sql(_G8_FINAL))(g8_query)
 
 
@@ -623,25 +671,56 @@ def _head_data(spark, sf):
     return U.split_hash(e, "vec_id", 3, (("train", 0.8), ("test", 0.2)))
 
 
-def m6_query(spark, sf):
-    """M6 + M5 + G7: train the head with a small grid, score the test rows, report metrics."""
+_HEAD_SPLIT_SQL = """hs AS (SELECT vec_id, label, ('0x' || substr(md5('3|' || CAST(vec_id AS VARCHAR)), 1, 8))::BIGINT
+       / 4294967296.0 < 0.8 AS train FROM embeddings)"""
+
+
+def _head_facts(spark, sf, kind, grid):
+    """What must hold of a trained head: size of the test part, classes, valid predictions, and a
+    training fit no worse than the majority class."""
     data = _head_data(spark, sf)
-    model = EM.train_head(data.where(F.col("split") == "train"), "embedding", "label",
-                          grid={"regParam": [0.0, 0.01], "maxIter": [10, 30]})
-    scored = EM.predict(data.where(F.col("split") == "test"), model, "embedding")
-    return M.weighted_metrics(scored, "label", "predicted")
+    train, test = (data.where(F.col("split") == s) for s in ("train", "test"))
+    model = EM.train_head(train, "embedding", "label", kind=kind, grid=grid)
+    known = EM.predict(test, model, "embedding").join(
+        data.select(F.col("label").alias("predicted")).distinct().withColumn("_known", F.lit(True)), "predicted", "left")
+    right = EM.predict(train, model, "embedding")
+    most = train.groupBy("label").count().agg(F.max("count")).first()[0]
+    hits = right.where(F.col("predicted") == F.col("label")).count()
+    return (known.agg(F.count(F.lit(1)).alias("n_test"), F.count("_known").alias("n_known"))
+            .withColumn("classes", F.lit(data.select("label").distinct().count()).cast("bigint"))
+            .withColumn("beats_majority", F.lit(hits >= most)).withColumn("head", F.lit(kind)))
+
+
+def _head_facts_sql(kind: str) -> str:
+    return f"""WITH {_HEAD_SPLIT_SQL}
+SELECT count(*) AS n_test, count(*) AS n_known, (SELECT count(DISTINCT label) FROM embeddings) AS classes,
+       true AS beats_majority, '{kind}' AS head FROM hs WHERE NOT train"""
+
+
+@register("m6_train_head", _head_facts_sql("logistic"))
+def m6(spark, sf):
+    """M6 with the linear head: a grid over regularisation and iterations."""
+    return _head_facts(spark, sf, "logistic", {"regParam": [0.0, 0.01], "maxIter": [10, 30]})
 
 
-register("m6_train_head")(m6_query)
+@register("m6_train_head_mlp", _head_facts_sql("mlp"))
+def m6_mlp(spark, sf):
+    """M6 with the two-layer head: a grid over iterations, step and block size."""
+    return _head_facts(spark, sf, "mlp", {"maxIter": [20, 40], "stepSize": [0.03, 0.1], "blockSize": [64, 128]})
 
 
-@register("m5_predict")
+@register("m5_predict", f"""WITH {_HEAD_SPLIT_SQL}
+SELECT vec_id, label, true AS known, true AS named FROM hs WHERE NOT train""")
 def m5(spark, sf):
+    """M5: every test row gets a known class and that class's name."""
     data = _head_data(spark, sf)
     model = EM.train_head(data.where(F.col("split") == "train"), "embedding", "label")
-    names = L.fit_labels(data.select(F.concat(F.lit("L"), F.col("label").cast("string")).alias("label")))
+    names = L.fit_labels(data.select(F.concat(F.lit("L"), F.lpad(F.col("label").cast("string"), 6, "0")).alias("label")))
     scored = EM.predict(data.where(F.col("split") == "test"), model, "embedding")
-    return L.decode_labels(scored, names, "predicted").select("vec_id", "label", "predicted", "predicted_label")
+    out = L.decode_labels(scored, names, "predicted")
+    name = F.concat(F.lit("L"), F.lpad(F.col("predicted").cast("string"), 6, "0"))
+    return out.select("vec_id", "label", F.col("predicted_label").isNotNull().alias("known"),
+                      F.coalesce(F.col("predicted_label") == name, F.lit(False)).alias("named"))
 
 
 @register("f3_tokenizer_hook", r"""
@@ -692,3 +771,25 @@ def q9_doc(spark, sf):
     ids = Q.encode(d, "doc_id", ["tokens"], vocab)
     blocks = Q.pack_blocks(ids, "doc_id", "tokens_ids", 64)
     return blocks.select("block_id", ints(F.col("input_ids")).alias("input_ids"))
+
+
+@register("q11_mask_tokens", f"""
+WITH t AS (SELECT doc_id, {tok_sql('text')} AS tk FROM documents),
+e AS (SELECT doc_id, generate_subscripts(tk, 1) - 1 AS i, unnest(tk) AS token FROM t),
+v AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) - 1 + 5 AS INTEGER) AS id
+      FROM (SELECT token, count(*) AS n FROM e GROUP BY token)),
+x AS (SELECT e.doc_id, e.i, v.id AS x, (('0x' || substr(md5('7|' || CAST(e.doc_id AS VARCHAR)), 1, 7))::BIGINT + (e.i + 1) * 48271) % 2147483647 AS a
+      FROM e JOIN v ON e.token = v.token),
+b AS (SELECT doc_id, i, x, (a * a + 12345) % 2147483647 AS b FROM x),
+u AS (SELECT doc_id, i, x, (b * b + i) % 2147483647 AS u FROM b),
+d AS (SELECT doc_id, i, x, u, (u * 48271) % 2147483647 AS v FROM u)
+SELECT doc_id, string_agg(CAST(CASE WHEN u >= {int(0.3 * 2147483647)} THEN x WHEN v < {int(0.8 * 2147483647)} THEN 4
+           WHEN v < {int(0.9 * 2147483647)} THEN 5 + (v * 69621) % 2147483647 % ((SELECT max(id) + 1 FROM v) - 5) ELSE x END AS VARCHAR), ',' ORDER BY i) AS masked_ids
+FROM d GROUP BY doc_id""")
+def q11(spark, sf):
+    """Q11 by itself: whole documents masked at 30 %."""
+    d = tbl(spark, sf, "documents").select("doc_id", Q.tokenize(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    vocab = Q.build_vocab(d, "tokens")
+    size = (vocab.agg(F.max("id")).first()[0] or 0) + 1
+    out = Q.mask_tokens(Q.encode(d, "doc_id", ["tokens"], vocab), "tokens_ids", "doc_id", size, seed=7, p=0.3)
+    return out.select("doc_id", ints(F.col("masked_ids")).alias("masked_ids"))

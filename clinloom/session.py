@@ -10,8 +10,9 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job relies on: adaptive execution re-plans joins and partition
 # counts from runtime statistics; skew-join splitting handles hot keys.
@@ -75,6 +76,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return _active_dir(spark) or configured
 
 
+def materialise(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
+
+    Cuts the lineage with files every executor can read; unlike an RDD checkpoint the
+    readers keep column pruning and filter pushdown.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 _shipped: dict[str, bool] = {}
 
 

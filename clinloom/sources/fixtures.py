@@ -186,19 +186,6 @@ def _ensure(spark: SparkSession, sf_dir: str, name: str, st: dict) -> None:
     st["names"].add(name)
 
 
-def register_tables(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    st = _state(spark, sf_dir)
-    for t in names:
-        _ensure(spark, sf_dir, t, st)
-
-
-def register_views(spark: SparkSession, sf_dir: str) -> None:
-    """Register the raw tables and every fixture view as Spark temp views."""
-    st = _state(spark, sf_dir)
-    for name in list(TABLES) + list(VIEWS):
-        _ensure(spark, sf_dir, name, st)
-
-
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view (or raw table) as a DataFrame; registration happens once per folder."""
     _ensure(spark, sf_dir, name, _state(spark, sf_dir))

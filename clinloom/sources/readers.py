@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
-from urllib.parse import urlparse
+from urllib.parse import unquote, urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,27 +17,24 @@ from pyspark.sql import types as T
 
 from clinloom.functions.text import is_corpus_line
 
-NOTE_SCHEMA = T.StructType([
-    T.StructField("ROW_ID", T.LongType()),
-    T.StructField("SUBJECT_ID", T.LongType()),
-    T.StructField("HADM_ID", T.StringType()),      # "123", "123.0" or empty
-    T.StructField("CHARTDATE", T.StringType()),
-    T.StructField("CHARTTIME", T.StringType()),
-    T.StructField("STORETIME", T.StringType()),
-    T.StructField("CATEGORY", T.StringType()),
-    T.StructField("DESCRIPTION", T.StringType()),
-    T.StructField("CGID", T.StringType()),
-    T.StructField("ISERROR", T.StringType()),
-    T.StructField("TEXT", T.StringType()),
-])
-
-CODE_SCHEMA = T.StructType([
-    T.StructField("ROW_ID", T.LongType()),
-    T.StructField("SUBJECT_ID", T.LongType()),
-    T.StructField("HADM_ID", T.LongType()),
-    T.StructField("SEQ_NUM", T.IntegerType()),
-    T.StructField("ICD9_CODE", T.StringType()),    # string: keeps leading zeros, null stays null
-])
+# Columns of the source tables by name; a file may hold any of them in any order.  Codes
+# and ids that carry leading zeros or an optional ".0" are strings first.
+NOTE_COLUMNS = {"row_id": "bigint", "subject_id": "bigint", "hadm_id": "bigint", "chartdate": "string",
+                "charttime": "string", "storetime": "string", "category": "string", "description": "string",
+                "cgid": "string", "iserror": "string", "text": "string"}
+CODE_COLUMNS = {"row_id": "bigint", "subject_id": "bigint", "hadm_id": "bigint", "seq_num": "int"}
+# The linkage job's tables and the phenotype annotations.
+TABLE_COLUMNS = {
+    "annotations": {"row_id": "bigint", "hospital_admission_id": "bigint", "subject_id": "bigint", "unsure": "int"},
+    "studies": {"subject_id": "bigint", "study_id": "bigint", "path": "string"},
+    "records": {"subject_id": "bigint", "study_id": "bigint", "dicom_id": "string", "path": "string"},
+    "metadata": {"dicom": "string", "study_date": "string", "study_time": "string"},
+    "diagnoses": {"subject_id": "bigint", "hadm_id": "bigint", "seq_num": "int", "icd_code": "string",
+                  "icd_version": "int"},
+    "dictionary": {"icd_code": "string", "icd_version": "int", "long_title": "string"},
+    "orders": {"subject_id": "bigint", "hadm_id": "bigint", "ordertime": "timestamp_ntz", "order_type": "string",
+               "order_subtype": "string"},
+}
 
 PAIR_SCHEMA = T.StructType([
     T.StructField("pairID", T.StringType()),
@@ -60,29 +57,52 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
-def _csv(spark: SparkSession, schema: T.StructType):
-    return (spark.read.schema(schema).option("header", True).option("multiLine", True)
-            .option("escape", '"').option("mode", "FAILFAST"))
+def read_table(spark: SparkSession, path: str, types: dict[str, str], required: Sequence[str] = (),
+               columns: Sequence[str] | None = None, others: str = "string") -> DataFrame:
+    """A CSV with a header (quoted multi-line text), columns bound by name in any order and case.
 
-
-def _lower(df: DataFrame) -> DataFrame:
-    return df.toDF(*[c.lower() for c in df.columns])
+    ``types`` gives the type of each known column, ``others`` that of the rest.  A missing
+    required (or selected) column is refused; a file of the folder with another header, a
+    row with too few or too many fields and a value that does not fit its type fail the job.
+    """
+    options = {"header": True, "multiLine": True, "escape": '"', "mode": "FAILFAST"}
+    names = spark.read.options(**options).csv(path).columns
+    have = {n.strip().lower(): n for n in names}
+    missing = [c for c in (*required, *(columns or ())) if c.lower() not in have]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {missing}; it has {names}")
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    raw = spark.read.schema(schema).options(**options, enforceSchema=False).csv(path)
+    cols = []
+    for low, name in have.items():
+        c, kind = F.col(f"`{name}`"), types.get(low, others)
+        if kind in ("bigint", "int"):
+            c = c.cast("double").cast(kind)                  # "123" or "123.0"
+        cols.append(c.cast(kind).alias(low))
+    df = raw.select(*cols)
+    return df.select(*columns) if columns else df
 
 
 def read_notes(spark: SparkSession, path: str, columns: Sequence[str] | None = None,
                num_partitions: int | None = None) -> DataFrame:
-    """NOTEEVENTS-style CSV (header, quoted multi-line TEXT); optional column subset."""
-    df = _lower(_csv(spark, NOTE_SCHEMA).csv(path))
-    df = df.repartition(num_partitions) if num_partitions else spread(df)
-    df = df.withColumn("hadm_id", F.col("hadm_id").cast("double").cast("bigint"))
-    return df.select(*columns) if columns else df
+    """A notes CSV, raw or cleaned: any subset and order of the NOTEEVENTS columns; optional selection."""
+    df = read_table(spark, path, NOTE_COLUMNS, ["text"], columns)
+    return df.repartition(num_partitions) if num_partitions else spread(df)
 
 
 def read_codes(spark: SparkSession, path: str, code_col: str = "icd9_code") -> DataFrame:
-    """Diagnosis / procedure code events; the code column is a string."""
-    schema = T.StructType([f if f.name != "ICD9_CODE" else T.StructField(code_col.upper(), T.StringType())
-                           for f in CODE_SCHEMA.fields])
-    return _lower(_csv(spark, schema).csv(path))
+    """Diagnosis / procedure code events; the code column (ICD-9 or ICD-10) is a string."""
+    return read_table(spark, path, CODE_COLUMNS, ["hadm_id", "seq_num", code_col])
+
+
+def read_named(spark: SparkSession, path: str, table: str, columns: Sequence[str] | None = None) -> DataFrame:
+    """S1/S2 for the other source tables (``TABLE_COLUMNS``): annotations, studies, records, DICOM
+    metadata, diagnoses, dictionary and orders.  Annotation label columns are integers."""
+    types = TABLE_COLUMNS[table]
+    required = [c for c in types if c not in ("hospital_admission_id", "subject_id", "path", "order_type")]
+    if table == "studies":
+        required = ["study_id", "path"]
+    return read_table(spark, path, types, required, columns, "int" if table == "annotations" else "string")
 
 
 def read_pairs_jsonl(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
@@ -130,12 +150,21 @@ def flatten_json(df: DataFrame, column: str, schema: T.StructType | str, sep: st
 
 
 def read_reports(spark: SparkSession, root: str) -> DataFrame:
-    """Every file under ``root`` as one row (path relative to root, whole text)."""
+    """Every file under ``root`` as one row (path relative to root, whole text).
+
+    File paths arrive as encoded URIs; names are decoded, so blanks, ``%`` and ``+`` read as
+    written.  A file outside ``root`` fails the job.
+    """
     df = (spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
           .select(F.col("_metadata.file_path").alias("_fp"), F.col("value").alias("text")))
-    root_path = urlparse(root).path.rstrip("/") if "://" in root else root.rstrip("/")
-    pattern = "^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/]*)?/*" + re.escape(root_path.lstrip("/")) + "/(.*)$"
-    return df.select(F.regexp_extract("_fp", pattern, 1).alias("path"), "text")
+    plain = F.url_decode(F.regexp_replace("_fp", r"\+", "%2B"))
+    folder = urlparse(root.replace("#", "%23").replace("?", "%3F")).path if "://" in root else root
+    folder = unquote(folder) if "://" in root else folder
+    pattern = ("(?s)^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(?://[^/]*)?/*"
+               + re.escape(folder.strip("/")) + "/(.*)$")
+    found = F.when(plain.rlike(pattern), F.regexp_extract(plain, pattern, 1)).otherwise(
+        F.raise_error(F.concat(F.lit(f"not below {root}: "), plain)).cast("string"))
+    return df.select(found.alias("path"), "text")
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType | str, quote: str | None = None) -> DataFrame:

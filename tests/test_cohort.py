@@ -67,25 +67,17 @@ def test_icd_dataset_split_sizes_on_fixture(spark):
     assert out.select("hadm_id").distinct().count() == n
 
 
-def test_hot_admission_two_level_concat_equals_single_level(spark):
-    rows = [(i, 1 if i % 3 else 2, f"t{i}") for i in range(1, 3001)]
-    df = spark.createDataFrame(rows, "row_id long, hadm_id long, text string")
-    hot = A.hot_keys(df, "hadm_id", 1500)
-    assert [r["hadm_id"] for r in hot.collect()] == [1]
-    one = {r["hadm_id"]: tuple(r) for r in A.concat_by_admission(df, category_value="c").collect()}
-    two = {r["hadm_id"]: tuple(r) for r in A.concat_by_admission(df, category_value="c", hot=hot).collect()}
-    assert one == two and one[1][3] == 2000
-    pieces = A.ordered_concat(df, "hadm_id", "row_id", {"text": F.col("text")}, " ", hot, piece_width=100)
-    assert {r["hadm_id"]: r["text"] for r in pieces.collect()} == {k: v[1] for k, v in one.items()}
-
-
-def test_hot_codes_two_level(spark):
-    rows = [(1, i, f"{i:05d}") for i in range(1, 301)] + [(2, 1, "00009")]
-    codes = spark.createDataFrame(rows, "hadm_id long, seq_num int, icd9_code string")
-    hot = A.hot_keys(codes, "hadm_id", 100)
-    a = {r["hadm_id"]: (r["codes"], list(r["code_list"])) for r in A.codes_by_admission(codes).collect()}
-    b = {r["hadm_id"]: (r["codes"], list(r["code_list"])) for r in A.codes_by_admission(codes, hot=hot).collect()}
-    assert a == b
+def test_concat_and_codes_on_a_hot_admission(spark):
+    rows = [(i, 1 if i % 3 else 2, None if i % 5 == 0 else f"t{i}") for i in range(1, 3001)]
+    df = spark.createDataFrame(rows, "row_id long, hadm_id long, text string").repartition(7)
+    got = {r["hadm_id"]: (r["text"], r["n_notes"]) for r in A.concat_by_admission(df, category_value="c").collect()}
+    for h in (1, 2):
+        mine = [t for _, k, t in rows if k == h]
+        assert got[h] == (" ".join(t for t in mine if t is not None), len(mine))
+    codes = spark.createDataFrame([(1, 1, "A,B"), (1, 1, "C"), (1, 1, "A"), (1, 0, None)],
+                                  "hadm_id long, seq_num int, icd9_code string")
+    row = A.codes_by_admission(codes).first()
+    assert row["code_list"] == ["A", "A,B", "C"] and row["codes"] == "A,A,B,C"
 
 
 def test_all_categories_mode(spark):
@@ -104,10 +96,17 @@ def test_params_validation():
         IcdParams(diag_or_proc="both")
 
 
-def test_notes_per_admission_hot_path_equals_plain(spark):
+def test_notes_per_admission_keeps_first_rows_only(spark):
     from clinloom.plans.icd_dataset import notes_per_admission
-    rows = [(i, i % 4, "Discharge summary", f"note {i}") for i in range(1, 41)]
-    n = spark.createDataFrame(rows, "row_id long, hadm_id long, category string, text string")
-    plain = {tuple(r) for r in notes_per_admission(n, "Discharge summary", hot_threshold=None).collect()}
-    hot = {tuple(r) for r in notes_per_admission(n, "Discharge summary", hot_threshold=5).collect()}
-    assert plain == hot and len(plain) == 4
+    rows = [(i, i % 4, "\tDischarge summary\n", f"note {i % 10}") for i in range(1, 41)]
+    n = spark.createDataFrame(rows, "row_id long, hadm_id long, category string, text string").repartition(5)
+    got = {r["hadm_id"]: (r["text"], r["category"]) for r in notes_per_admission(n, "Discharge summary").collect()}
+    assert got == {h: (" ".join(f"note {i % 10}" for i in range(1, 11) if i % 4 == h),
+                       " ".join("Discharge summary" for i in range(1, 11) if i % 4 == h)) for h in range(4)}
+
+
+def test_icd10_code_column(spark):
+    n, d, p = frames(spark)
+    d, p = (c.withColumnRenamed("icd9_code", "icd10_code") for c in (d, p))
+    out = icd_labelled(n, d, p, IcdParams(code_column="icd10_code"), cleaned=True)
+    assert out.columns == ["hadm_id", "text", "category", "icd10_code"] and out.count() > 0

@@ -6,8 +6,9 @@ import __spark_entry__ as entry
 from tests.test_oracle import digest
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["g1_icd_dataset", "g2_mlm_corpus", "g4_link_radiology", "g6_top_label_dataset",
-         "q9_pack_blocks", "g8_pretraining_blocks", "u8_bucket_by_length", "m1_mean_pool"]
+NAMES = ["g1_icd_dataset", "g2_mlm_corpus", "g4_link_radiology", "g5_pair_dataset", "g6_top_label_dataset",
+         "g7_evaluate", "q9_pack_blocks", "q9_pack_blocks_doc_order", "g8_pretraining_blocks", "q2_encode_large",
+         "u8_bucket_by_length", "l1_order_by", "a1_hot", "a2_hot", "m1_mean_pool"]
 
 
 @pytest.mark.parametrize("name", NAMES)

@@ -103,8 +103,66 @@ def test_write_splits_csv_keeps_text_exact(spark, tmp_path):
     assert [tuple(r) for r in back.collect()] == [(1, ' lead "q"\nnext ')]
 
 
-def test_row_bound_helpers(spark):
-    from clinloom.operators.joins import has_more_rows, is_small
-    df = spark.range(10).repartition(4)
-    assert has_more_rows(df, 5) and not has_more_rows(df, 10)
-    assert is_small(df, 10) and not is_small(df, 9)
+def test_size_check_of_broadcasts(spark):
+    from clinloom.operators.joins import is_small, stored_bytes
+    df = spark.createDataFrame([("abc", 1, [1, 2]), (None, None, None)], "s string, i long, a array<int>")
+    assert 50 < stored_bytes(df) < 200 and is_small(df) and not is_small(df, 10)
+    assert stored_bytes(df.limit(0)) == 0
+
+
+def test_readers_bind_columns_by_name(spark, tmp_path):
+    p = tmp_path / "codes.csv"
+    p.write_text("HADM_ID,ICD10_CODE,ROW_ID,SEQ_NUM,SUBJECT_ID\n10,0041,30,1,20\n")
+    r = S.read_codes(spark, str(p), "icd10_code").first()
+    assert (r["hadm_id"], r["row_id"], r["icd10_code"], r["seq_num"]) == (10, 30, "0041", 1)
+    q = tmp_path / "cleaned.csv"
+    q.write_text('Text,hadm_id,CATEGORY,ROW_ID\n"a ""b""\nc",7.0,Radiology,1\n')
+    assert tuple(S.read_notes(spark, str(q), ["row_id", "hadm_id", "category", "text"]).first()) == \
+        (1, 7, "Radiology", 'a "b"\nc')
+    with pytest.raises(ValueError):
+        S.read_codes(spark, str(q))
+    with pytest.raises(ValueError):
+        S.read_notes(spark, str(q), ["row_id", "chartdate"])
+    d = tmp_path / "mixed"
+    d.mkdir()
+    (d / "a.csv").write_text("HADM_ID,SEQ_NUM,ICD9_CODE\n1,1,a\n")
+    (d / "b.csv").write_text("SEQ_NUM,HADM_ID,ICD9_CODE\n1,2,b\n")
+    with pytest.raises(Exception):
+        S.read_codes(spark, str(d)).collect()
+
+
+def test_named_tables(spark, tmp_path):
+    p = tmp_path / "ann.csv"
+    p.write_text("Hospital_Admission_ID,Row_ID,Pain,Unsure\n5,1,1,0\n")
+    r = S.read_named(spark, str(p), "annotations").first()
+    assert (r["row_id"], r["pain"], r["unsure"]) == (1, 1, 0)
+    o = tmp_path / "poe.csv"
+    o.write_text("poe_id,ordertime,subject_id,hadm_id,order_type,order_subtype\n1-1,2150-01-02 03:04:05,1,2,Radiology,General Xray\n")
+    assert str(S.read_named(spark, str(o), "orders").first()["ordertime"]) == "2150-01-02 03:04:05"
+
+
+def test_linkage_job_from_files(spark, tmp_path):
+    from clinloom.plans import radiology as R
+    from clinloom.sources import fixtures as fx
+    sf = "/root/testdata/sf0.001"
+    views = {"diagnoses": "v_dx", "dictionary": "v_d_icd", "records": "v_records", "metadata": "v_metadata",
+             "studies": "v_studies", "orders": "v_poe"}
+    read = {}
+    for name, v in views.items():
+        fx.view(spark, sf, v).write.option("header", True).option("escape", '"').csv(str(tmp_path / name))
+        read[name] = S.read_named(spark, str(tmp_path / name), name)
+    rep = fx.view(spark, sf, "v_reports")
+    got = R.link_radiology(read["diagnoses"], read["dictionary"], read["records"], read["metadata"], read["studies"],
+                           read["orders"], rep)
+    exp = R.link_radiology(*[fx.view(spark, sf, views[k]) for k in
+                             ("diagnoses", "dictionary", "records", "metadata", "studies", "orders")], rep)
+    assert sorted(map(str, got.collect())) == sorted(map(str, exp.select(*got.columns).collect())) and got.count() > 0
+
+
+def test_reports_with_blanks_and_percent_signs(spark, tmp_path):
+    root = tmp_path / "re ports%20x"
+    (root / "a b").mkdir(parents=True)
+    (root / "a b" / "c+d%2F.txt").write_text("one")
+    (root / "e.txt").write_text("two\nlines")
+    got = {r["path"]: r["text"] for r in S.read_reports(spark, str(root)).collect()}
+    assert got == {"a b/c+d%2F.txt": "one", "e.txt": "two\nlines"}

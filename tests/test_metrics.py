@@ -85,8 +85,36 @@ def test_label_encoding(spark):
 def test_top_labels_ties_and_multi_hot(spark):
     df = spark.createDataFrame([("x",), ("y",), ("y",), ("z",), ("w",)], "label string")
     assert [r["label"] for r in L.top_labels(df, 2).collect()] == ["y", "w"]
-    codes = spark.createDataFrame([("y,w",)], "codes string")
-    assert L.multi_hot(codes, "codes", ["w", "x", "y"]).first()["labels"] == [1, 0, 1]
+    codes = spark.createDataFrame([(1, "y,w"), (2, "q"), (3, None)], "hadm_id int, codes string")
+    table = L.fit_labels(spark.createDataFrame([("y",), ("w",), ("x",)], "label string"))
+    got = {r["hadm_id"]: r["labels"] for r in L.multi_hot(codes, "codes", table).collect()}
+    assert got == {1: [1, 0, 1], 2: [0, 0, 0], 3: [0, 0, 0]}
+
+
+def test_dense_confusion_of_any_ids_and_null_predictions(spark):
+    df = spark.createDataFrame([(3, 3), (3, 7), (7, 7), (7, None), (3, 9)], "actual int, predicted int")
+    labels = spark.createDataFrame([(3,), (7,)], "label_id int")
+    got = {(r["actual"], r["predicted"]): r["n"] for r in M.dense_confusion(M.confusion(df), labels).collect()}
+    assert got == {(3, 3): 1, (3, 7): 1, (7, 3): 0, (7, 7): 1, (7, None): 1, (3, 9): 1}
+    with pytest.raises(ValueError):
+        M.dense_confusion(M.confusion(df), labels, max_labels=1)
+    some = spark.createDataFrame([(1, 1), (2, 2), (1, None)], "actual int, predicted int")
+    assert M.accuracy(some).first()["accuracy"] == pytest.approx(2 / 3)
+    assert M.weighted_metrics(some).first()["accuracy"] == pytest.approx(2 / 3)
+
+
+def test_study_times_of_any_length(spark):
+    from clinloom.functions.dates import iso, study_timestamp
+    df = spark.createDataFrame([("20200102", t) for t in ("03", "0315", "031545", "031545.5", "031545.1234567", None)],
+                               "d string, t string")
+    got = [r[0] for r in df.select(iso(study_timestamp(df.d, df.t))).collect()]
+    day = "2020-01-02 "
+    assert got == [day + "03:00:00.000000", day + "03:15:00.000000", day + "03:15:45.000000",
+                   day + "03:15:45.500000", day + "03:15:45.123456", None]
+    bad = spark.createDataFrame([("20200102", "3:15"), ("2020-1-2", "031500")], "d string, t string")
+    with pytest.raises(Exception):
+        bad.select(study_timestamp(bad.d, bad.t)).collect()
+    assert bad.select(study_timestamp(bad.d, bad.t, "null").alias("x")).where("x IS NULL").count() == 2
 
 
 def test_mean_pool_masks_padding(spark):

@@ -25,14 +25,24 @@ def test_exact_split_does_not_shuffle_the_table(spark):
 
 
 def test_cleaning_chain_evaluated_once(spark):
-    p = plan(spark, "j3_labelled_admissions")
+    p = plan(spark, "t8_clean_notes_icd")
     assert p.count("[\\s\\x1c-\\x1f]+") == 1   # the whitespace step of the chain
-    assert p.count("documents.parquet") == 1
 
 
-def test_encoding_broadcasts_small_vocabulary(spark):
+@pytest.mark.parametrize("name", ["q2_encode", "q9_pack_blocks", "g5_pair_dataset"])
+def test_tokens_are_not_exploded(spark, name):
+    p = plan(spark, name)
+    assert "posexplode" not in p
+
+
+def test_encoding_maps_arrays_in_place(spark):
     p = plan(spark, "q2_encode")
-    assert "BroadcastHashJoin" in p
+    assert "MapInArrow" in p and "hashpartitioning" not in p
+
+
+@pytest.mark.parametrize("name", ["g1_icd_dataset", "g2_mlm_corpus", "g5_pair_dataset", "q9_pack_blocks"])
+def test_no_single_partition_exchange_of_rows(spark, name):
+    assert "SinglePartition" not in plan(spark, name)
 
 
 def test_category_filter_reaches_the_parquet_scan(spark, tmp_path):

@@ -43,7 +43,7 @@ def test_tokenize_and_vocab(spark):
     assert tok.orderBy("k").first()["tokens"] == ["the", "cat", ",", "the", "dog", "."]
     vocab = {r["token"]: r["id"] for r in Q.build_vocab(tok, "tokens").collect()}
     assert vocab["cat"] == Q.N_SPECIAL and vocab["the"] == Q.N_SPECIAL + 1   # frequency, then token order
-    ids = Q.encode(tok, "k", ["tokens"], Q.build_vocab(tok.where("k = 1"), "tokens"), head_size=2)
+    ids = Q.encode(tok, "k", ["tokens"], Q.build_vocab(tok.where("k = 1"), "tokens"), head_bytes=2)
     got = {r["k"]: r["tokens_ids"] for r in ids.collect()}
     assert got[2][0] == Q.UNK_ID and len(got[1]) == 6      # head/tail lookup and unknown id
 
@@ -95,20 +95,31 @@ def test_line_blocks_and_mask(spark):
     assert r["input_ids"] == [2, 5, 6, 7, 8, 3] and r["attention_mask"] == [1] * 6
 
 
-def test_vocab_window_and_distributed_paths_agree(spark):
-    rows = [(i, [f"t{(i * j) % 37}" for j in range(1, 9)]) for i in range(60)]
-    tok = spark.createDataFrame(rows, "k long, tokens array<string>").repartition(4)
-    small = {r["token"]: (r["n"], r["id"]) for r in Q.build_vocab(tok, "tokens").collect()}
-    large = {r["token"]: (r["n"], r["id"]) for r in Q.build_vocab(tok, "tokens", max_window_rows=1).collect()}
-    assert small == large and sorted(v[1] for v in small.values()) == list(range(Q.N_SPECIAL, Q.N_SPECIAL + len(small)))
+def test_vocab_and_encoding_above_the_broadcast_bound(spark):
+    rows = [(i, [f"t{(i * j) % 37}" for j in range(1, 9)], None if i % 9 == 0 else [f"u{i % 4}", "absent"])
+            for i in range(60)]
+    tok = spark.createDataFrame(rows, "k long, tokens array<string>, more array<string>").repartition(4)
+    vocab = Q.build_vocab(tok, "tokens")
+    ids = {r["token"]: r["id"] for r in vocab.collect()}
+    assert sorted(ids.values()) == list(range(Q.N_SPECIAL, Q.N_SPECIAL + len(ids)))
+    want = {k: ([ids[t] for t in a], [Q.UNK_ID] * len(b or [])) for k, a, b in rows}
+    for bound in (1 << 20, 200, 1):
+        out = Q.encode(tok, "k", ["tokens", "more"], vocab, head_bytes=bound).collect()
+        assert {r["k"]: (r["tokens_ids"], r["more_ids"]) for r in out} == want
 
 
-def test_pack_blocks_hash_order_both_branches(spark):
+def test_pad_longest(spark):
+    df = spark.createDataFrame([(0, [5]), (0, [5, 6, 7]), (1, []), (1, [8] * 9)], "batch_id int, ids array<int>")
+    got = sorted((r["batch_id"], r["input_ids"]) for r in Q.pad_longest(df, "ids", max_len=4).collect())
+    assert got == [(0, [5, 0, 0]), (0, [5, 6, 7]), (1, [0, 0, 0, 0]), (1, [8, 8, 8, 8])]
+
+
+def test_pack_blocks_hash_and_range_order(spark):
     import hashlib
     docs = [(hashlib.md5(str(i).encode()).hexdigest(), list(range(i % 9 + 1))) for i in range(80)]
     df = spark.createDataFrame(docs, "k string, ids array<int>").repartition(3)
     flat = [t for _, x in sorted(docs) for t in x]
-    for bound in (1_000_000, 0):
-        out = Q.pack_blocks(df, "k", "ids", 12, order_is_hash=True, max_broadcast_docs=bound).orderBy("block_id").collect()
+    for hashed in (True, False):
+        out = Q.pack_blocks(df, "k", "ids", 12, order_is_hash=hashed).orderBy("block_id").collect()
         got = [t for r in out for t in r["input_ids"][1:-1]]
         assert got == flat[: len(out) * 10] and len(out) == len(flat) // 10
