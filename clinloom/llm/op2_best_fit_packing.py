@@ -35,7 +35,7 @@ from clinloom.llm.tokens import documents, vocabulary
 
 CAPACITY = 1024
 END_ID = 2
-SHARD = 8192
+SHARD, PASSES = 8192, 6
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
 
 
@@ -101,13 +101,26 @@ def at_least(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
+def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, passes: int = PASSES) -> list[list[int]]:
     """Local search on the underfull bins (see the module text); returns the bins that are left.
 
-    Every step takes length from the emptiest bin to a fuller one, so the sum of squared
-    fills rises with each and the search ends.
+    Every step takes length from an emptier bin to a fuller one, so the sum of squared
+    fills rises with each.  A pass tries every underfull bin once; passes follow as long as
+    one changes something and bins beyond the lower bound are left, ``passes`` at most.
     """
     least = at_least(lengths, capacity)
+    for _ in range(passes):
+        before = sorted(int(lengths[b].sum()) for b in bins)
+        if len(bins) <= least:
+            break
+        bins = one_pass(bins, lengths, capacity, least)
+        if sorted(int(lengths[b].sum()) for b in bins) == before:
+            break
+    return bins
+
+
+def one_pass(bins: list[list[int]], lengths: np.ndarray, capacity: int, least: int) -> list[list[int]]:
+    """One round over the underfull bins, emptiest first."""
     fills = [int(lengths[b].sum()) for b in bins]
     done = [b for b, f in zip(bins, fills, strict=True) if f == capacity]
     work = sorted(((f, b) for b, f in zip(bins, fills, strict=True) if f < capacity), key=lambda x: x[0])
