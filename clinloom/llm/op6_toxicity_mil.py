@@ -26,6 +26,7 @@ that repeat are each scored; an empty table gives no rows; other columns are not
 from __future__ import annotations
 
 import re
+import uuid
 from functools import partial
 
 import numpy as np
@@ -35,10 +36,10 @@ from pyspark.sql import functions as F
 
 from clinloom.llm.catalog import query, table
 from clinloom.llm.shared import fold, materialise
-from clinloom.llm.words import Words, WordTable, slabs
+from clinloom.llm.words import Words, WordTable, resident, slabs
 
 SAMPLE, FEATURES, EVIDENCE, CUT = 6000, 4096, 24.0, 0.3
-ORDERS, STEPS, RATE, RIDGE = (3, 4, 5), 40, 0.4, 1e-5
+ORDERS, STEPS, RATE, RIDGE, TALLY = (3, 4, 5), 40, 0.4, 1e-5, 100_000
 _CORE = re.compile(r"\w+")
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
@@ -68,17 +69,26 @@ def sentences(words: Words) -> np.ndarray:
 
 
 def _count(batches):
-    """Documents of each class that hold a feature, per batch."""
-    for batch in batches:
-        y = batch.column("y").to_numpy()
-        tally: dict[str, list[int]] = {}
-        for t, label in zip(batch.column("text").to_pylist(), y, strict=True):
-            for f in {f for w in set(t.split()) for f in features(w)}:
-                tally.setdefault(f, [0, 0])[label] += 1
-        yield pa.RecordBatch.from_arrays(
+    """Documents of each class that hold a feature; partial counts, handed on before they grow large."""
+    resident(None, dict)                                     # earlier lookups go
+    tally: dict[str, list[int]] = {}
+
+    def batch_of():
+        return pa.RecordBatch.from_arrays(
             [pa.array(list(tally), pa.string()), pa.array([c[0] for c in tally.values()], pa.int64()),
              pa.array([c[1] for c in tally.values()], pa.int64())], names=["feature", "n0", "n1"])
 
+    for batch in batches:
+        y, text = batch.column("y").to_numpy(), batch.column("text")
+        for i in range(batch.num_rows):
+            for f in {f for w in set(text[i].as_py().split()) for f in features(w)}:
+                tally.setdefault(f, [0, 0])[y[i]] += 1
+            if len(tally) > TALLY:
+                yield batch_of()
+                tally.clear()
+    if tally:
+        yield batch_of()
+
 
 def _bags(batches, known):
     """Per text: its sentences as counted feature numbers."""
@@ -200,10 +210,38 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_features
     return {"words": {f: float(w[i]) for f, i in index.items()}, "bias": bias}
 
 
+def word_weights(weights: dict[str, float]):
+    """A function from words to the sums of their features' weights (an array of one column).
+
+    All features are found in one pass of an automaton over the words, one on a line, their
+    letter runs marked like :func:`features` marks them.
+    """
+    import ahocorasick
+    find = ahocorasick.Automaton()
+    for f, w in weights.items():
+        find.add_word(f, w)
+    if weights:
+        find.make_automaton()
+
+    def score(words: list[str]) -> np.ndarray:
+        out = np.zeros((len(words), 1))
+        if not weights:
+            return out
+        lines = _CORE.sub(r"<\g<0>>", "\n".join(words).lower())
+        hits = list(find.iter(lines))
+        if hits:
+            at, value = zip(*hits, strict=True)
+            ends = np.cumsum([len(x) + 1 for x in lines.split("\n")])
+            out[:, 0] = np.bincount(np.searchsorted(ends, at, side="right"), value, len(words))
+        return out
+
+    return score
+
+
 def _score(batches, model):
     value = model.value
-    weights, bias = value.get("words", {}), value.get("bias", 0.0)
-    table_ = WordTable(1, lambda new: [[sum(weights.get(f, 0.0) for f in features(w))] for w in new])
+    bias = value.get("bias", 0.0)
+    table_ = resident(("op6", value["name"]), lambda: WordTable(1, word_weights(value.get("words", {})), 21))
     for batch in batches:
         for words in slabs(batch.column("text"), lower=True):
             rows = words.rows
@@ -237,7 +275,7 @@ _OUT = "score double, predicted int, sentence int, sentence_score double, word_f
 
 def toxicity(docs: DataFrame, model: dict) -> DataFrame:
     """Scores of every row of ``docs`` (doc_id, text)."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(model | {"name": uuid.uuid4().hex})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"),
                        F.col("text").cast("string").alias("text"))
@@ -254,7 +292,7 @@ def op6_toxicity_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents predicted toxic go; all columns of the others stay as they are."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    held = spark.sparkContext.broadcast(model)
+    held = spark.sparkContext.broadcast(model | {"name": uuid.uuid4().hex})
 
     def keep(batches):
         for batch in batches:

@@ -168,6 +168,17 @@ def whole(first: np.ndarray, n: int, k: int) -> np.ndarray:
     return ok
 
 
+_resident: dict = {}
+
+
+def resident(key, make):
+    """``make()``, kept by the worker until another key is asked for: one large lookup at a time."""
+    if "key" not in _resident or _resident["key"] != key:
+        _resident.clear()
+        _resident.update(key=key, value=make())
+    return _resident["value"]
+
+
 class WordTable:
     """Remembers one vector per word: a direct-mapped table of bounded size over word hashes.
 
