@@ -20,6 +20,7 @@ empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import re
+import uuid
 from functools import partial
 
 import numpy as np
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 
 from clinloom.llm.catalog import query, table
 from clinloom.llm.shared import fold, materialise
-from clinloom.llm.words import WordTable, slabs
+from clinloom.llm.words import WordTable, resident, slabs
 
-SAMPLE, WORDS, GRAMS, LANGS, TOP = 3000, 100_000, 30_000, 256, 5
+SAMPLE, WORDS, GRAMS, LANGS, TOP, TALLY = 3000, 50_000, 20_000, 256, 5, 25_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -41,29 +42,38 @@ def grams(word: str, order: int) -> list[str]:
 
 
 def _count(batches, lang_no):
-    """(order, unit, language, count) of each batch; order 0 is the whole word."""
+    """(order, unit, language, count), order 0 the whole word; partial counts, handed on before
+    they grow large."""
     index = lang_no.value
-    for batch in batches:
-        words: dict[tuple[int, str], int] = {}
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            no = index[lang]
-            for w in _LETTERS.findall(text.lower()):
-                words[no, w] = words.get((no, w), 0) + 1
+    words: dict[tuple[int, str], int] = {}
+
+    def batch_of():
         tally: dict[tuple[int, str, int], int] = {}
         for (no, w), n in words.items():
             tally[0, w, no] = tally.get((0, w, no), 0) + n
             for k in range(1, TOP + 1):
                 for g in grams(w, k):
                     tally[k, g, no] = tally.get((k, g, no), 0) + n
-        if tally:
-            order, unit, lang = zip(*tally, strict=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(order, pa.int32()), pa.array(unit), pa.array(lang, pa.int32()),
-                 pa.array(list(tally.values()), pa.int64())], names=["n", "unit", "lang", "count"])
+        order, unit, lang = zip(*tally, strict=True)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(order, pa.int32()), pa.array(unit), pa.array(lang, pa.int32()),
+             pa.array(list(tally.values()), pa.int64())], names=["n", "unit", "lang", "count"])
+
+    for batch in batches:
+        lang, text = batch.column("lang"), batch.column("text")
+        for i in range(batch.num_rows):
+            no = index[lang[i].as_py()]
+            for w in _LETTERS.findall(text[i].as_py().lower()):
+                words[no, w] = words.get((no, w), 0) + 1
+            if len(words) > TALLY:
+                yield batch_of()
+                words.clear()
+    if words:
+        yield batch_of()
 
 
 def train(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, n_grams: int = GRAMS) -> dict:
-    """{"langs": names, "units": one {unit: log frequencies} per order}."""
+    """{"langs": names, "units": names per order, "logs": their log frequencies per language}."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
                        F.col("text").cast("string").alias("text")) \
@@ -74,7 +84,7 @@ def train(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, n_grams: in
     if len(limits) > LANGS:
         raise ValueError(f"more than {LANGS} languages")
     if not limits:
-        return {"langs": [], "units": []}
+        return {"langs": [], "units": [], "logs": []}
     # the sample's hash bound of each language: a first cut by share, then the exact first rows
     share = {r["lang"]: min(1.0, (2.0 * sample + 50) / r["n"]) for r in limits}
     cut = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, min(2**63 - 1, -2**63 + int(v * 2**64)))])
@@ -95,49 +105,56 @@ def train(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, n_grams: in
     size = np.zeros((TOP + 1, len(limits)))
     for r in counts.select("n", F.explode("by").alias("lang", "c")).groupBy("n", "lang").agg(F.sum("c").alias("c")).collect():
         size[r["n"], r["lang"]] = r["c"]
-    units: list[dict] = []
+    units, logs = [], []
     for n in range(TOP + 1):
         best = (counts.filter(F.col("n") == n).orderBy(F.desc("count"), "unit")
-                .limit(words if n == 0 else n_grams).select("unit", "by").collect())
-        low = np.log(0.1 / (size[n] + 1))
-        held = {}
-        for r in best:
-            v = low.copy()
-            for lang, c in r["by"].items():
-                v[lang] = np.log((c + 0.1) / (size[n, lang] + 1))
-            held[r["unit"]] = v.astype(np.float32)
-        units.append(held)
-    return {"langs": [r["lang"] for r in limits], "units": units}
-
-
-def word_scores(word: str, units: list[dict], width: int) -> tuple[np.ndarray, int]:
-    """(log frequency per language, letters runs) of one written word."""
+                .limit(words if n == 0 else n_grams))
+        spread = materialise(best.select("unit", "by"), "op5-units").select("unit", F.explode("by").alias("lang", "c"))
+        got = spread.toArrow()                               # at most ``words`` units of each order
+        names, at = np.unique(got.column("unit").to_numpy(zero_copy_only=False).astype(object), return_inverse=True) \
+            if got.num_rows else (np.zeros(0, object), np.zeros(0, np.int64))
+        seen = np.zeros((len(names), len(limits)))
+        seen[at, got.column("lang").to_numpy()] = got.column("c").to_numpy()
+        units.append(pa.array(names.tolist(), pa.string()))
+        logs.append(np.log((seen + 0.1) / (size[n] + 1)).astype(np.float32))
+    return {"langs": [r["lang"] for r in limits], "units": units, "logs": logs}
+
+
+def word_scores(word: str, units: list[dict[str, int]], logs: list[np.ndarray], width: int) -> tuple[np.ndarray, int]:
+    """(log frequency per language, letter runs) of one written word."""
     total, runs = np.zeros(width, np.float32), 0
     for w in _LETTERS.findall(word.lower()):
         runs += 1
-        if w in units[0]:
-            total += units[0][w]
+        at = units[0].get(w)
+        if at is not None:
+            total += logs[0][at]
             continue
         for k in range(min(TOP, len(w) + 2), 0, -1):
             known = [units[k][g] for g in grams(w, k) if g in units[k]]
             if known:
-                total += np.mean(known, axis=0)
+                total += logs[k][known].mean(axis=0)
                 break
     return total, runs
 
 
-def _predict(batches, model):
-    langs, units = model.value["langs"], model.value["units"]
-    width = len(langs)
+def _lookup(model: dict) -> WordTable:
+    """Remembers word scores under the model."""
+    width = len(model["langs"])
+    units = [{u: i for i, u in enumerate(names.to_pylist())} for names in model["units"]]
 
     def score(new):
         out = np.zeros((len(new), width + 1), np.float32)
         for i, w in enumerate(new):
             if width:
-                out[i, :width], out[i, width] = word_scores(w, units, width)
+                out[i, :width], out[i, width] = word_scores(w, units, model["logs"], width)
         return out
 
-    table_ = WordTable(width + 1, score, 19)
+    return WordTable(width + 1, score, 20)
+
+
+def _predict(batches, model):
+    langs, width = model.value["langs"], len(model.value["langs"])
+    table_ = resident(("op5", model.value["name"]), lambda: _lookup(model.value))
     for batch in batches:
         for words in slabs(batch.column("text")):
             sums = np.zeros((words.rows, width + 1))
@@ -158,7 +175,7 @@ def _predict(batches, model):
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.sparkSession.sparkContext.broadcast(model | {"name": uuid.uuid4().hex})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.coalesce(fold(F.col("doc_id"), 4) == 2, F.lit(False)).alias("held_out"),
                        F.col("text").cast("string").alias("text"))

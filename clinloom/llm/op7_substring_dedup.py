@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from clinloom.llm.catalog import query, table
 from clinloom.llm.shared import keyed, materialise
-from clinloom.llm.words import Words, slabs, spans, whole, windows
+from clinloom.llm.words import Words, resident, slabs, spans, whole, windows
 
 WINDOW = 35
 SEED = 11
@@ -74,6 +74,7 @@ def anchors(words: Words, window: int, seed: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _emit_nodes(batches, window: int, seed: int):
+    resident(None, dict)                                     # earlier lookups go
     for batch in batches:
         k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
         for words in slabs(batch.column("text")):

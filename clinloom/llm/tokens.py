@@ -21,13 +21,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from clinloom.llm.words import Words, byte_hashes, slabs
+from clinloom.llm.words import Words, byte_hashes, resident, slabs
 
 _UNSAFE = (r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2060}"
            r"\x{3000}\x{feff}]|<\|")
 _PLAIN = re.compile("[!-~À-ÿ]*")       # words that composition leaves as they are
-_SLOTS, _POOL = 22, 24 << 20
-_open: dict = {}
+_SLOTS, _POOL = 21, 8 << 20
 
 
 class Encoder:
@@ -37,9 +36,9 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.lib, self.style = Tokenizer.from_file(path), style
-        self.bare = Tokenizer.from_file(path)             # for words that need no normalising but lower case
         if style == "plain":
             from tokenizers.normalizers import Sequence
+            self.bare = Tokenizer.from_file(path)         # for words that need no normalising but lower case
             self.bare.normalizer = Sequence([])
         self.clear()
 
@@ -53,7 +52,7 @@ class Encoder:
         out: list[list[int]] = [[]] * len(pieces)
         easy = [i for i, p in enumerate(pieces) if self.style == "plain" and "<|" not in p and _PLAIN.fullmatch(p)]
         rest = range(len(pieces)) if not easy else sorted(set(range(len(pieces))) - set(easy))
-        for at, lib, text in ((easy, self.bare, str.lower), (rest, self.lib, str)):
+        for at, lib, text in ((easy, getattr(self, "bare", None), str.lower), (rest, self.lib, str)):
             for lo in range(0, len(at), 8192):
                 part = at[lo:lo + 8192]
                 for i, e in zip(part, lib.encode_batch_fast([text(pieces[i]) for i in part],
@@ -66,8 +65,8 @@ class Encoder:
         ids = self._library(pieces)
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(size.sum())
-        while self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        if self.used + total > len(self.ids):
+            self.ids = np.concatenate([self.ids[:self.used], np.zeros(total + (2 << 20), np.uint16)])
         self.ids[self.used:self.used + total] = np.fromiter((x for e in ids for x in e), np.uint16, total)
         at = self.used + np.cumsum(size) - size
         self.used += total
@@ -121,10 +120,7 @@ class Encoder:
 
 def encoder(path: str, style: str) -> Encoder:
     """The worker's encoder for a vocabulary file (kept while the worker lives)."""
-    if (path, style) not in _open:
-        _open.clear()
-        _open[path, style] = Encoder(path, style)
-    return _open[path, style]
+    return resident((path, style), lambda: Encoder(path, style))
 
 
 def documents(column: pa.Array, path: str, style: str, end_id: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
