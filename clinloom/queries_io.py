@@ -12,8 +12,12 @@ from pyspark.sql import types as T
 
 from clinloom.operators import metrics as M
 from clinloom.plans import classification as C
+from clinloom.plans import corpora as G
+from clinloom.plans import radiology as R
+from clinloom.plans.icd_dataset import IcdParams, icd_dataset
 from clinloom.queries_core import G1_SQL, g1_query
-from clinloom.queries_ml import G2_CTES, G7_SQL, g2_corpus
+from clinloom.queries_linkage import LINKED_G4_SQL, g4_columns
+from clinloom.queries_ml import G2_CTES, G3_SQL, G7_SQL, g2_corpus, g3_columns
 from clinloom.catalog import CLEAN_ICD_SQL, V, register, tbl
 from clinloom.session import ensure_checkpoint_dir
 from clinloom.sources import readers as S
@@ -194,3 +198,54 @@ def _csv_file(df, path):
        .option("ignoreTrailingWhiteSpace", False).option("emptyValue", '""').option("quoteAll", True)
        .option("nullValue", None).csv(path))
     return path
+
+
+# ------------------------------------------------ whole jobs from files, read by the readers above
+
+def _upper(df):
+    return df.toDF(*[c.upper() for c in df.columns])
+
+
+def _notes_file(spark, sf):
+    n = V(spark, sf, "v_notes").select("text", "category", "hadm_id", "row_id")
+    return S.read_notes(spark, _csv_file(_upper(n), scratch(spark, "job-notes")))
+
+
+def _named_file(spark, sf, table, view):
+    return S.read_named(spark, _csv_file(_upper(V(spark, sf, view)), scratch(spark, f"job-{table}")), table)
+
+
+@register("g1_from_files", "SELECT hadm_id, text, category, icd9_code AS icd10_code, split FROM (" + G1_SQL + ")")
+def g1_files(spark, sf):
+    """G1 in ICD-10 mode: the cleaned-notes file and two code files with an ICD10_CODE column."""
+    n = V(spark, sf, "v_notes").select(clean_text(F.col("text"), "icd").alias("TEXT"), F.col("category").alias("CATEGORY"),
+                                       F.col("hadm_id").alias("HADM_ID"), F.col("row_id").alias("ROW_ID"))
+    notes = S.read_notes(spark, _csv_file(n, scratch(spark, "job-cleaned")))
+    codes = [S.read_codes(spark, _csv_file(_upper(V(spark, sf, v).withColumnRenamed("icd9_code", "icd10_code")),
+                                           scratch(spark, "job-codes")), "icd10_code") for v in ("v_diag", "v_proc")]
+    return icd_dataset(notes, *codes, IcdParams(code_column="icd10_code"), cleaned=True)
+
+
+@register("g2_from_files", f"WITH {G2_CTES} SELECT text, split FROM g2")
+def g2_files(spark, sf):
+    """G2 from a notes file, an annotation file and a folder of reports."""
+    root = scratch(spark, "job-reports")
+    named = V(spark, sf, "v_reports").withColumn("path", F.translate("path", "/", " "))
+    named.write.mode("overwrite").partitionBy("path").text(root)
+    reports = S.read_reports(spark, root).withColumn("text", F.expr("substring(text, 1, length(text) - 1)"))
+    return G.mlm_corpus(_notes_file(spark, sf), reports, _named_file(spark, sf, "annotations", "v_ann"))
+
+
+@register("g3_from_files", G3_SQL)
+def g3_files(spark, sf):
+    """G3 from a notes file and an annotation file."""
+    return g3_columns(G.annotation_dataset(_notes_file(spark, sf), _named_file(spark, sf, "annotations", "v_ann")))
+
+
+@register("g4_from_files", LINKED_G4_SQL)
+def g4_files(spark, sf):
+    """G4 from six table files; the reports as read before."""
+    views = {"diagnoses": "v_dx", "dictionary": "v_d_icd", "records": "v_records", "metadata": "v_metadata",
+             "studies": "v_studies", "orders": "v_poe"}
+    t = [_named_file(spark, sf, name, v) for name, v in views.items()]
+    return g4_columns(R.link_radiology(*t, V(spark, sf, "v_reports")))

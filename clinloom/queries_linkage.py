@@ -120,11 +120,18 @@ _G4_SELECT = """SELECT subject_id, k[1] AS hadm_id, k[2] AS study_id, text_path,
        icd_version, k[4] AS long_title, study_text FROM g4"""
 
 
+LINKED_G4_SQL = _LINKED_CTE + _G4_SELECT
+
+
+def g4_columns(out):
+    return out.select(*_x_out(), "study_text")
+
+
 def g4_query(spark, sf):
     out = R.link_radiology(V(spark, sf, "v_dx"), V(spark, sf, "v_d_icd"), V(spark, sf, "v_records"),
                            V(spark, sf, "v_metadata"), V(spark, sf, "v_studies"), V(spark, sf, "v_poe"),
                            V(spark, sf, "v_reports"))
-    return out.select(*_x_out(), "study_text")
+    return g4_columns(out)
 
 
 
@@ -139,7 +146,7 @@ def w2(spark, sf):
     return dedupe_studies(lk).withColumn("ordertime", iso(F.col("ordertime")))
 
 
-register("g4_link_radiology", _LINKED_CTE + _G4_SELECT)(g4_query)
+register("g4_link_radiology", LINKED_G4_SQL)(g4_query)
 
 
 @register("a6_label_density", _LINKED_CTE + """

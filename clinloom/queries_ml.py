@@ -93,7 +93,7 @@ def k5(spark, sf):
     return G.corpus_sample(g2_corpus(spark, sf).select("text"), 100)
 
 
-@register("g3_annotation_dataset", f"""
+G3_SQL = f"""
 WITH sure AS (SELECT row_id, quality, toxic FROM v_ann WHERE unsure = 0),
 n AS (SELECT row_id, {CLEAN_MLM_SQL} AS text FROM v_notes WHERE row_id IN (SELECT row_id FROM sure)),
 r AS (SELECT n.row_id, n.text, s.quality, s.toxic FROM n LEFT JOIN sure s ON n.row_id = s.row_id)
@@ -101,13 +101,19 @@ SELECT row_id, text, CAST(quality AS BIGINT) AS quality, CAST(toxic AS BIGINT) A
        CAST(quality AS VARCHAR) || ',' || CAST(toxic AS VARCHAR) AS labels,
        CASE WHEN ('0x' || substr(md5('42|' || CAST(row_id AS VARCHAR)), 1, 8))::BIGINT / 4294967296.0 < {0.8!r}
             THEN 'train' ELSE 'validate' END AS split
-FROM r""")
-def g3(spark, sf):
-    out = G.annotation_dataset(V(spark, sf, "v_notes"), V(spark, sf, "v_ann"))
+FROM r"""
+
+
+def g3_columns(out):
     return out.select("row_id", "text", F.col("quality").cast("bigint").alias("quality"),
                       F.col("toxic").cast("bigint").alias("toxic"), ints(F.col("labels")).alias("labels"), "split")
 
 
+@register("g3_annotation_dataset", G3_SQL)
+def g3(spark, sf):
+    return g3_columns(G.annotation_dataset(V(spark, sf, "v_notes"), V(spark, sf, "v_ann")))
+
+
 @register("e5_one_hot_columns", """
 SELECT row_id, CAST(quality AS VARCHAR) || ',' || CAST(toxic AS VARCHAR) AS labels FROM v_ann""")
 def e5(spark, sf):
