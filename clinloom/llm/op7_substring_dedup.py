@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from clinloom.llm.catalog import query, table
 from clinloom.llm.shared import keyed, materialise
-from clinloom.llm.words import Words, resident, slabs, spans, whole, windows
+from clinloom.llm.words import Words, release, slabs, spans, whole, windows
 
 WINDOW = 35
 SEED = 11
@@ -74,7 +74,7 @@ def anchors(words: Words, window: int, seed: int) -> tuple[np.ndarray, np.ndarra
 
 
 def _emit_nodes(batches, window: int, seed: int):
-    resident(None, dict)                                     # earlier lookups go
+    release()
     for batch in batches:
         k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
         for words in slabs(batch.column("text")):
@@ -192,7 +192,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED,
     """
     rows = keyed(docs, id_col, text_col)
     found = rows.select("k1", "k2", "text").mapInArrow(partial(_emit_nodes, window=window, seed=seed), _NODES)
-    repeated = found.groupBy("node").count().filter("count > 1").select("node")
+    # written first: with both sides of a join read from files, a hot node's rows can be split
+    repeated = materialise(found.groupBy("node").count().filter("count > 1").select("node"), "op7-nodes")
     hits = materialise(found.join(repeated, "node", "left_semi"), "op7-hits")
     along = Window.partitionBy("k1", "k2").orderBy("pos")
     came = hits.withColumn("came", F.when(F.lag("pos").over(along) + F.lag("gap").over(along) == F.col("pos"),
@@ -202,13 +203,15 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED,
     degree = came.groupBy("node").agg(
         ((F.count("left") == n) & (F.min("left") == F.max("left"))).alias("out1"),
         ((F.count("came") == n) & (F.min("came") == F.max("came"))).alias("in1"))
-    paths = (hits.join(degree.select("node", F.coalesce("out1", F.lit(False)).alias("out1"),
-                                     F.coalesce("in1", F.lit(False)).alias("in1")), "node")
+    degree = materialise(degree.select("node", F.coalesce("out1", F.lit(False)).alias("out1"),
+                                       F.coalesce("in1", F.lit(False)).alias("in1")), "op7-degrees")
+    paths = (hits.join(degree, "node")
              .groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "gap", "out1", "in1")).alias("path")))
     places = materialise(rows.join(paths, ["k1", "k2"], "left")
                          .mapInArrow(partial(_emit_places, window=window, seed=seed), _PLACES), "op7-places")
     cand = places.select("k1", "k2", F.explode("cands").alias("c")).select("k1", "k2", "c.*")
-    twice = cand.groupBy("h1", "h2", "len").count().filter("count > 1").select("h1", "h2", "len")
+    twice = materialise(cand.groupBy("h1", "h2", "len").count().filter("count > 1").select("h1", "h2", "len"),
+                        "op7-twice")
     gone = (cand.join(twice, ["h1", "h2", "len"], "left_semi")
             .groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "len")).alias("gone")))
     return places.drop("cands").join(gone, ["k1", "k2"], "left").mapInArrow(
