@@ -35,11 +35,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinloom.llm.catalog import query, table
-from clinloom.llm.shared import fold, materialise
-from clinloom.llm.words import Words, WordTable, resident, slabs
+from clinloom.llm.shared import fold, materialise, small_batches
+from clinloom.llm.words import Words, WordTable, hash_ints, release, resident, slabs, spans, windows
 
 SAMPLE, FEATURES, EVIDENCE, CUT = 6000, 4096, 24.0, 0.3
-ORDERS, STEPS, RATE, RIDGE, TALLY = (3, 4, 5), 40, 0.4, 1e-5, 100_000
+ORDERS, STEPS, RATE, RIDGE, TALLY = (3, 4, 5), 40, 0.4, 1e-5, 1 << 20
 _CORE = re.compile(r"\w+")
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
@@ -68,50 +68,121 @@ def sentences(words: Words) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def feature_hashes(text: str) -> tuple[np.ndarray, str, np.ndarray, np.ndarray]:
+    """(hashes, marked text, starts, ends): every occurrence of a feature among the text's different words."""
+    s = _CORE.sub(r"<\g<0>>", " ".join(set(text.split())).lower().translate({60: 32, 62: 32}))
+    cp = np.frombuffer(s.encode("utf-32-le"), np.uint32)
+    opened, closed = np.flatnonzero(cp == 60), np.flatnonzero(cp == 62) + 1
+    h = hash_ints(cp, 6)
+    word = np.zeros(len(cp), np.int64)                       # number of the word at each place, 0 between words
+    word[opened] = np.arange(1, len(opened) + 1)
+    word = np.maximum.accumulate(word)
+    if len(opened):
+        word[(word > 0) & (np.arange(len(cp)) >= closed[word - 1])] = 0
+    out, starts, ends = [spans(h, opened, closed)], [opened], [closed]
+    for k in ORDERS:
+        if len(cp) >= k:
+            at = np.flatnonzero((word[:len(cp) - k + 1] > 0) & (word[:len(cp) - k + 1] == word[k - 1:]))
+            out.append(windows(h, k)[at])
+            starts.append(at)
+            ends.append(at + k)
+    return np.concatenate(out), s, np.concatenate(starts), np.concatenate(ends)
+
+
 def _count(batches):
     """Documents of each class that hold a feature; partial counts, handed on before they grow large."""
-    resident(None, dict)                                     # earlier lookups go
-    tally: dict[str, list[int]] = {}
+    release()
+    held: tuple[list, list] = ([], [])
+    size = 0
 
     def batch_of():
-        return pa.RecordBatch.from_arrays(
-            [pa.array(list(tally), pa.string()), pa.array([c[0] for c in tally.values()], pa.int64()),
-             pa.array([c[1] for c in tally.values()], pa.int64())], names=["feature", "n0", "n1"])
+        both = [np.unique(np.concatenate(x), return_counts=True) if x else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                for x in held]
+        names = np.union1d(both[0][0], both[1][0])
+        n = np.zeros((2, len(names)), np.int64)
+        for y in (0, 1):
+            n[y, np.searchsorted(names, both[y][0])] = both[y][1]
+        return pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(n[0]), pa.array(n[1])],
+                                          names=["feature", "n0", "n1"])
 
     for batch in batches:
         y, text = batch.column("y").to_numpy(), batch.column("text")
         for i in range(batch.num_rows):
-            for f in {f for w in set(text[i].as_py().split()) for f in features(w)}:
-                tally.setdefault(f, [0, 0])[y[i]] += 1
-            if len(tally) > TALLY:
+            own = np.unique(feature_hashes(text[i].as_py())[0])
+            held[y[i]].append(own)
+            size += len(own)
+            if size > TALLY:
                 yield batch_of()
-                tally.clear()
-    if tally:
+                held, size = ([], []), 0
+    if size:
         yield batch_of()
 
 
+def _names(batches, wanted):
+    """(feature, name) of the wanted feature hashes, once per task."""
+    release()
+    left = wanted.value
+    for batch in batches:
+        out: dict[int, str] = {}
+        for text in batch.column("text"):
+            h, s, a, b = feature_hashes(text.as_py())
+            for i in np.flatnonzero(np.isin(h, left)).tolist():
+                out.setdefault(int(h[i]), s[a[i]:b[i]])
+        left = left[~np.isin(left, np.array(list(out), np.uint64))]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(list(out), np.uint64).view(np.int64)),
+                                              pa.array(list(out.values()))], names=["feature", "name"])
+
+
+def _automaton(values: dict):
+    import ahocorasick
+    find = ahocorasick.Automaton()
+    for f, v in values.items():
+        find.add_word(f, v)
+    if values:
+        find.make_automaton()
+    return find
+
+
+def _found(find, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, value) of every feature found in the words, one pass over all of them: each on
+    a line, its letter runs marked like :func:`features` marks them."""
+    lines = _CORE.sub(r"<\g<0>>", "\n".join(words).lower())
+    hits = list(find.iter(lines)) if len(find) else []
+    if not hits:
+        return np.zeros(0, np.int64), np.zeros(0)
+    at, value = zip(*hits, strict=True)
+    ends = np.cumsum([len(x) + 1 for x in lines.split("\n")])
+    return np.searchsorted(ends, at, side="right"), np.asarray(value)
+
+
 def _bags(batches, known):
     """Per text: its sentences as counted feature numbers."""
-    index = known.value
+    release()
+    find = _automaton(known.value)
     for batch in batches:
         y = batch.column("y").to_numpy()
         for words in slabs(batch.column("text"), lower=True):
             first, raw = sentences(words), words.data.tobytes()
             row = np.searchsorted(words.first, first, side="right") - 1
-            memo: dict[bytes, list[int]] = {}
+            _, one, back = np.unique(words.hashes, return_index=True, return_inverse=True)
+            own, value = _found(find, [raw[words.starts[i]:words.ends[i]].decode() for i in one.tolist()])
+            order = np.argsort(own, kind="stable")
+            value = value[order].astype(np.int64)
+            cut = np.searchsorted(own[order], np.arange(len(one) + 1))
             feats: list[list[list[int]]] = [[] for _ in range(words.rows)]
-            plain = np.zeros(words.rows, np.int64)
-            for s, (a, b) in enumerate(zip(first, np.append(first[1:], len(words)), strict=True)):
-                got: list[int] = []
-                for i in range(a, b):
-                    w = raw[words.starts[i]:words.ends[i]]
-                    if w not in memo:
-                        memo[w] = [index[f] for f in features(w.decode()) if f in index]
-                    got += memo[w]
-                if got:
-                    feats[row[s]].append(got)
+            plain = np.bincount(row, minlength=words.rows).astype(np.int64)
+            some = np.flatnonzero(cut[back + 1] > cut[back]) if len(back) else []
+            at = np.searchsorted(first, some, side="right") - 1
+            last = -1
+            for i, s in zip(some, at, strict=True):
+                r, got = row[s], value[cut[back[i]]:cut[back[i] + 1]].tolist()
+                if s != last:
+                    feats[r].append(got)
+                    plain[r] -= 1
+                    last = s
                 else:
-                    plain[row[s]] += 1
+                    feats[r][-1] += got
             yield pa.RecordBatch.from_arrays(
                 [pa.array(y[words.row:words.row + words.rows], pa.int32()), pa.array(plain),
                  pa.array(feats, pa.list_(pa.list_(pa.int32())))], names=["y", "plain", "bag"])
@@ -155,6 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_features
           steps: int = STEPS) -> dict:
     """{"words": feature -> weight, "bias": ..} or {"rate": share of class 1}."""
     spark = docs.sparkSession
+    small_batches(spark)
     given = (labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("double").alias("toxic"))
              .filter("toxic is not null and doc_id is not null").filter(fold(F.col("doc_id"), 4) != 2)
              .groupBy("doc_id").agg(F.avg("toxic").alias("toxic")))
@@ -178,7 +250,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_features
     n0, n1 = size.get(0, 0), size.get(1, 0)
     if not n0 or not n1:
         return {"rate": float(n1 > 0)}
-    counts = (chosen.mapInArrow(_count, "feature string, n0 long, n1 long").groupBy("feature")
+    counts = (chosen.mapInArrow(_count, "feature long, n0 long, n1 long").groupBy("feature")
               .agg(F.sum("n0").cast("double").alias("a"), F.sum("n1").cast("double").alias("b")))
 
     def part(seen, expected):
@@ -190,7 +262,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_features
                  + part(n0 - a, (n - hold) * n0 / n) + part(n1 - b, (n - hold) * n1 / n))
     best = (counts.filter(b / n1 > a / n0).select("feature", ratio.alias("g")).filter(F.col("g") >= EVIDENCE)
             .orderBy(F.desc("g"), "feature").limit(max_features).collect())
-    index = {r["feature"]: i for i, r in enumerate(best)}
+    wanted = spark.sparkContext.broadcast(np.array([r["feature"] for r in best], np.int64).view(np.uint64))
+    named = (chosen.mapInArrow(partial(_names, wanted=wanted), "feature long, name string")
+             .groupBy("feature").agg(F.min("name").alias("name")).collect())
+    name = {r["feature"]: r["name"] for r in named}
+    index = {name[r["feature"]]: i for i, r in enumerate(best)}
     known = spark.sparkContext.broadcast(index)
     bags = materialise(chosen.mapInArrow(partial(_bags, known=known),
                                          "y int, plain long, bag array<array<int>>"), "op6-bags")
@@ -211,29 +287,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, max_features
 
 
 def word_weights(weights: dict[str, float]):
-    """A function from words to the sums of their features' weights (an array of one column).
-
-    All features are found in one pass of an automaton over the words, one on a line, their
-    letter runs marked like :func:`features` marks them.
-    """
-    import ahocorasick
-    find = ahocorasick.Automaton()
-    for f, w in weights.items():
-        find.add_word(f, w)
-    if weights:
-        find.make_automaton()
+    """A function from words to the sums of their features' weights (an array of one column)."""
+    find = _automaton(weights)
 
     def score(words: list[str]) -> np.ndarray:
-        out = np.zeros((len(words), 1))
-        if not weights:
-            return out
-        lines = _CORE.sub(r"<\g<0>>", "\n".join(words).lower())
-        hits = list(find.iter(lines))
-        if hits:
-            at, value = zip(*hits, strict=True)
-            ends = np.cumsum([len(x) + 1 for x in lines.split("\n")])
-            out[:, 0] = np.bincount(np.searchsorted(ends, at, side="right"), value, len(words))
-        return out
+        own, value = _found(find, words)
+        return np.bincount(own, value, len(words)).astype(float)[:, None]
 
     return score
 

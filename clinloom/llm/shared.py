@@ -27,6 +27,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand documents to Python tasks in batches of at most ``rows`` (a session setting).
+
+    Texts are wide: Spark's default of 10 000 rows a batch costs each task some hundred
+    megabytes on both sides, whatever the operator does with them.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text modulo ``modulus``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
@@ -38,6 +49,7 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Rows that repeat with the same id and text share a key and are treated alike; rows
     that share only the id get different keys.
     """
+    small_batches(docs.sparkSession)
     d, t = F.col(id_col), F.col(text_col)
     return docs.select(F.coalesce(d, F.lit(0)).cast("long").alias("k1"),
                        F.xxhash64(d.isNull(), F.coalesce(t, F.lit(""))).alias("k2"),

@@ -7,14 +7,16 @@ megabytes, whatever the size of the Arrow batch; a single longer document is one
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLAB_BYTES = 2 << 20
+SLAB_BYTES = 1 << 20
 _U = np.uint64
 _BASE, _WIN = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 
@@ -41,7 +43,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-@lru_cache(maxsize=8)
+_known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and its inverse powers modulo 2**64, i < n."""
     def run(b: int) -> np.ndarray:
@@ -57,8 +61,9 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << max(16, int(n - 1).bit_length())
-    a, b = _powers(base, size)
+    if base not in _known or len(_known[base][0]) < n:
+        _known[base] = _powers(base, 1 << max(16, int(n - 1).bit_length()))
+    a, b = _known[base]
     return a[:n], b[:n]
 
 
@@ -78,6 +83,13 @@ def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def trim() -> None:
+    """Give the allocators' free pages back, so that a long-lived worker stays as small as its task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):       # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Words:
     """Words of one slab: ``starts``/``ends`` byte offsets, ``first[d]:first[d+1]`` the words of row d."""
 
@@ -131,6 +143,7 @@ def texts(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def slabs(column, lower: bool = False, size: int = SLAB_BYTES) -> Iterator[Words]:
     """The column's rows in order, as slabs of about ``size`` bytes (never splitting a row)."""
+    trim()
     data, off = texts(column)
     i, n = 0, len(off) - 1
     while i < n:
@@ -179,6 +192,12 @@ def resident(key, make):
     return _resident["value"]
 
 
+def release() -> None:
+    """Drop what earlier tasks of this worker remembered."""
+    _resident.clear()
+    gc.collect()
+
+
 class WordTable:
     """Remembers one vector per word: a direct-mapped table of bounded size over word hashes.
 
