@@ -43,10 +43,10 @@ from pyspark.sql import functions as F
 
 from clinloom.llm.catalog import query, table
 from clinloom.llm.shared import components, keyed, materialise
-from clinloom.llm.words import Words, hash_ints, key_runs, mix, resident, slabs, spans, windows
+from clinloom.llm.words import Words, hash_ints, key_runs, mix, release, slabs, spans, windows
 
 N, THRESHOLD = 5, 0.8
-T, RUNS, BRANCH, DEPTH, LIMIT, BUCKET, BLOCK, MASS = 128, 10, 2, 4, 512, 16384, 2048, 1 << 20
+T, RUNS, BRANCH, DEPTH, LIMIT, BUCKET, BLOCK, MASS = 128, 10, 2, 4, 512, 16384, 1024, 1 << 20
 _U = np.uint64
 _MULT = hash_ints(np.arange(T), 11) | _U(1)
 
@@ -78,7 +78,7 @@ def signature(s: np.ndarray, t: int = T) -> np.ndarray:
 
 
 def _emit_sets(batches, n: int):
-    resident(None, dict)                                     # earlier lookups go
+    release()
     for batch in batches:
         for words in slabs(batch.column("text")):
             out = []

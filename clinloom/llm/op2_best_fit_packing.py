@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinloom.llm.catalog import query, table
-from clinloom.llm.shared import materialise
+from clinloom.llm.shared import materialise, small_batches
 from clinloom.llm.tokens import documents, vocabulary
 
 CAPACITY = 1024
@@ -199,6 +199,7 @@ def _pack(key: tuple, group: pa.Table, capacity: int) -> pa.Table:
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, shard: int = SHARD,
          ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset (and ids)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = _PIECES + (", ids array<int>" if ids else "")
     pieces = materialise(rows.mapInArrow(partial(_cut, path=path, capacity=capacity, end_id=end_id, ids=ids),

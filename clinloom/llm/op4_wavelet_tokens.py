@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clinloom.llm.catalog import query, table
-from clinloom.llm.shared import scratch
+from clinloom.llm.shared import scratch, small_batches
 from clinloom.llm.tokens import documents, vocabulary
 
 END_ID = 2
@@ -183,6 +183,7 @@ def _write(batches, path: str, end_id: int, shard_tokens: int):
 def write_shards(docs: DataFrame, out: str, path: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS,
                  partition_bytes: int = 16 << 20, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode ``docs`` and write their shards below ``out`` in ascending id order."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     (rows.repartitionByRange(max(1, -(-total // partition_bytes)), "doc_id")

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from clinloom.llm.catalog import query, table
 from clinloom.llm.shared import keyed, materialise
-from clinloom.llm.words import hash_ints, mix, resident, slabs
+from clinloom.llm.words import hash_ints, mix, release, slabs
 
 MASKS = ((0, 1, 3, 6, 7), (0, 1, 2, 3, 4), (0, 1, 2, 5, 6))
 LEAST, SHORTEST, SHARE = 13, 8, 0.8
@@ -112,7 +112,7 @@ def bit_filter(found: DataFrame, bits: int) -> np.ndarray:
 
 
 def _scan(batches, filt):
-    resident(None, dict)                                     # earlier lookups go
+    release()
     table_ = filt.value
     bits = len(table_) << 6
 
