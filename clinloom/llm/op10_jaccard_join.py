@@ -340,7 +340,31 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     return named.unionByName(blank)
 
 
-@query("op10_jaccard_join")
+# the definition itself: all documents that share a shingle, links by exact similarity
+_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+e AS (SELECT rid, generate_subscripts(w, 1) AS pos, unnest(w) AS word, len(w) AS n FROM d),
+s AS (
+  SELECT DISTINCT rid, md5(g) AS sh FROM (
+    SELECT rid, pos, n, string_agg(word, ' ') OVER ahead AS g, count(*) OVER ahead AS k FROM e
+    WINDOW ahead AS (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING))
+  WHERE k = 5 OR (n < 5 AND pos = 1)),
+z AS (SELECT rid, count(*) AS size FROM s GROUP BY rid),
+p AS (SELECT a.rid AS x, b.rid AS y, count(*) AS n_both FROM s a JOIN s b ON a.sh = b.sh WHERE a.rid <> b.rid GROUP BY a.rid, b.rid),
+l AS (SELECT x, y, n_both = zx.size AND n_both = zy.size AS same FROM p JOIN z zx ON zx.rid = x JOIN z zy ON zy.rid = y
+      WHERE n_both >= 0.8 * (zx.size + zy.size - n_both) - 1e-9),
+reach(x, y) AS (SELECT x, y FROM l UNION SELECT r.x, l.y FROM reach r JOIN l ON l.x = r.y),
+own AS (SELECT rid, least(rid, coalesce(min(y) FILTER (WHERE same), rid)) AS node FROM d LEFT JOIN l ON l.x = d.rid GROUP BY rid)
+SELECT d.doc_id,
+  (SELECT min(doc_id) FROM (SELECT d.doc_id UNION ALL SELECT o.doc_id FROM reach r JOIN d o ON o.rid = r.y WHERE r.x = d.rid)) AS class_id,
+  1 + (SELECT count(*) FROM l WHERE l.x = d.rid AND same) AS n_copies, (SELECT count(*) FROM l WHERE l.x = d.rid) AS n_links,
+  (SELECT count(DISTINCT own.node) FROM l JOIN own ON own.rid = l.y WHERE l.x = d.rid AND NOT same) AS n_texts
+FROM d
+"""
+
+
+@query("op10_jaccard_join", _SQL)
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``documents``: five-word shingles, similarity 0.8 or more."""
     return jaccard_classes(table(spark, sf_dir, "documents")).select(

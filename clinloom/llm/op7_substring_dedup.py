@@ -219,7 +219,26 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED,
                       "kept_text string")
 
 
-@query("op7_substring_dedup")
+# the definition itself, window by window
+_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+e AS (SELECT rid, generate_subscripts(w, 1) AS pos, unnest(w) AS word FROM d),
+s AS (
+  SELECT rid, pos, word, md5(string_agg(word, ' ') OVER ahead) AS h, count(*) OVER ahead AS n FROM e
+  WINDOW ahead AS (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)),
+r AS (SELECT h FROM s WHERE n = 35 GROUP BY h HAVING count(*) > 1),
+f AS (SELECT s.rid, s.pos, s.word, CASE WHEN r.h IS NOT NULL THEN 1 ELSE 0 END AS again FROM s LEFT JOIN r ON s.n = 35 AND s.h = r.h),
+c AS (SELECT rid, pos, word, max(again) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM f),
+k AS (SELECT rid, count(*) AS n_words, sum(gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (WHERE gone = 0), '') AS kept
+      FROM c GROUP BY rid)
+SELECT d.doc_id, coalesce(k.n_words, 0) AS n_words, CAST(coalesce(k.n_removed, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.rid = k.rid
+"""
+
+
+@query("op7_substring_dedup", _SQL)
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``documents``; 35-word windows."""
     return substring_dedup(table(spark, sf_dir, "documents")).select(

@@ -226,7 +226,49 @@ def contaminated(docs: DataFrame, bench: DataFrame, least: int = LEAST, share: f
         F.negative("b.i").alias("item_start"), F.negative("b.l").alias("length"), F.col("b.matched").alias("matched"))
 
 
-@query("op8_spaced_seeds")
+# the definition itself: every diagonal with enough equal words, window by window
+_SQL = r"""
+WITH d AS (
+  SELECT DISTINCT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w, text FROM documents WHERE text IS NOT NULL),
+dr AS (SELECT row_number() OVER () AS rid, doc_id, w, len(w) AS n FROM d),
+t AS (
+  SELECT text, min(item_id) AS item_id, count(*) AS n_items, regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM benchmark WHERE text IS NOT NULL GROUP BY text),
+tr AS (SELECT item_id, n_items, w, len(w) AS n, least(13, len(w)) AS k FROM t WHERE len(w) >= 8),
+dw AS (SELECT rid, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS word FROM dr),
+tw AS (SELECT item_id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS word FROM tr),
+m AS (SELECT rid, item_id, dw.pos - tw.pos AS diag, tw.pos AS ip FROM dw JOIN tw ON dw.word = tw.word),
+c AS (SELECT m.rid, m.item_id, diag, any_value(k) AS k FROM m JOIN tr ON tr.item_id = m.item_id
+      GROUP BY m.rid, m.item_id, diag HAVING count(*) >= 0.8 * any_value(k) - 1e-9),
+r AS (SELECT c.*, unnest(range(greatest(0, -diag), least(tr.n, dr.n - diag))) AS ip
+      FROM c JOIN dr ON dr.rid = c.rid JOIN tr ON tr.item_id = c.item_id),
+q AS (SELECT r.*, CASE WHEN m.ip IS NULL THEN 0 ELSE 1 END AS eq
+      FROM r LEFT JOIN m ON m.rid = r.rid AND m.item_id = r.item_id AND m.diag = r.diag AND m.ip = r.ip),
+v AS (
+  SELECT rid, item_id, diag, ip, eq, k, CASE WHEN k = 13 THEN sum(eq) OVER w13 WHEN k = 12 THEN sum(eq) OVER w12
+           WHEN k = 11 THEN sum(eq) OVER w11 WHEN k = 10 THEN sum(eq) OVER w10 WHEN k = 9 THEN sum(eq) OVER w9 ELSE sum(eq) OVER w8 END AS hit,
+         count(*) OVER (PARTITION BY rid, item_id, diag ORDER BY ip DESC) AS left_over
+  FROM q
+  WINDOW w13 AS (PARTITION BY rid, item_id, diag ORDER BY ip ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING),
+    w12 AS (PARTITION BY rid, item_id, diag ORDER BY ip ROWS BETWEEN CURRENT ROW AND 11 FOLLOWING),
+    w11 AS (PARTITION BY rid, item_id, diag ORDER BY ip ROWS BETWEEN CURRENT ROW AND 10 FOLLOWING),
+    w10 AS (PARTITION BY rid, item_id, diag ORDER BY ip ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING),
+    w9 AS (PARTITION BY rid, item_id, diag ORDER BY ip ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING),
+    w8 AS (PARTITION BY rid, item_id, diag ORDER BY ip ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+o AS (SELECT rid, item_id, diag, min(ip) AS a, max(ip) + any_value(k) AS b FROM v
+      WHERE left_over >= k AND hit >= 0.8 * k - 1e-9 GROUP BY rid, item_id, diag),
+g AS (SELECT o.rid, o.item_id, a + o.diag AS start, a AS item_start, b - a AS length, sum(q.eq) AS matched
+      FROM o JOIN q ON q.rid = o.rid AND q.item_id = o.item_id AND q.diag = o.diag AND q.ip >= a AND q.ip < b
+      GROUP BY o.rid, o.item_id, o.diag, a, b),
+f AS (SELECT *, row_number() OVER (PARTITION BY rid, item_id ORDER BY matched DESC, length, start, item_start) AS best FROM g)
+SELECT dr.doc_id, f.item_id, tr.n_items, f.start, f.item_start, f.length, CAST(f.matched AS BIGINT) AS matched
+FROM f JOIN dr ON dr.rid = f.rid JOIN tr ON tr.item_id = f.item_id WHERE best = 1
+"""
+
+
+@query("op8_spaced_seeds", _SQL)
 def op8_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``documents`` against whole ``benchmark``."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("k1", "k2")
