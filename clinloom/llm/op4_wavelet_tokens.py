@@ -186,7 +186,8 @@ def write_shards(docs: DataFrame, out: str, path: str, end_id: int = END_ID, sha
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    (rows.repartitionByRange(max(1, -(-total // partition_bytes)), "doc_id")
+    parts = min(max(1, -(-total // partition_bytes)), 100_000)     # beyond, ranges grow; shards do not
+    (rows.repartitionByRange(parts, "doc_id")
      .sortWithinPartitions("doc_id", F.xxhash64("text"))
      .mapInArrow(partial(_write, path=path, end_id=end_id, shard_tokens=shard_tokens), _IMAGES)
      .write.option("compression", "none").parquet(out))
