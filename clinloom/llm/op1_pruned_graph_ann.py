@@ -9,7 +9,7 @@
     for each node, robust pruning keeps at most ``DEGREE`` of them (a candidate goes when a
     kept neighbour is nearer to it, by the factor ``alpha``, than the node), and back edges are
     added and pruned alike; two passes, with alpha 1 and ``ALPHA``.
-3.  *Search.*  A beam search of width ``BEAM`` queries each shard, queries in blocks of at most
+3.  *Search.*  A beam search of width ``BEAM`` from spread entry nodes queries each shard, queries in blocks of at most
     ``BLOCK`` a task, and the shards' best are merged.  Scores are inner products of the
     original vectors in double precision.
 
@@ -34,7 +34,7 @@ from clinloom.llm.catalog import query, table
 from clinloom.llm.shared import materialise
 
 K = 20
-SHARD, DEGREE, BUILD, BEAM, ALPHA, BLOCK, BATCH, WIDE = 4096, 32, 64, 96, 1.2, 4096, 256, 4
+SHARD, DEGREE, BUILD, BEAM, ALPHA, BLOCK, BATCH, WIDE, DOORS = 4096, 32, 64, 96, 1.2, 4096, 256, 4, 31
 _INDEX = ("shard int, n int, dim int, start int, vectors binary, graph binary, nodes binary, member_off binary, "
           "members binary")
 
@@ -49,6 +49,15 @@ class Graph:
         self.top = float(top)
         self.graph, self.start = graph, start
 
+    def doors(self) -> np.ndarray:
+        """Where searches start: the centre and ``DOORS`` fixed nodes spread over the shard.
+
+        A dense cloud of vectors can fill its members' lists with each other; searches that
+        start outside of it as well still reach everything else.
+        """
+        spread = np.random.default_rng(11).permutation(len(self.lift))[:DOORS]
+        return np.unique(np.append(spread, self.start))
+
     def search(self, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, distances) of a beam search for each row of ``q`` (lifted), nearest first; -1 pads.
 
@@ -60,9 +69,12 @@ class Graph:
         open_ = np.zeros((m, width), bool)
         seen = np.zeros((m, n + 1), bool)
         seen[:, n] = True                                          # the padding's place
-        ids[:, 0], open_[:, 0] = self.start, True
-        dist[:, 0] = self.top - q @ self.lift[self.start]
-        seen[:, self.start] = True
+        doors = self.doors()[:width]
+        first = self.top - q @ self.lift[doors].T
+        order = np.argsort(first, axis=1, kind="stable")
+        ids[:, :len(doors)], open_[:, :len(doors)] = doors[order], True
+        dist[:, :len(doors)] = np.take_along_axis(first, order, 1)
+        seen[:, doors] = True
         live = np.arange(m)
         while len(live):
             turn = np.cumsum(open_[live], axis=1)
