@@ -26,7 +26,7 @@ from clinloom.llm.words import Words, byte_hashes, resident, slabs
 _UNSAFE = (r"[\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200f}\x{2028}-\x{202f}\x{205f}-\x{2060}"
            r"\x{3000}\x{feff}]|<\|")
 _PLAIN = re.compile("[!-~À-ÿ]*")       # words that composition leaves as they are
-_SLOTS, _POOL = 21, 8 << 20
+_SLOTS, _POOL = 22, 16 << 20
 
 
 class Encoder:
@@ -44,7 +44,7 @@ class Encoder:
 
     def clear(self) -> None:
         self.key = np.zeros(1 << _SLOTS, np.uint64)
-        self.at = np.zeros(1 << _SLOTS, np.int64)
+        self.at = np.zeros(1 << _SLOTS, np.int32)
         self.size = np.zeros(1 << _SLOTS, np.int32)
         self.ids, self.used = np.zeros(1 << 20, np.uint16), 0
 
@@ -76,7 +76,7 @@ class Encoder:
         """(places, sizes) in the pool of the ids of each data[start:end]."""
         h = byte_hashes(data, starts, ends)
         slot = (h >> np.uint64(64 - _SLOTS)).astype(np.int64)
-        at, size = self.at[slot], self.size[slot].astype(np.int64)
+        at, size = self.at[slot].astype(np.int64), self.size[slot].astype(np.int64)
         miss = np.flatnonzero(self.key[slot] != h)
         if len(miss):
             _, one, back = np.unique(h[miss], return_index=True, return_inverse=True)
