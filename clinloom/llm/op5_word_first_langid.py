@@ -8,8 +8,8 @@ sum over the whole text wins; ``score`` is its share among the languages' likeli
 
 Learning uses rows with a language and crc32(doc_id) mod 4 != 2: of each language at most
 ``SAMPLE`` rows, the first by the hash of their id, so the same in every run.  Counts are a
-grouped sum; the model keeps the ``WORDS`` most frequent words and the ``GRAMS`` most frequent
-n-grams of each order, which bounds what is broadcast; more than ``LANGS`` languages are refused.
+grouped sum; the model keeps every word and n-gram of the sample, as a 64-bit hash and the
+languages that hold it, so it grows with the sample, not with the documents.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without any
 learned row every language is ``und``; ties go to the first language by name; a null
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from clinloom.llm.catalog import query, table
 from clinloom.llm.shared import fold, materialise, small_batches
-from clinloom.llm.words import WordTable, resident, slabs
+from clinloom.llm.words import SLAB_BYTES, WordTable, byte_hashes, resident, slabs, texts
 
-SAMPLE, WORDS, GRAMS, LANGS, TOP, TALLY = 3000, 50_000, 20_000, 256, 5, 25_000
+SAMPLE, TOP, TALLY = 3000, 5, 25_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -72,8 +72,27 @@ def _count(batches, lang_no):
         yield batch_of()
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, n_grams: int = GRAMS) -> dict:
-    """{"langs": names, "units": names per order, "logs": their log frequencies per language}."""
+def _hashed(batches):
+    """(n, unit, lang, count) with the unit's hash for its name."""
+    for batch in batches:
+        data, off = texts(batch.column("unit"))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("n"), pa.array(byte_hashes(data, off[:-1], off[1:]).view(np.int64)), batch.column("lang"),
+             batch.column("count")], names=["n", "unit", "lang", "count"])
+
+
+def order_of(unit: np.ndarray, lang: np.ndarray, count: np.ndarray, size: np.ndarray) -> dict:
+    """One order's units: sorted ``keys``, the languages of key i at ``ptr[i]:ptr[i + 1]`` with what
+    they add to ``base``, the log frequency of a unit that a language lacks."""
+    by = np.lexsort((lang, unit))
+    unit, lang, count = unit[by], lang[by], count[by]
+    keys, first = np.unique(unit, return_index=True)
+    return {"keys": keys, "ptr": np.append(first, len(unit)), "lang": lang.astype(np.int32),
+            "more": np.log((count + 0.1) / 0.1).astype(np.float32), "base": np.log(0.1 / (size + 1))}
+
+
+def train(docs: DataFrame, sample: int = SAMPLE) -> dict:
+    """{"langs": names, "orders": the units of each order}; see :func:`order_of`."""
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"),
@@ -81,18 +100,16 @@ def train(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, n_grams: in
         .filter("doc_id is not null and lang is not null and text is not null").filter(fold(F.col("doc_id"), 4) != 2)
     spot = F.xxhash64("doc_id")
     marks = rows.select("doc_id", "lang", spot.alias("spot"))
-    limits = (marks.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").limit(LANGS + 1).collect())
-    if len(limits) > LANGS:
-        raise ValueError(f"more than {LANGS} languages")
+    limits = marks.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy("lang").collect()
     if not limits:
-        return {"langs": [], "units": [], "logs": []}
+        return {"langs": [], "orders": []}
     # the sample's hash bound of each language: a first cut by share, then the exact first rows
-    share = {r["lang"]: min(1.0, (2.0 * sample + 50) / r["n"]) for r in limits}
-    cut = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, min(2**63 - 1, -2**63 + int(v * 2**64)))])
-    near = marks.filter(F.col("spot") <= cut[F.col("lang")])
+    cut = spark.createDataFrame([(r["lang"], min(2**63 - 1, -2**63 + int(min(1.0, (2.0 * sample + 50) / r["n"]) * 2**64)))
+                                 for r in limits], "lang string, cut long")
+    near = marks.join(F.broadcast(cut), "lang").filter(F.col("spot") <= F.col("cut"))
     first = Window.partitionBy("lang").orderBy("spot", "doc_id")
     picked = near.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= sample)
-    picked = materialise(picked.select("doc_id").distinct(), "op5-picked")       # at most sample * LANGS ids
+    picked = materialise(picked.select("doc_id").distinct(), "op5-picked")       # at most ``sample`` ids a language
     lang_no = spark.sparkContext.broadcast({r["lang"]: i for i, r in enumerate(limits)})
     if picked.count() <= 50_000:
         picked = F.broadcast(picked)
@@ -100,25 +117,13 @@ def train(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, n_grams: in
                          .repartition(24, F.xxhash64("text")), "op5-sample")
     counts = (chosen.mapInArrow(partial(_count, lang_no=lang_no), "n int, unit string, lang int, count long")
               .groupBy("n", "unit", "lang").agg(F.sum("count").alias("count")))
-    counts = materialise(counts.groupBy("n", "unit").agg(
-        F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"), F.sum("count").alias("count")),
-        "op5-counts")
-    size = np.zeros((TOP + 1, len(limits)))
-    for r in counts.select("n", F.explode("by").alias("lang", "c")).groupBy("n", "lang").agg(F.sum("c").alias("c")).collect():
-        size[r["n"], r["lang"]] = r["c"]
-    units, logs = [], []
-    for n in range(TOP + 1):
-        best = (counts.filter(F.col("n") == n).orderBy(F.desc("count"), "unit")
-                .limit(words if n == 0 else n_grams))
-        spread = materialise(best.select("unit", "by"), "op5-units").select("unit", F.explode("by").alias("lang", "c"))
-        got = spread.toArrow()                               # at most ``words`` units of each order
-        names, at = np.unique(got.column("unit").to_numpy(zero_copy_only=False).astype(object), return_inverse=True) \
-            if got.num_rows else (np.zeros(0, object), np.zeros(0, np.int64))
-        seen = np.zeros((len(names), len(limits)))
-        seen[at, got.column("lang").to_numpy()] = got.column("c").to_numpy()
-        units.append(pa.array(names.tolist(), pa.string()))
-        logs.append(np.log((seen + 0.1) / (size[n] + 1)).astype(np.float32))
-    return {"langs": [r["lang"] for r in limits], "units": units, "logs": logs}
+    counts = materialise(counts.mapInArrow(_hashed, "n int, unit long, lang int, count long"), "op5-counts")
+    orders = []
+    for n in range(TOP + 1):                                 # hashes of the whole sample's units
+        got = counts.filter(F.col("n") == n).select("unit", "lang", F.col("count").alias("c")).toArrow()
+        unit, lang, c = (got.column(k).to_numpy() for k in ("unit", "lang", "c"))
+        orders.append(order_of(unit.view(np.uint64), lang, c, np.bincount(lang, c, len(limits))))
+    return {"langs": [r["lang"] for r in limits], "orders": orders}
 
 
 def word_scores(word: str, units: list[dict[str, int]], logs: list[np.ndarray], width: int) -> tuple[np.ndarray, int]:
@@ -138,26 +143,59 @@ def word_scores(word: str, units: list[dict[str, int]], logs: list[np.ndarray],
     return total, runs
 
 
+def _hash(names: list[str]) -> np.ndarray:
+    raw = [x.encode() for x in names]
+    ends = np.cumsum([len(x) for x in raw])
+    return byte_hashes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], ends[:-1]]), ends)
+
+
+def many_scores(runs: list[str], orders: list[dict], width: int) -> np.ndarray:
+    """What :func:`word_scores` adds for each letter run, found by hash."""
+    out, left = np.zeros((len(runs), width)), np.arange(len(runs))
+    for k in (0, *range(TOP, 0, -1)):
+        parts = [[runs[i]] if k == 0 else grams(runs[i], k) for i in left.tolist()]
+        owner = np.repeat(np.arange(len(left)), [len(x) for x in parts])
+        o = orders[k]
+        if not len(owner) or not len(o["keys"]):
+            continue
+        h = _hash([g for x in parts for g in x])
+        at = np.minimum(np.searchsorted(o["keys"], h), len(o["keys"]) - 1)
+        hit = o["keys"][at] == h
+        at, owner = at[hit], owner[hit]
+        known = np.bincount(owner, minlength=len(left))
+        size = o["ptr"][at + 1] - o["ptr"][at]
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(o["ptr"][at], size)
+        row = np.repeat(owner, size)
+        np.add.at(out, (left[row], o["lang"][place]), o["more"][place] / known[row])
+        out[left[known > 0]] += o["base"]
+        left = left[known == 0]
+    return out
+
+
 def _lookup(model: dict) -> WordTable:
     """Remembers word scores under the model."""
     width = len(model["langs"])
-    units = [{u: i for i, u in enumerate(names.to_pylist())} for names in model["units"]]
+    step = max(1, (1 << 22) // (width + 1))
 
     def score(new):
         out = np.zeros((len(new), width + 1), np.float32)
-        for i, w in enumerate(new):
-            if width:
-                out[i, :width], out[i, width] = word_scores(w, units, model["logs"], width)
+        if not width:
+            return out
+        found = [_LETTERS.findall(w.lower()) for w in new]
+        out[:, width] = [len(x) for x in found]
+        runs, owner = [r for x in found for r in x], np.repeat(np.arange(len(new)), [len(x) for x in found])
+        for lo in range(0, len(runs), step):
+            np.add.at(out[:, :width], owner[lo:lo + step], many_scores(runs[lo:lo + step], model["orders"], width))
         return out
 
-    return WordTable(width + 1, score, 20)
+    return WordTable(width + 1, score, max(8, min(20, ((1 << 23) // (width + 1)).bit_length() - 1)))
 
 
 def _predict(batches, model):
     langs, width = model.value["langs"], len(model.value["langs"])
     table_ = resident(("op5", model.value["name"]), lambda: _lookup(model.value))
     for batch in batches:
-        for words in slabs(batch.column("text")):
+        for words in slabs(batch.column("text"), size=max(1 << 14, min(SLAB_BYTES, (SLAB_BYTES << 4) // (width + 1)))):
             sums = np.zeros((words.rows, width + 1))
             full = np.flatnonzero(words.counts > 0)
             if len(full):

@@ -45,6 +45,43 @@ def test_unseen_words_fall_back_order_by_order():
     assert o5.word_scores("12", units, logs, 2) [1] == 0
 
 
+def test_every_learned_word_stays_known(spark):
+    def name(i):
+        return "qu" + "".join(chr(97 + i // 26**k % 26) for k in range(4))
+
+    large = [(i, " ".join([name(j) for j in range(i * 500, i * 500 + 500)] * 2), "aa") for i in range(180)]
+    small = [(1000 + i, f"quaabzz drib{chr(97 + i)}", "bb") for i in range(12)]
+    docs = spark.createDataFrame(large + small, "doc_id long, text string, lang string")
+    model = o5.train(docs)
+    learned = {w for d, t, _ in large + small if crc(d, 4) != 2 for w in t.split()}
+    assert len(learned) > 50_000 and len(model["orders"][0]["keys"]) == len(learned)
+    ask = spark.createDataFrame([(1, "quaabzz", "x")], "doc_id long, text string, lang string")
+    assert [r.lang_pred for r in o5.predict(ask, model).collect()] == ["bb"]
+
+
+def test_many_languages_and_hashed_scores_equal_plain_ones(spark):
+    docs = spark.createDataFrame([(i, f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)} same text {'xyz'[i % 3]}", f"l{i // 2:03}")
+                                  for i in range(1200)], "doc_id long, text string, lang string")
+    model = o5.train(docs)
+    width = len(model["langs"])
+    assert width > 256
+    words = ["same", "text", "wab", "zzzsame", "q", "éé", "te"]
+    seen = {w for w in words} | {g for w in words for k in range(1, 6) for g in o5.grams(w, k)}
+    units, logs = [], []
+    for o in model["orders"]:
+        at = {w: i for i, w in enumerate(sorted(seen)) if o5._hash([w])[0] in o["keys"]}
+        rows = np.tile(o["base"], (len(seen), 1))
+        for w, i in at.items():
+            j = np.searchsorted(o["keys"], o5._hash([w])[0])
+            cut = slice(o["ptr"][j], o["ptr"][j + 1])
+            rows[i, o["lang"][cut]] += o["more"][cut]
+        units.append(at)
+        logs.append(rows)
+    plain = np.array([o5.word_scores(w, units, logs, width)[0] for w in words])
+    assert np.allclose(o5.many_scores(words, model["orders"], width), plain, rtol=1e-5)
+    assert o5.predict(docs, model).count() == 1200
+
+
 def test_toxicity_query_held_out(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{SF10}/labels.parquet").collect()}
     out = o6.op6_toxicity_mil(spark, SF10).collect()
