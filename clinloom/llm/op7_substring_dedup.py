@@ -23,7 +23,8 @@ Method, every step a Spark job over all rows:
 
 Defined cases: a null text counts as empty (no words, the hash of the empty text); rows
 of fewer than ``window`` words are unchanged; repeated rows (same id, same text) are
-separate places, so each loses what the other holds; a null ``doc_id`` stays null; an
+separate places, so each loses what the other holds (their anchors and spans are kept once
+and counted as often as the row repeats); a null ``doc_id`` stays null; an
 empty table gives an empty result; other columns of the input are not read.
 """
 
@@ -194,7 +195,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED,
     found = rows.select("k1", "k2", "text").mapInArrow(partial(_emit_nodes, window=window, seed=seed), _NODES)
     # written first: with both sides of a join read from files, a hot node's rows can be split
     repeated = materialise(found.groupBy("node").count().filter("count > 1").select("node"), "op7-nodes")
-    hits = materialise(found.join(repeated, "node", "left_semi"), "op7-hits")
+    # rows that repeat hold the same anchors: one copy of them, however often the row repeats
+    hits = materialise(found.join(repeated, "node", "left_semi").distinct(), "op7-hits")
     along = Window.partitionBy("k1", "k2").orderBy("pos")
     came = hits.withColumn("came", F.when(F.lag("pos").over(along) + F.lag("gap").over(along) == F.col("pos"),
                                           F.lag("edge").over(along)))
@@ -205,15 +207,15 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED,
         ((F.count("came") == n) & (F.min("came") == F.max("came"))).alias("in1"))
     degree = materialise(degree.select("node", F.coalesce("out1", F.lit(False)).alias("out1"),
                                        F.coalesce("in1", F.lit(False)).alias("in1")), "op7-degrees")
-    paths = (hits.join(degree, "node")
-             .groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "gap", "out1", "in1")).alias("path")))
+    paths = materialise(hits.join(degree, "node").groupBy("k1", "k2").agg(
+        F.collect_list(F.struct("pos", "gap", "out1", "in1")).alias("path")), "op7-paths")
     places = materialise(rows.join(paths, ["k1", "k2"], "left")
                          .mapInArrow(partial(_emit_places, window=window, seed=seed), _PLACES), "op7-places")
     cand = places.select("k1", "k2", F.explode("cands").alias("c")).select("k1", "k2", "c.*")
     twice = materialise(cand.groupBy("h1", "h2", "len").count().filter("count > 1").select("h1", "h2", "len"),
                         "op7-twice")
-    gone = (cand.join(twice, ["h1", "h2", "len"], "left_semi")
-            .groupBy("k1", "k2").agg(F.collect_list(F.struct("start", "len")).alias("gone")))
+    gone = materialise(cand.join(twice, ["h1", "h2", "len"], "left_semi")
+                       .groupBy("k1", "k2").agg(F.collect_set(F.struct("start", "len")).alias("gone")), "op7-gone")
     return places.drop("cands").join(gone, ["k1", "k2"], "left").mapInArrow(
         _emit_result, "k1 long, k2 long, doc_id long, n_words long, n_removed long, kept_sha256 string, "
                       "kept_text string")

@@ -38,6 +38,17 @@ def test_repetition_within_a_row_and_branching_paths(spark):
     assert got(o.substring_dedup(df)) == brute(rows, 35)
 
 
+def test_repeated_rows_hold_their_anchors_once(spark, monkeypatch):
+    a, b = (" ".join(f"{x}{i}" for i in range(200)) for x in "ab")
+    rows = [(None, a)] * 300 + [(7, b)] * 300 + [(8, f"{b} tail"), (9, "alone " + " ".join(f"c{i}" for i in range(60)))]
+    made, write = {}, o.materialise
+    monkeypatch.setattr(o, "materialise", lambda df, name: made.setdefault(name, write(df, name)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert got(o.substring_dedup(df)) == brute(rows, 35)
+    hits = made["op7-hits"]
+    assert 0 < hits.count() == hits.select("k1", "k2", "pos").distinct().count()
+
+
 def test_stage_keeps_rows_and_columns(spark):
     docs = odd_docs(spark, ("n_chars", "_kept_text"))
     out = o.stage(spark, docs, "")
