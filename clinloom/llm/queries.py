@@ -11,6 +11,7 @@ from clinloom.llm import (  # noqa: F401
     op8_spaced_seeds,
     op9_brown_lm,
     op10_jaccard_join,
+    op11_collocations,
     op12_filter_audit,
 )
 from clinloom.llm.catalog import ORACLES, QUERIES
