@@ -13,6 +13,7 @@ from clinloom.llm import (  # noqa: F401
     op10_jaccard_join,
     op11_collocations,
     op12_filter_audit,
+    op13_suffix_dedup,
 )
 from clinloom.llm.catalog import ORACLES, QUERIES
 
