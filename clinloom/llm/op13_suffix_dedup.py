@@ -15,7 +15,8 @@ is left; texts are UTF-8 bytes and matches never cross rows.
 4.  *Left extension.*  An interval's suffixes agree on ``depth`` bytes to the right.  Sorted by what
     stands to their left they fall into classes that agree on ``window - depth`` bytes and more;
     where left extensions differ a class ends.  A class of two and more is a group of maximal
-    repeats with all of its occurrences, not only neighbours in the array.
+    repeats with all of its occurrences, not only neighbours in the array; a context is listed
+    once, with its outermost group.
 5.  *Cover.*  A context is covered as far as it agrees with another one to the left and right; contexts
     that occur twice are covered whole.  What rows hold of them is joined back and removed.
 
@@ -84,7 +85,7 @@ def anchors(data: np.ndarray, off: np.ndarray, window: int, seed: int):
     left = np.minimum(at - off[row], window - seed)
     right = np.minimum(off[row + 1] - at, window)
     ctx = mix(spans(h, at - left, at + right, 3) + left.astype(_U) * _U(0x9E3779B97F4A7C15) + right.astype(_U))
-    return at, v[at], row, left, right, ctx
+    return at, mix(v[at]), row, left, right, ctx                 # the smallest hashes, spread over all bits again
 
 
 def _count(batches, window: int, seed: int):
@@ -97,57 +98,60 @@ def _count(batches, window: int, seed: int):
                                                  names=["node", "c"])
 
 
-def _hits(batches, window: int, seed: int, repeated, varied, heavy):
-    """Places of repeated anchors; the bytes around them once per task where contexts differ."""
+def _places(k1: np.ndarray, k2: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    return mix(mix(k1.view(_U)) + k2.view(_U) + pos.astype(_U) * _U(0x9E3779B97F4A7C15))
+
+
+def _hits(batches, window: int, seed: int, repeated, heavy):
+    """Places of repeated anchors; for heavy ones every window instead (``l`` is -1, ``node`` and ``c`` its hash)."""
     release()
-    seen = np.zeros(1 << 18, _U)
     for batch in batches:
         k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
         for lo, data, off in slabs(batch.column("text")):
             at, node, row, left, right, ctx = anchors(data, off, window, seed)
             ok = held(repeated.value, node)
             at, node, row, left, right, ctx = (x[ok] for x in (at, node, row, left, right, ctx))
-            if not len(at):
-                continue
-            key = mix(node + ctx * _U(3))
-            slot = (key >> _U(46)).astype(np.int64)
-            show = held(varied.value, node) & ~held(heavy.value, node) & (seen[slot] != key)
-            _, first = np.unique(key, return_index=True)
-            once = np.zeros(len(key), bool)
-            once[first] = True
-            show &= once
-            seen[slot[show]] = key[show]
-            raw = data.tobytes()
-            a, b = (at - left).tolist(), (at + right).tolist()
-            text = [raw[x:y] if s else None for x, y, s in zip(a, b, show.tolist(), strict=True)]
+            big = held(heavy.value, node)
+            if big.any():
+                begin = np.maximum(at[big] - (window - seed), off[row[big]])
+                end = np.minimum(at[big], off[row[big] + 1] - window) + 1
+                mark = np.zeros(len(data) + 1, np.int64)
+                np.add.at(mark, begin, 1)
+                np.add.at(mark, end, -1)
+                s = np.flatnonzero(np.cumsum(mark) > 0)
+                h, owner, none = _BYTE[data], np.searchsorted(off, s, side="right") - 1, np.full(len(s), -1, np.int64)
+                at, row = np.concatenate([at, s]), np.concatenate([row, owner])
+                node, ctx = (np.concatenate([x, spans(h, s, s + window, k)]) for x, k in ((node, 3), (ctx, 5)))
+                left, right = np.concatenate([left, none]), np.concatenate([right, none])
+            pos, a, b = at - off[row], k1[lo + row], k2[lo + row]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(k1[lo + row]), pa.array(k2[lo + row]), pa.array((at - off[row]).astype(np.int32)),
-                 pa.array(node.view(np.int64)), pa.array(ctx.view(np.int64)), pa.array(left.astype(np.int32)),
-                 pa.array(right.astype(np.int32)), pa.array(text, pa.binary())],
-                names=["k1", "k2", "pos", "node", "c", "l", "r", "ctx"])
+                [pa.array(a), pa.array(b), pa.array(pos.astype(np.int32)), pa.array(node.view(np.int64)),
+                 pa.array(ctx.view(np.int64)), pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)),
+                 pa.array(_places(a, b, pos).view(np.int64))],
+                names=["k1", "k2", "pos", "node", "c", "l", "r", "place"])
 
 
-def _heavy_windows(batches, window: int, seed: int, heavy):
-    """(k1, k2, start, h1, h2): every window that holds an anchor of the heavy kind."""
+def _contexts(batches, window: int, seed: int, varied, heavy, shown):
+    """(node, c, l, r, ctx): the bytes of each different context of an anchor, from its chosen place."""
     release()
+    seen = np.zeros(1 << 18, _U)
     for batch in batches:
         k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
         for lo, data, off in slabs(batch.column("text")):
-            at, node, row, _, _, _ = anchors(data, off, window, seed)
-            ok = held(heavy.value, node)
-            if not ok.any():
-                continue
-            begin = np.maximum(at[ok] - (window - seed), off[row[ok]])
-            end = np.minimum(at[ok], off[row[ok] + 1] - window) + 1
-            mark = np.zeros(len(data) + 1, np.int64)
-            np.add.at(mark, begin, 1)
-            np.add.at(mark, end, -1)
-            s = np.flatnonzero(np.cumsum(mark) > 0)
-            h, owner = _BYTE[data], np.searchsorted(off, s, side="right") - 1
+            at, node, row, left, right, ctx = anchors(data, off, window, seed)
+            key = mix(node + ctx * _U(3))
+            slot = (key >> _U(46)).astype(np.int64)
+            ok = held(varied.value, node) & ~held(heavy.value, node) & (seen[slot] != key)
+            ok &= held(shown.value, _places(k1[lo + row], k2[lo + row], at - off[row]))
+            i = np.flatnonzero(ok)
+            _, first = np.unique(key[i], return_index=True)       # repeated rows share their places
+            i = i[np.sort(first)]
+            seen[slot[i]] = key[i]
+            raw = data.tobytes()
+            text = [raw[x:y] for x, y in zip((at - left)[i].tolist(), (at + right)[i].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(k1[lo + owner]), pa.array(k2[lo + owner]), pa.array((s - off[owner]).astype(np.int32)),
-                 pa.array(spans(h, s, s + window, 3).view(np.int64)), pa.array(spans(h, s, s + window, 5).view(np.int64))],
-                names=["k1", "k2", "start", "h1", "h2"])
+                [pa.array(node[i].view(np.int64)), pa.array(ctx[i].view(np.int64)), pa.array(left[i].astype(np.int32)),
+                 pa.array(right[i].astype(np.int32)), pa.array(text, pa.binary())], names=["node", "c", "l", "r", "ctx"])
 
 
 def _aligned(flat: np.ndarray, at: np.ndarray, size: np.ndarray, width: int, step: int) -> np.ndarray:
@@ -203,12 +207,12 @@ def _least(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray
 
 
 def repeat_classes(group: np.ndarray, flat: np.ndarray, begin: np.ndarray, left: np.ndarray, right: np.ndarray,
-                   window: int, seed: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(depth, members, how far each agrees to the left, class) of the groups of maximal repeats.
+                   window: int, seed: int) -> tuple[np.ndarray, ...]:
+    """(members, cover to the left, to the right, class, its depth, agreement to the left with the one before).
 
     Contexts come in the order of (group, suffix); context i is ``flat[begin[i]:begin[i] + left[i] +
-    right[i]]`` with its suffix from ``left[i]`` on.  A level of the tree is skipped where it adds
-    nothing to what its members have from inner levels.
+    right[i]]`` with its suffix from ``left[i]`` on.  Members are the contexts in any group of
+    maximal repeats, class the outermost such group, whose members follow each other.
     """
     n, reach = len(group), window - seed
     order = np.arange(n)
@@ -221,7 +225,7 @@ def repeat_classes(group: np.ndarray, flat: np.ndarray, begin: np.ndarray, left:
     rank = np.empty(n, np.int64)
     rank[by_left] = order
     tree = np.array([x for x in intervals(lcp.tolist()) if x[0] >= window - reach], np.int64).reshape(-1, 3)
-    best = np.full(n, -1, np.int64)
+    far, wide, outer, deep, before = (np.full(n, -1, np.int64) for _ in range(5))
     for depth in np.unique(tree[:, 0])[::-1].tolist():            # inner intervals first
         first, last = tree[tree[:, 0] == depth, 1], tree[tree[:, 0] == depth, 2]
         size = last - first + 1
@@ -234,12 +238,16 @@ def repeat_classes(group: np.ndarray, flat: np.ndarray, begin: np.ndarray, left:
         with_last[mine] = _least(levels, rank[member[mine - 1]], rank[member[mine]])
         with_last[with_last + depth < window] = -1                # left extensions differ too early
         ext = np.maximum(with_last[:-1], with_last[1:])
-        label = np.cumsum(with_last[:-1] < 0)
-        new = ext > best[member]
-        if new.any():
-            keep = np.isin(label, label[new]) & (ext >= 0)
-            np.maximum.at(best, member, ext)
-            yield depth, member[keep], ext[keep], label[keep]
+        base = int(outer.max(initial=0)) + 1
+        label = base + np.cumsum(with_last[:-1] < 0)
+        held_ = ext >= 0
+        m = member[held_]
+        far[m] = np.maximum(far[m], ext[held_])
+        wide[m] = np.maximum(wide[m], depth)
+        outer[m], deep[m], before[m] = label[held_], depth, with_last[:-1][held_]
+    m = np.flatnonzero(outer >= 0)
+    m = m[np.lexsort((rank[m], outer[m]))]
+    return m, far[m], wide[m], outer[m], deep[m], before[m]
 
 
 def _blocks(batches) -> Iterator[pa.Table]:
@@ -261,7 +269,7 @@ def _blocks(batches) -> Iterator[pa.Table]:
 
 
 def _tree(batches, window: int, seed: int):
-    """(node, c, l, r, repeat, size): contexts in groups of maximal repeats, with what is covered of them."""
+    """(node, c, l, r, repeat, before, size): contexts that share a maximal repeat, what is covered, and their outermost group."""
     release()
     for t in _blocks(batches):
         node, c = t.column("node").to_numpy(), t.column("c").to_numpy()
@@ -274,16 +282,20 @@ def _tree(batches, window: int, seed: int):
         begin = np.frombuffer(ctx.buffers()[1], np.int64, len(ctx) + 1, ctx.offset * 8)[:-1]
         flat = np.frombuffer(ctx.buffers()[2], np.uint8)
         left, right = t.column("l").to_numpy()[once].astype(np.int64), t.column("r").to_numpy()[once].astype(np.int64)
-        for depth, member, ext, label in repeat_classes(node, flat, begin, left, right, window, seed):
-            _, head, which, size = np.unique(label, return_index=True, return_inverse=True, return_counts=True)
-            common = np.full(len(head), window, np.int64)         # what the whole class shares to the left
-            np.minimum.at(common, which, ext)
-            raw = [hashlib.blake2b(flat[begin[m] + left[m] - x:begin[m] + left[m] + depth].tobytes(), digest_size=16).digest()
-                   for m, x in zip(member[head].tolist(), common.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node[member]), pa.array(c[member]), pa.array(ext.astype(np.int32)),
-                 pa.array(np.full(len(member), depth, np.int32)), pa.array(raw, pa.binary()).take(pa.array(which)),
-                 pa.array(size[which].astype(np.int32))], names=["node", "c", "l", "r", "repeat", "size"])
+        m, far, wide, label, deep, before = repeat_classes(node, flat, begin, left, right, window, seed)
+        head = np.flatnonzero(np.concatenate([[True], label[1:] != label[:-1]])) if len(m) else np.zeros(0, np.int64)
+        size = np.diff(np.concatenate([head, [len(m)]]))
+        inner = before.copy()
+        inner[head] = window
+        common = np.minimum.reduceat(inner, head) if len(m) else inner   # what the whole class shares to the left
+        raw = [hashlib.blake2b(flat[begin[i] + left[i] - x:begin[i] + left[i] + d].tobytes(), digest_size=16).digest()
+               for i, x, d in zip(m[head].tolist(), common.tolist(), deep[head].tolist(), strict=True)]
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(node[m]), pa.array(c[m]), pa.array(far.astype(np.int32)), pa.array(wide.astype(np.int32)),
+             pa.array(raw, pa.binary()).take(pa.array(np.repeat(np.arange(len(head)), size))),
+             pa.array(np.repeat(common, size).astype(np.int32)), pa.array(np.repeat(size, size).astype(np.int32))],
+            names=["node", "c", "l", "r", "repeat", "before", "size"])
+        yield out
 
 
 def _result(batches, with_kept: bool):
@@ -325,37 +337,40 @@ class Repeats:
         spark = docs.sparkSession
         share = spark.sparkContext.broadcast
         self.rows, self.window = keyed(docs, id_col, text_col), window
-        own = partial
+        texts_, keyed_texts = self.rows.select("text"), self.rows.select("k1", "k2", "text")
         nodes = materialise(
-            self.rows.select("text").mapInArrow(own(_count, window=window, seed=seed), "node long, c long")
+            texts_.mapInArrow(partial(_count, window=window, seed=seed), "node long, c long")
             .groupBy("node").agg(F.count(F.lit(1)).alias("n"), (F.min("c") != F.max("c")).alias("varied"))
             .filter("n > 1"), "op13-nodes")
-        large = nodes.filter(F.col("varied") & (F.col("n") > heavy))
-        heavy_set = share(bit_set(large, "node", 20))
-        sets = {"repeated": share(bit_set(nodes, "node", BITS)), "varied": share(bit_set(nodes.filter("varied"), "node", BITS)),
-                "heavy": heavy_set}
-        self.hits = materialise(self.rows.select("k1", "k2", "text").mapInArrow(
-            own(_hits, window=window, seed=seed, **sets),
-            "k1 long, k2 long, pos int, node long, c long, l int, r int, ctx binary"), "op13-hits")
+        large = share(bit_set(nodes.filter(F.col("varied") & (F.col("n") > heavy)), "node", 20))
+        repeated = share(bit_set(nodes, "node", BITS))
+        varied = share(bit_set(nodes.filter("varied"), "node", BITS))
+        found = materialise(keyed_texts.mapInArrow(
+            partial(_hits, window=window, seed=seed, repeated=repeated, heavy=large),
+            "k1 long, k2 long, pos int, node long, c long, l int, r int, place long"), "op13-hits")
+        self.hits = found.filter("l >= 0")
+        self.classes = materialise(self.hits.groupBy("node", "c").agg(
+            F.count(F.lit(1)).alias("n"), F.max("l").alias("l"), F.max("r").alias("r"), F.min("place").alias("place")),
+            "op13-classes")
+        shown = share(bit_set(self.classes, "place", BITS))
         suffix = F.expr("substring(ctx, l + 1)")
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        arrays = (self.hits.filter("ctx IS NOT NULL").select("node", "c", "l", "r", "ctx")
-                  .repartition(parts, "node").sortWithinPartitions("node", suffix))
+        arrays = (keyed_texts.mapInArrow(
+            partial(_contexts, window=window, seed=seed, varied=varied, heavy=large, shown=shown),
+            "node long, c long, l int, r int, ctx binary").repartition(parts, "node").sortWithinPartitions("node", suffix))
         self.groups = materialise(arrays.mapInArrow(
-            own(_tree, window=window, seed=seed), "node long, c long, l int, r int, repeat binary, size int"), "op13-groups")
+            partial(_tree, window=window, seed=seed),
+            "node long, c long, l int, r int, repeat binary, before int, size int"), "op13-groups")
         self.loose = None
-        if heavy_set.value.any():
-            found = materialise(self.rows.select("k1", "k2", "text").mapInArrow(
-                own(_heavy_windows, window=window, seed=seed, heavy=heavy_set),
-                "k1 long, k2 long, start int, h1 long, h2 long"), "op13-heavy")
-            twice = materialise(found.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2"), "op13-twice")
-            self.loose = found.join(twice, ["h1", "h2"], "left_semi").select(
+        if large.value.any():
+            single = found.filter("l < 0").select("k1", "k2", F.col("pos").alias("start"), F.col("node").alias("h1"), F.col("c").alias("h2"))
+            twice = materialise(single.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2"), "op13-twice")
+            self.loose = single.join(twice, ["h1", "h2"], "left_semi").select(
                 "k1", "k2", "start", F.lit(window).cast("int").alias("len"))
 
     def cover(self) -> DataFrame:
         """(k1, k2, start, len): repeated spans of the rows (they may overlap)."""
-        copies = (self.hits.groupBy("node", "c").agg(F.count(F.lit(1)).alias("n"), F.max("l").alias("l"), F.max("r").alias("r"))
-                  .filter(F.expr(f"n > 1 AND l + r >= {self.window}")).select("node", "c", "l", "r"))
+        copies = self.classes.filter(F.expr(f"n > 1 AND l + r >= {self.window}")).select("node", "c", "l", "r")
         covered = materialise(copies.union(self.groups.select("node", "c", "l", "r"))
                               .groupBy("node", "c").agg(F.max("l").alias("l"), F.max("r").alias("r")), "op13-covered")
         out = (self.hits.select("k1", "k2", "pos", "node", "c").join(covered, ["node", "c"])
@@ -363,13 +378,12 @@ class Repeats:
         return out if self.loose is None else out.union(self.loose)
 
     def occurrences(self) -> DataFrame:
-        """(repeat, doc_id, start, size): every place of every group of maximal repeats found in the tree.
+        """(repeat, k1, k2, start, size): every place where a group of maximal repeats starts; ``size`` counts its contexts.
 
-        ``start`` is the byte where the repeat's anchor stands; ``size`` the contexts of the group.
+        Each context counts under its outermost group, the one with most occurrences.
         """
-        ids = self.rows.select("k1", "k2", "doc_id").distinct()
-        return (self.groups.join(self.hits.select("node", "c", "k1", "k2", "pos"), ["node", "c"]).join(ids, ["k1", "k2"])
-                .select("repeat", "doc_id", F.col("pos").alias("start"), "size"))
+        return (self.groups.join(self.hits.select("node", "c", "k1", "k2", "pos"), ["node", "c"])
+                .select("repeat", "k1", "k2", (F.col("pos") - F.col("before")).alias("start"), "size").distinct())
 
 
 def suffix_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED, heavy: int = HEAVY, with_kept: bool = False,

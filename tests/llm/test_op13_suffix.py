@@ -89,14 +89,15 @@ def test_interval_tree():
 def test_groups_hold_all_occurrences(spark):
     rnd = random.Random(9)
     noise = lambda n: "".join(rnd.choice("abcdefghijklmnop") for _ in range(n))
-    passage = noise(400)
-    rows = [(i, noise(250) + passage + noise(250)) for i in range(7)]
+    passage, pair = noise(400), noise(300)
+    rows = [(i, noise(250 + i) + passage + noise(250)) for i in range(7)] + [(i, noise(10 + i) + pair + noise(40)) for i in (7, 8)]
     found = o.Repeats(spark.createDataFrame(rows, "doc_id long, text string"))
-    places = collections.defaultdict(set)
+    places = collections.defaultdict(dict)
     for r in found.occurrences().collect():
-        places[r.repeat].add(r.doc_id)
-    assert places and all(p == set(range(7)) for p in places.values() if len(p) > 6)
-    assert any(len(p) == 7 for p in places.values())
+        places[r.repeat][r.k1] = r.start
+    assert {frozenset(p) for p in places.values()} == {frozenset(range(7)), frozenset((7, 8))}
+    for p in places.values():                            # a group is one string: it starts at one place of the passage
+        assert len({start - (250 + d if d < 7 else 3 + d) for d, start in p.items()}) == 1
 
 
 def test_kept_bytes(spark):
