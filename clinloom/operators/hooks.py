@@ -1,7 +1,8 @@
 """plug an external tokenizer/encoder into a DataFrame.
 
 The function is applied with ``mapInPandas`` (Arrow batches); the object it needs
-(a tokenizer, a model) is built once per Python worker by ``factory`` and cached.
+(a tokenizer, a model) is built once per Python worker by ``factory`` and kept under a key
+of its own for each call.
 Use it only for per-row library code that has no Spark expression equivalent.
 """
 
@@ -13,19 +14,17 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-_CACHE: dict = {}
+from clinloom.operators.worker import fresh_key, resident
 
 
 def apply_tokenizer(df: DataFrame, text: str, factory: Callable[[], Callable[[str], list]],
                     out_col: str = "tokens", element_type: T.DataType = T.StringType()) -> DataFrame:
     """Add ``out_col`` = tokenizer(text) for every row, batch by batch."""
     schema = T.StructType(df.schema.fields + [T.StructField(out_col, T.ArrayType(element_type), True)])
-    key = id(factory)
+    key = fresh_key()
 
     def run(batches):
-        fn = _CACHE.get(key)
-        if fn is None:
-            fn = _CACHE[key] = factory()
+        fn = resident(key, factory)
         for pdf in batches:
             pdf[out_col] = pd.Series([None if t is None else list(fn(t)) for t in pdf[text]], dtype=object)
             yield pdf
@@ -44,12 +43,10 @@ def apply_batches(df: DataFrame, factory: Callable[[], Callable[[pd.DataFrame],
 
     ``factory`` builds ``fn`` once per Python worker (load a model or tokenizer there).
     """
-    key = ("batch", id(factory))
+    key = fresh_key()
 
     def run(batches):
-        fn = _CACHE.get(key)
-        if fn is None:
-            fn = _CACHE[key] = factory()
+        fn = resident(key, factory)
         for pdf in batches:
             yield fn(pdf)
 

@@ -5,8 +5,9 @@ corpus (A15); an external tokenizer can be plugged in through ``hooks.apply_toke
 
 Scale notes
   * tokens are never shuffled: encoding maps whole token arrays in place (Arrow batches)
-    against the vocabulary's most frequent entries, broadcast within a byte bound; only the
-    distinct tokens of a row that miss them are joined with the rare tail, one row each.
+    against the vocabulary's most frequent entries, broadcast within a byte bound; where the
+    vocabulary is larger, the tokens that miss them are written with the row and only those are
+    joined with the rare tail.
   * block packing never explodes per token: each document explodes once per block it
     overlaps, and a block gathers at most ``block`` document pieces.
   * global order never comes from a window over the data: vocabulary ids come from
@@ -77,56 +78,165 @@ def _head_limit(vocab: DataFrame, head_bytes: int) -> int | None:
     return low
 
 
-def _map_arrays(df: DataFrame, head, token_cols: Sequence[str], suffix: str, found: str | None) -> DataFrame:
+class HeadTable:
+    """The head of a vocabulary as sorted hashes: built once a worker, asked for each batch's distinct tokens.
+
+    A hash only proposes an entry; the token itself decides.
+    """
+
+    def __init__(self, words, ids):
+        import numpy as np
+        import pandas as pd
+        h = pd.util.hash_array(words.to_numpy(zero_copy_only=False)) if len(words) else np.zeros(0, np.uint64)
+        order = np.argsort(h, kind="stable")
+        self.hashes, self.order, self.words, self.ids = h[order], order, words, ids
+        same = np.flatnonzero(self.hashes[1:] == self.hashes[:-1])
+        clash = np.unique(np.concatenate([order[same], order[same + 1]]))
+        self.clash = {words[int(i)].as_py(): int(ids[i]) for i in clash}
+
+    def __call__(self, tokens):
+        """Ids of an Arrow array of distinct tokens; -1 for those outside the head."""
+        import numpy as np
+        import pandas as pd
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        out = np.full(len(tokens), -1, np.int64)
+        if len(tokens) and len(self.words):
+            h = pd.util.hash_array(tokens.to_numpy(zero_copy_only=False))
+            at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+            i = np.flatnonzero(self.hashes[at] == h)
+            place = self.order[at[i]]
+            same = pc.equal(tokens.take(pa.array(i)), self.words.take(pa.array(place))).to_numpy(zero_copy_only=False)
+            out[i[same]] = self.ids[place[same]]
+        for token, i in self.clash.items():
+            out[pc.equal(tokens, token).to_numpy(zero_copy_only=False)] = i
+        return out
+
+
+MISSES, CODES = "_misses", "_codes"
+
+
+def _map_arrays(df: DataFrame, head, token_cols: Sequence[str], suffix: str, keep_misses: bool) -> DataFrame:
     """Replace token arrays by id arrays in place.
 
-    A token outside ``head`` takes its id from the row's ``found`` map (token -> id), if that
-    is given and holds it, else UNK.
+    With ``keep_misses`` the row's i-th distinct token outside the head takes the code -1 - i and
+    stands in ``_misses`` (null where a row misses none); without, it takes UNK.
     """
     from pyspark.sql import types as T
-    others = [f for f in df.schema.fields if f.name not in token_cols and f.name != found]
-    schema = T.StructType(others + [T.StructField(c + suffix, T.ArrayType(T.IntegerType())) for c in token_cols])
+
+    from clinloom.operators.worker import fresh_key, resident
+    others = [f for f in df.schema.fields if f.name not in token_cols]
+    ids_type = T.ArrayType(T.IntegerType())
+    schema = T.StructType(others + [T.StructField(c + suffix, ids_type) for c in token_cols]
+                          + ([T.StructField(MISSES, T.ArrayType(T.StringType()))] if keep_misses else []))
+    key = fresh_key()
 
     def convert(batches):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
-        words, ids = head.value
+        table = resident(key, lambda: HeadTable(*head.value))
         for batch in batches:
-            out = [batch.column(f.name) for f in others]
+            rows = batch.num_rows
+            parts, flats = [], []
             for c in token_cols:
                 col = batch.column(c)
                 size = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
-                off = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-                flat = col.flatten()
-                at = pc.index_in(flat, value_set=words)
-                hit = at.is_valid().to_numpy(zero_copy_only=False)
-                got = np.full(len(flat), -1, np.int32)
-                got[hit] = ids[at.fill_null(0).to_numpy(zero_copy_only=False)[hit]]
-                if found is not None and not hit.all():
-                    maps = batch.column(found)
-                    held: dict = {}
-                    for i in np.flatnonzero(~hit).tolist():
-                        row = int(np.searchsorted(off, i, side="right")) - 1
-                        if row not in held:
-                            held[row] = dict(maps[row].as_py() or ())
-                        got[i] = held[row].get(flat[i].as_py(), UNK_ID)
-                got[got < 0] = UNK_ID
-                out.append(pa.ListArray.from_arrays(pa.array(off), pa.array(got)))
-            yield pa.RecordBatch.from_arrays(out, names=[f.name for f in others] + [c + suffix for c in token_cols])
+                parts.append(np.concatenate([[0], np.cumsum(size)]).astype(np.int64))
+                flats.append(col.flatten())
+            coded = pa.chunked_array(flats, pa.string()).combine_chunks().dictionary_encode() if flats else None
+            if isinstance(coded, pa.ChunkedArray):
+                coded = coded.combine_chunks()
+            if coded.null_count:
+                raise ValueError("a token is null")
+            which = coded.indices.to_numpy(zero_copy_only=False)
+            ids = table(coded.dictionary)
+            got = (ids[which] if len(ids) else np.zeros(0, np.int64)).astype(np.int32)
+            miss = np.flatnonzero(got < 0)
+            row = np.concatenate([np.repeat(np.arange(rows), np.diff(off)) for off in parts])
+            held = pa.array([None] * rows, pa.list_(pa.string()))
+            if not keep_misses:
+                got[miss] = UNK_ID
+            elif len(miss):                                       # number a row's missing tokens once each
+                pair, back = np.unique(row[miss] * np.int64(len(ids)) + which[miss], return_inverse=True)
+                owner = pair // len(ids)
+                first = np.searchsorted(owner, np.arange(rows + 1))
+                got[miss] = -1 - (back - first[row[miss]])
+                held = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)),
+                                                coded.dictionary.take(pa.array(pair % len(ids))).cast(pa.string()),
+                                                mask=pa.array(np.diff(first) == 0))
+            out, at = [batch.column(f.name) for f in others], 0
+            for off in parts:
+                out.append(pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(got[at:at + off[-1]])))
+                at += off[-1]
+            if keep_misses:
+                out.append(held)
+            yield pa.RecordBatch.from_arrays(out, names=schema.fieldNames())
 
     return df.mapInArrow(convert, schema)
 
 
+def _fill_codes(df: DataFrame, id_cols: Sequence[str], found: str) -> DataFrame:
+    """Replace the codes -1 - i of ``id_cols`` by the row's ``found`` ids (i, id); UNK where there is none."""
+    from pyspark.sql import types as T
+    schema = T.StructType([f for f in df.schema.fields if f.name != found])
+
+    def fill(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        for batch in batches:
+            col = batch.column(found)
+            size = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+            flat = col.flatten()
+            i, ids = (flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("i", "id"))
+            owner = np.repeat(np.arange(batch.num_rows), size)
+            out, arrays = {}, {}
+            for c in id_cols:
+                a = batch.column(c)
+                n = pc.fill_null(pc.list_value_length(a), 0).to_numpy(zero_copy_only=False)
+                arrays[c] = (np.concatenate([[0], np.cumsum(n)]).astype(np.int32), np.repeat(np.arange(batch.num_rows), n),
+                             a.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+            width = 1 + max([int(i.max(initial=0)), *(int(-v.min(initial=0)) for _, _, v in arrays.values())])
+            keys = owner * width + i                              # one number per (row, code)
+            order = np.argsort(keys, kind="stable")
+            keys, known = keys[order], ids[order]
+            for c, (off, row, v) in arrays.items():
+                code = np.flatnonzero(v < 0)
+                want = row[code] * width + (-1 - v[code])
+                at = np.minimum(np.searchsorted(keys, want), max(len(keys) - 1, 0))
+                v = v.copy()
+                v[code] = np.where(keys[at] == want, known[at], UNK_ID) if len(keys) else UNK_ID
+                out[c] = pa.ListArray.from_arrays(pa.array(off), pa.array(v.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([out.get(f, batch.column(f)) for f in schema.fieldNames()],
+                                             names=schema.fieldNames())
+
+    return df.mapInArrow(fill, schema)
+
+
+def resolve_misses(coded: DataFrame, keys: Sequence[str], tail: DataFrame) -> DataFrame:
+    """(keys, ``_codes``: array of (i, id)): ids of the rows' missing tokens that the tail of the vocabulary holds.
+
+    The distinct missing tokens of all rows meet the tail first, one row per token on either
+    side; what the vocabulary does not hold, however frequent, goes no further than its
+    own row's entry in the second join, which adaptive execution can split.
+    """
+    misses = coded.where(F.col(MISSES).isNotNull()).select(*keys, F.posexplode(MISSES).alias("i", "token"))
+    known = materialise(misses.select("token").distinct().join(tail, "token"), "known-misses")
+    return (misses.join(sized_broadcast(known), "token")
+            .groupBy(*keys).agg(F.collect_list(F.struct("i", "id")).alias(CODES)))
+
+
 def encode(df: DataFrame, key: Sequence[str] | str, token_cols: Sequence[str], vocab: DataFrame,
            head_bytes: int = HEAD_BYTES, suffix: str = "_ids", carry: Sequence[str] = ()) -> DataFrame:
     """Q2: token arrays -> id arrays for one or more token columns in one pass; unknown -> UNK.
 
     ``key`` must be unique per row.  ``carry`` names columns that stay with the row.  The
     vocabulary's most frequent entries within ``head_bytes`` are broadcast and arrays are
-    mapped in place; where the vocabulary is larger, the distinct tokens of a row that miss
-    them -- and no others -- are joined with the tail and come back as one map per row.
-    Output: key columns + carry columns + ``<col><suffix>`` per token column.
+    mapped in place.  Where the vocabulary is larger, the mapped rows are written once with the
+    tokens that missed; only these tokens -- never one the head holds -- are joined with the
+    tail, and only rows that miss any take part in a shuffle.  Output: key columns + carry
+    columns + ``<col><suffix>`` per token column.
     """
     keys = [key] if isinstance(key, str) else list(key)
     extra = [c for c in carry if c not in keys]
@@ -138,12 +248,12 @@ def encode(df: DataFrame, key: Sequence[str] | str, token_cols: Sequence[str], v
     words = table.column("token").combine_chunks()
     head = df.sparkSession.sparkContext.broadcast((words, table.column("id").to_numpy()))
     if limit is None:
-        return _map_arrays(rows, head, cols, suffix, None)
-    used = F.array_distinct(F.flatten(F.array(*[F.coalesce(F.col(c), F.array().cast("array<string>")) for c in cols])))
-    tail = v.where(F.col("id") >= limit)
-    found = (rows.select(*keys, F.explode(used).alias("token")).join(tail, "token")
-             .groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("token", "id"))).alias("_found")))
-    return _map_arrays(rows.join(found, keys, "left"), head, cols, suffix, "_found")
+        return _map_arrays(rows, head, cols, suffix, False)
+    coded = materialise(_map_arrays(rows, head, cols, suffix, True), "coded")
+    found = resolve_misses(coded, keys, v.where(F.col("id") >= limit))
+    whole = coded.where(F.col(MISSES).isNull()).drop(MISSES)
+    partly = coded.where(F.col(MISSES).isNotNull()).drop(MISSES).join(found, keys, "left")
+    return whole.unionByName(_fill_codes(partly, [c + suffix for c in cols], CODES))
 
 
 def truncate(c: Column, max_len: int, reserve: int = 2) -> Column:

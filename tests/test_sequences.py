@@ -123,3 +123,49 @@ def test_pack_blocks_hash_and_range_order(spark):
         out = Q.pack_blocks(df, "k", "ids", 12, order_is_hash=hashed).orderBy("block_id").collect()
         got = [t for r in out for t in r["input_ids"][1:-1]]
         assert got == flat[: len(out) * 10] and len(out) == len(flat) // 10
+
+
+def _coded(spark, rows, vocab, head_bytes, monkeypatch):
+    made, write = {}, Q.materialise
+    monkeypatch.setattr(Q, "materialise", lambda df, name="table": made.setdefault(name, write(df, name)))
+    df = spark.createDataFrame(rows, "k long, a array<string>, b array<string>, extra string").repartition(3)
+    v = spark.createDataFrame([(t, n, i + Q.N_SPECIAL) for i, (t, n) in enumerate(vocab)], "token string, n long, id int")
+    out = Q.encode(df, "k", ["a", "b"], v, head_bytes=head_bytes, carry=["extra"])
+    return {r.k: (r.a_ids, r.b_ids, r.extra) for r in out.collect()}, made
+
+
+def test_only_misses_are_joined(spark, monkeypatch):
+    """Tokens of the head never enter a shuffle; unknown ones are UNK; nulls and empty arrays stay apart."""
+    vocab = [("the", 90), ("of", 80), ("émile", 5), ("rare", 2), ("zz", 1)]
+    ids = {t: i + Q.N_SPECIAL for i, (t, _) in enumerate(vocab)}
+    rows = [(1, ["the", "rare", "the", "no"], ["zz", "rare"], "x"), (2, [], None, None), (3, None, ["of"], "y"),
+            (4, ["no"] * 5 + ["émile"], ["the"], "z"), (5, ["the", "of"], [], "w")]
+    want = {k: ([ids.get(t, Q.UNK_ID) for t in a or ()], [ids.get(t, Q.UNK_ID) for t in b or ()], e) for k, a, b, e in rows}
+    got, made = _coded(spark, rows, vocab, 2 * 27, monkeypatch)
+    assert got == want
+    seen = {t for r in made["coded"].select(Q.MISSES).collect() for t in r[0] or ()}
+    assert seen and not seen & {"the", "of"}
+    assert made["coded"].where(f"{Q.MISSES} IS NULL").count() == 3         # rows that never meet a shuffle
+    assert {r.token for r in made["known-misses"].collect()} <= {"émile", "rare", "zz"}
+    whole, none = _coded(spark, rows, vocab, 1 << 20, monkeypatch)
+    assert whole == want and "coded" not in none
+
+
+def test_large_vocabulary_equals_small(spark, monkeypatch):
+    import random
+    rnd = random.Random(5)
+    vocab = [(f"t{i}", 1000 - i) for i in range(400)]
+    rows = [(k, [f"t{min(int(rnd.expovariate(0.02)), 450)}" for _ in range(rnd.randint(0, 60))],
+             [f"t{rnd.randint(0, 500)}" for _ in range(rnd.randint(0, 9))], str(k)) for k in range(200)]
+    small, _ = _coded(spark, rows, vocab, 1 << 20, monkeypatch)
+    for head_bytes in (1, 200, 4000):
+        assert _coded(spark, rows, vocab, head_bytes, monkeypatch)[0] == small
+
+
+def test_head_table_survives_hash_clashes(monkeypatch):
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+    monkeypatch.setattr(pd.util, "hash_array", lambda v: np.array([len(x) for x in v], np.uint64))
+    table = Q.HeadTable(pa.array(["a", "b", "cc", "ddd"]), np.array([7, 8, 9, 10]))
+    assert table(pa.array(["b", "x", "a", "ddd", "zz", "cc"])).tolist() == [8, -1, 7, 10, -1, 9]
