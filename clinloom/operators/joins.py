@@ -1,19 +1,23 @@
 """Joins (J1-J12).
 
-Every join is an equi-join.  Broadcast is used in two ways only:
+Every join is an equi-join.  Broadcast is used in three ways only:
   * ``sized_broadcast``: one aggregate adds up the side's bytes before the hint is added;
     beyond the bound the join is left to the planner (sort-merge, or AQE's runtime
     broadcast when the shuffle output turns out small).
-  * sides whose size is bounded by construction (a label list of k entries).
+  * sides whose size is bounded by construction (a label list of k entries);
+  * bitmaps of a fixed number of bits (``key_bitmap``), which thin out rows before a shuffle.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clinloom.session import materialise
+
 BROADCAST_BYTES = 64 << 20
 
 
@@ -120,13 +124,81 @@ def assemble_studies(records: DataFrame, metadata: DataFrame, studies: DataFrame
                      F.col("m.study_time").alias("study_time"), F.col("s.path").alias("text_path")))
 
 
-def link_same_day(orders: DataFrame, studies: DataFrame, keys: Sequence[str] = ("subject_id", "day")) -> DataFrame:
+def hot_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], pairs: int) -> DataFrame:
+    """(keys, ``_a``, ``_b``): keys that more than ``pairs`` row pairs share, and the grid to cut them by.
+
+    One narrow aggregate over both sides counts rows per key.  The left rows of a key are cut
+    into ``_a`` shares and the right ones into ``_b``, so that no cell of the grid exceeds ``pairs``.
+    """
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = (left.select(*keys, one.alias("_n"), none.alias("_m"))
+            .unionByName(right.select(*keys, none.alias("_n"), one.alias("_m"))))
+    side = max(1, math.isqrt(pairs))
+    n, m = F.col("_n").cast("double"), F.col("_m").cast("double")
+    # a short side is kept whole and the long one cut the finer
+    a = F.ceil(F.when(m < side, n * m / pairs).otherwise(n / side))
+    b = F.ceil(F.when(n < side, n * m / pairs).otherwise(m / side))
+    return (both.groupBy(*keys).agg(F.sum("_n").alias("_n"), F.sum("_m").alias("_m")).where(n * m > pairs)
+            .select(*keys, F.when(n < side, 1).otherwise(a).cast("int").alias("_a"),
+                    F.when(m < side, 1).otherwise(b).cast("int").alias("_b")))
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], pairs: int = 1 << 22) -> DataFrame:
+    """Inner join on ``keys``; keys that more than ``pairs`` row pairs share are spread over a measured grid.
+
+    A left row of such a key goes to one of ``_a`` shares and meets all ``_b`` shares of the right
+    side, and the other way round: every pair meets in exactly one cell.  Shares follow a
+    hash of the whole row, so a task that runs again sends its rows the same way (rows
+    equal in every column stay together).  Other keys take part once.  Null keys match nothing.
+    """
+    keys = list(keys)
+    hot = materialise(hot_keys(left, right, keys, pairs), "hot-keys")
+    if hot.isEmpty():
+        return left.join(right, on=keys, how="inner")
+    hot = sized_broadcast(hot)
+
+    def spread(df, own, other):
+        share = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.coalesce(F.col(own), F.lit(1)))
+        cells = F.sequence(F.lit(0), F.coalesce(F.col(other), F.lit(1)) - 1)
+        return (df.join(hot, keys, "left").withColumn("_share", share.cast("int")).withColumn("_cell", F.explode(cells))
+                .select(*df.columns, F.col("_share").alias(own), F.col("_cell").alias(other)))
+
+    kept = [c for c in left.columns if c not in keys] + [c for c in right.columns if c not in keys]
+    return (spread(left, "_a", "_b").join(spread(right, "_b", "_a"), on=[*keys, "_a", "_b"], how="inner")
+            .select(*keys, *kept))
+
+
+def link_same_day(orders: DataFrame, studies: DataFrame, keys: Sequence[str] = ("subject_id", "day"),
+                  pairs: int = 1 << 22) -> DataFrame:
     """Every order with every study of the same patient on the same day (many-to-many).
 
-    A patient with very many studies makes a hot join key; AQE's skew-join splitting
-    divides the oversized partition and replicates the matching side.
+    A patient-day with very many orders and studies is a hot key whose pairs one task would
+    write; above ``pairs`` it is spread by :func:`salted_join`.
+    """
+    return salted_join(orders, studies, keys, pairs)
+
+
+BLOOM_LOG2 = 24
+
+
+def key_bitmap(df: DataFrame, key: str, log2: int = BLOOM_LOG2) -> DataFrame:
+    """(word, bits): a one-hash Bloom filter of the values of ``key``, 2**``log2`` bits at any input size."""
+    h = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << log2))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int"))
+    return (df.where(F.col(key).isNotNull()).groupBy(F.shiftright(h, 6).cast("int").alias("_word"))
+            .agg(F.bit_or(bit).alias("_bits")))
+
+
+def might_hold(df: DataFrame, key: str, bitmap: DataFrame, log2: int = BLOOM_LOG2) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be in the bitmap: never too few, some too many; null keys go.
+
+    The bitmap has at most 2**(``log2`` - 6) rows of 12 bytes, so it is broadcast whatever the data.
     """
-    return orders.join(studies, on=list(keys), how="inner")
+    h = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << log2))
+    at = h.bitwiseAND(F.lit(63)).cast("int")
+    probed = df.withColumn("_word", F.shiftright(h, 6).cast("int")).join(F.broadcast(bitmap), "_word")
+    return (probed.where(F.col(key).isNotNull()
+                         & (F.call_function("getbit", F.col("_bits"), at) == 1)).select(*df.columns))
 
 
 def attach_primary_dx(linked: DataFrame, dx: DataFrame, keys: Sequence[str] = ("subject_id", "hadm_id")) -> DataFrame:

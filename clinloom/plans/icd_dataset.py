@@ -3,7 +3,8 @@
 Plan shape:
   notes --not-null(P3), category(P4) on the raw columns--> clean(T8, one Project)
         --> written once; first row of each text(W1, on the text's hash: no text shuffled)
-        --> per-admission concat(A1, exchange on hadm_id) of the rows that survive
+        --> bitmap filters (J3): rows that survive, admissions that have codes
+        --> per-admission concat(A1, exchange on hadm_id) of what is left
   diag/proc --seq filter(P5)--> per-admission code list(A2, exchange on hadm_id)
   --> 3-way inner join on hadm_id (J3: reuses the three hash partitionings)
   --> written once to the checkpoint folder
@@ -12,6 +13,7 @@ Plan shape:
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -21,7 +23,7 @@ from clinloom.functions.text import NOTE_CATEGORIES, clean_text, trim_category
 from clinloom.operators.aggregates import codes_by_admission
 from clinloom.operators.dedupe import first_rows
 from clinloom.operators.filters import drop_missing, filter_category, filter_seq
-from clinloom.operators.joins import labelled_admissions
+from clinloom.operators.joins import key_bitmap, labelled_admissions, might_hold
 from clinloom.operators.sampling import split_exact, subsample_splits
 from clinloom.session import materialise
 
@@ -51,9 +53,24 @@ def clean_notes(notes: DataFrame, profile: str = "icd", text: str = "text") -> D
     return notes.withColumn(text, clean_text(F.col(text), profile))
 
 
-def notes_per_admission(notes: DataFrame, category: str, cleaned: bool = True) -> DataFrame:
+def thin_notes(notes: DataFrame, survivors: DataFrame, coded: Sequence[DataFrame] = ()) -> DataFrame:
+    """Notes that may be in the result: row ids among ``survivors``, admissions in each of ``coded``.
+
+    Bitmaps of fixed size, broadcast; what they let pass by chance goes in the joins that follow.
+    """
+    for table, key in [(survivors, "row_id"), *((c, "hadm_id") for c in coded)]:
+        notes = might_hold(notes, key, key_bitmap(table, key))
+    return notes
+
+
+def notes_per_admission(notes: DataFrame, category: str, cleaned: bool = True,
+                        coded: Sequence[DataFrame] = ()) -> DataFrame:
     """P3 -> P4 -> (T8) -> W1 -> A1 over notes (row_id, hadm_id, category, text).
 
+    ``coded``: tables of admissions outside which no note is needed.  Which rows survive the
+    dedupe is decided over all notes first; then texts of duplicates and of admissions
+    without codes are dropped before any text is shuffled.
+
     The not-null and category predicates run on the raw columns, before cleaning:
     cleaning keeps null-ness, and a predicate on the cleaned text would be pushed
     below the projection and evaluate the whole regex chain twice.  The cleaned notes are
@@ -65,8 +82,9 @@ def notes_per_admission(notes: DataFrame, category: str, cleaned: bool = True) -
     if not cleaned:
         n = clean_notes(n, "icd")
     n = materialise(n.withColumn("category", trim_category(F.col("category"))), "notes")
-    keep = first_rows(n).groupBy("hadm_id").agg(F.collect_list("row_id").alias("_keep"))
-    items = n.groupBy("hadm_id").agg(F.sort_array(F.collect_list(F.struct("row_id", "text", "category"))).alias("_items"))
+    first = materialise(first_rows(n), "survivors")
+    keep = first.groupBy("hadm_id").agg(F.collect_list("row_id").alias("_keep"))
+    items = thin_notes(n, first, coded).groupBy("hadm_id").agg(F.sort_array(F.collect_list(F.struct("row_id", "text", "category"))).alias("_items"))
     kept = F.filter(F.col("_items"), lambda x: F.array_contains(F.col("_keep"), x["row_id"]))
     rows = items.join(keep, "hadm_id").select("hadm_id", kept.alias("_items"))
     return rows.select("hadm_id", F.array_join(F.col("_items")["text"], " ").alias("text"),
@@ -76,9 +94,10 @@ def notes_per_admission(notes: DataFrame, category: str, cleaned: bool = True) -
 def icd_labelled(notes: DataFrame, diag: DataFrame, proc: DataFrame, params: IcdParams = IcdParams(),
                  cleaned: bool = False) -> DataFrame:
     """Labelled admissions before splitting: hadm_id, text, category and the code column."""
-    per_adm = notes_per_admission(notes, params.note_category, cleaned=cleaned)
     d = filter_seq(diag, params.one_or_all_icds)
     p = filter_seq(proc, params.one_or_all_icds)
+    needed = (d, p) if params.require_both else (d,) if params.diag_or_proc == "diag" else (p,)
+    per_adm = notes_per_admission(notes, params.note_category, cleaned=cleaned, coded=needed)
     d, p = (codes_by_admission(c, code=params.code_column) for c in (d, p))
     out = labelled_admissions(per_adm, d, p, params.diag_or_proc, require_both=params.require_both)
     return out.withColumnRenamed("icd9_code", params.code_column)

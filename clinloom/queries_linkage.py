@@ -108,12 +108,16 @@ def j11(spark, sf):
     return J.attach_report_text(_x(spark, sf), V(spark, sf, "v_reports")).select(*_x_out(), "study_text")
 
 
-@register("j11_unmatched_paths", _LINKED_CTE + """, held AS (SELECT path FROM v_reports WHERE ascii(right(md5(path), 1)) % 2 = 0)
-SELECT text_path FROM x WHERE text_path NOT IN (SELECT path FROM held)""")
+# every linked study also refers to an addendum beside its report; the reports hold none of these
+_ADDENDA_SQL = """SELECT text_path FROM x UNION ALL SELECT regexp_replace(text_path, '[.]txt$', '') || '_addendum.txt' FROM x"""
+
+
+@register("j11_unmatched_paths", _LINKED_CTE + f"""SELECT text_path FROM ({_ADDENDA_SQL}) WHERE text_path NOT IN (SELECT path FROM v_reports)""")
 def j11u(spark, sf):
-    """Paths without a report, where only reports of every other path hash are at hand."""
-    some = V(spark, sf, "v_reports").where(F.ascii(F.substring(F.md5("path"), 32, 1)) % 2 == 0)
-    return J.unmatched_paths(_x(spark, sf), some)
+    """Paths without a report, where each linked study also refers to an addendum; all reports are read."""
+    x = _x(spark, sf).select("text_path")
+    addenda = x.select(F.concat(F.regexp_replace("text_path", "[.]txt$", ""), F.lit("_addendum.txt")).alias("text_path"))
+    return J.unmatched_paths(x.unionByName(addenda), V(spark, sf, "v_reports"))
 
 
 _G4_SELECT = """SELECT subject_id, k[1] AS hadm_id, k[2] AS study_id, text_path, seq_num, k[3] AS icd_code,
