@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from clinloom.functions.text import clean_text
 from clinloom.operators import aggregates as A
 from clinloom.operators import embeddings as EM
+from clinloom.operators import head as HEAD
 from clinloom.operators import labels as L
 from clinloom.operators import metrics as M
 from clinloom.operators import sampling as U
@@ -715,6 +716,30 @@ def m6_mlp(spark, sf):
     return _head_facts(spark, sf, "mlp", {"maxIter": [20, 40], "stepSize": [0.03, 0.1], "blockSize": [64, 128]})
 
 
+@register("m6_tanh_head_grid", f"""WITH {_HEAD_SPLIT_SQL}
+SELECT 18 AS n_runs, 1 AS n_best, count(*) AS n_test, count(*) AS n_known, (SELECT count(DISTINCT label) FROM embeddings) AS classes,
+       true AS beats_majority FROM hs WHERE NOT train""")
+def m6_tanh(spark, sf):
+    """M6 with the tanh head: eighteen runs (epochs x rate x batch) trained together, compared on the
+    training part in one pass; facts of the best one.  Rates are those for a head on frozen vectors."""
+    data = _head_data(spark, sf)
+    train, test = (data.where(F.col("split") == s) for s in ("train", "test"))
+    heads = HEAD.train_heads(train, "embedding", "label", "vec_id", HEAD.grid(rates=(2e-3, 3e-3, 5e-3)),
+                             classes=data.agg(F.max("label")).first()[0] + 1)
+    runs = HEAD.compare_runs(train, heads, "embedding", "label")
+    rows = runs.collect()
+    best = next(r for r in rows if r["best"])
+    most = train.groupBy("label").count().agg(F.max("count")).first()[0]
+    scored = HEAD.predict_head(test.select("vec_id", "embedding"), heads[HEAD.Run(best["epochs"], best["rate"], best["batch"])],
+                               "embedding")
+    known = scored.join(data.select(F.col("label").alias("predicted")).distinct().withColumn("_known", F.lit(True)),
+                        "predicted", "left")
+    return (known.agg(F.count(F.lit(1)).alias("n_test"), F.count("_known").alias("n_known"))
+            .withColumn("n_runs", F.lit(len(rows))).withColumn("n_best", F.lit(sum(r["best"] for r in rows)))
+            .withColumn("classes", F.lit(data.select("label").distinct().count()).cast("bigint"))
+            .withColumn("beats_majority", F.lit(round(best["accuracy"] * best["rows"]) >= most)))
+
+
 @register("m5_predict", f"""WITH {_HEAD_SPLIT_SQL}
 SELECT vec_id, label, true AS known, true AS named FROM hs WHERE NOT train""")
 def m5(spark, sf):
