@@ -1,22 +1,25 @@
 """Operator 9: language-model scores from Brown classes.
 
 Tokens are words (A-Z lower-cased) and one end per document; documents with
-crc32(doc_id) mod 7 != 2 are learned from.  The model is P(w | before) = P(class(w) |
-class(before)) P(w | class(w)).
-
-1.  *Counts.*  Documents are dealt into chunks of about ``CHUNK`` bytes.  A task turns a chunk
-    into its distinct words with their training counts; a word's total over all chunks goes
-    back to every chunk that holds it.  Only distinct words per chunk are shuffled, never
-    tokens, and no table of the vocabulary is broadcast.
-2.  *Classes.*  The ``HEAD`` most frequent words are clustered by exchange into ``CLASSES``
-    classes: each round a Spark job sums every word's bigrams by its neighbours' classes,
-    and every third word moves to the class that raises the likelihood of the class
+crc32(doc_id) mod 7 != 2 are learned from.  The model is P(w | u, v) = P(class(w) | class(u),
+class(v)) P(w | class(w)); a document begins after two ends.
+
+1.  *Counts.*  Rows are written once, dealt at random into chunks of about ``CHUNK`` bytes, so rows
+    that repeat spread.  A task turns a chunk into its distinct words with their training counts;
+    totals are an aggregate, joined back to every chunk that holds the word.  Only distinct words
+    per chunk are shuffled, never tokens, and no table of the vocabulary is broadcast.
+2.  *Classes of the head.*  The ``HEAD`` most frequent words are clustered by exchange into
+    ``CLASSES`` classes: each round a Spark job sums every word's bigrams by its neighbours'
+    classes, and every third word moves to the class that raises the likelihood of the class
     bigrams most; a round that lowers it (words that moved together) is undone and fewer
-    words move at once from there on.  All other words keep the class of their
-    frequency band (powers of two); end and start share a class of their own.
-3.  *Transitions* are counted over the class sequences of all training documents and smoothed
-    towards the class frequencies by their number of successors (Witten-Bell).
-4.  *Emissions* are relative frequencies.  Words seen once share their class with unseen ones:
+    words move at once from there on.
+3.  *Classes of all other words.*  As in Brown's procedure, the rest is put into these classes, head
+    first: a word's bigrams with the head's classes are summed over all training documents (one
+    sparse row per task and word) and the word takes the class that raises the likelihood of
+    the class bigrams most.  Words seen once or never share one class.
+4.  *Transitions* are counted over the class sequences of all training documents, two classes of
+    history, smoothed towards one and none by the number of successors (Witten-Bell).
+5.  *Emissions* are relative frequencies.  Words seen once share their class with unseen ones:
     n1 / (n1 + 2 n2) of its mass is the unseen words', after Good and Turing, in equal parts
     for the n1 n1 / (2 n2) words that Chao's estimate holds unseen.
 
@@ -35,17 +38,18 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from clinloom.llm.catalog import query, table
 from clinloom.llm.shared import fold, materialise, small_batches
-from clinloom.llm.words import key_runs, release, slabs
+from clinloom.llm.words import hash_ints, key_runs, release, slabs
 
 CHUNK, HEAD, CLASSES, ROUNDS = 8 << 20, 2048, 64, 12
-BANDS = 32
-END = CLASSES + BANDS                                   # class of the end token
+RARE = CLASSES                                          # class of words seen once or never
+END = CLASSES + 1                                       # class of the end token
 ALL = END + 1
+HELD = 1 << 21                                          # bigrams a task holds before it hands them on
 _ROW = "doc_id long, held_out boolean, train boolean"
 
 
@@ -63,8 +67,7 @@ def _dictionary(batches):
                 counts.append(np.bincount(inv, mine, len(h)).astype(np.int64))
         if not words:
             continue
-        flat = np.concatenate(words)
-        h, inv = np.unique(flat, return_inverse=True)
+        h, inv = np.unique(np.concatenate(words), return_inverse=True)
         n = np.bincount(inv, np.concatenate(counts), len(h)).astype(np.int64) if len(h) else np.zeros(0, np.int64)
         chunk = t.column("chunk")[0].as_py()
         for lo in range(0, len(h), 1 << 16):
@@ -96,6 +99,98 @@ def _head_pairs(batches, head):
                                          names=["v", "w", "n"])
 
 
+def _neighbours(batches, head):
+    """(word, sums): a word's training bigrams by the head classes beside it, as class * 2**32 + count.
+
+    Classes before the word count from 0, those after it from ``ALL``; other words count as ``RARE``.
+    """
+    release()
+    keys, number = head.value
+
+    def rows(word, code, n):
+        order = np.lexsort((code, word))
+        word, code, n = word[order], code[order], n[order]
+        new = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        off = np.concatenate([new, [len(word)]])
+        for lo in range(0, len(new), 1 << 15):
+            cut = off[lo:lo + (1 << 15) + 1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(word[cut[:-1]].view(np.int64)),
+                 pa.ListArray.from_arrays(pa.array((cut - cut[0]).astype(np.int32)),
+                                          pa.array((code[cut[0]:cut[-1]] << 32) + n[cut[0]:cut[-1]]))], names=["word", "sums"])
+
+    def summed(kept):
+        word, code, n = (np.concatenate(x) for x in zip(*kept, strict=True))
+        mark = hash_ints(code.astype(np.uint64)) ^ word
+        _, first, back = np.unique(mark, return_index=True, return_inverse=True)
+        return word[first], code[first], np.bincount(back, n, len(first)).astype(np.int64)
+
+    kept, size = [], 0
+    for batch in batches:
+        for w in slabs(batch.column("text"), lower=True):
+            if not len(w):
+                continue
+            h, n = w.hashes, len(w)
+            at = np.searchsorted(keys, h)
+            at[at == len(keys)] = 0
+            cls = np.full(n + w.rows + 1, END, np.int64)
+            place = np.arange(n) + w.row_of_word() + 1
+            cls[place] = np.where(keys[at] == h, number[at], RARE) if len(keys) else RARE
+            kept.append(summed([(h, cls[place - 1], np.ones(n, np.int64)), (h, ALL + cls[place + 1], np.ones(n, np.int64))]))
+            size += len(kept[-1][0])
+            if size >= HELD:
+                kept = [summed(kept)]
+                size = len(kept[0][0])
+                if size >= HELD // 2:
+                    yield from rows(*kept[0])
+                    kept, size = [], 0
+    if kept:
+        yield from rows(*summed(kept))
+
+
+def best_classes(left: np.ndarray, right: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """The class of each word that raises the likelihood of the class bigrams ``grid`` most.
+
+    ``left[w, c]`` / ``right[w, c]`` count the bigrams of word w with class c before / after it.  A
+    word is small beside its class, so its gain is the slope of the likelihood.
+    """
+    k = grid.shape[0] - 2                               # neither the rare words' class nor the end's
+    logs = np.log(grid + 0.5)
+    rows, cols = np.log(grid.sum(axis=1) + 0.5 * len(grid)), np.log(grid.sum(axis=0) + 0.5 * len(grid))
+    gain = right @ (logs - rows[:, None])[:k].T + left @ (logs - cols[None, :])[:, :k]
+    return gain.argmax(axis=1)
+
+
+def _choose(batches, grid, least: int):
+    """(word, cls) of words with more than ``least`` - 1 bigrams to the left, from their sums of all tasks."""
+    held = []
+
+    def chosen(t):
+        word = t.column("word").to_numpy()
+        sums = t.column("sums").combine_chunks()
+        which = np.repeat(np.cumsum(np.concatenate([[0], word[1:] != word[:-1]])),
+                          pa.compute.list_value_length(sums).to_numpy())
+        flat = sums.flatten().to_numpy()
+        at = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        table_ = np.zeros((len(at), 2 * ALL))
+        np.add.at(table_, (which, flat >> 32), flat & 0xFFFFFFFF)
+        enough = table_[:, :ALL].sum(axis=1) >= least
+        cls = best_classes(table_[enough, :ALL], table_[enough, ALL:], grid.value)
+        return pa.RecordBatch.from_arrays([pa.array(word[at[enough]]), pa.array(cls.astype(np.int32))], names=["word", "cls"])
+
+    for batch in batches:                               # whole words: a batch ends where the next word begins
+        if not batch.num_rows:
+            continue
+        word = batch.column("word").to_numpy()
+        cut = int(np.flatnonzero(word != word[-1])[-1]) + 1 if word[0] != word[-1] else 0
+        if cut:
+            yield chosen(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            held = []
+        held.append(batch.slice(cut))
+    if held:
+        yield chosen(pa.Table.from_batches(held))
+
+
 def _xlogx(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
@@ -190,21 +285,12 @@ def unseen_types(once: int, twice: int) -> float:
 
 def _score_chunk(left, right, model):
     """Counts, base score, emissions and class sequence of every document of a chunk."""
-    keys, number, n, v, ends, head_total, band_total, unseen, types = model.value
+    n, v, ends, mass, unseen, types = model.value
     order = np.argsort(right.column("word").to_numpy().view(np.uint64))
     words = right.column("word").to_numpy().view(np.uint64)[order]
-    total = right.column("total").to_numpy()[order]
-    band = np.where(total > 0, np.frexp(np.maximum(total, 1).astype(float))[1] - 1, 0)
-    cls = CLASSES + np.minimum(band, BANDS - 1)
-    at = np.searchsorted(keys, words)
-    at[at == len(keys)] = 0
-    in_head = (keys[at] == words) if len(keys) else np.zeros(len(words), bool)
-    if len(keys):
-        cls[in_head] = number[at[in_head]]
-    mass = np.where(in_head, head_total[np.minimum(cls, CLASSES - 1)], band_total[np.maximum(cls - CLASSES, 0)])
-    emit = np.log10(np.maximum(total, 1) / np.maximum(mass, 1))
-    once = (cls == CLASSES) & (total > 0)
-    emit[once] += np.log10(1 - unseen)
+    total, cls = (right.column(c).to_numpy()[order] for c in ("total", "cls"))
+    emit = np.log10(np.maximum(total, 1) / np.maximum(mass[cls], 1))
+    emit[total == 1] += np.log10(1 - unseen)
     emit[total == 0] = np.log10(unseen / types)
     base = np.log10((total + 1) / (n + v + 1))
     end_base = np.log10((ends + 1) / (n + v + 1))
@@ -229,37 +315,44 @@ def _score_chunk(left, right, model):
 
 
 def _sequence(col) -> tuple[np.ndarray, np.ndarray]:
-    """(classes of all documents, each followed by its end, with one end before; row of each)."""
+    """(classes of all documents, each after two ends and before one; place of each token to be predicted)."""
     raw = col.to_pylist()
-    size = np.array([len(r) + 1 for r in raw])
-    flat = np.frombuffer(bytes([END]) + b"".join(r + bytes([END]) for r in raw), np.uint8).astype(np.int64)
-    return flat, np.repeat(np.arange(len(raw)), size)
+    flat = np.frombuffer(b"".join(bytes([END, END]) + r + bytes([END]) for r in raw), np.uint8).astype(np.int64)
+    size = np.array([len(r) + 3 for r in raw])
+    begin = np.cumsum(size) - size
+    at = np.ones(len(flat), bool)
+    at[begin], at[begin + 1] = False, False
+    return flat, np.flatnonzero(at)
 
 
 def _transitions(batches):
-    grid = np.zeros(ALL * ALL, np.int64)
+    grid = np.zeros(ALL ** 3, np.int64)
     for batch in batches:
-        flat, _ = _sequence(batch.column("classes"))
-        grid += np.bincount(flat[:-1] * ALL + flat[1:], minlength=ALL * ALL)
+        c, at = _sequence(batch.column("classes"))
+        grid += np.bincount((c[at - 2] * ALL + c[at - 1]) * ALL + c[at], minlength=ALL ** 3)
     hit = np.flatnonzero(grid)
-    yield pa.RecordBatch.from_arrays([pa.array((hit // ALL).astype(np.int32)), pa.array((hit % ALL).astype(np.int32)),
-                                      pa.array(grid[hit])], names=["a", "b", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(grid[hit])], names=["abc", "n"])
 
 
 def transition_matrix(grid: np.ndarray) -> np.ndarray:
-    """log10 P(b | a), Witten-Bell over the class frequencies."""
-    into = grid.sum(axis=0)
+    """log10 P(c | a, b): Witten-Bell from two classes of history to one, to the class frequencies."""
+    def smoothed(counts, prior):
+        kinds = np.maximum((counts > 0).sum(axis=-1), 1)[..., None]
+        return (counts + kinds * prior) / (counts.sum(axis=-1)[..., None] + kinds)
+
+    two = grid.sum(axis=0)
+    into = two.sum(axis=0)
     prior = (into + 0.5) / (into.sum() + 0.5 * len(into))
-    kinds = np.maximum((grid > 0).sum(axis=1), 1)[:, None]
-    return np.log10((grid + kinds * prior) / (grid.sum(axis=1)[:, None] + kinds))
+    return np.log10(smoothed(grid, smoothed(two, prior)[None, :, :]))
 
 
 def _finish(batches, table_, n: int):
     logs = table_.value
     for batch in batches:
-        flat, row = _sequence(batch.column("classes"))
-        score = np.asarray(batch.column("emission")) + np.bincount(row, logs[flat[:-1], flat[1:]], batch.num_rows)
+        c, at = _sequence(batch.column("classes"))
         tokens = np.asarray(batch.column("n_tokens"))
+        row = np.repeat(np.arange(batch.num_rows), tokens)
+        score = np.asarray(batch.column("emission")) + np.bincount(row, logs[c[at - 2], c[at - 1], c[at]], batch.num_rows)
         yield pa.RecordBatch.from_arrays(
             [*(batch.column(c) for c in ("doc_id", "held_out", "n_tokens", "n_known")),
              pa.array(np.full(batch.num_rows, n, np.int64)), batch.column("base_score"), pa.array(score),
@@ -267,6 +360,32 @@ def _finish(batches, table_, n: int):
             names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
 
+def word_classes(rows: DataFrame, words: DataFrame, head: int, rounds: int, least: int = 2) -> DataFrame:
+    """(word, cls) of every training word with ``least`` bigrams and more; ``rows`` hold training texts."""
+    spark = rows.sparkSession
+    top = words.filter("total > 1").orderBy(F.desc("total"), "word").limit(head).collect()
+    hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    seen = spark.sparkContext.broadcast((hashes[order], order))
+    grams = materialise(rows.mapInArrow(partial(_head_pairs, head=seen), "v int, w int, n long")
+                        .groupBy("v", "w").agg(F.sum("n").alias("n")), "op9-bigrams")
+    cls = brown_classes(grams, len(top), CLASSES, rounds)
+    full = np.concatenate([cls, [RARE, END]]).astype(np.int64)
+    grid = np.zeros((ALL, ALL))
+    for part in grams.toArrow().to_batches():            # at most HEAD * HEAD counts
+        v, w, n = (part.column(c).to_numpy() for c in ("v", "w", "n"))
+        np.add.at(grid, (full[v], full[w]), n)
+    known = spark.sparkContext.broadcast((hashes[order], cls[order] if len(top) else order))
+    shared = spark.sparkContext.broadcast(grid)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chosen = (rows.mapInArrow(partial(_neighbours, head=known), "word long, sums array<long>")
+              .repartition(parts, "word").sortWithinPartitions("word")
+              .mapInArrow(partial(_choose, grid=shared, least=least), "word long, cls int"))
+    fixed = spark.createDataFrame([(int(r["word"]), int(c)) for r, c in zip(top, cls, strict=True)], "word long, own int")
+    return (chosen.join(F.broadcast(fixed), "word", "left")          # the head's classes stand
+            .select("word", F.coalesce("own", "cls").alias("cls")))
+
+
 def lm_scores(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS, chunk_bytes: int = CHUNK,
               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of every row of ``docs``; see the module text."""
@@ -279,48 +398,39 @@ def lm_scores(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS, chunk_byt
     stat = rows.agg(F.sum(F.octet_length("text") + F.lit(1)).alias("bytes"),
                     F.sum(F.col("train").cast("long")).alias("ends")).first()
     chunks, ends = -(-(stat["bytes"] or 1) // chunk_bytes), stat["ends"] or 0
-    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)))
+    # the chunk of a row is drawn once and written with it
+    dealt = materialise(rows.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks))), "op9-rows")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = (dealt.select("chunk", "train", "text").repartition(max(parts, min(chunks, 100_000)), "chunk")
-             .sortWithinPartitions("chunk").mapInArrow(_dictionary, "chunk long, word long, n long"))
-    reply = materialise(pairs.withColumn("total", F.sum("n").over(Window.partitionBy("word"))).drop("n"), "op9-reply")
-    words = materialise(reply.groupBy("word").agg(F.max("total").alias("total")).filter("total > 0"), "op9-words")
-    band = F.least(F.floor(F.log2(F.col("total").cast("double")) + 1e-9), F.lit(BANDS - 1)).cast("int")
-    sums = words.groupBy(band.alias("band")).agg(F.sum("total").alias("n"), F.count(F.lit(1)).alias("v"),
-                                                 F.sum((F.col("total") == 2).cast("long")).alias("two")).collect()
+    pairs = materialise(dealt.select("chunk", "train", "text").repartition(max(parts, min(chunks, 100_000)), "chunk")
+                        .sortWithinPartitions("chunk").mapInArrow(_dictionary, "chunk long, word long, n long"), "op9-pairs")
+    words = materialise(pairs.groupBy("word").agg(F.sum("n").alias("total")), "op9-words")
+    train = dealt.filter("train").select("text")
+    classes = word_classes(train, words.filter("total > 0"), head, rounds)
+    words = materialise(words.join(classes, "word", "left").select(
+        "word", "total", F.when(F.col("total") > 1, F.col("cls")).otherwise(RARE).alias("cls")), "op9-classes")
+    sums = words.filter("total > 0").groupBy("cls").agg(
+        F.sum("total").alias("n"), F.count(F.lit(1)).alias("v"), F.sum((F.col("total") == 1).cast("long")).alias("one"),
+        F.sum((F.col("total") == 2).cast("long")).alias("two")).collect()
+    mass = np.zeros(ALL)
+    for r in sums:
+        mass[r["cls"]] = r["n"]
     n = sum(r["n"] for r in sums) + ends
     v = sum(r["v"] for r in sums) + (ends > 0)
-    once = next((r["n"] for r in sums if r["band"] == 0), 0)
-    twice = sum(r["two"] for r in sums)
+    once, twice = sum(r["one"] for r in sums), sum(r["two"] for r in sums)
     unseen = once / (once + 2 * twice) if once and twice else 0.5
-    top = words.filter("total > 1").orderBy(F.desc("total"), "word").limit(head).collect()
-    hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    seen = spark.sparkContext.broadcast((hashes[order], order))
-    grams = materialise(rows.filter("train").select("text").mapInArrow(partial(_head_pairs, head=seen),
-                                                                       "v int, w int, n long")
-                        .groupBy("v", "w").agg(F.sum("n").alias("n")), "op9-bigrams")
-    cls = brown_classes(grams, len(top), CLASSES, rounds)
-    totals = np.array([r["total"] for r in top], float)
-    head_total = np.bincount(cls, totals, CLASSES) if len(top) else np.zeros(CLASSES)
-    band_total = np.zeros(BANDS)
-    for r in sums:
-        band_total[r["band"]] = r["n"]
-    for x in totals:                                     # clustered words leave their bands
-        band_total[min(int(np.log2(x) + 1e-9), BANDS - 1)] -= x
-    model = spark.sparkContext.broadcast((hashes[order], cls[order] if len(top) else order, n, v, ends, head_total,
-                                          band_total, unseen, unseen_types(once, twice)))
+    model = spark.sparkContext.broadcast((n, v, ends, mass, unseen, unseen_types(once, twice)))
+    reply = pairs.select("chunk", "word").join(words, "word")
 
     def scored(left, right):
         return _score_chunk(left, right, model)
 
     seqs = materialise(dealt.groupBy("chunk").cogroup(reply.groupBy("chunk")).applyInArrow(
         scored, _ROW + ", n_tokens long, n_known long, base_score double, emission double, classes binary"), "op9-seqs")
-    grid = np.zeros((ALL, ALL))
-    for r in (seqs.filter("train").select("classes").mapInArrow(_transitions, "a int, b int, n long")
-              .groupBy("a", "b").agg(F.sum("n").alias("n")).collect()):
-        grid[r["a"], r["b"]] = r["n"]
-    logs = spark.sparkContext.broadcast(transition_matrix(grid))
+    grid = np.zeros(ALL ** 3)
+    for part in (seqs.filter("train").select("classes").mapInArrow(_transitions, "abc int, n long")
+                 .groupBy("abc").agg(F.sum("n").alias("n")).toArrow().to_batches()):       # at most ALL ** 3 counts
+        grid[part.column("abc").to_numpy()] = part.column("n").to_numpy()
+    logs = spark.sparkContext.broadcast(transition_matrix(grid.reshape(ALL, ALL, ALL)))
     return seqs.drop("train").mapInArrow(
         partial(_finish, table_=logs, n=n),
         "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, "
