@@ -4,8 +4,8 @@ Tokens are words (A-Z lower-cased) and one end per document; documents with
 crc32(doc_id) mod 7 != 2 are learned from.  The model is P(w | u, v) = P(class(w) | class(u),
 class(v)) P(w | class(w)); a document begins after two ends.
 
-1.  *Counts.*  Rows are written once, dealt at random into chunks of about ``CHUNK`` bytes, so rows
-    that repeat spread.  A task turns a chunk into its distinct words with their training counts;
+1.  *Counts.*  Rows are written once, numbered in chunks of about ``CHUNK`` bytes as they come, so rows
+    that repeat do not gather in one.  A task turns a chunk into its distinct words with their training counts;
     totals are an aggregate, joined back to every chunk that holds the word.  Only distinct words
     per chunk are shuffled, never tokens, and no table of the vocabulary is broadcast.
 2.  *Classes of the head.*  The ``HEAD`` most frequent words are clustered by exchange into
@@ -38,6 +38,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,16 @@ HELD = 1 << 21                                          # bigrams a task holds b
 _ROW = "doc_id long, held_out boolean, train boolean"
 
 
+def _deal(batches, chunk_bytes: int):
+    """The rows with the number of their chunk: runs of about ``chunk_bytes`` of a task's rows."""
+    done, first = 0, TaskContext.get().partitionId() << 32
+    for batch in batches:
+        size = pa.compute.binary_length(batch.column("text")).to_numpy() + 1
+        at = done + np.cumsum(size) - size
+        done += int(size.sum())
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + at // chunk_bytes)], names=[*batch.schema.names, "chunk"])
+
+
 def _dictionary(batches):
     """(chunk, word, n): a chunk's distinct words and their training counts."""
     release()
@@ -395,14 +406,11 @@ def lm_scores(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS, chunk_byt
     left = fold(d, 7)
     rows = docs.select(d.alias("doc_id"), F.coalesce(left == 2, F.lit(False)).alias("held_out"),
                        F.coalesce(left != 2, F.lit(False)).alias("train"), t.alias("text"))
-    stat = rows.agg(F.sum(F.octet_length("text") + F.lit(1)).alias("bytes"),
-                    F.sum(F.col("train").cast("long")).alias("ends")).first()
-    chunks, ends = -(-(stat["bytes"] or 1) // chunk_bytes), stat["ends"] or 0
-    # the chunk of a row is drawn once and written with it
-    dealt = materialise(rows.withColumn("chunk", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks))), "op9-rows")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = materialise(dealt.select("chunk", "train", "text").repartition(max(parts, min(chunks, 100_000)), "chunk")
-                        .sortWithinPartitions("chunk").mapInArrow(_dictionary, "chunk long, word long, n long"), "op9-pairs")
+    dealt = materialise(rows.mapInArrow(partial(_deal, chunk_bytes=chunk_bytes),
+                                        _ROW + ", text string, chunk long"), "op9-rows")
+    ends = dealt.agg(F.sum(F.col("train").cast("long"))).first()[0] or 0
+    # a chunk whose rows are read by two tasks has two dictionaries with the same totals
+    pairs = materialise(dealt.select("chunk", "train", "text").mapInArrow(_dictionary, "chunk long, word long, n long"), "op9-pairs")
     words = materialise(pairs.groupBy("word").agg(F.sum("n").alias("total")), "op9-words")
     train = dealt.filter("train").select("text")
     classes = word_classes(train, words.filter("total > 0"), head, rounds)
