@@ -195,8 +195,10 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, seed: int = SEED,
     found = rows.select("k1", "k2", "text").mapInArrow(partial(_emit_nodes, window=window, seed=seed), _NODES)
     # written first: with both sides of a join read from files, a hot node's rows can be split
     repeated = materialise(found.groupBy("node").count().filter("count > 1").select("node"), "op7-nodes")
+    # a join that a grouping follows in the same stage cannot be split, so it is written by itself;
     # rows that repeat hold the same anchors: one copy of them, however often the row repeats
-    hits = materialise(found.join(repeated, "node", "left_semi").distinct(), "op7-hits")
+    hits = materialise(found.join(repeated, "node", "left_semi"), "op7-joined")
+    hits = materialise(hits.distinct(), "op7-hits")
     along = Window.partitionBy("k1", "k2").orderBy("pos")
     came = hits.withColumn("came", F.when(F.lag("pos").over(along) + F.lag("gap").over(along) == F.col("pos"),
                                           F.lag("edge").over(along)))
