@@ -2,12 +2,14 @@
 
 A document is contaminated by a benchmark item when some stretch of the item of
 ``least`` words (13, or the whole item where it has 8 to 12) stands in the document, in
-place, with at least ``share`` (0.8) of its words equal (A-Z lower-cased).
+place, with at least ``share`` (0.8) of its words equal (A-Z lower-cased).  An item of 1 to 7
+words contaminates where it stands in the document word for word.
 
 1.  *Seeds.*  Three fixed masks pick five of up to eight neighbouring words and ignore the
     others.  For every window of ``least`` words and every set of substitutions the share
     allows, some mask at some place misses all of them (a test checks all patterns), so the
-    seeds find every stretch that qualifies.
+    seeds find every stretch that qualifies.  Items under 8 words have one seed: the hash of
+    the whole item, looked for at the lengths that the benchmark holds.
 2.  *Filter.*  The seeds of the benchmark set bits in a filter of fixed size (``BITS``), whatever
     the benchmark's size; tasks scan whole texts against it and only positions that pass
     are shuffled.
@@ -21,9 +23,11 @@ that text), ``n_items`` (items with that text), ``start`` and ``item_start`` (wo
 ``length`` (words from the first to the last qualifying window) and ``matched`` (equal
 words therein), for the diagonal with the most matches.
 
-Defined cases: null and empty texts (documents or items) match nothing; items under 8
-words are not looked for; rows that repeat with the same id and text give one row; a null
-``doc_id`` stays null; empty tables give no rows; other columns are not read.
+Defined cases: null and empty texts (documents or items) match nothing; of an item under 8
+words the first place in a document is reported; rows that repeat with the same id and text
+give one row; a null ``doc_id`` stays null; empty tables give no rows; other columns are not
+read.  The masks are proven for shares of 0.8 and more and stretches of 8 to 13 words; other
+values are refused.
 """
 
 from __future__ import annotations
@@ -47,8 +51,11 @@ _FACTOR = hash_ints(np.arange(16), 31) | _U(1)
 
 
 def seeds(h: np.ndarray, first: np.ndarray, mask: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of one mask at every place where it lies within a row."""
-    off = MASKS[mask]
+    """(positions, hashes) of one mask at every place where it lies within a row.
+
+    Numbers from ``len(MASKS)`` on stand for runs of 1, 2, ... whole words.
+    """
+    off = MASKS[mask] if mask < len(MASKS) else tuple(range(mask - len(MASKS) + 1))
     n = len(h) - off[-1]
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -82,12 +89,15 @@ def _emit_seeds(batches):
         h = np.asarray(col.flatten()).view(np.uint64)
         first = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(col).to_numpy())]).astype(np.int64)
         item = batch.column("item").to_numpy()
-        for m in range(len(MASKS)):
+        size = np.diff(first)
+        for m in range(len(MASKS) + SHORTEST - 1):
             at, s = seeds(h, first, m)
             row = np.searchsorted(first, at, side="right") - 1
+            mine = size[row] >= SHORTEST if m < len(MASKS) else size[row] == m - len(MASKS) + 1
+            at, s, row = at[mine], s[mine], row[mine]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(s.view(np.int64)), pa.array(item[row]), pa.array((at - first[row]).astype(np.int32)),
-                 pa.array(np.diff(first)[row].astype(np.int32))], names=["seed", "item", "at", "size"])
+                 pa.array(size[row].astype(np.int32))], names=["seed", "item", "at", "size"])
 
 
 def _emit_bits(batches, bits: int):
@@ -111,7 +121,7 @@ def bit_filter(found: DataFrame, bits: int) -> np.ndarray:
     return out
 
 
-def _scan(batches, filt):
+def _scan(batches, filt, short: list[int]):
     release()
     table_ = filt.value
     bits = len(table_) << 6
@@ -122,13 +132,19 @@ def _scan(batches, filt):
     for batch in batches:
         k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
         for words in slabs(batch.column("text"), lower=True):
-            for m in range(len(MASKS)):
+            for m in [*range(len(MASKS)), *(len(MASKS) + n - 1 for n in short)]:
                 at, s = seeds(words.hashes, words.first, m)
                 one, two = _probes(s, bits)
                 hit = np.flatnonzero(held(one))
                 hit = hit[held(two[hit])]
                 if len(hit):
                     row = np.searchsorted(words.first, at[hit], side="right") - 1
+                    if m >= len(MASKS):                # whole items: the first place in a row says it all
+                        order = np.lexsort((at[hit], s[hit], row))
+                        hit, row = hit[order], row[order]
+                        new = np.ones(len(hit), bool)
+                        new[1:] = (row[1:] != row[:-1]) | (s[hit[1:]] != s[hit[:-1]])
+                        hit, row = hit[new], row[new]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(k1[words.row + row]), pa.array(k2[words.row + row]),
                          pa.array(s[hit].view(np.int64)), pa.array((at[hit] - words.first[row]).astype(np.int32))],
@@ -163,8 +179,10 @@ def _slices(batches):
 def overlap(equal: np.ndarray, item_size: int, least: int, share: float) -> tuple[int, int, int] | None:
     """(first, end, matched) over the windows that qualify, or None."""
     w = min(least, item_size)
-    if item_size < SHORTEST or len(equal) < w:
+    if len(equal) < w:
         return None
+    if item_size < SHORTEST:
+        share = 1.0
     total = np.concatenate([[0], np.cumsum(equal)])
     ok = np.flatnonzero(total[w:] - total[:-w] >= share * w - 1e-9)
     if not len(ok):
@@ -196,6 +214,8 @@ def contaminated(docs: DataFrame, bench: DataFrame, least: int = LEAST, share: f
                  id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
                  item_text: str = "text") -> DataFrame:
     """(k1, k2, doc_id, item_id, n_items, start, item_start, length, matched); see the module text."""
+    if not (SHORTEST <= least <= LEAST and share >= SHARE):
+        raise ValueError(f"the masks are proven for least in {SHORTEST}..{LEAST} and share >= {SHARE}")
     spark = docs.sparkSession
     rows = keyed(docs, id_col, text_col)
     texts = (bench.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text"))
@@ -204,10 +224,11 @@ def contaminated(docs: DataFrame, bench: DataFrame, least: int = LEAST, share: f
     texts = materialise(texts.withColumn("item", F.monotonically_increasing_id()), "op8-texts")
     items = materialise(texts.select("item", "text").mapInArrow(_emit_items, "item long, words array<long>"),
                         "op8-items")
-    items = items.filter(F.size("words") >= SHORTEST)
+    items = items.filter("size(words) > 0")
+    short = sorted(r[0] for r in items.select(F.size("words")).filter(F.size("words") < SHORTEST).distinct().collect())
     found = items.mapInArrow(_emit_seeds, "seed long, item long, at int, size int")
     filt = spark.sparkContext.broadcast(bit_filter(found, bits))
-    hits = rows.select("k1", "k2", "text").mapInArrow(partial(_scan, filt=filt),
+    hits = rows.select("k1", "k2", "text").mapInArrow(partial(_scan, filt=filt, short=short),
                                                       "k1 long, k2 long, seed long, pos int")
     diag = (hits.join(found, "seed")
             .select("k1", "k2", "item", (F.col("pos") - F.col("at")).alias("diag"), "size").distinct())
@@ -236,19 +257,20 @@ t AS (
   SELECT text, min(item_id) AS item_id, count(*) AS n_items, regexp_extract_all(
     translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
   FROM benchmark WHERE text IS NOT NULL GROUP BY text),
-tr AS (SELECT item_id, n_items, w, len(w) AS n, least(13, len(w)) AS k FROM t WHERE len(w) >= 8),
+tr AS (SELECT item_id, n_items, w, len(w) AS n, least(13, len(w)) AS k FROM t WHERE len(w) >= 1),
 dw AS (SELECT rid, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS word FROM dr),
 tw AS (SELECT item_id, generate_subscripts(w, 1) - 1 AS pos, unnest(w) AS word FROM tr),
 m AS (SELECT rid, item_id, dw.pos - tw.pos AS diag, tw.pos AS ip FROM dw JOIN tw ON dw.word = tw.word),
 c AS (SELECT m.rid, m.item_id, diag, any_value(k) AS k FROM m JOIN tr ON tr.item_id = m.item_id
-      GROUP BY m.rid, m.item_id, diag HAVING count(*) >= 0.8 * any_value(k) - 1e-9),
+      GROUP BY m.rid, m.item_id, diag HAVING count(*) >= CASE WHEN any_value(k) < 8 THEN any_value(k) ELSE 0.8 * any_value(k) - 1e-9 END),
 r AS (SELECT c.*, unnest(range(greatest(0, -diag), least(tr.n, dr.n - diag))) AS ip
       FROM c JOIN dr ON dr.rid = c.rid JOIN tr ON tr.item_id = c.item_id),
 q AS (SELECT r.*, CASE WHEN m.ip IS NULL THEN 0 ELSE 1 END AS eq
       FROM r LEFT JOIN m ON m.rid = r.rid AND m.item_id = r.item_id AND m.diag = r.diag AND m.ip = r.ip),
 v AS (
   SELECT rid, item_id, diag, ip, eq, k, CASE WHEN k = 13 THEN sum(eq) OVER w13 WHEN k = 12 THEN sum(eq) OVER w12
-           WHEN k = 11 THEN sum(eq) OVER w11 WHEN k = 10 THEN sum(eq) OVER w10 WHEN k = 9 THEN sum(eq) OVER w9 ELSE sum(eq) OVER w8 END AS hit,
+           WHEN k = 11 THEN sum(eq) OVER w11 WHEN k = 10 THEN sum(eq) OVER w10 WHEN k = 9 THEN sum(eq) OVER w9
+           WHEN k = 8 THEN sum(eq) OVER w8 ELSE sum(eq) OVER (PARTITION BY rid, item_id, diag) END AS hit,
          count(*) OVER (PARTITION BY rid, item_id, diag ORDER BY ip DESC) AS left_over
   FROM q
   WINDOW w13 AS (PARTITION BY rid, item_id, diag ORDER BY ip ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING),
@@ -258,7 +280,7 @@ v AS (
     w9 AS (PARTITION BY rid, item_id, diag ORDER BY ip ROWS BETWEEN CURRENT ROW AND 8 FOLLOWING),
     w8 AS (PARTITION BY rid, item_id, diag ORDER BY ip ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
 o AS (SELECT rid, item_id, diag, min(ip) AS a, max(ip) + any_value(k) AS b FROM v
-      WHERE left_over >= k AND hit >= 0.8 * k - 1e-9 GROUP BY rid, item_id, diag),
+      WHERE left_over >= k AND hit >= CASE WHEN k < 8 THEN k ELSE 0.8 * k - 1e-9 END GROUP BY rid, item_id, diag),
 g AS (SELECT o.rid, o.item_id, a + o.diag AS start, a AS item_start, b - a AS length, sum(q.eq) AS matched
       FROM o JOIN q ON q.rid = o.rid AND q.item_id = o.item_id AND q.diag = o.diag AND q.ip >= a AND q.ip < b
       GROUP BY o.rid, o.item_id, o.diag, a, b),

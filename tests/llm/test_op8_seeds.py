@@ -1,7 +1,10 @@
 import collections
 import itertools
+import random
 import re
 
+import pytest
+
 from clinloom.llm import op8_spaced_seeds as o
 from tests.llm.helpers import SF, odd_docs, rows_of, words
 
@@ -19,7 +22,9 @@ def brute(rows, items, least=13, share=0.8):
             place[x].append(p)
         for i, text in items:
             x = low(text)
-            if len(x) < 8:
+            if len(x) < 8:                                      # whole, word for word
+                if any(w[p:p + len(x)] == x for p in (place.get(x[0], ()) if x else ())):
+                    out.add((d, i))
                 continue
             k = min(least, len(x))
             for g, c in collections.Counter(p - q for q, y in enumerate(x) for p in place.get(y, ())).items():
@@ -58,11 +63,36 @@ def test_substitutions_duplicates_and_short_items(spark):
     bench = spark.createDataFrame(items, "item_id long, text string")
     for bits in (o.BITS, 64):                                   # a full filter costs time, not results
         out = o.contaminated(docs, bench, bits=bits).collect()
-        assert {(r.doc_id, r.item_id, r.n_items) for r in out} == {(1, 10, 2), (4, 10, 2), (None, 10, 2), (5, 12, 1)}
+        assert {(r.doc_id, r.item_id, r.n_items) for r in out} == {(1, 10, 2), (4, 10, 2), (None, 10, 2), (5, 12, 1),
+                                                                   (5, 13, 1), (6, 13, 1)}
         one = next(r for r in out if r.doc_id == 1)
         assert (one.start, one.item_start, one.length, one.matched) == (1, 0, 20, 17)
 
 
+def test_items_of_one_to_eight_words(spark):
+    rnd = random.Random(5)
+    rows = [(i, " ".join(rnd.choice("abAc") for _ in range(rnd.randint(0, 40)))) for i in range(300)]
+    items = [(n, " ".join(rnd.choice("abc") for _ in range(n))) for n in range(1, 9)] + [(20, "zz"), (21, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = o.contaminated(docs, bench).collect()
+    assert {(r.doc_id, r.item_id) for r in out} == brute(rows, items) and len(out) == len(set(brute(rows, items)))
+    text = dict(rows)
+    for r in out:
+        if r.item_id < 8:
+            want = low(dict(items)[r.item_id])
+            at = [p for p in range(41) if low(text[r.doc_id])[p:p + len(want)] == want]
+            assert (r.start, r.item_start, r.length, r.matched) == (at[0], 0, len(want), len(want))
+
+
+def test_unproven_parameters_are_refused(spark):
+    docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a")], "item_id long, text string")
+    for bad in ({"share": 0.7}, {"least": 7}, {"least": 14}):
+        with pytest.raises(ValueError):
+            o.contaminated(docs, bench, **bad)
+
+
 def test_empty_tables_and_stage(spark):
     docs = odd_docs(spark, ("item", "hits"))
     bench = spark.createDataFrame([(1, "a b c d e f g h")], "item_id long, text string")
