@@ -6,8 +6,9 @@ class(v)) P(w | class(w)); a document begins after two ends.
 
 1.  *Counts.*  Rows are written once, numbered in chunks of about ``CHUNK`` bytes as they come, so rows
     that repeat do not gather in one.  A task turns a chunk into its distinct words with their training counts;
-    totals are an aggregate, joined back to every chunk that holds the word.  Only distinct words
-    per chunk are shuffled, never tokens, and no table of the vocabulary is broadcast.
+    totals are an aggregate.  The ``COMMON`` most frequent words' totals and classes are broadcast
+    (17 bytes each, whatever the vocabulary); those of all others are joined back to every chunk
+    that holds the word.  Only distinct words per chunk are shuffled, never tokens.
 2.  *Classes of the head.*  The ``HEAD`` most frequent words are clustered by exchange into
     ``CLASSES`` classes: each round a Spark job sums every word's bigrams by its neighbours'
     classes, and every third word moves to the class that raises the likelihood of the class
@@ -47,6 +48,7 @@ from clinloom.llm.shared import fold, materialise, small_batches
 from clinloom.llm.words import hash_ints, key_runs, release, slabs
 
 CHUNK, HEAD, CLASSES, ROUNDS = 8 << 20, 2048, 64, 12
+COMMON = 1 << 18                                        # words whose totals and classes are broadcast
 RARE = CLASSES                                          # class of words seen once or never
 END = CLASSES + 1                                       # class of the end token
 ALL = END + 1
@@ -296,10 +298,11 @@ def unseen_types(once: int, twice: int) -> float:
 
 def _score_chunk(left, right, model):
     """Counts, base score, emissions and class sequence of every document of a chunk."""
-    n, v, ends, mass, unseen, types = model.value
-    order = np.argsort(right.column("word").to_numpy().view(np.uint64))
-    words = right.column("word").to_numpy().view(np.uint64)[order]
-    total, cls = (right.column(c).to_numpy()[order] for c in ("total", "cls"))
+    n, v, ends, mass, unseen, types, common = model.value
+    words, total, cls = (np.concatenate([a, right.column(c).to_numpy()])
+                         for a, c in zip(common, ("word", "total", "cls"), strict=True))
+    order = np.argsort(words.view(np.uint64))
+    words, total, cls = words.view(np.uint64)[order], total[order], cls[order]
     emit = np.log10(np.maximum(total, 1) / np.maximum(mass[cls], 1))
     emit[total == 1] += np.log10(1 - unseen)
     emit[total == 0] = np.log10(unseen / types)
@@ -397,7 +400,7 @@ def word_classes(rows: DataFrame, words: DataFrame, head: int, rounds: int, leas
             .select("word", F.coalesce("own", "cls").alias("cls")))
 
 
-def lm_scores(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS, chunk_bytes: int = CHUNK,
+def lm_scores(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS, chunk_bytes: int = CHUNK, common: int = COMMON,
               id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of every row of ``docs``; see the module text."""
     spark = docs.sparkSession
@@ -426,8 +429,12 @@ def lm_scores(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS, chunk_byt
     v = sum(r["v"] for r in sums) + (ends > 0)
     once, twice = sum(r["one"] for r in sums), sum(r["two"] for r in sums)
     unseen = once / (once + 2 * twice) if once and twice else 0.5
-    model = spark.sparkContext.broadcast((n, v, ends, mass, unseen, unseen_types(once, twice)))
-    reply = pairs.select("chunk", "word").join(words, "word")
+    top = materialise(words.orderBy(F.desc("total"), "word").limit(common), "op9-common")
+    held = top.select("word", "total", F.col("cls").cast("byte").alias("cls")).toArrow()     # ``common`` rows at most
+    model = spark.sparkContext.broadcast((n, v, ends, mass, unseen, unseen_types(once, twice),
+                                          [held.column(c).to_numpy() for c in ("word", "total", "cls")]))
+    reply = (pairs.select("chunk", "word").join(F.broadcast(top.select("word")), "word", "left_anti")
+             .join(words, "word"))
 
     def scored(left, right):
         return _score_chunk(left, right, model)

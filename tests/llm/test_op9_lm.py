@@ -113,6 +113,7 @@ def test_repeated_rows_spread_over_chunks(spark, monkeypatch):
     monkeypatch.setattr(o, "materialise", lambda df, name: made.setdefault(name, write(df, name)))
     df = spark.createDataFrame([(None, "same text")] * 500, "doc_id long, text string").repartition(4)
     assert o.lm_scores(df, chunk_bytes=500).count() == 500
+
     assert max(r["count"] for r in made["op9-rows"].groupBy("chunk").count().collect()) < 150
 
 
@@ -180,3 +181,10 @@ def test_transitions_are_probabilities():
     p = 10 ** o.transition_matrix(grid)
     assert np.allclose(p.sum(axis=-1), 1) and p[7, 3, 4] > p[7, 3, 5] > p[7, 3, 6] > p[7, 3, 9] > 0
     assert p[9, 3, 4] > p[9, 3, 6] > p[9, 3, 9]                 # an unknown history falls back to one class
+
+
+def test_broadcast_and_joined_words_score_alike(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    runs = [{r.doc_id: (r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in o.lm_scores(docs, common=n).collect()}
+            for n in (0, 50, o.COMMON)]
+    assert runs[0] == runs[1] == runs[2]
