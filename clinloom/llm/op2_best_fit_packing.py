@@ -9,6 +9,9 @@ move, a one-for-one or a two-for-one exchange, always raising the sum of squared
 until it is empty and goes, or no exchange is left.  The search ends early once the shard
 has the fewest sequences any packing can have (a lower bound).
 
+The search tries every pair of different lengths of a bin (a bin has at most 44) and passes
+follow until one changes nothing; as every step raises the squared fill, that comes to pass.
+
 Shards hold a bounded number of pieces, so work and memory per task stay level at any
 input size; each shard can leave at most a few sequences that are not full.
 
@@ -23,6 +26,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from functools import partial
+from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,7 @@ from clinloom.llm.tokens import documents, vocabulary
 
 CAPACITY = 1024
 END_ID = 2
-SHARD, PASSES = 8192, 6
+SHARD = 8192
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt long"
 
 
@@ -101,21 +105,21 @@ def at_least(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int, passes: int = PASSES) -> list[list[int]]:
+def improve(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Local search on the underfull bins (see the module text); returns the bins that are left.
 
     Every step takes length from an emptier bin to a fuller one, so the sum of squared
     fills rises with each.  A pass tries every underfull bin once; passes follow as long as
-    one changes something and bins beyond the lower bound are left, ``passes`` at most.
+    one changes something and bins beyond the lower bound are left.
     """
     least = at_least(lengths, capacity)
-    for _ in range(passes):
-        before = sorted(int(lengths[b].sum()) for b in bins)
-        if len(bins) <= least:
+    before = None
+    while len(bins) > least:
+        fills = sorted(int(lengths[b].sum()) for b in bins)
+        if fills == before:
             break
+        before = fills
         bins = one_pass(bins, lengths, capacity, least)
-        if sorted(int(lengths[b].sum()) for b in bins) == before:
-            break
     return bins
 
 
@@ -148,8 +152,13 @@ def one_pass(bins: list[list[int]], lengths: np.ndarray, capacity: int, least: i
             if not source:
                 break
             best = None                                             # (gain, given items, slot taken)
-            pairs = [(i, j) for n, i in enumerate(source) for j in source[n + 1:]][:4096]
-            for given in [(i,) for i in source] + pairs:            # one-for-one, then two-for-one
+            one, two = {}, {}                                       # a place for every length, every pair of lengths
+            for i in source:
+                one.setdefault(int(lengths[i]), []).append(i)
+            for x, y in combinations_with_replacement(one, 2):
+                if x != y or len(one[x]) > 1:
+                    two[x, y] = (one[x][0], one[y][x == y])
+            for given in [(i[0],) for i in one.values()] + list(two.values()):     # one-for-one, then two-for-one
                 have = int(lengths[list(given)].sum())
                 gain = np.where((size < have) & (have - size <= room[owner]), have - size, 0)
                 k = int(gain.argmax()) if len(gain) else 0
