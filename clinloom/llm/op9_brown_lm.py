@@ -410,10 +410,10 @@ def lm_scores(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS, chunk_byt
     rows = docs.select(d.alias("doc_id"), F.coalesce(left == 2, F.lit(False)).alias("held_out"),
                        F.coalesce(left != 2, F.lit(False)).alias("train"), t.alias("text"))
     dealt = materialise(rows.mapInArrow(partial(_deal, chunk_bytes=chunk_bytes),
-                                        _ROW + ", text string, chunk long"), "op9-rows")
+                                        _ROW + ", text string, chunk long"), "op9-rows", "zstd")
     ends = dealt.agg(F.sum(F.col("train").cast("long"))).first()[0] or 0
     # a chunk whose rows are read by two tasks has two dictionaries with the same totals
-    pairs = materialise(dealt.select("chunk", "train", "text").mapInArrow(_dictionary, "chunk long, word long, n long"), "op9-pairs")
+    pairs = materialise(dealt.select("chunk", "train", "text").mapInArrow(_dictionary, "chunk long, word long, n long"), "op9-pairs", "zstd")
     words = materialise(pairs.groupBy("word").agg(F.sum("n").alias("total")), "op9-words")
     train = dealt.filter("train").select("text")
     classes = word_classes(train, words.filter("total > 0"), head, rounds)

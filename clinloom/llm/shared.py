@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 from clinloom.session import ensure_checkpoint_dir
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and read it back.
 
     Cuts the lineage with files every executor can read, and keeps column pruning and
-    filter pushdown for the readers (an RDD checkpoint would lose both).
+    filter pushdown for the readers (an RDD checkpoint would lose both).  ``codec`` is the
+    files' compression, the session's where none is given.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/llm-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.option("compression", codec) if codec else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -45,7 +45,7 @@ def test_score_equals_counts(spark, monkeypatch):
     """The score recomputed from the texts, given nothing but the words' classes."""
     from clinloom.llm.words import slabs
     made, write = {}, o.materialise
-    monkeypatch.setattr(o, "materialise", lambda df, name: made.setdefault(name, write(df, name)))
+    monkeypatch.setattr(o, "materialise", lambda df, name, *more: made.setdefault(name, write(df, name, *more)))
     rows = rows_of(spark) + [(None, "no id"), (3, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got_ = collections.Counter((r.doc_id, round(r.score, 6)) for r in o.lm_scores(df).collect())
@@ -97,7 +97,7 @@ def test_score_equals_counts(spark, monkeypatch):
 def test_every_word_above_once_chooses_its_class(spark, monkeypatch):
     """Beyond the head, words of two languages that alternate go to their neighbours' classes."""
     made, write = {}, o.materialise
-    monkeypatch.setattr(o, "materialise", lambda df, name: made.setdefault(name, write(df, name)))
+    monkeypatch.setattr(o, "materialise", lambda df, name, *more: made.setdefault(name, write(df, name, *more)))
     rows = [(i, " ".join(f"{'xy'[i % 2]}{j % 3} {'xy'[i % 2]}rare{i // 6}" for j in range(9))) for i in range(600)]
     o.lm_scores(spark.createDataFrame(rows, "doc_id long, text string"), head=6).count()
     assert made["op9-classes"].filter(f"total > 1 AND (cls IS NULL OR cls = {o.RARE})").count() == 0
@@ -110,10 +110,9 @@ def test_every_word_above_once_chooses_its_class(spark, monkeypatch):
 
 def test_repeated_rows_spread_over_chunks(spark, monkeypatch):
     made, write = {}, o.materialise
-    monkeypatch.setattr(o, "materialise", lambda df, name: made.setdefault(name, write(df, name)))
+    monkeypatch.setattr(o, "materialise", lambda df, name, *more: made.setdefault(name, write(df, name, *more)))
     df = spark.createDataFrame([(None, "same text")] * 500, "doc_id long, text string").repartition(4)
     assert o.lm_scores(df, chunk_bytes=500).count() == 500
-
     assert max(r["count"] for r in made["op9-rows"].groupBy("chunk").count().collect()) < 150
 
 
