@@ -6,9 +6,9 @@ membership tests against data (label sets) are semi-joins, not literal IN lists.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from clinloom.functions.text import NOTE_CATEGORIES, is_corpus_line, trim_category
@@ -101,6 +101,24 @@ def expectations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
             .select("name", (F.col("observed") == 0).alias("passed"), F.col("observed").cast("bigint").alias("observed")))
 
 
+def observed_expectations(df: DataFrame, checks: dict[str, Column]) -> tuple[DataFrame, Callable[[], DataFrame]]:
+    """P10 in the pass that uses the rows: (``df`` with its checks observed, the report).
+
+    The counts are collected while an action runs over the returned frame (or over
+    anything built on it that reads all its rows), so no second scan is needed.  ``report()``
+    then gives the rows of ``expectations``; called before an action it waits for one.  The
+    frame may also be the input of several actions: the first one is reported.
+    """
+    seen = Observation()
+    aggs = [F.count_if(~F.coalesce(cond, F.lit(False))).alias(name) for name, cond in checks.items()]
+
+    def report() -> DataFrame:
+        rows = [(name, seen.get[name] == 0, seen.get[name]) for name in checks]
+        return df.sparkSession.createDataFrame(rows, "name string, passed boolean, observed bigint")
+
+    return df.observe(seen, *aggs), report
+
+
 def expect_rows(df: DataFrame, n: int) -> DataFrame:
     """P10: row-count expectation ``(name, passed, observed)``."""
     return df.agg(F.count(F.lit(1)).alias("observed")).select(

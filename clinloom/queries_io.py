@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clinloom.operators import filters as P
+from clinloom.operators import joins as J
 from clinloom.operators import metrics as M
 from clinloom.plans import classification as C
 from clinloom.plans import corpora as G
@@ -23,6 +25,7 @@ from clinloom.session import ensure_checkpoint_dir
 from clinloom.sources import readers as S
 from clinloom.sources import sinks as K
 from clinloom.functions.text import clean_text
+from clinloom.streaming import on_files, write_stream
 
 
 def scratch(spark, name: str) -> str:
@@ -146,6 +149,51 @@ def k4(spark, sf):
     return K.checkpoint_table(d, scratch(spark, "ckpt"))
 
 
+@register("k4_bucketed_codes", """
+WITH d AS (SELECT hadm_id, string_agg(icd9_code, ',' ORDER BY seq_num, icd9_code) AS codes, count(*) AS n
+           FROM v_diag WHERE hadm_id IS NOT NULL AND icd9_code IS NOT NULL GROUP BY hadm_id),
+p AS (SELECT hadm_id, string_agg(icd9_code, ',' ORDER BY seq_num, icd9_code) AS codes, count(*) AS n
+      FROM v_proc WHERE hadm_id IS NOT NULL AND icd9_code IS NOT NULL GROUP BY hadm_id)
+SELECT d.hadm_id, d.codes AS diag_codes, p.codes AS proc_codes, d.n + p.n AS n_codes FROM d JOIN p ON d.hadm_id = p.hadm_id""")
+def k4b(spark, sf):
+    """Both code tables bucketed by admission; their lists and join read the buckets as they lie."""
+    lists = []
+    for view, name in (("v_diag", "diag"), ("v_proc", "proc")):
+        codes = V(spark, sf, view).where("hadm_id IS NOT NULL AND icd9_code IS NOT NULL")
+        t = K.write_bucketed(codes.select("hadm_id", "seq_num", "icd9_code"), f"clinloom_{uuid.uuid4().hex}",
+                             ["hadm_id"], 16, scratch(spark, f"bucketed-{name}"))
+        ordered = F.sort_array(F.collect_list(F.struct(F.col("seq_num").cast("int").alias("s"), F.col("icd9_code").alias("c"))))
+        lists.append(t.groupBy("hadm_id").agg(F.concat_ws(",", F.transform(ordered, lambda x: x["c"])).alias(f"{name}_codes"),
+                                              F.count(F.lit(1)).alias(f"n_{name}")))
+    return lists[0].join(lists[1], "hadm_id").select(
+        "hadm_id", "diag_codes", "proc_codes", (F.col("n_diag") + F.col("n_proc")).alias("n_codes"))
+
+
+@register("p10_expectations_in_pass", """
+SELECT 'has_admission' AS name, count_if(hadm_id IS NULL) = 0 AS passed, CAST(count_if(hadm_id IS NULL) AS BIGINT) AS observed FROM v_notes
+UNION ALL
+SELECT 'has_text', count_if(NOT coalesce(length(text) > 0, false)) = 0, CAST(count_if(NOT coalesce(length(text) > 0, false)) AS BIGINT) FROM v_notes""")
+def p10_pass(spark, sf):
+    """The checks of all notes, collected while the notes are written (no scan of their own)."""
+    notes, report = P.observed_expectations(V(spark, sf, "v_notes"), {
+        "has_admission": F.col("hadm_id").isNotNull(), "has_text": F.length("text") > 0})
+    K.write_filtered(notes, scratch(spark, "checked"))
+    return report()
+
+
+@register("j6_annotated_stream", """
+SELECT n.row_id, trim(n.category) AS category, a.quality FROM v_notes n JOIN v_ann a ON n.row_id = a.row_id""")
+def j6_stream(spark, sf):
+    """Notes arriving as files: the annotated ones kept (J5), their annotations attached."""
+    ann = V(spark, sf, "v_ann").select("row_id", "quality")
+    src, out, place = (scratch(spark, f"stream-{x}") for x in ("in", "out", "checkpoint"))
+    notes = V(spark, sf, "v_notes").select("row_id", F.trim("category").alias("category"))
+    notes.write.parquet(src)
+    stream = on_files(spark, src, notes.schema, lambda d: J.only_annotated(d, ann), lambda d: J.attach_annotations(d, ann))
+    write_stream(stream, out, place).awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
 @register("k5_write_sample", f"WITH {G2_CTES} SELECT text FROM g2 ORDER BY md5('42|' || text), text LIMIT 100")
 def k5w(spark, sf):
     path = scratch(spark, "sample")

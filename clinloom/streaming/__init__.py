@@ -2,10 +2,10 @@
 
 The reference has no streaming source; its per-row operators (filters, text cleaning,
 date parsing, joins against static tables, label encoding) accept a streaming
-DataFrame unchanged.  ``clean_note_stream`` wires them into a file-source stream with
-an exactly-once Parquet sink.
+DataFrame unchanged.  ``on_files`` applies any of them to a file-source stream,
+``clean_note_stream`` the cleaning chain; ``write_stream`` is an exactly-once Parquet sink.
 """
 
-from clinloom.streaming.notes import clean_note_stream, write_stream
+from clinloom.streaming.notes import clean_note_stream, on_files, write_stream
 
-__all__ = ["clean_note_stream", "write_stream"]
+__all__ = ["clean_note_stream", "on_files", "write_stream"]
