@@ -12,7 +12,7 @@ Spark's own writer reaches any store the cluster has, commits atomically, and a
 executor's task is simply written again.  ``part`` follows the ranges of ``doc_id``.
 
 Defined cases: null text is empty (the end id alone); null ids come first; rows that share
-an id follow each other in the order of their text's hash; an empty table writes no
+an id follow each other in the order of their text's hash, and a range may end between them; an empty table writes no
 shard and gives no rows; other columns are not read.
 """
 
@@ -34,6 +34,7 @@ from clinloom.llm.tokens import documents, vocabulary
 
 END_ID = 2
 SHARD_TOKENS = 2 << 20
+PARTS = 100_000                                          # ranges of ids at most
 MAGIC = b"WVM1"
 _HEAD = struct.Struct("<4sIqq")
 _RANK = 512                                              # bits between sampled ranks
@@ -172,7 +173,7 @@ def _write(batches, path: str, end_id: int, shard_tokens: int):
             if have and have + len(flat) > shard_tokens:
                 yield image()
                 ids, docs, sizes, have, seq = [], [], [], 0, seq + 1
-            ids.append(flat.astype(np.uint16))
+            ids.append(flat)
             docs.append(batch.column("doc_id").slice(row, len(off) - 1))
             sizes.append(np.diff(off))
             have += len(flat)
@@ -186,8 +187,8 @@ def write_shards(docs: DataFrame, out: str, path: str, end_id: int = END_ID, sha
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = min(max(1, -(-total // partition_bytes)), 100_000)     # beyond, ranges grow; shards do not
-    (rows.repartitionByRange(parts, "doc_id")
+    parts = min(max(1, -(-total // partition_bytes)), PARTS)       # beyond, ranges grow; shards do not
+    (rows.repartitionByRange(parts, "doc_id", F.xxhash64("text"), F.rand(4))
      .sortWithinPartitions("doc_id", F.xxhash64("text"))
      .mapInArrow(partial(_write, path=path, end_id=end_id, shard_tokens=shard_tokens), _IMAGES)
      .write.option("compression", "none").parquet(out))
@@ -212,8 +213,13 @@ def _read(batches):
 def read_shards(spark: SparkSession, out: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, decoded from the shards below ``out``."""
     images = spark.read.schema(_IMAGES).parquet(out)
-    before = images.select("part", "seq", "n_tokens").withColumn(
-        "base", F.sum("n_tokens").over(Window.orderBy("part", "seq")) - F.col("n_tokens")).drop("n_tokens")
+    sums = images.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect()   # ``PARTS`` rows at most
+    ends = np.cumsum([r["n"] for r in sums], dtype=np.int64)
+    parts = spark.createDataFrame(pa.table({"part": pa.array([r["part"] for r in sums], pa.int32()),
+                                            "first": pa.array([int(e) - r["n"] for r, e in zip(sums, ends, strict=True)], pa.int64())}))
+    in_part = Window.partitionBy("part").orderBy("seq")
+    before = (images.select("part", "seq", "n_tokens").join(F.broadcast(parts), "part")
+              .select("part", "seq", (F.col("first") + F.sum("n_tokens").over(in_part) - F.col("n_tokens")).alias("base")))
     read = images.select("part", "seq", "image").mapInArrow(
         _read, "part int, seq int, doc_id long, local long, n_tokens long, ids_crc32 long")
     return (read.join(before, ["part", "seq"])

@@ -46,7 +46,7 @@ class Encoder:
         self.key = np.zeros(1 << _SLOTS, np.uint64)
         self.at = np.zeros(1 << _SLOTS, np.int32)
         self.size = np.zeros(1 << _SLOTS, np.int32)
-        self.ids, self.used = np.zeros(1 << 20, np.uint16), 0
+        self.ids, self.used = np.zeros(1 << 20, np.uint16 if self.lib.get_vocab_size() <= 1 << 16 else np.uint32), 0
 
     def _library(self, pieces: list[str]) -> list[list[int]]:
         out: list[list[int]] = [[]] * len(pieces)
@@ -66,8 +66,8 @@ class Encoder:
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         total = int(size.sum())
         if self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids[:self.used], np.zeros(total + (2 << 20), np.uint16)])
-        self.ids[self.used:self.used + total] = np.fromiter((x for e in ids for x in e), np.uint16, total)
+            self.ids = np.concatenate([self.ids[:self.used], np.zeros(total + (2 << 20), self.ids.dtype)])
+        self.ids[self.used:self.used + total] = np.fromiter((x for e in ids for x in e), self.ids.dtype, total)
         at = self.used + np.cumsum(size) - size
         self.used += total
         return at, size

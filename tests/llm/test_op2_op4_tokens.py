@@ -131,3 +131,28 @@ def test_wavelet_file_answers(tmp_path):
         w.select(60000, 0)
     empty = o4.WaveletFile(o4.encode_image(ids[:0], pa.array([], pa.int64()), np.zeros(0, np.int64)))
     assert empty.n == 0 and empty.count(3) == 0 and len(empty.tokens()) == 0
+
+
+def test_wavelet_hot_id_is_split(spark, tmp_path):
+    """One id (and one text of it) on most rows: its rows take several ranges, places stay gapless."""
+    rows = [(7, f"text {i % 40} of the same id") for i in range(800)] + [(7, "one text")] * 800 + [(i, f"row {i}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    out = str(tmp_path / "hot")
+    o4.write_shards(docs, out, vocabulary("word_bpe_49k.json"), shard_tokens=500, partition_bytes=1 << 11)
+    docs_of = collections.Counter()
+    for r in spark.read.parquet(out).select("part", "n_docs").collect():
+        docs_of[r.part] += r.n_docs
+    assert max(docs_of.values()) < 800 / 2
+    got = o4.read_shards(spark, out).collect()
+    lib = collections.Counter((d, len(i), crc(i)) for (d, _), i in
+                              zip(rows, library("word_bpe_49k.json", [t for _, t in rows]), strict=True))
+    assert collections.Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == lib
+    placed = sorted(got, key=lambda r: r.start)
+    assert [r.start for r in placed] == np.concatenate([[0], np.cumsum([r.n_tokens for r in placed])[:-1]]).tolist()
+    assert [r.doc_id for r in placed] == sorted(r.doc_id for r in placed)
+
+
+def test_wavelet_wide_ids():
+    ids = np.array([70_000, 3, 65_536, 70_000, 0], np.uint32)
+    w = o4.WaveletFile(o4.encode_image(ids, pa.array([1]), np.array([5])))
+    assert w.tokens().tolist() == ids.tolist() and w.count(70_000) == 2 and w.select(70_000, 1) == 3
