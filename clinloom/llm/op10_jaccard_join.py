@@ -7,15 +7,16 @@ least ``threshold`` (0.8).
 1.  *Sets.*  Documents with the same set become one node (partial aggregates; a group of
     copies of any size is one row) with its size and a signature of ``T`` min-hash tokens,
     the embedded set on which the paths are chosen.
-2.  *Chosen paths.*  Each of ``RUNS`` independent runs splits all sets on a sampled token;
+2.  *Chosen paths.*  Each of several independent runs splits all sets on a sampled token;
     buckets of one set end there.  A bucket above ``LIMIT`` is split again on ``BRANCH``
     tokens sampled by its path, up to ``DEPTH`` times -- unless it kept more than half of its
     parent's sets: those are near copies, which more splits would only multiply, and go to
-    the brute force at once.  A pair at similarity s stays together in a
-    run with probability s (1-(1-s)**BRANCH)**(depth-1): for s = 0.8, ten runs and four
-    levels a pair is lost with probability below 2e-5.
+    the brute force at once.  A pair whose signatures agree in a share j stays together in a
+    run with probability j (1-(1-j)**BRANCH)**(depth-1).  Runs are repeated until a pair at
+    ``threshold`` is found with probability ``recall`` (``plan``: over the binomial spread of
+    j, all levels split, loss of the signature filter included); a pair above it more often.
 3.  *Brute force in buckets.*  Within a bucket, sets whose sizes allow the threshold and
-    whose signatures agree well (four standard deviations below it) are candidates; a bucket
+    whose signatures agree in as many places as ``plan`` asks are candidates; a bucket
     yields its candidate groups as stars, never as pairs.  A bucket still above ``LIMIT``
     then is dealt into blocks of ``BUCKET`` sets and every two blocks meet in a task.
 4.  *Exact check.*  Candidate groups, joined to components, get their whole shingle sets
@@ -34,6 +35,7 @@ ids only has a null ``class_id``; an empty table gives no rows; other columns ar
 
 from __future__ import annotations
 
+import math
 from functools import partial
 
 import numpy as np
@@ -46,11 +48,33 @@ from clinloom.llm.shared import components, keyed, materialise
 from clinloom.llm.words import Words, hash_ints, key_runs, mix, release, slabs, spans, windows
 
 N, THRESHOLD = 5, 0.8
-T, RUNS, BRANCH, DEPTH, LIMIT, BUCKET, BLOCK, MASS = 128, 10, 2, 4, 512, 16384, 1024, 1 << 20
+RECALL = 0.99999                                         # share of the pairs at the threshold to be found
+T, BRANCH, DEPTH, LIMIT, BUCKET, BLOCK, MASS = 128, 2, 4, 512, 16384, 1024, 1 << 20
 _U = np.uint64
 _MULT = hash_ints(np.arange(T), 11) | _U(1)
 
 
+def plan(threshold: float, recall: float, branch: int = BRANCH, depth: int = DEPTH, t: int = T) -> tuple[int, int, float]:
+    """(agreements asked, runs, expected loss) for pairs at ``threshold``; the loss is at most 1 - ``recall``.
+
+    Of ``t`` signature tokens Binomial(t, threshold) agree.  A tenth of the loss allowed goes to the
+    filter, which looks at the same tokens in every run; runs are added until the rest suffices.
+    """
+    if not (0 < threshold <= 1 and 0 < recall < 1):
+        raise ValueError("threshold must lie in (0, 1] and recall in (0, 1)")
+    agree = np.arange(t + 1)
+    share = agree / t
+    p = np.array([math.comb(t, k) * threshold ** k * (1 - threshold) ** (t - k) for k in range(t + 1)])
+    below = np.cumsum(p) - p                             # P(fewer agreements)
+    need = int(np.flatnonzero(below <= (1 - recall) / 10)[-1])
+    apart = 1 - share * (1 - (1 - share) ** branch) ** (depth - 1)
+    for runs in range(1, t + 1):
+        loss = float(below[need] + (p * apart ** runs)[need:].sum())
+        if loss <= 1 - recall:
+            return need, runs, loss
+    raise ValueError(f"{t} runs do not reach a recall of {recall} at similarity {threshold}: use fewer levels or more branches")
+
+
 def shingle_sets(words: Words, n: int):
     """The sorted distinct shingle hashes of each row of a slab."""
     h = words.hashes
@@ -122,14 +146,13 @@ def _next_tokens(batches, branch: int):
                                              names=["path", "sid", "parent"])
 
 
-def _groups(sig: np.ndarray, size: np.ndarray, side: np.ndarray | None, least: float, ratio: float) -> np.ndarray:
-    """Group number of each set under signature similarity (searching outwards from one set at a time).
+def _groups(sig: np.ndarray, size: np.ndarray, side: np.ndarray | None, need: int, ratio: float) -> np.ndarray:
+    """Group number of each set under ``need`` agreements of signatures (searching outwards from one set at a time).
 
     With ``side`` (two blocks) only sets of different sides are compared.
     """
     m = len(size)
     group, free = np.full(m, -1, np.int64), np.arange(m)
-    need = int(np.ceil(least * sig.shape[1]))
     while len(free):
         start, free = free[0], free[1:]
         group[start] = start
@@ -149,8 +172,7 @@ def _groups(sig: np.ndarray, size: np.ndarray, side: np.ndarray | None, least: f
     return group
 
 
-def _brute(batches, threshold: float):
-    slack = 4 * np.sqrt(threshold * (1 - threshold) / T)
+def _brute(batches, threshold: float, need: int):
     for t in key_runs(batches, "path"):
         if t.num_rows < 2:
             continue
@@ -158,7 +180,7 @@ def _brute(batches, threshold: float):
         sid, size = t.column("sid").to_numpy(), t.column("size").to_numpy().astype(np.int64)
         side = t.column("side").to_numpy()
         group = _groups(_matrix(t.column("sig")), size, side if side.max() > 0 else None,
-                        threshold - slack, threshold)
+                        need, threshold)
         order = np.lexsort((sid, group))
         g, s = group[order], sid[order]
         head = np.concatenate([[True], g[1:] != g[:-1]])
@@ -257,9 +279,10 @@ def _emit_shingles(batches, n: int):
                 names=["sid", "comp", "copies", "shingles"])
 
 
-def _candidates(sets: DataFrame, threshold: float, runs: int, branch: int, depth: int, limit: int,
+def _candidates(sets: DataFrame, threshold: float, recall: float, branch: int, depth: int, limit: int,
                 bucket: int) -> DataFrame:
     """Star edges (a, b) of candidate groups over ``sid``."""
+    need, runs, _ = plan(threshold, recall, branch, depth)
     tokens = sets.select("sid", "sig").mapInArrow(partial(_root_tokens, runs=runs), "path long, sid long") \
         .withColumn("parent", F.lit(None).cast("long"))
     sig = sets.select("sid", "size", "sig")
@@ -288,10 +311,10 @@ def _candidates(sets: DataFrame, threshold: float, runs: int, branch: int, depth
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return (rows.join(sig, "sid").select("path", "sid", "side", "size", "sig")
             .repartition(parts, "path").sortWithinPartitions("path")
-            .mapInArrow(partial(_brute, threshold=threshold), "a long, b long"))
+            .mapInArrow(partial(_brute, threshold=threshold, need=need), "a long, b long"))
 
 
-def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, runs: int = RUNS,
+def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: float = RECALL,
                     branch: int = BRANCH, depth: int = DEPTH, limit: int = LIMIT, bucket: int = BUCKET, block: int = BLOCK,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k1, k2, doc_id, class_id, n_copies, n_links, n_texts) per input row; ``class_row`` marks
@@ -303,7 +326,7 @@ def jaccard_classes(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, r
     sets = made.groupBy(*node).agg(F.first("sig").alias("sig"), F.count(F.lit(1)).alias("copies"),
                                    F.min(F.struct("k1", "k2")).alias("rep"))
     sets = materialise(sets.withColumn("sid", F.monotonically_increasing_id()), "op10-sets")
-    comp = components(_candidates(sets, threshold, runs, branch, depth, limit, bucket), "op10-cand")
+    comp = components(_candidates(sets, threshold, recall, branch, depth, limit, bucket), "op10-cand")
     comp = materialise(comp.toDF("sid", "comp"), "op10-comp")
     member = (sets.join(comp, "sid").select("sid", "comp", "copies", "size", F.col("rep.k1").alias("k1"),
                                             F.col("rep.k2").alias("k2")))

@@ -1,5 +1,6 @@
 import collections
 
+import numpy as np
 import pytest
 
 from clinloom.llm import op10_jaccard_join as o
@@ -79,3 +80,41 @@ def test_stage_keeps_one_of_each_class(spark):
     assert out.columns == docs.columns
     ids = collections.Counter(r.doc_id for r in out.collect())
     assert ids == collections.Counter({1: 2, 2: 1, 3: 1, 4: 1, None: 2, 5: 1, 6: 1, 7: 1, 8: 1, -20: 1})
+
+
+def test_plan_reaches_the_recall_asked():
+    for threshold in (0.5, 0.7, 0.8, 0.95, 1):
+        last = 0
+        for recall in (0.9, 0.99, 0.9999):
+            need, runs, loss = o.plan(threshold, recall)
+            assert 0 <= loss <= 1 - recall and runs >= last and need <= threshold * o.T
+            last = runs
+    for bad in ((0, 0.9), (1.1, 0.9), (0.8, 1), (0.01, 0.9999)):
+        with pytest.raises(ValueError):
+            o.plan(*bad)
+
+
+def test_plan_matches_sampled_pairs():
+    """The loss foretold against paths walked by sampled pairs of signatures, one run."""
+    rng = np.random.default_rng(3)
+    for threshold in (0.5, 0.8):
+        share = rng.binomial(o.T, threshold, 200_000) / o.T
+        met = rng.random(len(share)) < share
+        for _ in range(o.DEPTH - 1):
+            met &= (rng.random((len(share), o.BRANCH)) < share[:, None]).any(axis=1)
+        apart = share * (1 - (1 - share) ** o.BRANCH) ** (o.DEPTH - 1)
+        assert abs(met.mean() - apart.mean()) < 0.005
+        need, runs, loss = o.plan(threshold, 0.99)
+        kept = np.where(share * o.T >= need, 1 - (1 - apart) ** runs, 0)
+        assert abs((1 - kept.mean()) - loss) < 0.002
+
+
+@pytest.mark.parametrize("threshold", [0.5, 0.65])
+def test_lower_thresholds_lose_no_link(spark, threshold):
+    """Pairs just above the threshold, all levels of the paths in use."""
+    rows = []
+    for k in range(120):
+        w = [f"p{k}_{i}" for i in range(104)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:round(104 * (threshold + 0.04))]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(o.jaccard_classes(df, threshold=threshold, limit=1)) == brute(rows, 5, threshold)
