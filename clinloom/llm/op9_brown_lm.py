@@ -4,8 +4,8 @@ Tokens are words (A-Z lower-cased) and one end per document; documents with
 crc32(doc_id) mod 7 != 2 are learned from.  The model is P(w | u, v) = P(class(w) | class(u),
 class(v)) P(w | class(w)); a document begins after two ends.
 
-1.  *Counts.*  Rows are written once, numbered in chunks of about ``CHUNK`` bytes as they come, so rows
-    that repeat do not gather in one.  A task turns a chunk into its distinct words with their training counts;
+1.  *Counts.*  Rows are written once in compressed blocks, numbered in chunks of about ``CHUNK`` bytes
+    as they come, so rows that repeat do not gather in one.  A task turns a chunk into its distinct words with their training counts;
     totals are an aggregate.  The ``COMMON`` most frequent words' totals and classes are broadcast
     (17 bytes each, whatever the vocabulary); those of all others are joined back to every chunk
     that holds the word.  Only distinct words per chunk are shuffled, never tokens.
@@ -57,13 +57,30 @@ _ROW = "doc_id long, held_out boolean, train boolean"
 
 
 def _deal(batches, chunk_bytes: int):
-    """The rows with the number of their chunk: runs of about ``chunk_bytes`` of a task's rows."""
+    """(chunk, ends, block): runs of about ``chunk_bytes`` of a task's rows, each batch of one packed into a block."""
     done, first = 0, TaskContext.get().partitionId() << 32
     for batch in batches:
         size = pa.compute.binary_length(batch.column("text")).to_numpy() + 1
         at = done + np.cumsum(size) - size
         done += int(size.sum())
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(first + at // chunk_bytes)], names=[*batch.schema.names, "chunk"])
+        chunk = first + at // chunk_bytes
+        cut = np.flatnonzero(np.concatenate([[True], chunk[1:] != chunk[:-1], [True]])) if len(chunk) else []
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            part, out = batch.slice(lo, hi - lo), pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+                writer.write_batch(part)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([int(chunk[lo])]), pa.array([pa.compute.sum(part.column("train")).as_py()], pa.int64()),
+                 pa.array([out.getvalue().to_pybytes()], pa.binary())], names=["chunk", "ends", "block"])
+
+
+def _rows(batches, train: bool = False):
+    """The rows of blocks, those learned from only with ``train``."""
+    for batch in batches:
+        for block in batch.column("block"):
+            with pa.ipc.open_stream(block.as_buffer()) as rows:
+                for part in rows:
+                    yield part.filter(part.column("train")) if train else part
 
 
 def _dictionary(batches):
@@ -71,7 +88,7 @@ def _dictionary(batches):
     release()
     for t in key_runs(batches, "chunk"):
         words, counts = [], []
-        for batch in t.to_batches():
+        for batch in _rows(t.to_batches()):
             train = batch.column("train").to_numpy(zero_copy_only=False)
             for w in slabs(batch.column("text"), lower=True):
                 mine = train[w.row:w.row + w.rows][w.row_of_word()]
@@ -95,7 +112,7 @@ def _head_pairs(batches, head):
     keys, number = head.value
     size = len(keys) + 2                                # the rest of the words, then the document's ends
     grid = np.zeros(size * size, np.int64)
-    for batch in batches:
+    for batch in _rows(batches, train=True):
         for w in slabs(batch.column("text"), lower=True):
             h, n = w.hashes, len(w)
             code = np.full(n + w.rows + 1, size - 1, np.int64)
@@ -112,8 +129,19 @@ def _head_pairs(batches, head):
                                          names=["v", "w", "n"])
 
 
+def _packed(values: np.ndarray, off: np.ndarray) -> pa.Array:
+    """A binary array whose i-th value holds values[off[i]:off[i + 1]]."""
+    return pa.Array.from_buffers(pa.binary(), len(off) - 1, [
+        None, pa.py_buffer((off * values.itemsize).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _flat(col: pa.ChunkedArray, kind: str) -> np.ndarray:
+    """The values of all rows of a binary column, one after the other."""
+    return np.frombuffer(b"".join(col.to_pylist()), kind)
+
+
 def _neighbours(batches, head):
-    """(word, sums): a word's training bigrams by the head classes beside it, as class * 2**32 + count.
+    """(word, code, n): a word's training bigrams by the head classes beside it, a byte a class and four a count.
 
     Classes before the word count from 0, those after it from ``ALL``; other words count as ``RARE``.
     """
@@ -128,9 +156,8 @@ def _neighbours(batches, head):
         for lo in range(0, len(new), 1 << 15):
             cut = off[lo:lo + (1 << 15) + 1]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(word[cut[:-1]].view(np.int64)),
-                 pa.ListArray.from_arrays(pa.array((cut - cut[0]).astype(np.int32)),
-                                          pa.array((code[cut[0]:cut[-1]] << 32) + n[cut[0]:cut[-1]]))], names=["word", "sums"])
+                [pa.array(word[cut[:-1]].view(np.int64)), _packed(code[cut[0]:cut[-1]].astype(np.uint8), cut - cut[0]),
+                 _packed(n[cut[0]:cut[-1]].astype("<u4"), cut - cut[0])], names=["word", "code", "n"])
 
     def summed(kept):
         word, code, n = (np.concatenate(x) for x in zip(*kept, strict=True))
@@ -139,7 +166,7 @@ def _neighbours(batches, head):
         return word[first], code[first], np.bincount(back, n, len(first)).astype(np.int64)
 
     kept, size = [], 0
-    for batch in batches:
+    for batch in _rows(batches, train=True):
         for w in slabs(batch.column("text"), lower=True):
             if not len(w):
                 continue
@@ -175,18 +202,16 @@ def best_classes(left: np.ndarray, right: np.ndarray, grid: np.ndarray) -> np.nd
 
 
 def _choose(batches, grid, least: int):
-    """(word, cls) of words with more than ``least`` - 1 bigrams to the left, from their sums of all tasks."""
+    """(word, cls) of words with ``least`` bigrams to the left and more, from their sums of all tasks."""
     held = []
 
     def chosen(t):
         word = t.column("word").to_numpy()
-        sums = t.column("sums").combine_chunks()
         which = np.repeat(np.cumsum(np.concatenate([[0], word[1:] != word[:-1]])),
-                          pa.compute.list_value_length(sums).to_numpy())
-        flat = sums.flatten().to_numpy()
+                          pa.compute.binary_length(t.column("code")).to_numpy())
         at = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         table_ = np.zeros((len(at), 2 * ALL))
-        np.add.at(table_, (which, flat >> 32), flat & 0xFFFFFFFF)
+        np.add.at(table_, (which, _flat(t.column("code"), "u1")), _flat(t.column("n"), "<u4"))
         enough = table_[:, :ALL].sum(axis=1) >= least
         cls = best_classes(table_[enough, :ALL], table_[enough, ALL:], grid.value)
         return pa.RecordBatch.from_arrays([pa.array(word[at[enough]]), pa.array(cls.astype(np.int32))], names=["word", "cls"])
@@ -279,7 +304,7 @@ def brown_classes(pairs: DataFrame, n_head: int, classes: int = CLASSES, rounds:
         own[r["v"]] = r["n"]
 
     def sums(full):
-        label = F.broadcast(spark.createDataFrame([(i, int(c)) for i, c in enumerate(full)], "id int, c int"))
+        label = F.broadcast(spark.createDataFrame(pa.table({"id": pa.array(range(len(full)), pa.int32()), "c": pa.array(full, pa.int32())})))
         out = []
         for key, other in (("w", "v"), ("v", "w")):      # at most HEAD * CLASSES sums each
             t = pairs.join(label, F.col(other) == F.col("id")).groupBy(key, "c").agg(F.sum("n").alias("n")).toArrow()
@@ -309,7 +334,7 @@ def _score_chunk(left, right, model):
     base = np.log10((total + 1) / (n + v + 1))
     end_base = np.log10((ends + 1) / (n + v + 1))
     out = []
-    for batch in left.to_batches():
+    for batch in _rows(left.to_batches()):
         for w in slabs(batch.column("text"), lower=True):
             code = np.searchsorted(words, w.hashes)
             if len(code) and not (words[np.minimum(code, len(words) - 1)] == w.hashes).all():
@@ -375,7 +400,7 @@ def _finish(batches, table_, n: int):
 
 
 def word_classes(rows: DataFrame, words: DataFrame, head: int, rounds: int, least: int = 2) -> DataFrame:
-    """(word, cls) of every training word with ``least`` bigrams and more; ``rows`` hold training texts."""
+    """(word, cls) of every training word with ``least`` bigrams and more; ``rows`` hold blocks."""
     spark = rows.sparkSession
     top = words.filter("total > 1").orderBy(F.desc("total"), "word").limit(head).collect()
     hashes = np.array([r["word"] for r in top], np.int64).view(np.uint64)
@@ -392,10 +417,10 @@ def word_classes(rows: DataFrame, words: DataFrame, head: int, rounds: int, leas
     known = spark.sparkContext.broadcast((hashes[order], cls[order] if len(top) else order))
     shared = spark.sparkContext.broadcast(grid)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    chosen = (rows.mapInArrow(partial(_neighbours, head=known), "word long, sums array<long>")
+    chosen = (rows.mapInArrow(partial(_neighbours, head=known), "word long, code binary, n binary")
               .repartition(parts, "word").sortWithinPartitions("word")
               .mapInArrow(partial(_choose, grid=shared, least=least), "word long, cls int"))
-    fixed = spark.createDataFrame([(int(r["word"]), int(c)) for r, c in zip(top, cls, strict=True)], "word long, own int")
+    fixed = spark.createDataFrame(pa.table({"word": pa.array([r["word"] for r in top], pa.int64()), "own": pa.array(cls, pa.int32())}))
     return (chosen.join(F.broadcast(fixed), "word", "left")          # the head's classes stand
             .select("word", F.coalesce("own", "cls").alias("cls")))
 
@@ -410,13 +435,12 @@ def lm_scores(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS, chunk_byt
     rows = docs.select(d.alias("doc_id"), F.coalesce(left == 2, F.lit(False)).alias("held_out"),
                        F.coalesce(left != 2, F.lit(False)).alias("train"), t.alias("text"))
     dealt = materialise(rows.mapInArrow(partial(_deal, chunk_bytes=chunk_bytes),
-                                        _ROW + ", text string, chunk long"), "op9-rows", "zstd")
-    ends = dealt.agg(F.sum(F.col("train").cast("long"))).first()[0] or 0
+                                        "chunk long, ends long, block binary"), "op9-rows", "none")
+    ends = dealt.agg(F.sum("ends")).first()[0] or 0
     # a chunk whose rows are read by two tasks has two dictionaries with the same totals
-    pairs = materialise(dealt.select("chunk", "train", "text").mapInArrow(_dictionary, "chunk long, word long, n long"), "op9-pairs", "zstd")
+    pairs = materialise(dealt.select("chunk", "block").mapInArrow(_dictionary, "chunk long, word long, n long"), "op9-pairs", "zstd")
     words = materialise(pairs.groupBy("word").agg(F.sum("n").alias("total")), "op9-words")
-    train = dealt.filter("train").select("text")
-    classes = word_classes(train, words.filter("total > 0"), head, rounds)
+    classes = word_classes(dealt.select("block"), words.filter("total > 0"), head, rounds)
     words = materialise(words.join(classes, "word", "left").select(
         "word", "total", F.when(F.col("total") > 1, F.col("cls")).otherwise(RARE).alias("cls")), "op9-classes")
     sums = words.filter("total > 0").groupBy("cls").agg(
@@ -439,7 +463,7 @@ def lm_scores(docs: DataFrame, head: int = HEAD, rounds: int = ROUNDS, chunk_byt
     def scored(left, right):
         return _score_chunk(left, right, model)
 
-    seqs = materialise(dealt.groupBy("chunk").cogroup(reply.groupBy("chunk")).applyInArrow(
+    seqs = materialise(dealt.select("chunk", "block").groupBy("chunk").cogroup(reply.groupBy("chunk")).applyInArrow(
         scored, _ROW + ", n_tokens long, n_known long, base_score double, emission double, classes binary"), "op9-seqs")
     grid = np.zeros(ALL ** 3)
     for part in (seqs.filter("train").select("classes").mapInArrow(_transitions, "abc int, n long")
