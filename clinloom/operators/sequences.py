@@ -87,9 +87,12 @@ class HeadTable:
     def __init__(self, words, ids):
         import numpy as np
         import pandas as pd
-        h = pd.util.hash_array(words.to_numpy(zero_copy_only=False)) if len(words) else np.zeros(0, np.uint64)
+        h = np.zeros(len(words), np.uint64)
+        for at in range(0, len(words), HASH_ROWS):                # Python strings of one run at a time
+            run = words.slice(at, HASH_ROWS).to_numpy(zero_copy_only=False)
+            h[at:at + HASH_ROWS] = pd.util.hash_array(run)
         order = np.argsort(h, kind="stable")
-        self.hashes, self.order, self.words, self.ids = h[order], order, words, ids
+        self.hashes, self.order, self.words, self.ids = h[order], order.astype(np.int32), words, ids
         same = np.flatnonzero(self.hashes[1:] == self.hashes[:-1])
         clash = np.unique(np.concatenate([order[same], order[same + 1]]))
         self.clash = {words[int(i)].as_py(): int(ids[i]) for i in clash}
@@ -113,6 +116,7 @@ class HeadTable:
         return out
 
 
+HASH_ROWS = 1 << 16
 MISSES, CODES = "_misses", "_codes"
 
 
@@ -124,7 +128,7 @@ def _map_arrays(df: DataFrame, head, token_cols: Sequence[str], suffix: str, kee
     """
     from pyspark.sql import types as T
 
-    from clinloom.operators.worker import fresh_key, resident
+    from clinloom.operators.worker import fresh_key, pieces, resident
     others = [f for f in df.schema.fields if f.name not in token_cols]
     ids_type = T.ArrayType(T.IntegerType())
     schema = T.StructType(others + [T.StructField(c + suffix, ids_type) for c in token_cols]
@@ -136,7 +140,7 @@ def _map_arrays(df: DataFrame, head, token_cols: Sequence[str], suffix: str, kee
         import pyarrow as pa
         import pyarrow.compute as pc
         table = resident(key, lambda: HeadTable(*head.value))
-        for batch in batches:
+        for batch in (p for b in batches for p in pieces(b)):
             rows = batch.num_rows
             parts, flats = [], []
             for c in token_cols:
