@@ -386,29 +386,48 @@ def mask_tokens(df: DataFrame, ids: str, block_key: str, vocab_size: int, seed:
     Non-special positions are chosen with probability ``p``; of those 80% become
     [MASK], 10% a random id in [N_SPECIAL, vocab_size), 10% stay.  Labels hold the
     original id at chosen positions and -100 elsewhere.  One md5 per block seeds it; a
-    position's three draws follow by squaring and multiplying modulo a prime (integer
-    arithmetic only, as higher-order functions are interpreted).
+    position's three draws follow by squaring and multiplying modulo a prime, in 64-bit
+    integers over the flat ids of a batch.  A null id may be masked and has no label.
     """
-    span = vocab_size - N_SPECIAL
-    prime = F.lit(_PRIME).cast("bigint")
+    from pyspark.sql import types as T
+
+    from clinloom.operators.worker import pieces
     start = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(block_key).cast("string"))), 1, 7),
                    16, 10).cast("bigint")
+    kind = df.schema[ids].dataType
+    fields = [f for f in df.schema.fields if f.name not in ("masked_ids", "labels")]
+    schema = T.StructType(fields + [T.StructField("masked_ids", kind), T.StructField("labels", kind)])
+    names, span = [f.name for f in fields], vocab_size - N_SPECIAL
 
-    def first(x, i):
-        a = (F.col("_start") + (i.cast("bigint") + 1) * 48271) % prime
-        b = (a * a + 12345) % prime
-        return F.struct(x.alias("x"), ((b * b + i) % prime).alias("s"))
-
-    def draw(d):
-        x, s = d["x"], d["s"]
-        chosen = (s < int(p * _PRIME)) & (x >= N_SPECIAL)
-        v = (s * 48271) % prime
-        masked = (F.when(~chosen, x).when(v < int(0.8 * _PRIME), F.lit(MASK_ID))
-                   .when(v < int(0.9 * _PRIME), (F.lit(N_SPECIAL) + ((v * 69621) % prime) % span).cast("int"))
-                   .otherwise(x))
-        return F.struct(masked.alias("m"), F.when(chosen, x).otherwise(F.lit(IGNORE_LABEL)).alias("l"))
-
-    drawn = (df.withColumn("_start", start).withColumn("_draws", F.transform(F.col(ids), first))
-               .withColumn("_mask", F.transform("_draws", draw)))
-    return (drawn.withColumn("masked_ids", F.col("_mask.m")).withColumn("labels", F.col("_mask.l"))
-                 .drop("_mask", "_draws", "_start"))
+    def draw(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        for batch in (b for whole in batches for b in pieces(whole)):
+            col, start = batch.column(ids), batch.column("_start").to_numpy(zero_copy_only=False)
+            n = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            off = np.concatenate([[0], np.cumsum(n)])
+            flat = col.flatten()
+            known = flat.is_valid().to_numpy(zero_copy_only=False)
+            x = pc.fill_null(flat, N_SPECIAL).to_numpy(zero_copy_only=False).astype(np.int64)
+            i = np.arange(len(x)) - np.repeat(off[:-1], n)
+            a = (np.repeat(start, n) + (i + 1) * 48271) % _PRIME
+            b = (a * a + 12345) % _PRIME
+            s = (b * b + i) % _PRIME
+            drawn = np.flatnonzero((s < int(p * _PRIME)) & (x >= N_SPECIAL))
+            v = (s[drawn] * 48271) % _PRIME
+            swap = (v >= int(0.8 * _PRIME)) & (v < int(0.9 * _PRIME))
+            if span < 1 and swap.any():
+                raise ValueError(f"no id to draw from in a vocabulary of {vocab_size}")
+            masked, real, labels = x.copy(), known.copy(), np.full(len(x), IGNORE_LABEL, np.int64)
+            labels[drawn] = np.where(known[drawn], x[drawn], IGNORE_LABEL)
+            at = drawn[v < int(0.8 * _PRIME)]
+            masked[at], real[at] = MASK_ID, True
+            at = drawn[swap]
+            masked[at], real[at] = N_SPECIAL + ((v[swap] * 69621) % _PRIME) % max(span, 1), True
+            null = None if not col.null_count else col.is_null()
+            lists = [pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), flat_out, mask=null) for flat_out in
+                     (pa.array(masked, mask=~real).cast(flat.type), pa.array(labels).cast(flat.type))]
+            yield pa.RecordBatch.from_arrays([*(batch.column(f) for f in names), *lists], names=schema.fieldNames())
+
+    return df.select("*", start.alias("_start")).mapInArrow(draw, schema)

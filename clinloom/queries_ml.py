@@ -18,6 +18,7 @@ from clinloom.operators.joins import attach_annotations, exclude_annotated, only
 from clinloom.plans import classification as C
 from clinloom.plans import corpora as G
 from clinloom.catalog import CLEAN_MLM_SQL, V, register, tbl
+from clinloom.session import materialise
 
 TOK = r"regexp_extract_all(lower(coalesce(@, '')), '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')"
 
@@ -28,7 +29,7 @@ def tok_sql(x: str) -> str:
 
 def ints(c):
     """Comparison form of an int array: comma string."""
-    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return F.array_join(c.cast("array<string>"), ",")
 
 
 def r6(c):
@@ -819,7 +820,9 @@ SELECT doc_id, string_agg(CAST(CASE WHEN u >= {int(0.3 * 2147483647)} THEN x WHE
 FROM d GROUP BY doc_id""")
 def q11(spark, sf):
     """Q11 by itself: whole documents masked at 30 %."""
-    d = tbl(spark, sf, "documents").select("doc_id", Q.tokenize(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    # tokenised once: the filter, the vocabulary and the encoding read the tokens
+    d = materialise(tbl(spark, sf, "documents").select("doc_id", Q.tokenize(F.col("text")).alias("tokens")), "tokens")
+    d = d.where(F.size("tokens") > 0)
     vocab = Q.build_vocab(d, "tokens")
     size = (vocab.agg(F.max("id")).first()[0] or 0) + 1
     out = Q.mask_tokens(Q.encode(d, "doc_id", ["tokens"], vocab), "tokens_ids", "doc_id", size, seed=7, p=0.3)

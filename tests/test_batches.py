@@ -44,3 +44,35 @@ def test_encode_over_several_pieces(spark):
         bad = got.where((F.col("a_ids") != want) | (F.col("b_ids") != F.array(F.lit(10), F.lit(1))))
         assert got.count() == 60 and bad.count() == 0
 
+
+def draws(key, ids, size, seed, p):
+    """Q11 position by position."""
+    import hashlib
+    prime, masked, labels = 2147483647, [], []
+    start = int(hashlib.md5("|".join([str(seed)] + ([] if key is None else [str(key)])).encode()).hexdigest()[:7], 16)
+    for i, x in enumerate(ids):
+        b = (((start + (i + 1) * 48271) % prime) ** 2 + 12345) % prime
+        s = (b * b + i) % prime
+        v = s * 48271 % prime
+        drawn = s < int(p * prime) and (x is None or x >= 5)
+        labels.append(x if drawn and x is not None else -100)
+        masked.append(x if not drawn or v >= int(0.9 * prime) else 4 if v < int(0.8 * prime)
+                      else 5 + v * 69621 % prime % (size - 5))
+    return masked, labels
+
+
+def test_mask_tokens_equals_the_loop_and_runs_on_batches(spark):
+    rows = [(k, None if k == 3 else [None if (i + (k or 0)) % 11 == 0 else (i * 31 + (k or 0)) % 90 for i in range(40 * ((k or 0) % 5))])
+            for k in [None, *range(40)]]
+    df = spark.createDataFrame(rows, "k long, ids array<int>").coalesce(1)
+    out = Q.mask_tokens(df, "ids", "k", 90, seed=9, p=0.4)
+    assert out.columns == ["k", "ids", "masked_ids", "labels"] and out.schema["labels"].dataType == df.schema["ids"].dataType
+    for r in out.collect():
+        assert (r["masked_ids"], r["labels"]) == ((None, None) if r["ids"] is None else draws(r["k"], r["ids"], 90, 9, 0.4))
+    assert "transform(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_masking_reads_tokens_made_once(spark):
+    from clinloom.registry import QUERIES
+    plan = QUERIES["q11_mask_tokens"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan
