@@ -193,12 +193,12 @@ def might_hold(df: DataFrame, key: str, bitmap: DataFrame, log2: int = BLOOM_LOG
     """Rows of ``df`` whose ``key`` may be in the bitmap: never too few, some too many; null keys go.
 
     The bitmap has at most 2**(``log2`` - 6) rows of 12 bytes, so it is broadcast whatever the data.
+    A semi-join on ``key`` alone: the planner may take it below a window or grouping by ``key``.
     """
     h = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << log2))
     at = h.bitwiseAND(F.lit(63)).cast("int")
-    probed = df.withColumn("_word", F.shiftright(h, 6).cast("int")).join(F.broadcast(bitmap), "_word")
-    return (probed.where(F.col(key).isNotNull()
-                         & (F.call_function("getbit", F.col("_bits"), at) == 1)).select(*df.columns))
+    held = (F.shiftright(h, 6).cast("int") == F.col("_word")) & (F.call_function("getbit", F.col("_bits"), at) == 1)
+    return df.where(F.col(key).isNotNull()).join(F.broadcast(bitmap), held, "left_semi")
 
 
 def attach_primary_dx(linked: DataFrame, dx: DataFrame, keys: Sequence[str] = ("subject_id", "hadm_id")) -> DataFrame:

@@ -5,7 +5,8 @@ Plan shape:
         --> written once; first row of each text(W1, on the text's hash: no text shuffled)
         --> bitmap filters (J3): rows that survive, admissions that have codes
         --> per-admission concat(A1, exchange on hadm_id) of what is left
-  diag/proc --seq filter(P5)--> per-admission code list(A2, exchange on hadm_id)
+  diag/proc --bitmap filter: admissions that have notes--> seq filter(P5)
+        --> per-admission code list(A2, exchange on hadm_id)
   --> 3-way inner join on hadm_id (J3: reuses the three hash partitionings)
   --> written once to the checkpoint folder
   --> exact 60/20/20 split by seeded hash rank (U1: bucket counts + per-bucket ranks)
@@ -63,13 +64,9 @@ def thin_notes(notes: DataFrame, survivors: DataFrame, coded: Sequence[DataFrame
     return notes
 
 
-def notes_per_admission(notes: DataFrame, category: str, cleaned: bool = True,
-                        coded: Sequence[DataFrame] = ()) -> DataFrame:
-    """P3 -> P4 -> (T8) -> W1 -> A1 over notes (row_id, hadm_id, category, text).
-
-    ``coded``: tables of admissions outside which no note is needed.  Which rows survive the
-    dedupe is decided over all notes first; then texts of duplicates and of admissions
-    without codes are dropped before any text is shuffled.
+def surviving_notes(notes: DataFrame, category: str, cleaned: bool = True) -> tuple[DataFrame, DataFrame]:
+    """P3 -> P4 -> (T8) -> W1 over notes (row_id, hadm_id, category, text): the cleaned notes and the
+    (row_id, hadm_id) of those that survive the dedupe.
 
     The not-null and category predicates run on the raw columns, before cleaning:
     cleaning keeps null-ness, and a predicate on the cleaned text would be pushed
@@ -82,7 +79,15 @@ def notes_per_admission(notes: DataFrame, category: str, cleaned: bool = True,
     if not cleaned:
         n = clean_notes(n, "icd")
     n = materialise(n.withColumn("category", trim_category(F.col("category"))), "notes")
-    first = materialise(first_rows(n), "survivors")
+    return n, materialise(first_rows(n), "survivors")
+
+
+def concat_survivors(n: DataFrame, first: DataFrame, coded: Sequence[DataFrame] = ()) -> DataFrame:
+    """A1 over the two tables of :func:`surviving_notes`.
+
+    ``coded``: tables of admissions outside which no note is needed.  Texts of duplicates and
+    of admissions without codes are dropped before any text is shuffled.
+    """
     keep = first.groupBy("hadm_id").agg(F.collect_list("row_id").alias("_keep"))
     items = thin_notes(n, first, coded).groupBy("hadm_id").agg(F.sort_array(F.collect_list(F.struct("row_id", "text", "category"))).alias("_items"))
     kept = F.filter(F.col("_items"), lambda x: F.array_contains(F.col("_keep"), x["row_id"]))
@@ -91,13 +96,21 @@ def notes_per_admission(notes: DataFrame, category: str, cleaned: bool = True,
                        F.array_join(F.col("_items")["category"], " ").alias("category"))
 
 
+def notes_per_admission(notes: DataFrame, category: str, cleaned: bool = True,
+                        coded: Sequence[DataFrame] = ()) -> DataFrame:
+    """P3 -> P4 -> (T8) -> W1 -> A1: one row per admission with its surviving notes."""
+    return concat_survivors(*surviving_notes(notes, category, cleaned), coded)
+
+
 def icd_labelled(notes: DataFrame, diag: DataFrame, proc: DataFrame, params: IcdParams = IcdParams(),
                  cleaned: bool = False) -> DataFrame:
     """Labelled admissions before splitting: hadm_id, text, category and the code column."""
-    d = filter_seq(diag, params.one_or_all_icds)
-    p = filter_seq(proc, params.one_or_all_icds)
+    n, first = surviving_notes(notes, params.note_category, cleaned=cleaned)
+    # codes of admissions without a surviving note go before they are numbered, shuffled or sorted
+    noted = key_bitmap(first, "hadm_id")
+    d, p = (filter_seq(might_hold(c, "hadm_id", noted), params.one_or_all_icds) for c in (diag, proc))
     needed = (d, p) if params.require_both else (d,) if params.diag_or_proc == "diag" else (p,)
-    per_adm = notes_per_admission(notes, params.note_category, cleaned=cleaned, coded=needed)
+    per_adm = concat_survivors(n, first, needed)
     d, p = (codes_by_admission(c, code=params.code_column) for c in (d, p))
     out = labelled_admissions(per_adm, d, p, params.diag_or_proc, require_both=params.require_both)
     return out.withColumnRenamed("icd9_code", params.code_column)
