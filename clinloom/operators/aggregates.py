@@ -46,11 +46,16 @@ def concat_by_admission(notes: DataFrame, key: str = "hadm_id", order: str = "ro
 
 def codes_by_admission(codes: DataFrame, key: str = "hadm_id", seq: str = "seq_num",
                        code: str = "icd9_code") -> DataFrame:
-    """A2 + W4: ordered code list per admission: key, code_list (array), codes (comma string)."""
-    c = codes.where(F.col(code).isNotNull())
-    lst = F.sort_array(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(code).alias("c"))))
-    return (c.groupBy(key)
+    """A2 + W4: ordered code list per admission: key, code_list (array), codes (comma string).
+
+    Null codes are left out as the list is built: a filter on the code would keep a semi-join
+    on the admission from moving below the window that numbers the codes.
+    """
+    item = F.when(F.col(code).isNotNull(), F.struct(F.col(seq).alias("s"), F.col(code).alias("c")))
+    lst = F.sort_array(F.collect_list(item))
+    return (codes.groupBy(key)
              .agg(lst.getField("c").alias("code_list"))
+             .where(F.size("code_list") > 0)
              .select(key, "code_list", F.array_join("code_list", ",").alias("codes")))
 
 
