@@ -222,13 +222,12 @@ def k7(spark, sf):
 
 @register("s6_read_reports", "SELECT replace(path, '/', ' ') AS path, text FROM v_reports")
 def s6(spark, sf):
-    """Each report is written as its own file (one folder per report, its name with blanks,
-    by Spark's text writer), then read back whole; the folder name is the path."""
+    """Each report is written as its own file (one folder per report, its name with blanks),
+    then read back whole; the folder name is the path."""
     root = scratch(spark, "reports")
-    named = V(spark, sf, "v_reports").withColumn("path", F.translate("path", "/", " "))
-    named.write.mode("overwrite").partitionBy("path").text(root)
+    K.write_reports(V(spark, sf, "v_reports").withColumn("path", F.translate("path", "/", " ")), root)
     files = S.read_reports(spark, root)
-    # the text writer ends every file with one line separator
+    # every file ends with one line separator
     return files.select(F.regexp_extract("path", "^path=([^/]*)/", 1).alias("path"),
                         F.expr("substring(text, 1, length(text) - 1)").alias("text"))
 

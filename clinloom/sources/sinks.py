@@ -7,8 +7,12 @@ single file.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import itertools
+import os
+import re
+from collections.abc import Callable, Iterable, Sequence
 
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +42,52 @@ def write_filtered(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+# the characters Spark escapes in the name of a partition folder
+_ESCAPED = re.compile("[\x01-\x1f\x7f\"#%'*/:=?\\\\{\\[\\]^]")
+
+
+def _report_files(folder: str) -> Callable[[Iterable], None]:
+    """Writes a partition of (path, bytes), sorted by path, as files below ``folder``.
+
+    A file has its task's number and gets its name when it is whole, so a repeated task
+    replaces what an earlier attempt left.
+    """
+    def write(rows):
+        part = f"part-{TaskContext.get().partitionId():05d}.txt"
+        for path, group in itertools.groupby(rows, lambda r: r[0]):
+            name = "__HIVE_DEFAULT_PARTITION__" if path is None else \
+                _ESCAPED.sub(lambda m: f"%{ord(m[0]):02X}", path)
+            place = os.path.join(folder, f"path={name}")
+            os.makedirs(place, exist_ok=True)
+            unfinished = os.path.join(place, f".{part}-{TaskContext.get().taskAttemptId()}")
+            with open(unfinished, "wb") as f:
+                for _, text in group:
+                    f.write(text or b"")
+                    f.write(b"\n")
+            os.replace(unfinished, os.path.join(place, part))
+    return write
+
+
+def write_reports(reports: DataFrame, root: str) -> None:
+    """Each report (path, text) as a file of its own in the folder ``path=...`` below ``root``.
+
+    Folders and lines are those of Spark's partitioned text writer, which does the work in any
+    store but a shared ``file:`` folder.  There Hadoop starts a process for each permission it sets
+    (five a report), so the tasks write the files themselves.
+    """
+    local = re.match(r"file:(?://[^/]*)?(/.*)$", root)
+    if local is None:
+        reports.select("path", "text").write.partitionBy("path").text(root)
+        return
+    folder = local[1]
+    os.makedirs(folder, exist_ok=True)
+    if os.listdir(folder):
+        raise FileExistsError(f"{root} is not empty")
+    named = F.when(F.col("path") != "", F.col("path")).alias("path")
+    (reports.select(named, F.col("text").cast("binary").alias("text")).sortWithinPartitions("path")
+        .foreachPartition(_report_files(folder)))
+
+
 def checkpoint_table(df: DataFrame, path: str) -> DataFrame:
     """K4: write to Parquet and read back -- cuts lineage; the read-back plan is a plain scan."""
     df.write.mode("overwrite").parquet(path)

@@ -166,3 +166,66 @@ def test_reports_with_blanks_and_percent_signs(spark, tmp_path):
     (root / "e.txt").write_text("two\nlines")
     got = {r["path"]: r["text"] for r in S.read_reports(spark, str(root)).collect()}
     assert got == {"a b/c+d%2F.txt": "one", "e.txt": "two\nlines"}
+
+
+def _files(root):
+    """(folder, content) of every file below ``root`` that Spark reads."""
+    return sorted((os.path.basename(d), open(os.path.join(d, f), "rb").read())
+                  for d, _, names in os.walk(root) for f in names if not f.startswith((".", "_")))
+
+
+def test_report_files_are_those_of_the_text_writer(spark, tmp_path):
+    rows = [("a b", "x\ny"), ("a b", "again"), ("ü%/:[1]='\"#{^}\\*?\x7f", "odd\r\n"), ("-1", None), ("-1", ""), (None, "no path"), ("", "empty path")]
+    df = spark.createDataFrame(rows, "path string, text string").coalesce(1)
+    ours, theirs = tmp_path / "ours", tmp_path / "theirs"
+    K.write_reports(df, f"file://{ours}")
+    df.write.partitionBy("path").text(str(theirs))
+    assert _files(ours) == _files(theirs) and len(_files(ours)) == 4
+    with pytest.raises(FileExistsError):
+        K.write_reports(df, f"file://{ours}")
+    K.write_reports(df, str(tmp_path / "default store"))             # no scheme: Spark's writer decides where
+    assert _files(tmp_path / "default store") == _files(theirs)
+    K.write_reports(df.limit(0), f"file:{tmp_path}/none")
+    assert S.read_reports(spark, f"file:{tmp_path}/none").collect() == []
+
+
+@pytest.mark.parametrize("query", ["s6_read_reports"])
+def test_report_files_start_no_process_each(spark, tmp_path, query):
+    import __spark_entry__
+    from clinloom.session import ensure_checkpoint_dir
+    tables = {"pages": ("page_id long, html string", [(i, f"<p>report {i}\nend") for i in range(30)]),
+              "documents": ("doc_id long, text string", [(i, f"note {i}") for i in range(3)]),
+              "labels": ("doc_id long, quality int, toxic int", [(2, 1, 0)])}
+    for name, (schema, rows) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    shared = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    out = __spark_entry__.queries()[query](spark, str(tmp_path))
+    assert any("report" in r["text"] and "end" in r["text"] for r in out.collect())
+    roots = [f"{shared}/{x}" for x in set(os.listdir(shared)) - before if "reports" in x]
+    names = [f for root in roots for _, _, files in os.walk(root) for f in files]
+    # a checksum file is what Hadoop's local file system leaves, at five processes a report
+    assert len(roots) == 1 and len(names) == 30 and not [f for f in names if f.endswith(".crc")]
+
+
+def test_many_reports_are_listed_and_read_by_few_tasks(spark, tmp_path):
+    root, cores = tmp_path / "many", spark.sparkContext.defaultParallelism
+    n = 20 * cores
+    for i in range(n):
+        (root / f"path={i}").mkdir(parents=True)
+        (root / f"path={i}" / "r.txt").write_text(f"text {i}")
+    before = spark.conf.get(S.LISTING_TASKS)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    spark.sparkContext.setJobGroup("reports", "listing")
+    try:
+        df = S.read_reports(spark, str(root))
+        parts = df.rdd.getNumPartitions()
+        rows = df.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    tasks = [tracker.getStageInfo(s).numTasks for j in tracker.getJobIdsForGroup("reports") for s in tracker.getJobInfo(j).stageIds]
+    assert parts == 8 * cores and max(tasks) == 8 * cores and len(tasks) >= 2    # one a folder before
+    assert {r["text"] for r in rows} == {f"text {i}" for i in range(n)}
+    assert spark.conf.get(S.LISTING_TASKS) == before
