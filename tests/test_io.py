@@ -189,7 +189,7 @@ def test_report_files_are_those_of_the_text_writer(spark, tmp_path):
     assert S.read_reports(spark, f"file:{tmp_path}/none").collect() == []
 
 
-@pytest.mark.parametrize("query", ["s6_read_reports"])
+@pytest.mark.parametrize("query", ["s6_read_reports", "g2_from_files"])
 def test_report_files_start_no_process_each(spark, tmp_path, query):
     import __spark_entry__
     from clinloom.session import ensure_checkpoint_dir
