@@ -1,5 +1,6 @@
 """Sources and sinks on files written by the tests."""
 
+import gzip
 import os
 
 import pytest
@@ -229,3 +230,37 @@ def test_many_reports_are_listed_and_read_by_few_tasks(spark, tmp_path):
     assert parts == 8 * cores and max(tasks) == 8 * cores and len(tasks) >= 2    # one a folder before
     assert {r["text"] for r in rows} == {f"text {i}" for i in range(n)}
     assert spark.conf.get(S.LISTING_TASKS) == before
+
+
+def test_local_reports_are_listed_and_read_by_the_tasks(spark, tmp_path):
+    root = tmp_path / "re ports%20+"
+    names = ["a.txt", "_a.txt", "_a=1.txt", ".a.txt", "_metadata", "b._COPYING_", "d/._x=1", "d/e/f/g/i.txt", "_hid/x.txt", "_p=1/x.txt",
+             "_metadatax/x.txt", "_metadatax/_m", "path=a b/q=2/\u00fc%/+ &.txt", ".hid/x.txt", "l\nm/x.txt", "'\"#?.txt", "w[1]*{}.txt"]
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(f"text of {name}\n")
+    (root / "empty.txt").write_text("")
+    (root / "bytes.txt").write_bytes(b"\xef\xbb\xbf\xff\r\n")
+    (root / "link").symlink_to(root / "d")
+    (root / "broken").symlink_to(root / "none")
+
+    def rows(path):
+        return sorted((r[0], bytes(r[1])) for r in S.read_reports(spark, path).select("path", F.col("text").cast("binary")).collect())
+
+    theirs = rows(str(root))                                         # no scheme: listed and read by Spark
+    assert rows(f"file:{root}") == rows(f"file:{root}/") == theirs and len(theirs) > 9
+    # Spark's scan holds the status and path of each file on the driver
+    assert not [f for f in S.read_reports(spark, f"file:{root}").inputFiles() if "re%20ports" in f]
+    with gzip.open(root / "z.txt.gz", "wt") as f:
+        f.write("packed")
+    assert rows(f"file:{root}") == rows(str(root)) == sorted([*theirs, ("z.txt.gz", b"packed")])
+
+
+def test_batches_of_texts_are_cut_by_rows_and_bytes(monkeypatch):
+    monkeypatch.setattr(S, "BATCH_ROWS", 3)
+    monkeypatch.setattr(S, "PIECE_BYTES", 10)
+    texts = [b"1" * n for n in (4, 4, 4, 25, 1, 1, 1, 1, 10)]
+    cut = list(S._arrow([("p", x) for x in texts], S._READ, lambda r: len(r[1])))
+    assert [b.num_rows for b in cut] == [2, 1, 1, 3, 1, 1]
+    assert [x for b in cut for x in b.column("text").to_pylist()] == texts
+    assert list(S._arrow([], S._READ, len)) == []
